@@ -39,8 +39,6 @@ from lexweave.llm.common import arrow_map, need, saved
 from lexweave.llm.kernels import mix, powers, prefix_sums, runs, slices, span_hashes
 from lexweave.llm.neardup import lists
 
-#: Up to this size a table of what is wanted of texts is broadcast; beyond it texts are shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32_000_000
 LOW32 = np.uint64(0xFFFFFFFF)
 SOLVE_BYTES = 3_000_000
 
@@ -115,8 +113,7 @@ class Repeats:
     def contexts(self, texts: DataFrame, wanted: DataFrame) -> DataFrame:
         """key, tid, size, start, span, ghost, n, bytes for wanted(gram, tid, size, start, span, ghost, n)."""
         lists_of = saved(wanted.groupBy("tid", "size").agg(F.collect_list(F.struct("gram", "start", "span", "ghost", "n")).alias("w")))
-        few = lists_of.count() <= BROADCAST_ROWS and wanted.count() * 40 <= BROADCAST_BYTES
-        rows = texts.select("text", "tid", "size").join(F.broadcast(lists_of) if few else lists_of, ["tid", "size"]).select("text", "tid", "size", "w")
+        rows = texts.select("text", "tid", "size").join(lists_of, ["tid", "size"]).select("text", "tid", "size", "w")
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for row in range(batch.num_rows):
@@ -233,13 +230,13 @@ class Repeats:
         """tid, size, lo, hi: runs of starts of repeated strings."""
         every = saved(self.all_runs(texts))
         shared = every.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n")).filter("n > 1").select("g")
-        every = saved(every.join(shared, F.col("gram") == F.col("g"), "left_semi"))
+        every = saved(every.join(saved(shared), F.col("gram") == F.col("g"), "left_semi"))
         kinds = saved(every.groupBy("gram", "whole").agg(F.count("*").alias("c"), F.min(F.struct("tid", "size", "start", "span")).alias("r")))
         twice = kinds.filter("c > 1").select(F.col("gram").alias("g"), F.col("whole").alias("w"))
         ends = F.floor(F.col("span") / 512).cast("int") + F.col("start") - 1
-        out = every.join(twice, (F.col("gram") == F.col("g")) & (F.col("whole") == F.col("w")), "left_semi").select("tid", "size", F.col("start").alias("lo"), ends.alias("hi"))
+        out = every.join(saved(twice), (F.col("gram") == F.col("g")) & (F.col("whole") == F.col("w")), "left_semi").select("tid", "size", F.col("start").alias("lo"), ends.alias("hi"))
         open_grams = kinds.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n"), F.min("c").alias("least")).filter("n > 1 and least = 1").select("g", "n")
-        wanted = saved(kinds.join(open_grams, F.col("gram") == F.col("g")).select("gram", "r.*", (F.col("c") > 1).alias("ghost"), "n"))
+        wanted = saved(kinds.join(saved(open_grams), F.col("gram") == F.col("g")).select("gram", "r.*", (F.col("c") > 1).alias("ghost"), "n"))
         if wanted.isEmpty():
             return out.distinct()
         pending = saved(self.contexts(texts, wanted))
@@ -262,10 +259,7 @@ class Repeats:
         """doc_id, text, spans array<struct<lo, hi>>: the byte ranges to remove by start (they may overlap); null without any."""
         texts = self.texts(need(documents, "doc_id", "text"))
         found = self.repeated(texts).groupBy("tid", "size").agg(F.array_sort(F.collect_list(F.struct("lo", (F.col("hi") + self.length).alias("hi")))).alias("spans"))
-        found = saved(found)
-        many, parts = found.agg(F.count("*"), F.sum(F.size("spans"))).first()
-        few = many <= BROADCAST_ROWS and (parts or 0) * 16 + many * 40 <= BROADCAST_BYTES
-        return texts.join(F.broadcast(found) if few else found, ["tid", "size"], "left").select("doc_id", "text", "spans")
+        return texts.join(saved(found), ["tid", "size"], "left").select("doc_id", "text", "spans")
 
 
 def remove_repeats(documents: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
