@@ -1,22 +1,23 @@
 """MinHash near-deduplication with HyperMinHash registers.
 
 1. One pass over the texts gives each document the size and a 128-bit identity of its shingle set, its
-   registers (by bucket of the hash space the least hash as leading-zero count and mantissa bits) and a key
-   for each band of registers.  Documents with equal sets are one class from here on.
+   registers (by bucket of the hash space the least hash, as leading-zero count and mantissa bits in a byte)
+   and a key for each band of registers.  Documents with equal sets are one class from here on.
 2. Classes that share a band key are compared by their registers: the share of equal ones, corrected for
-   chance collisions, estimates the Jaccard similarity.  Pairs that may reach the threshold (less five
+   chance collisions, estimates the Jaccard similarity.  Pairs that may reach the threshold (less 4.5
    standard errors) are candidates.
 3. Candidates are verified on full shingle sets; links give components.
 
 Not all pairs of a band group are written.  The first round takes from each piece of a group (at most
 `piece` classes) the spanning forest of the likeliest pairs.  Later rounds look only at groups whose classes
-lie in different components, and take for each two components of a piece at most `limit` of the likeliest
-pairs, with a limit that grows until none is held back.  So every pair that may link two components is
-verified before the end, and copies of a hot text cost rows, not pairs.  Groups over a piece are cut into
-blocks; the classes outside the group's main component are repeated in each block.
+lie in different components, leave out pairs inside a component, and take for each class outside the group's
+main component its likeliest pairs: at most 4, then 32, then all, each pair in the first band that it shares.
+So every pair that may link two components is verified before the end, while copies of a hot text cost rows,
+not pairs.  Groups of over two pieces are cut into blocks; the classes outside the main component are repeated
+in each block.
 
-Chance of losing a pair: (1 - s**rows)**bands that no band agrees, at s = 0.85 with 4 rows and 32 bands under
-1e-10, at 0.8 under 5e-8; and under 1e-6 that the estimate is five standard errors low.
+Chance of losing a pair: under 1e-6 that no band agrees, (1 - s**rows)**bands for similarity s at the
+threshold, less above it; and under 1e-5 that the estimate is 4.5 standard errors low.
 
 Cases: null, empty and wordless texts have no set, link with nothing and are kept; equal texts link whatever
 their ids; rows with equal ids are judged by the id; a null id sorts last, and its component is null only if
@@ -25,6 +26,7 @@ no other id is in it; an empty table gives an empty result; other columns are no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,33 +77,48 @@ def chance_equal(size: np.ndarray, buckets: int) -> np.ndarray:
 class NearDup:
     percent: int = 85
     width: int = 5
-    buckets: int = 128
-    bands: int = 32
+    buckets: int = 512
+    rows: int = 6
     piece: int = 1024
-    deviations: float = 5.0
+    deviations: float = 4.5
+
+    @property
+    def bands(self) -> int:
+        """As many as leave a pair at the threshold a chance under 1e-6 to share none."""
+        return math.ceil(math.log(1e-6) / math.log(1 - (self.percent / 100) ** self.rows))
 
     # ---- sketches -------------------------------------------------------------------------------------
 
     def sketches(self, documents: DataFrame) -> DataFrame:
-        """uid, n, sid, regs, keys for documents(doc_id, text)."""
+        """uid, n, sid, regs for documents(doc_id, text)."""
         rows = documents.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("uid"), "text")
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for lo, hi, data, offsets in slices(batch.column(1)):
                 doc, value = shingle_sets(data, offsets, self.width)
                 regs = registers(doc, value, hi - lo, self.buckets)
-                of, _, key = band_keys(regs, self.bands)
                 n = np.bincount(doc, minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), binaries(set_ids(doc, value, hi - lo)), binaries(regs), lists(np.bincount(of, minlength=hi - lo), key.view(np.int64), pa.int64())],
-                    ["uid", "n", "sid", "regs", "keys"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), binaries(set_ids(doc, value, hi - lo)), binaries(regs)], ["uid", "n", "sid", "regs"])
+
+        return arrow_map(rows, run, "uid long, n long, sid binary, regs binary")
+
+    def banded(self, reps: DataFrame) -> DataFrame:
+        """key, rid: the band keys of each class."""
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                keys = band_keys(self.matrix(part.column(1).to_pylist()), self.bands, self.rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), self.bands))], ["key", "rid"])
+
+        return arrow_map(reps.select("rid", "regs"), run, "key long, rid long")
 
-        return arrow_map(rows, run, "uid long, n long, sid binary, regs binary, keys array<long>")
+    def matrix(self, regs: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(regs), np.uint8).reshape(len(regs), self.buckets)
 
     def sets(self, documents: DataFrame, wanted: DataFrame) -> DataFrame:
-        """sid, shingles (sorted hashes) of the classes in wanted(sid, uid)."""
-        ids = saved(wanted.select("sid", "uid"))
+        """rid, shingles (sorted hashes) of the classes in wanted(rid, sid, uid)."""
+        ids = saved(wanted.select("rid", "sid", "uid"))
         few = ids.count() <= BROADCAST_IDS
         uids = ids.select(F.col("uid").alias("__want")).distinct()
         rows = documents.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("uid"), "text")
@@ -112,32 +129,37 @@ class NearDup:
                 doc, value = shingle_sets(data, offsets, self.width)
                 yield pa.RecordBatch.from_arrays([binaries(set_ids(doc, value, hi - lo)), lists(np.bincount(doc, minlength=hi - lo), value.view(np.int64), pa.int64())], ["sid", "shingles"])
 
-        found = arrow_map(rows, run, "sid binary, shingles array<long>")
-        return found.join(F.broadcast(ids.select("sid")) if few else ids.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+        found = arrow_map(rows, run, "sid binary, shingles array<long>").join(ids.select("sid", "rid"), "sid")
+        return found.select("rid", "shingles").dropDuplicates(["rid"])
 
     # ---- candidates -----------------------------------------------------------------------------------
 
-    def estimates(self, regs: np.ndarray, size: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Estimated similarity of rows i to all rows, or -1 where the threshold is out of reach."""
-        some = regs != EMPTY
-        out = np.empty((len(i), len(regs)), np.float32)
+    def estimates(self, regs: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Estimated similarity of rows `at` to all rows, or -1 where the threshold is out of reach.
+
+        The standard error is that of drawing `either` of the union's shingles without replacement.
+        """
+        gap = regs == EMPTY
         limit = self.percent / 100
-        for k in range(0, len(i), 32):
-            at = i[k : k + 32]
-            equal = ((regs[at][:, None, :] == regs[None]) & some[at][:, None, :]).sum(axis=2)
-            either = self.buckets - ((~some[at]).astype(np.float32) @ (~some).T.astype(np.float32))
-            chance = chance_equal(size[at], self.buckets)[:, None]  # pairs that count are of like size
-            guess = (equal / np.maximum(either, 1) - chance) / (1 - chance)
-            slack = self.deviations * np.sqrt(limit * (1 - limit) / np.maximum(either, 1))
-            ratio = np.minimum(size[at][:, None], size[None]) / np.maximum(size[at][:, None], size[None])
-            out[k : k + 32] = np.where((guess >= limit - slack) & (ratio >= limit), np.maximum(guess, 0), -1)
+        out = np.empty((len(at), len(regs)), np.float32)
+        for k in range(0, len(at), 64):
+            i = at[k : k + 64]
+            equal = np.empty((len(i), len(regs)), np.float32)
+            for row, x in enumerate(i):
+                equal[row] = np.count_nonzero(regs == regs[x], axis=1)
+            none = gap[i].astype(np.float32) @ gap.T.astype(np.float32)
+            equal, either = equal - none, np.maximum(self.buckets - none, 1)
+            chance = chance_equal(size[i], self.buckets)[:, None]  # pairs that count are of like size
+            guess = (equal / either - chance) / (1 - chance)
+            union = np.maximum((size[i][:, None] + size[None]) / (1 + limit), either + 1)
+            spread = limit * (1 - limit) / either * (1 - either / union) + chance / either
+            ratio = np.minimum(size[i][:, None], size[None]) / np.maximum(size[i][:, None], size[None])
+            out[k : k + 64] = np.where((guess >= limit - self.deviations * np.sqrt(spread)) & (ratio >= limit), np.maximum(guess, 0), -1)
         return out
 
     def forest(self, regs: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
         """A spanning forest of the likeliest pairs (Prim)."""
         n = len(size)
-        if n < 2:
-            return []
         near = self.estimates(regs, size, np.arange(n))
         np.fill_diagonal(near, -1)
         best, parent, left = np.full(n, -1, np.float32), np.full(n, -1), np.ones(n, bool)
@@ -151,91 +173,94 @@ class NearDup:
             best[closer], parent[closer] = near[at][closer], at
         return out
 
-    def crossing(self, regs: np.ndarray, size: np.ndarray, label: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], bool]:
-        """The likeliest pairs of rows with different labels, at most limit for two labels; and if any were held back."""
-        _, label = np.unique(label, return_inverse=True)
-        main = np.bincount(label).argmax()
-        rows = np.flatnonzero(label != main)
-        pairs: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+    def crossing(self, regs: np.ndarray, size: np.ndarray, label: np.ndarray, main: np.ndarray, key: int, first: bool, limit: int) -> tuple[list[tuple[int, int]], bool]:
+        """The likeliest pairs of rows with different labels, at most limit for each row outside the main label; and if any were held back.
+
+        first: whether this block is the one that compares the rows outside the main label among themselves.
+        """
+        rows = np.flatnonzero(~main)
+        keys = band_keys(regs, self.bands, self.rows)
+        out, held = [], False
         for k in range(0, len(rows), 256):
             at = rows[k : k + 256]
             near = self.estimates(regs, size, at)
-            near[label[at][:, None] == label[None]] = -1
-            for x, y in zip(*np.nonzero(near >= 0)):
-                i, j = int(at[x]), int(y)
-                if label[j] == main or i < j:
-                    pairs.setdefault((min(label[i], label[j]), max(label[i], label[j])), []).append((float(near[x, y]), i, j))
-        held = False
-        out = []
-        for found in pairs.values():
-            found.sort(reverse=True)
-            held |= len(found) > limit
-            out += [(i, j) for _, i, j in found[:limit]]
+            apart = label[at][:, None] != label[None]
+            apart &= main[None] | (first & (at[:, None] < np.arange(len(regs))[None]))
+            near[~apart] = -1
+            x, j = np.nonzero(near >= 0)
+            i = at[x]
+            shared = keys[i] == keys[j]
+            here = keys[i, shared.argmax(axis=1)] == key
+            x, i, j, value = x[here], i[here], j[here], near[x[here], j[here]]
+            order = np.lexsort((-value, x))
+            x, i, j = x[order], i[order], j[order]
+            begin = np.flatnonzero(np.diff(x, prepend=-1))
+            nth = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+            held |= bool((nth >= limit).any())
+            out += zip(i[nth < limit].tolist(), j[nth < limit].tolist())
         return out, held
 
-    def pairs(self, groups: DataFrame, limit: int | None) -> DataFrame:
-        """a, b, held from groups(key, [label,] sid, n, regs): forests if limit is None, else crossing pairs."""
-        labelled = limit is not None
-        columns = ["key", "sid", "n", "regs", *(["label"] if labelled else [])]
-        rows = groups.select(*columns)
-        if labelled:
-            rows = rows.repartition("key").sortWithinPartitions("key", "sid")
+    def pairs(self, groups: DataFrame, reps: DataFrame, limit: int | None) -> DataFrame:
+        """a, b, held from groups(key, rid[, label, main, block]): forests if limit is None, else crossing pairs."""
+        crossing = limit is not None
+        rows = groups.join(reps.select("rid", "n", "regs"), "rid")
+        if crossing:
+            rows = rows.select("key", "block", "rid", "n", "regs", "label", "main").repartition("key", "block").sortWithinPartitions("key", "block", "rid")
         else:
-            rows = rows.repartitionByRange("key", "regs").sortWithinPartitions("key", "regs")
-        piece, buckets = self.piece, self.buckets
+            rows = rows.select("key", F.lit(0).alias("block"), "rid", "n", "regs").repartitionByRange("key", "regs").sortWithinPartitions("key", "regs")
+        piece = self.piece
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, part, out = None, [], []
 
             def solve() -> None:
-                part_regs = np.frombuffer(b"".join(p[2] for p in part), np.uint16).reshape(len(part), buckets)
-                size = np.array([p[1] for p in part], np.float64)
-                sid = [p[0] for p in part]
-                if labelled:
-                    found, held = self.crossing(part_regs, size, np.array([p[3].hex() for p in part]), limit)
+                regs, size = self.matrix([p[1] for p in part]), np.array([p[0][1] for p in part], np.float64)
+                rid = [p[0][0] for p in part]
+                if crossing:
+                    found, held = self.crossing(regs, size, np.array([p[2] for p in part]), np.array([p[3] for p in part]), key[0], key[1] == 0, limit)
                 else:
-                    found, held = self.forest(part_regs, size), False
-                out.extend((min(sid[i], sid[j]), max(sid[i], sid[j]), held) for i, j in found if sid[i] != sid[j])
+                    found, held = self.forest(regs, size), False
+                out.extend((min(rid[i], rid[j]), max(rid[i], rid[j]), held) for i, j in found if rid[i] != rid[j])
 
             def flush() -> pa.RecordBatch:
-                batch = pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.bool_())], ["a", "b", "held"])
+                batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "held"])
                 out.clear()
                 return batch
 
             for batch in source:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    if row[0] != key or not labelled and len(part) >= piece:
+                for k, block, rid, n, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (k, block) != key or not crossing and len(part) >= piece:
                         if len(part) > 1:
                             solve()
-                        part = part[:: max(1, piece // 16)][:16] if row[0] == key else []  # some go on, to tie the pieces
-                        key = row[0]
+                        part = part[:: max(1, piece // 16)][:16] if (k, block) == key else []  # some go on, to tie the pieces
+                        key = (k, block)
                         if len(out) > 20_000:
                             yield flush()
-                    part.append(row[1:])
+                    part.append(((rid, n), *rest))
             if len(part) > 1:
                 solve()
             if out:
                 yield flush()
 
-        found = rows.mapInArrow(run, "a binary, b binary, held boolean")
-        return found.groupBy("a", "b").agg(F.max("held").alias("held"))
+        return rows.mapInArrow(run, "a long, b long, held boolean").groupBy("a", "b").agg(F.max("held").alias("held"))
 
     def mixed_groups(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of the groups with several labels; large groups cut into blocks, with all but the main label's classes in each."""
-        named = members.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        named = saved(members.join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid")))
         by_label = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-        by_key = by_label.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"), F.max_by("label", "c").alias("main")).filter("kinds > 1")
+        by_key = saved(by_label.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"), F.max_by("label", "c").alias("most")).filter("kinds > 1"))
         blocks = F.ceil(F.col("all") / F.lit(2.0 * self.piece)).cast("int")
-        own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-        spread = F.when((blocks > 1) & (F.col("label") != F.col("main")), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-        return named.join(by_key, "key").withColumn("block", F.explode(spread)).withColumn("key", F.when(blocks > 1, F.xxhash64("key", "block")).otherwise(F.col("key"))).select("key", "label", "sid", "n", "regs")
+        own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
+        main = F.col("label") == F.col("most")
+        spread = F.when((blocks > 1) & ~main, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+        return named.join(by_key, "key").select("key", "rid", "label", main.alias("main"), F.explode(spread).alias("block"))
 
     # ---- links and components -------------------------------------------------------------------------
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs(a, b) that reach the threshold on their full sets."""
-        left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
+        left = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
         shared = F.size(F.array_intersect("x", "y")).cast("long")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).cast("long").alias("total"))
         return both.filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * self.percent).select("a", "b")
@@ -244,37 +269,40 @@ class NearDup:
         """(uid, n, sid by document; sid, component by class): component is the least uid that is reachable."""
         documents = need(documents, "doc_id", "text")
         sketched = saved(self.sketches(documents))
-        reps = saved(sketched.filter("n > 0").groupBy("sid").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys")))
-        banded = reps.select("sid", F.explode("keys").alias("key")).repartition("key")
+        rows = sketched.select("uid", "n", "sid")
+        reps = sketched.filter("n > 0").groupBy("sid").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+        reps = saved(reps.select(F.monotonically_increasing_id().alias("rid"), "sid", "uid", "n", "regs"))
+        banded = self.banded(reps).repartition("key")
         shared = banded.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1").select("k")
-        members = saved(banded.join(shared, F.col("key") == F.col("k"), "left_semi").join(reps.select("sid", "n", "regs"), "sid"))
-        labels = links = sets = None
-        for limit in (None, 4, 64, 1024, 1 << 40):
+        members = saved(banded.join(shared, F.col("key") == F.col("k"), "left_semi"))
+        labels = links = sets = tried = None
+        for limit in (None, 4, 32, 1 << 40):
             if limit is None:
-                tried = found = saved(self.pairs(members, None))
+                tried = found = saved(self.pairs(members, reps, None))
             else:
-                found = saved(self.pairs(self.mixed_groups(members, labels), limit).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+                found = saved(self.pairs(self.mixed_groups(members, labels), reps, limit).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
                 tried = tried.unionByName(found)
-            if found.isEmpty():
-                if limit is None:
-                    return sketched.select("uid", "n", "sid"), reps.select("sid", F.col("uid").alias("component"))
-                break
-            used = found.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps.select("sid", "uid"), "sid")
-            if sets is None:
-                sets = saved(self.sets(documents, used))
+            if not found.isEmpty():
+                used = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+                if sets is not None:
+                    used = used.join(sets.select("rid"), "rid", "left_anti")
+                used = saved(used.join(reps.select("rid", "sid", "uid"), "rid"))
+                if not used.isEmpty():
+                    more = saved(self.sets(documents, used))
+                    sets = more if sets is None else sets.unionByName(more)
+            elif limit is None:
+                return rows, reps.select("sid", F.col("uid").alias("component"))
             else:
-                more = saved(used.join(sets.select("sid"), "sid", "left_anti"))
-                if not more.isEmpty():
-                    sets = sets.unionByName(saved(self.sets(documents, more)))
+                break
             new = saved(self.verified(found.select("a", "b"), sets))
             if limit is None or not new.isEmpty():
                 links = new if links is None else links.unionByName(new)
                 labels = saved(components(links))
             if limit is not None and not found.agg(F.max("held")).first()[0]:
                 break
-        named = reps.select("sid", "uid").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        named = reps.select("rid", "sid", "uid").join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         least = named.groupBy("label").agg(F.min("uid").alias("component"))
-        return sketched.select("uid", "n", "sid"), named.join(least, "label").select("sid", "component")
+        return rows, named.join(least, "label").select("sid", "component")
 
     def deduplicated(self, documents: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id, kept."""

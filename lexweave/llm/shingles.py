@@ -8,8 +8,8 @@ from lexweave.llm.kernels import FOLDED, mix, prefix_sums, span_hashes, word_tab
 
 #: Words are maximal runs of other bytes than these (a fixed value of the contract).
 SPACES = word_table(b"\x20\x09\x0a\x0b\x0c\x0d")
-MANTISSA_BITS = 10
-EMPTY = np.uint16(0xFFFF)
+MANTISSA_BITS = 4
+EMPTY = np.uint8(0xFF)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -39,16 +39,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
     return doc[new], value[new]
 
 
-def leading_zeros(rest: np.ndarray, width: int) -> np.ndarray:
-    """Of values below 2**width, width under 64."""
-    high = (rest >> np.uint64(32)).astype(np.float64)
-    low = (rest & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    bits = np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1])
-    return width - bits
-
-
 def registers(doc: np.ndarray, value: np.ndarray, n_docs: int, buckets: int) -> np.ndarray:
-    """HyperMinHash registers: by bucket of a document the count of leading zeros of its least value and the bits after.
+    """HyperMinHash registers, a byte each: by bucket of a document the leading zeros of its least value (4 bits) and the bits after the first one (4 bits).
 
     doc and value are sorted, so the least value of a bucket (the top bits) is the first of its run.
     """
@@ -59,23 +51,46 @@ def registers(doc: np.ndarray, value: np.ndarray, n_docs: int, buckets: int) ->
     cell = doc * buckets + (value >> np.uint64(64 - bits)).astype(np.int64)
     new = np.ones(len(cell), bool)
     new[1:] = cell[1:] != cell[:-1]
-    cell, rest = cell[new], value[new] & np.uint64((1 << 64 - bits) - 1)
-    width = 64 - bits
-    zeros = np.minimum(leading_zeros(rest, width), 62 - MANTISSA_BITS)
-    after = rest << (zeros + 1).astype(np.uint64)
-    mantissa = (after >> np.uint64(width - MANTISSA_BITS)) & np.uint64((1 << MANTISSA_BITS) - 1)
-    out.reshape(-1)[cell] = (zeros.astype(np.uint16) << np.uint16(MANTISSA_BITS)) | mantissa.astype(np.uint16)
+    cell, rest = cell[new], value[new] << np.uint64(bits)
+    high = (rest >> np.uint64(32)).astype(np.float64)
+    zeros = np.minimum(32 - np.frexp(high)[1], 14)  # 32 bits are enough for documents of 2**14 * buckets shingles
+    mantissa = (rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA_BITS)
+    out.reshape(-1)[cell] = (zeros.astype(np.uint8) << np.uint8(MANTISSA_BITS)) | mantissa.astype(np.uint8)
     return out
 
 
-def band_keys(regs: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document index, band, key) of the bands that hold a register at least."""
+_borrowed: dict[int, np.ndarray] = {}
+
+
+def dense(regs: np.ndarray, tries: int = 24) -> np.ndarray:
+    """Empty registers filled from others: each bucket has a fixed random order of buckets to borrow from; past it the next filled one.
+
+    So the chance that two documents agree in a register is their similarity, for small sets, too.
+    """
     n, buckets = regs.shape
-    rows = buckets // bands
-    parts = regs[:, : bands * rows].reshape(n, bands, rows)
-    total = np.zeros((n, bands), np.uint64)
+    if buckets not in _borrowed:
+        _borrowed[buckets] = np.random.default_rng(77).integers(0, buckets, (tries, buckets))
+    out = regs.copy()
+    for order in _borrowed[buckets]:
+        gap = out == EMPTY
+        if not gap.any():
+            return out
+        out = np.where(gap, regs[:, order], out)
+    row, col = np.nonzero(out == EMPTY)
+    if len(row):
+        filled = regs != EMPTY
+        place = np.where(filled, np.arange(buckets), 2 * buckets)
+        ahead = np.minimum.accumulate(np.concatenate([place, place + buckets], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :buckets]
+        spot = ahead[row, col]
+        ok = spot < 2 * buckets
+        out[row[ok], col[ok]] = regs[row[ok], spot[ok] % buckets]
+    return out
+
+
+def band_keys(regs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(documents x bands) keys of bands of densified registers; documents without shingles have keys that mean nothing."""
+    parts = dense(regs)[:, : bands * rows].reshape(len(regs), bands, rows)
+    total = np.tile(np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), (len(regs), 1))
     for k in range(rows):
         total = mix(total * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k].astype(np.uint64) + np.uint64(k + 1))
-    total = mix(total + np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    doc, band = np.nonzero((parts != EMPTY).any(axis=2))
-    return doc, band, total[doc, band]
+    return total.view(np.int64)
