@@ -60,6 +60,23 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (value >> np.uint32(16)).astype(np.int64), first, counts
 
 
+def fitted(likely: np.ndarray, size: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions by expectation-maximisation over words, and the log-likelihood (up to a constant), by document.
+
+    likely: words x languages; size: words by document; allowed: documents x languages, 0 or 1.
+    """
+    begin = np.cumsum(size) - size
+    share = allowed / allowed.sum(axis=1, keepdims=True)
+    for _ in range(rounds):
+        part = likely * np.repeat(share, size, axis=0)
+        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
+        share = np.add.reduceat(part, begin, axis=0) * allowed
+        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
+    share = np.where(share.sum(axis=1, keepdims=True) > 0, share, allowed / allowed.sum(axis=1, keepdims=True))
+    gain = np.log(np.maximum((likely * np.repeat(share, size, axis=0)).sum(axis=1, dtype=np.float64), 1e-30))
+    return share, np.add.reduceat(gain, begin)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -73,34 +90,27 @@ class Model:
         has = np.flatnonzero(counts)
         if not len(has) or not k:
             return out
-        by_word = np.add.reduceat(self.table[bucket], first, axis=0).astype(np.float64)
-        top = by_word.max(axis=1, keepdims=True)
-        likely = np.exp(by_word - top)
+        by_word = np.add.reduceat(self.table[bucket], first, axis=0)
+        likely = np.exp(by_word - by_word.max(axis=1, keepdims=True))
         size = counts[has]
-        begin = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(has)), size)
-
-        def fitted(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            share = allowed / allowed.sum(axis=1, keepdims=True)
-            for _ in range(ROUNDS):
-                part = likely * share[owner] + 1e-300
-                part /= part.sum(axis=1, keepdims=True)
-                share = np.add.reduceat(part, begin, axis=0) * allowed / size[:, None]
-                share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-            gain = np.log((likely * share[owner]).sum(axis=1) + 1e-300)
-            return share, np.add.reduceat(gain, begin)
-
-        full, _ = fitted(np.ones((len(has), k)))
+        penalty = 0.5 * np.log(size + 1.0)
+        every = np.ones((len(has), k), np.float32)
+        full, gain = fitted(likely, size, every)
         order = np.argsort(-full, axis=1, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(k)[None, :].repeat(len(has), 0), axis=1)
-        best, chosen = np.full(len(has), -np.inf), full
-        for m in range(1, min(max_languages, k) + 1):
-            share, gain = fitted((rank < m).astype(np.float64))
-            value = gain - 0.5 * (m - 1) * np.log(size + 1.0)
-            better = value > best
-            chosen = np.where(better[:, None], share, chosen)
-            best = np.maximum(best, value)
+        chosen = (rank < 1).astype(np.float64)
+        best = fitted(likely, size, chosen.astype(np.float32), 1)[1]
+        open_sets = np.flatnonzero(gain - penalty > best)  # for the others no larger set can win
+        if len(open_sets):
+            mine = np.repeat(np.isin(np.arange(len(has)), open_sets), size)
+            part, many, top = likely[mine], size[open_sets], best[open_sets]
+            for m in range(2, min(max_languages, k) + 1):
+                share, gain = fitted(part, many, (rank[open_sets] < m).astype(np.float32))
+                value = gain - (m - 1) * penalty[open_sets]
+                better = value > top
+                chosen[open_sets[better]] = share[better]
+                top = np.maximum(top, value)
         out[has] = chosen
         return out
 
