@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import need
+from lexweave.llm.common import arrow_stream, need
 from lexweave.llm.kernels import PLAIN, SLICE_BYTES, mix, prefix_sums, span_hashes, word_table, words
 
 WIDE, SKETCH, GRAM = 8, 256, 3
@@ -165,4 +165,4 @@ def fingerprint_documents(documents: DataFrame, per_part: int = 4000) -> DataFra
         if ids:
             yield flush()
 
-    return rows.mapInArrow(run, schema)
+    return arrow_stream(rows, run, schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import NO_ID, arrow_map, components, need, saved
+from lexweave.llm.common import NO_ID, arrow_map, arrow_stream, components, need, saved
 from lexweave.llm.kernels import mix, slices
 from lexweave.llm.shingles import EMPTY, MANTISSA_BITS, band_keys, registers, shingle_sets
 
@@ -242,7 +242,7 @@ class NearDup:
             if out:
                 yield flush()
 
-        return rows.mapInArrow(run, "a long, b long, held boolean").groupBy("a", "b").agg(F.max("held").alias("held"))
+        return arrow_stream(rows, run, "a long, b long, held boolean").groupBy("a", "b").agg(F.max("held").alias("held"))
 
     def mixed_groups(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of the groups with several labels; large groups cut into blocks, with all but the main label's classes in each."""

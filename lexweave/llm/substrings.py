@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import arrow_map, need, saved
+from lexweave.llm.common import arrow_map, arrow_stream, need, saved
 from lexweave.llm.kernels import mix, powers, prefix_sums, runs, slices, span_hashes
 from lexweave.llm.neardup import lists
 
@@ -207,7 +207,7 @@ class Repeats:
             if held and (found := solve(held)) is not None:
                 yield found
 
-        return rows.mapInArrow(run, "tid long, size int, lo int, hi int")
+        return arrow_stream(rows, run, "tid long, size int, lo int, hi int")
 
     def split(self, groups: DataFrame, width: int) -> DataFrame:
         """Contexts cut by aligned ranges of offsets; the key also holds the bytes common to all strings of a range."""
