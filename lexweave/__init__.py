@@ -1,0 +1 @@
+"""Document-evidence analytics on PySpark."""
