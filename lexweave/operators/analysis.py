@@ -21,15 +21,18 @@ def candidates(parts: DataFrame) -> DataFrame:
 
     The few rules are columns of one projection, not a join.
     """
+    named = list(enumerate(rules.CONDITIONS))
+    counts = {f"__hits_{k}": F.regexp_count("quote", F.lit(rules.spark(c[2]))) for k, c in named}
+    matches = {f"__value_{k}": F.when(F.col(f"__hits_{k}") > 0, text.found("quote", c[3])) if c[3] else F.lit(False) for k, c in named}
+    tested = parts.withColumns(counts).filter(" + ".join(counts) + " > 0").withColumns(matches)
     options = []
-    for k, (name, _, keyword, value, required) in enumerate(rules.CONDITIONS):
-        hits = F.regexp_count("quote", F.lit(rules.spark(keyword)))
-        valued = text.found("quote", value) if value else F.lit(False)
+    for k, (name, _, _, _, required) in named:
+        hits, valued = F.col(f"__hits_{k}"), F.col(f"__value_{k}")
         score = F.least(F.lit(0.99), F.lit(0.55) + F.lit(0.08) * hits + F.when(valued, F.lit(0.2)).otherwise(F.lit(0.0)))
         fits = (hits > 0) & (valued if required else F.lit(True))
         options.append(F.when(fits, F.struct(F.lit(k).alias("ord"), F.lit(name).alias("category"), score.alias("score"))))
     matched = F.explode(F.filter(F.array(*options), lambda o: o.isNotNull())).alias("m")
-    return parts.select("*", matched).select(*parts.columns, "m.*")
+    return tested.select(*parts.columns, matched).select(*parts.columns, "m.*")
 
 
 def conditions(pages: DataFrame, limit: int = rules.MAX_ITEMS) -> DataFrame:

@@ -79,10 +79,11 @@ def summary(rows: DataFrame) -> DataFrame:
 
 def paginated(documents: DataFrame, lines: int = 10) -> DataFrame:
     """Pages of normalised text, `lines` lines each, numbered from 1: document_id, page_number, text, char_count."""
-    body = F.split(text.normalized(F.coalesce("text", F.lit(""))), "\n")
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(body) - 1) / lines).cast("int")), lambda k: F.array_join(F.slice(body, k * lines + 1, F.lit(lines)), "\n"))
-    pages = documents.select(F.col("doc_id").alias("document_id"), F.posexplode(groups).alias("k", "text"))
-    return pages.select("document_id", (F.col("k") + 1).alias("page_number"), "text", F.length("text").alias("char_count"))
+    parts = documents.select("doc_id", F.split(text.normalized(F.coalesce("text", F.lit(""))), "\n").alias("body"))
+    count = F.floor((F.size("body") - 1) / lines).cast("int")
+    pages = parts.select("doc_id", "body", F.explode(F.sequence(F.lit(0), count)).alias("k"))
+    pages = pages.select(F.col("doc_id").alias("document_id"), (F.col("k") + 1).alias("page_number"), F.array_join(F.slice("body", F.col("k") * lines + 1, F.lit(lines)), "\n").alias("text"))
+    return pages.withColumn("char_count", F.length("text"))
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:

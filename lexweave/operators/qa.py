@@ -95,7 +95,7 @@ DRAFT = "struct<cannot_answer:boolean,claims:array<struct<text:string,evidence_i
 
 def draft_claims(rows: DataFrame, by: list[str], column: str = "draft") -> DataFrame:
     """Claims from a provider's JSON: at most ten, texts of 1 to 2000 characters, ids like C1; others are left out."""
-    read = rows.withColumn("d", F.from_json(column, DRAFT))
-    claims = read.filter(~F.coalesce("d.cannot_answer", F.lit(False))).select(*by, F.posexplode(F.slice("d.claims", 1, 10)).alias("k", "c"))
+    read = rows.withColumn("__draft", F.from_json(column, DRAFT))
+    claims = read.filter(~F.coalesce("__draft.cannot_answer", F.lit(False))).select(*by, F.posexplode(F.slice("__draft.claims", 1, 10)).alias("k", "c"))
     good = F.length("c.text").between(1, 2000) & F.length("c.quote").between(1, 2000) & F.rlike("c.evidence_id", F.lit("^C[1-9][0-9]*$"))
     return claims.filter(good).select(*by, (F.col("k") + 1).alias("ord"), F.col("c.text").alias("claim"), F.col("c.evidence_id").alias("evidence_id"), F.col("c.quote").alias("quote"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
 from lexweave.operators import analysis, chunking, library, metrics, qa, rerank, retrieval
-from lexweave.session import table
+from lexweave.session import spread, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -71,11 +71,11 @@ def lib(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return library.paginated(table(spark, sf, "documents"), 10)
+    return library.paginated(spread(table(spark, sf, "documents").select("doc_id", "text")), 10)
 
 
 def clauses(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(CLAUSES.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders"))
+    return spark.sql(CLAUSES.replace("FROM orders", "FROM {orders}"), orders=spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")))
 
 
 def tenders(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,7 +249,7 @@ def rerank_tokens(spark, sf):
 
 
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 @query("query_id bigint, chunk_id bigint, lexical_score double, lexical_rank bigint", f"SELECT query_id, chunk_id, round(lexical_score, 6) AS lexical_score, lexical_rank FROM ({LEXICAL})")
@@ -475,7 +475,7 @@ WITH_FACTS = f"WITH f AS (SELECT *, {RERANK_TOKENS.format('question')} AS qt, {R
 
 
 def fact_rows(spark: SparkSession, sf: str) -> DataFrame:
-    scenarios = spark.sql(SCENARIOS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders"))
+    scenarios = spark.sql(SCENARIOS.replace("FROM orders", "FROM {orders}"), orders=spread(table(spark, sf, "orders")))
     return rerank.facts(scenarios, KINDS, literal(spark, TEMPLATES, "category string, variant int, passage string, question string"))
 
 

@@ -16,11 +16,12 @@ SETTINGS = {
 }
 
 
-def session(master: str | None = None, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
+def session(master: str | None = None, shuffle_partitions: int | None = None, memory: str = "8g", shared: str | None = None) -> SparkSession:
     """A local session for tests and benches; on a cluster the submitted settings hold."""
     builder = SparkSession.builder.config(map=SETTINGS).config("spark.driver.memory", memory)
     builder = builder.master(master) if master else builder
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)) if shuffle_partitions else builder
+    builder = builder.config("spark.checkpoint.dir", shared) if shared else builder
     os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,3 +30,9 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, me
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files are fewer than these; a table of many files stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
