@@ -11,7 +11,7 @@
 Not all pairs of a band group are written.  The first round takes from each piece of a group (at most
 `piece` classes) the spanning forest of the likeliest pairs.  Later rounds look only at groups whose classes
 lie in different components, leave out pairs inside a component, and take for each class outside the group's
-main component its likeliest pairs: at most 4, then 32, then all, each pair in the first band that it shares.
+main component its likeliest pairs: at most 8, then all, each pair in the first band that it shares.
 So every pair that may link two components is verified before the end, while copies of a hot text cost rows,
 not pairs.  Groups of over two pieces are cut into blocks; the classes outside the main component are repeated
 in each block.
@@ -275,8 +275,8 @@ class NearDup:
         banded = self.banded(reps).repartition("key")
         shared = banded.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1").select("k")
         members = saved(banded.join(shared, F.col("key") == F.col("k"), "left_semi"))
-        labels = links = sets = tried = None
-        for limit in (None, 4, 32, 1 << 40):
+        labels = sets = tried = None
+        for limit in (None, 8, 1 << 40):
             if limit is None:
                 tried = found = saved(self.pairs(members, reps, None))
             else:
@@ -296,8 +296,8 @@ class NearDup:
                 break
             new = saved(self.verified(found.select("a", "b"), sets))
             if limit is None or not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
-                labels = saved(components(links))
+                # what is known already goes in as a star for each component, not as all its links
+                labels = saved(components(new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
             if limit is not None and not found.agg(F.max("held")).first()[0]:
                 break
         named = reps.select("rid", "sid", "uid").join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
