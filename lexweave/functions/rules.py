@@ -135,9 +135,23 @@ REFUSALS = {
     "en": "The retrieved document fragments do not contain enough evidence for a precise answer.",
 }
 
+#: By category of a tender fact those that are taken for it most easily: the preferred hard negatives.
+CONFUSIONS = {
+    "deadline": ("delivery", "payment", "warranty"),
+    "budget": ("bid_security", "performance_security", "penalty"),
+    "delivery": ("deadline", "warranty", "payment"),
+    "payment": ("delivery", "deadline", "budget"),
+    "bid_security": ("performance_security", "penalty", "budget"),
+    "performance_security": ("bid_security", "penalty", "budget"),
+    "penalty": ("bid_security", "performance_security", "payment"),
+    "warranty": ("delivery", "payment", "deadline"),
+}
+FACT_KINDS = tuple(CONFUSIONS)
+
 CHUNK_SIZE, CHUNK_OVERLAP, LEAST_SHARE = 1600, 200, 0.6
 DENSE_K, LEXICAL_K, FINAL_K, RRF_K = 20, 20, 5, 60
-EVIDENCE_LIMIT, MAX_CLAIMS = 8, 5
+EVIDENCE_LIMIT, MAX_CLAIMS, ANALYSIS_LIMIT = 8, 5, 8
+HIGHLIGHT_CLASS, LEAST_FRAGMENT = "pdf-citation-highlight", 6
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 
 # ---- end of fixed values ------------------------------------------------------------------------------

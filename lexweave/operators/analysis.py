@@ -1,4 +1,4 @@
-"""Conditions, coverage and risk checklist."""
+"""Conditions, coverage and risk checklist."""
 
 from __future__ import annotations
 
@@ -35,14 +35,78 @@ def candidates(parts: DataFrame) -> DataFrame:
     return tested.select(*parts.columns, matched).select(*parts.columns, "m.*")
 
 
-def conditions(pages: DataFrame, limit: int = rules.MAX_ITEMS) -> DataFrame:
-    """The conditions of each document with running citation numbers: first of equal quotes, best score first, `limit` a category."""
-    rows = candidates(segments(pages)).withColumn("norm", text.collapsed("quote"))
-    seen = Window.partitionBy("document_id", "ord", "norm").orderBy("page_number", "lo")
-    best = Window.partitionBy("document_id", "ord").orderBy(F.desc("score"), "page_number", "lo")
-    kept = rows.withColumn("nth", F.row_number().over(seen)).filter("nth = 1").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
+def best_conditions(rows: DataFrame, seen: list[str], limit: int) -> DataFrame:
+    """Of equal quotes of a category the first by seen; the best by score, `limit` a category, numbered through."""
+    rows = rows.withColumn("norm", text.collapsed("quote"))
+    first = Window.partitionBy("document_id", "ord", "norm").orderBy(*seen)
+    best = Window.partitionBy("document_id", "ord").orderBy(F.desc("score"), "page_number", "lo", *seen)
+    kept = rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("ord", "place"))
-    return kept.select("document_id", "category", "ord", "place", number.alias("number"), "page_number", F.col("lo").alias("start_char"), F.col("hi").alias("end_char"), "quote", F.round("score", 6).alias("score"))
+    return kept.withColumn("number", number)
+
+
+def conditions(pages: DataFrame, limit: int = rules.MAX_ITEMS) -> DataFrame:
+    """The conditions of each document over all its pages, with running citation numbers."""
+    kept = best_conditions(candidates(segments(pages)), ["page_number", "lo"], limit)
+    return kept.select("document_id", "category", "ord", "place", "number", "page_number", F.col("lo").alias("start_char"), F.col("hi").alias("end_char"), "quote", F.round("score", 6).alias("score"))
+
+
+def category_queries(spark: SparkSession) -> DataFrame:
+    """query_id, ord, category, query_ord, query: what is searched for each category of conditions."""
+    rows = [(10 * k + n, k, c[0], n, q) for k, c in enumerate(rules.CONDITIONS) for n, q in enumerate(c[1])]
+    return spark.createDataFrame(rows, "query_id long, ord int, category string, query_ord int, query string")
+
+
+def category_hits(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """The chunks that the queries of a category found in a document, each at its first place: by query, then by rank.
+
+    found: document_id, query_id, mode, rank, chunk_id; a combined minimum by chunk takes the place of a window.
+    """
+    joined = found.join(F.broadcast(asked.select("query_id", "ord", "category", "query_ord")), "query_id")
+    return joined.groupBy("document_id", "ord", "category", "chunk_id").agg(F.min(F.struct("query_ord", "rank")).alias("hit"))
+
+
+def retrieval_modes(found: DataFrame) -> DataFrame:
+    """The modes of the searches of each document, in order."""
+    return found.groupBy("document_id").agg(F.array_join(F.sort_array(F.collect_set("mode")), ",").alias("modes"))
+
+
+def conditions_of_hits(hits: DataFrame, limit: int = rules.MAX_ITEMS) -> DataFrame:
+    """Conditions from retrieved chunks: as conditions(), but a category is looked for in its own hits only, first hits first.
+
+    hits: category_hits() with page_number, start_char (the chunk's on its page) and text.  Offsets are the page's.
+    """
+    spans = F.explode(text.analysis_spans("text")).alias("s")
+    parts = hits.select("document_id", F.col("category").alias("wanted"), "hit", "chunk_id", "page_number", "start_char", spans).select("*", "s.quote", "s.lo", "s.hi").drop("s")
+    kept = best_conditions(candidates(parts).filter("category = wanted"), ["hit", "lo"], limit)
+    at = lambda c: (F.col("start_char") + F.col(c)).alias("start_char" if c == "lo" else "end_char")
+    return kept.select("document_id", "category", "ord", "place", "number", "chunk_id", "page_number", at("lo"), at("hi"), "quote", F.round("score", 6).alias("score"))
+
+
+def by_category(found: DataFrame) -> DataFrame:
+    """Every category of each document's conditions with their citation numbers in order."""
+    return found.groupBy("document_id", "category").agg(F.array_join(F.transform(F.array_sort(F.collect_list("number")), lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+def cited_chunks(found: DataFrame, checklist: DataFrame) -> DataFrame:
+    """By document the different citations of conditions and grounded risks, the risks, and those grounded of high severity."""
+    every = found.select("document_id", F.col("number").alias("n")).unionByName(checklist.filter("grounded").select("document_id", F.col("citation").alias("n")))
+    cited = every.groupBy("document_id").agg(F.count_distinct("n").alias("citations"))
+    grounded = F.col("grounded")
+    counts = checklist.groupBy("document_id").agg(F.sum(grounded.cast("long")).alias("grounded"), F.sum((grounded & (F.col("severity") == "high")).cast("long")).alias("high"))
+    return counts.join(cited, "document_id", "left").select("document_id", F.coalesce("citations", F.lit(0)).alias("citations"), "grounded", "high")
+
+
+def shown(checklist: DataFrame, limit: int = 3) -> DataFrame:
+    """The first risks of each document."""
+    return checklist.filter(F.col("position") <= limit)
+
+
+def selected_citation(found: DataFrame, selected: DataFrame) -> DataFrame:
+    """The condition that is selected in each document, or else its first (C4). selected: document_id, selected_number."""
+    asked = found.join(selected, "document_id", "left").withColumn("hit", F.coalesce(F.col("number") == F.col("selected_number"), F.lit(False)))
+    best = asked.groupBy("document_id").agg(F.max_by(F.struct("number", "page_number", "quote"), F.struct("hit", -F.col("number"))).alias("b"))
+    return best.select("document_id", "b.*")
 
 
 def category_table(spark: SparkSession) -> DataFrame:
@@ -85,8 +149,16 @@ def localized(checklist: DataFrame, copy: DataFrame) -> DataFrame:
     return checklist.join(F.broadcast(copy), "rule_id", "left").withColumn("title", F.coalesce("local_title", "title")).drop("local_title")
 
 
-def highlighted(body: Column, quote: Column) -> Column:
-    """HTML-escaped text with the quote marked, matched whatever its white space and case; as it is without a match."""
-    tokens = F.filter(F.split(text.html_escaped(quote), text.SPACE + "+"), lambda t: t != "")
-    pattern = F.concat(F.lit("(?iuU)("), F.array_join(F.transform(tokens, text.escaped), r"\s+"), F.lit(")"))
-    return F.when(F.size(tokens) > 0, F.regexp_replace(text.html_escaped(body), pattern, F.lit("<mark>$1</mark>"))).otherwise(text.html_escaped(body))
+def highlighted(body: Column, quote: Column, css: str = rules.HIGHLIGHT_CLASS) -> Column:
+    """HTML-escaped text with the first place of the quote marked, matched whatever its white space and case.
+
+    Without such a place, text that is itself a piece of the quote, of six characters and more, is marked as a whole.
+    """
+    tokens = F.filter(F.split(quote, text.SPACE + "+"), lambda t: t != "")
+    pattern = F.concat(F.lit("(?iuU)"), F.array_join(F.transform(tokens, text.escaped), r"\s+"))
+    hit = F.when(F.size(tokens) > 0, F.regexp_substr(body, pattern))
+    at, piece = F.instr(body, hit), text.collapsed(body)
+    mark = lambda c: F.concat(F.lit(f'<mark class="{css}">'), text.html_escaped(c), F.lit("</mark>"))
+    around = F.concat(text.html_escaped(F.left(body, at - 1)), mark(hit), text.html_escaped(F.substring(body, at + F.length(hit), F.length(body))))
+    inside = (F.size(tokens) > 0) & (F.length(piece) >= rules.LEAST_FRAGMENT) & F.contains(text.collapsed(quote), piece)
+    return F.when(hit.isNotNull(), around).when(inside, mark(body)).otherwise(text.html_escaped(body))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions import text
+from lexweave.functions import rules, text
+from lexweave.operators.retrieval import small
 
 SPLITS = ("train", "validation", "test")
 #: Scorers by name: of (query, passage) columns; a pandas UDF fits, too.
@@ -15,31 +16,53 @@ SCORERS: dict[str, Callable[[Column, Column], Column]] = {"overlap": lambda q, p
 
 
 def facts(scenarios: DataFrame, categories: list[str], templates: DataFrame) -> DataFrame:
-    """One row for each scenario and category: the passage of the scenario's variant of the template, with its value.
+    """One row for each scenario and category: the passage of the scenario's variant of the template, with its value.
 
-    templates: category, variant, passage, question.
+    scenarios: document_id, split, language and a column for each category; templates: language, category, variant
+    (from 0), passage, heading, page_number.  A category without a template in the language gives no row.
     """
-    variants = F.lit(3)
-    long = scenarios.unpivot(["document_id", "split"], categories, "category", "value").filter("value is not null")
-    chosen = long.withColumn("variant", (text.code_point_sum(F.concat(F.col("document_id").cast("string"), "category")) % variants).cast("int"))
-    joined = chosen.join(F.broadcast(templates), ["category", "variant"])
-    return joined.select("document_id", "split", "category", "variant", F.replace("passage", F.lit("{value}"), F.col("value")).alias("passage"), "question")
+    variants = templates.groupBy("language", "category").agg(F.count("*").alias("variants"))
+    long = scenarios.unpivot(["document_id", "split", "language"], categories, "category", "value").filter("value is not null")
+    named = F.concat(F.col("document_id").cast("string"), F.lit(":"), "category")
+    chosen = long.join(small(variants), ["language", "category"]).withColumn("variant", (text.code_point_sum(named) % F.col("variants")).cast("int"))
+    joined = chosen.join(small(templates), ["language", "category", "variant"])
+    return joined.select("document_id", "split", "language", "category", "variant", "heading", "page_number", F.replace("passage", F.lit("{value}"), F.col("value")).alias("passage"))
 
 
-def hard_negatives(rows: DataFrame, limit: int = 3) -> DataFrame:
-    """For each fact the passages of its document's other categories that overlap most, best first."""
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.category") != F.col("b.category")))
+def asked(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """facts() with every question of their category and language (J11). questions: language, category, nth (from 1), question."""
+    return rows.join(small(questions), ["language", "category"])
+
+
+def hard_negatives(rows: DataFrame, limit: int = 3, confusions: dict[str, tuple[str, ...]] = rules.CONFUSIONS) -> DataFrame:
+    """For each question of asked() the passages of its document's other facts: easily confused categories first, then by overlap."""
+    others = rows.filter("nth = 1")
+    pairs = rows.alias("a").join(others.alias("b"), (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.category") != F.col("b.category")))
     score = F.round(SCORERS["overlap"](F.col("a.question"), F.col("b.passage")), 6)
-    scored = pairs.select("a.document_id", "a.category", F.col("b.category").alias("negative_category"), F.col("b.passage").alias("negative"), score.alias("score"))
-    order = Window.partitionBy("document_id", "category").orderBy(F.desc("score"), F.desc("negative_category"))
+    known = F.create_map(*(x for c, ones in confusions.items() for x in (F.lit(c), F.array(*map(F.lit, ones)))))
+    preferred = F.coalesce(F.array_contains(F.try_element_at(known, F.col("a.category")), F.col("b.category")), F.lit(False))
+    scored = pairs.select("a.document_id", "a.category", "a.nth", F.col("b.category").alias("negative_category"), F.col("b.passage").alias("negative"), preferred.alias("preferred"), score.alias("score"))
+    order = Window.partitionBy("document_id", "category", "nth").orderBy(F.desc("preferred"), F.desc("score"), F.desc("negative_category"))
     return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
 def examples(rows: DataFrame, negatives: DataFrame) -> DataFrame:
-    """id, document_id, split, query, positive, negatives array<string>, in order."""
-    packed = negatives.groupBy("document_id", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "negative"))), lambda n: n["negative"]).alias("negatives"))
-    ident = F.concat_ws("-", F.col("document_id").cast("string"), "category")
-    return rows.join(packed, ["document_id", "category"]).select(ident.alias("id"), "document_id", "split", F.col("question").alias("query"), F.col("passage").alias("positive"), "negatives")
+    """id, document_id, split, language, query, positive, negatives, category, source_page, negative_categories; negatives in order."""
+    by = ["document_id", "category", "nth"]
+    packed = negatives.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", "negative", "negative_category"))).alias("n"))
+    ident = F.concat(F.col("document_id").cast("string"), F.lit("-"), "category", F.lit("-q"), F.col("nth").cast("string"))
+    return rows.join(packed, by).select(
+        ident.alias("id"),
+        "document_id",
+        "split",
+        "language",
+        F.col("question").alias("query"),
+        F.col("passage").alias("positive"),
+        F.transform("n", lambda n: n["negative"]).alias("negatives"),
+        "category",
+        F.col("page_number").alias("source_page"),
+        F.transform("n", lambda n: n["negative_category"]).alias("negative_categories"),
+    )
 
 
 def pairs(rows: DataFrame) -> DataFrame:
@@ -50,18 +73,42 @@ def pairs(rows: DataFrame) -> DataFrame:
 
 
 def invalid(rows: DataFrame) -> DataFrame:
-    """Examples that break a rule: fewer than two negatives, equal negatives, or the positive among them."""
+    """Examples that break a rule: under two negatives, equal ones, the positive among them, categories that don't fit them."""
     norm = F.transform("negatives", text.collapsed)
     bad = (F.size("negatives") < 2) | (F.size(F.array_distinct(norm)) < F.size(norm)) | F.array_contains(norm, text.collapsed("positive"))
+    if "negative_categories" in rows.columns:
+        n = F.coalesce(F.size("negative_categories"), F.lit(0))
+        bad = bad | ((n > 0) & (n != F.size("negatives")))
     return rows.filter(bad).select("id")
 
 
+def selected(rows: DataFrame, split: str) -> DataFrame:
+    """The examples of a split."""
+    return rows.filter(F.col("split") == split)
+
+
+def duplicate_ids(rows: DataFrame) -> DataFrame:
+    """Ids of several examples (A4)."""
+    return rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def missing_splits(rows: DataFrame) -> DataFrame:
+    """Splits without an example."""
+    every = rows.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
+    return every.join(rows.select("split"), "split", "left_anti")
+
+
 def dataset_summary(rows: DataFrame) -> DataFrame:
     """Examples by split (0 where there are none), documents and pairs (A3)."""
     by_split = [F.sum((F.col("split") == s).cast("long")).alias(s) for s in SPLITS]
     return rows.agg(F.count("*").alias("examples"), F.count_distinct("document_id").alias("documents"), F.sum(1 + F.size("negatives")).alias("pairs"), *by_split)
 
 
+def language_summary(rows: DataFrame) -> DataFrame:
+    """Examples by language (A3)."""
+    return rows.groupBy("language").agg(F.count("*").alias("examples"))
+
+
 def leaks(rows: DataFrame) -> DataFrame:
     """Documents in several splits (A4)."""
     return rows.groupBy("document_id").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")

@@ -2,6 +2,8 @@
 
 Lexical and dense searches run for all queries at once; ranks are taken by query after filtering, so the plan
 has a partial top-k before each shuffle.  Query tables are checked to be small before they are broadcast.
+within names columns of the chunks that bound a search, such as document_id: each query is then answered for each
+document on its own (Q6, Q7, F4-F6, T1).
 """
 
 from __future__ import annotations
@@ -29,12 +31,15 @@ def token_counts(chunks: DataFrame, ident: str = "chunk_id", body: str = "text")
     return chunks.select(ident, F.explode(tokens).alias("token")).groupBy(ident, "token").agg(F.count("*").alias("tf"))
 
 
-def lexical(queries: DataFrame, chunks: DataFrame, k: int = rules.LEXICAL_K) -> DataFrame:
-    """query_id, chunk_id, lexical_score, lexical_rank: chunks with any of the query's tokens, by a tenth of their occurrences."""
+def lexical(queries: DataFrame, chunks: DataFrame, k: int = rules.LEXICAL_K, within: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, chunk_id, lexical_score, lexical_rank: chunks with any of the query's tokens, by a tenth of their occurrences.
+
+    A query without tokens finds nothing (F6); a null text has no tokens (C11).
+    """
     asked = small(queries.select("query_id", F.explode(text.lexical_tokens("query")).alias("token")))
-    tokens = chunks.select("chunk_id", F.explode(F.transform(text.words(F.coalesce("text", F.lit(""))), text.casefold)).alias("token"))
-    scored = tokens.join(asked, "token").groupBy("query_id", "chunk_id").agg((F.count("*") * F.lit(0.1)).alias("lexical_score"))
-    return top(scored, ["query_id"], [F.desc("lexical_score"), F.col("chunk_id")], k, "lexical_rank")
+    tokens = chunks.select(*within, "chunk_id", F.explode(F.transform(text.words(F.coalesce("text", F.lit(""))), text.casefold)).alias("token"))
+    scored = tokens.join(asked, "token").groupBy(*within, "query_id", "chunk_id").agg((F.count("*") * F.lit(0.1)).alias("lexical_score"))
+    return top(scored, [*within, "query_id"], [F.desc("lexical_score"), F.col("chunk_id")], k, "lexical_rank")
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -45,7 +50,7 @@ def with_norm(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn("norm", F.sqrt(dot(F.col(column), F.col(column))))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = rules.DENSE_K) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int = rules.DENSE_K, within: tuple[str, ...] = ()) -> DataFrame:
     """query_id, chunk_id, semantic_score, dense_rank: cosine similarity of queries(query_id, vector) to vectors(chunk_id, embedding).
 
     A stated set of queries against all rows: queries are broadcast in a bounded block.
@@ -54,38 +59,45 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = rules.DENSE_K) -> Dat
         raise ValueError("ask in blocks of MAX_BROADCAST_QUERIES")
     asked = F.broadcast(with_norm(queries, "vector").withColumnRenamed("norm", "query_norm"))
     scale = F.nullif(F.col("norm") * F.col("query_norm"), F.lit(0.0))
-    rows = with_norm(vectors.filter("embedding is not null")).join(asked, F.lit(True)).select("query_id", "chunk_id", (dot("embedding", "vector") / scale).alias("semantic_score"))
-    return top(rows.filter("semantic_score is not null"), ["query_id"], [F.desc("semantic_score"), F.col("chunk_id")], k, "dense_rank")
+    rows = with_norm(vectors.filter("embedding is not null")).join(asked, F.lit(True)).select(*within, "query_id", "chunk_id", (dot("embedding", "vector") / scale).alias("semantic_score"))
+    return top(rows.filter("semantic_score is not null"), [*within, "query_id"], [F.desc("semantic_score"), F.col("chunk_id")], k, "dense_rank")
 
 
-def fused(dense_hits: DataFrame, lexical_hits: DataFrame, rrf_k: int = rules.RRF_K) -> DataFrame:
+def fused(dense_hits: DataFrame, lexical_hits: DataFrame, rrf_k: int = rules.RRF_K, within: tuple[str, ...] = ()) -> DataFrame:
     """Both lists by chunk, with the sum of 1 / (k + rank)."""
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(rrf_k) + F.col(c)), F.lit(0.0))
-    return dense_hits.join(lexical_hits, ["query_id", "chunk_id"], "full_outer").withColumn("rrf_score", part("dense_rank") + part("lexical_rank"))
+    return dense_hits.join(lexical_hits, [*within, "query_id", "chunk_id"], "full_outer").withColumn("rrf_score", part("dense_rank") + part("lexical_rank"))
 
 
-def ranked(hits: DataFrame, limit: int = rules.FINAL_K, intent: Column | None = None) -> DataFrame:
-    """Final order: intent, fused score, then first appearance (dense list, then lexical)."""
+def ranked(hits: DataFrame, limit: int = rules.FINAL_K, intent: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Final order: intent, fused score, then first appearance (dense list, then lexical) (O4); a limit of 0 is the default."""
     order = [F.desc("intent"), F.desc("rrf_score"), F.coalesce("dense_rank", F.lit(1 << 30)), F.col("lexical_rank")]
-    return top(hits.withColumn("intent", F.lit(0) if intent is None else intent), ["query_id"], order, limit or rules.FINAL_K, "rank")
+    return top(hits.withColumn("intent", F.lit(0) if intent is None else intent), [*within, "query_id"], order, limit or rules.FINAL_K, "rank")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, limit: int = rules.FINAL_K) -> DataFrame:
-    """queries(query_id, query, vector) over chunks(chunk_id, text, embedding): mode, rank and scores of the best chunks.
+def hybrid(queries: DataFrame, chunks: DataFrame, limit: int = rules.FINAL_K, within: tuple[str, ...] = ()) -> DataFrame:
+    """queries(query_id, query, vector) over chunks(within, chunk_id, text, embedding): mode, rank and scores of the best chunks.
 
     Where no chunk has an embedding the lexical list stands alone (mode lexical).
     """
-    hits = fused(dense(queries.select("query_id", "vector").filter("vector is not null"), chunks.select("chunk_id", "embedding")), lexical(queries, chunks))
-    modes = hits.groupBy("query_id").agg(F.when(F.bool_or(F.col("dense_rank").isNotNull()), "hybrid").otherwise("lexical").alias("mode"))
-    texts = hits.join(chunks.select("chunk_id", "text"), "chunk_id").join(small(queries.select("query_id", "query")), "query_id")
-    best = ranked(texts, limit, text.intent_score("query", "text"))
-    return best.join(modes, "query_id").select("query_id", "mode", "rank", "chunk_id", "rrf_score", "semantic_score", "lexical_score", "intent")
+    near = dense(queries.select("query_id", "vector").filter("vector is not null"), chunks.select(*within, "chunk_id", "embedding"), within=within)
+    hits = fused(near, lexical(queries, chunks, within=within), within=within)
+    by = [*within, "query_id"]
+    modes = hits.groupBy(*by).agg(F.when(F.bool_or(F.col("dense_rank").isNotNull()), "hybrid").otherwise("lexical").alias("mode"))
+    texts = hits.join(chunks.select(*within, "chunk_id", "text"), [*within, "chunk_id"]).join(small(queries.select("query_id", "query")), "query_id")
+    best = ranked(texts, limit, text.intent_score("query", "text"), within)
+    return best.join(modes, by).select(*by, "mode", "rank", "chunk_id", "rrf_score", "semantic_score", "lexical_score", "intent")
 
 
 def missing(vectors: DataFrame) -> DataFrame:
-    """Chunks that still need an embedding, in work order."""
+    """Chunks that still need an embedding."""
     return vectors.filter("embedding is null")
 
 
+def work_order(chunks: DataFrame, document_id: int) -> DataFrame:
+    """The chunks of one document that still need an embedding, by page and place on it."""
+    return missing(chunks.filter(F.col("document_id") == document_id)).orderBy("page_number", "chunk_index", "chunk_id")
+
+
 def wrong_dimension(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") != size))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
-from lexweave.operators import analysis, chunking, library, metrics, qa, rerank, retrieval
+from lexweave.operators import analysis, chunking, library, metrics, qa, rerank, retrieval, service
 from lexweave.session import spread, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +152,18 @@ def upload_validation_classify(spark, sf):
     return library.ingested(rows, library.upload_error(F.col("name"), F.col("kind"), F.col("size"), F.col("head")))
 
 
+@query("doc_id bigint, filename string, size_bytes bigint, status string, short_id string, created_on string, message string", f"""SELECT doc_id, filename, size_bytes, status, 'ID ' || upper(left(sha256, 8)) AS short_id, strftime(make_timestamp(created_at * 1000000), '%d/%m/%Y') AS created_on,
+  CASE WHEN status <> 'ready' THEN '{service.MESSAGES["document_not_ready"][0]}' END AS message FROM ({LIBRARY})""")
+def document_responses(spark, sf):
+    return service.document_responses(lib(spark, sf)).withColumn("message", service.message(library.guard(F.col("status"))))
+
+
+@query("doc_id bigint, before bigint, after bigint, may_ask boolean", "SELECT doc_id, greatest(1, doc_id % 12 - 1) AS before, least(CASE WHEN doc_id % 3 > 0 THEN 10 ELSE doc_id % 12 + 1 END, doc_id % 12 + 1) AS after, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 2 AS may_ask FROM documents")
+def page_steps(spark, sf):
+    page, count = F.col("doc_id") % 12, F.when(F.col("doc_id") % 3 > 0, F.lit(10))
+    return table(spark, sf, "documents").select("doc_id", service.page_before(page).alias("before"), service.page_after(page, count).alias("after"), service.may_ask("text").alias("may_ask"))
+
+
 @query("doc_id bigint, digest string", f"SELECT doc_id, sha256({NORMAL.format('text')}) AS digest FROM documents")
 def normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.normalized("text").cast("binary"), 256).alias("digest"))
@@ -220,6 +232,18 @@ def chunk_stats(spark, sf):
     return chunks.agg(F.count("*").alias("chunks"), F.count_distinct("document_id", "page_number").alias("pages"), F.max(F.col("end_char") - F.col("start_char")).alias("longest"))
 
 
+@query("document_id bigint, page_number bigint, chunk_index bigint, char_count bigint", f"SELECT c.document_id, c.page_number, c.chunk_index, length(p.text) AS char_count FROM ({chunk_sql(400, 50)}) c JOIN ({PAGES}) p ON p.document_id = c.document_id AND p.page_number = c.page_number")
+def chunk_page_join(spark, sf):
+    p = pages(spark, sf)
+    return chunking.with_pages(chunking.chunked(p, 400, 50), p)
+
+
+@query("document_id bigint, page_number bigint, chunk_index bigint", f"SELECT document_id, page_number, chunk_index FROM ({chunk_sql(400, 50)}) WHERE page_number % 7 = 0")
+def orphan_chunks(spark, sf):
+    p = pages(spark, sf)
+    return chunking.chunked(p, 400, 50).join(p.filter("page_number % 7 <> 0"), ["document_id", "page_number"], "left_anti")
+
+
 # ---- tokens and retrieval -------------------------------------------------------------------------------
 
 ASKED = [(1, "What is that with the others"), (2, "from this tion"), (3, "Какой thht ciónes y queux"), (4, "is the a"), (5, "eine der und keit")]
@@ -258,6 +282,12 @@ def lexical_search_batch(spark, sf):
     return found.withColumn("lexical_score", F.round("lexical_score", 6))
 
 
+@query("chunk_id bigint, lexical_score double, lexical_rank bigint", f"SELECT chunk_id, round(lexical_score, 6) AS lexical_score, lexical_rank FROM ({LEXICAL}) WHERE query_id = 2")
+def lexical_search_topk(spark, sf):
+    found = retrieval.lexical(literal(spark, ASKED[1:2], "query_id long, query string"), doc_chunks(spark, sf))
+    return found.withColumn("lexical_score", F.round("lexical_score", 6))
+
+
 COSINE = "SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.label = q.label AS relevant, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 100 = 0"
 DENSE = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS dense_rank FROM ({COSINE}) QUALIFY dense_rank <= 20"
 
@@ -308,6 +338,26 @@ def hybrid_search(spark, sf):
     return found.withColumns({c: F.round(c, 6) for c in ("rrf_score", "semantic_score", "lexical_score")})
 
 
+@query("label bigint, query_id bigint, chunk_id bigint, semantic_score double, dense_rank bigint", f"SELECT label, query_id, chunk_id, round(s, 6) AS semantic_score, dense_rank FROM (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY s DESC, chunk_id) AS dense_rank FROM (SELECT c.*, e.label FROM ({COSINE}) c JOIN embeddings e ON e.vec_id = c.chunk_id) QUALIFY dense_rank <= 3)")
+def dense_search_within(spark, sf):
+    found = retrieval.dense(vector_queries(spark, sf).drop("query_label"), vectors(spark, sf), 3, ("label",))
+    return found.withColumn("semantic_score", F.round("semantic_score", 6))
+
+
+@query("query_id bigint, chunk_id bigint, rrf_score double", f"""SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.chunk_id, l.chunk_id) AS chunk_id, round(coalesce(1.0 / (60 + d.dense_rank), 0) + coalesce(1.0 / (60 + l.lexical_rank), 0), 6) AS rrf_score
+  FROM ({DENSE}) d FULL OUTER JOIN ({LEXICAL}) l ON d.query_id = l.query_id AND d.chunk_id = l.chunk_id""")
+def rrf_fusion(spark, sf):
+    near = retrieval.dense(vector_queries(spark, sf).drop("query_label"), vectors(spark, sf).drop("label"))
+    return retrieval.fused(near, retrieval.lexical(literal(spark, ASKED, "query_id long, query string"), doc_chunks(spark, sf))).withColumn("rrf_score", F.round("rrf_score", 6))
+
+
+@query("query_id bigint, mode string, rank bigint, chunk_id bigint, rrf_score double", f"SELECT query_id, 'lexical' AS mode, lexical_rank AS rank, chunk_id, round(1.0 / (60 + lexical_rank), 6) AS rrf_score FROM ({LEXICAL}) WHERE lexical_rank <= 5")
+def hybrid_fallback_lexical(spark, sf):
+    asked = literal(spark, [(i, q, [1.0] * 64) for i, q in ASKED], "query_id long, query string, vector array<float>")
+    found = retrieval.hybrid(asked, doc_chunks(spark, sf).withColumn("embedding", F.lit(None).cast("array<float>")))
+    return found.withColumn("rrf_score", F.round("rrf_score", 6))
+
+
 INTENT_CASES = [
     (1, "What is the maximum contract value?", "Maximum contract value: 1 200 000 USD"), (2, "What is the maximum contract value?", "The value is explained below."), (3, "When is the proposal deadline?", "Proposal deadline: 5 May 2026"),
     (4, "Какая начальная цена?", "Начальная максимальная цена 500 руб"), (5, "Когда прием заявок", "Прием заявок до 10:30"), (6, "Срок и оплата по контракту", "nothing"),
@@ -327,15 +377,15 @@ SEGMENTS = f"""SELECT document_id, page_number, k - 1 AS segment, trim(piece) AS
   SELECT document_id, page_number, k, l[k] AS piece, coalesce(list_sum(list_transform(l[1 : k - 1], lambda x: length(x))), 0) AS pos FROM (SELECT document_id, page_number, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT document_id, page_number, {SPLIT.format('text')} AS l FROM ({CLAUSES})))) WHERE trim(piece) <> ''"""
 
 
-def condition_sql() -> str:
+def condition_sql(source: str = "m", seen: str = "page_number, lo", start: str = "lo", end: str = "hi") -> str:
     parts = []
     for k, (name, _, keyword, value, required) in enumerate(rules.CONDITIONS):
         hits, valued = f"len(regexp_extract_all(quote, {rules.re2(keyword)}))", f"regexp_matches(quote, {rules.re2(value)})" if value else "false"
         parts.append(f"SELECT *, {k} AS ord, '{name}' AS category, least(0.99, 0.55 + 0.08 * {hits} + CASE WHEN {valued} THEN 0.2 ELSE 0 END) AS score FROM s WHERE {hits} > 0" + f" AND {valued}" * required)
     return f"""WITH s AS ({SEGMENTS}), m AS ({" UNION ALL ".join(parts)}),
-    f AS (SELECT *, row_number() OVER (PARTITION BY document_id, ord, {COLLAPSED.format('quote')} ORDER BY page_number, lo) AS nth FROM m QUALIFY nth = 1),
-    r AS (SELECT *, row_number() OVER (PARTITION BY document_id, ord ORDER BY round(score, 9) DESC, page_number, lo) AS place FROM f QUALIFY place <= {rules.MAX_ITEMS})
-    SELECT document_id, category, ord, place, row_number() OVER (PARTITION BY document_id ORDER BY ord, place) AS number, page_number, lo AS start_char, hi AS end_char, quote, round(score, 6) AS score FROM r"""
+    f AS (SELECT *, row_number() OVER (PARTITION BY document_id, ord, {COLLAPSED.format('quote')} ORDER BY {seen}) AS nth FROM {source} QUALIFY nth = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY document_id, ord ORDER BY round(score, 9) DESC, page_number, lo, {seen}) AS place FROM f QUALIFY place <= {rules.MAX_ITEMS})
+    SELECT document_id, category, ord, place, row_number() OVER (PARTITION BY document_id ORDER BY ord, place) AS number, page_number, {start} AS start_char, {end} AS end_char, quote, round(score, 6) AS score FROM r"""
 
 
 CONDITIONS = condition_sql()
@@ -351,6 +401,61 @@ def conditions_all_numbered(spark, sf):
     return analysis.conditions(clauses(spark, sf))
 
 
+def one_category(name: str) -> None:
+    """conditions_<category>: the conditions of that category alone."""
+
+    def plan(spark, sf):
+        return analysis.conditions(clauses(spark, sf)).filter(F.col("category") == name)
+
+    plan.__name__ = f"conditions_{name}"
+    query("document_id bigint, place bigint, page_number bigint, start_char bigint, end_char bigint, quote string, score double", f"SELECT * FROM ({CONDITIONS}) WHERE category = '{name}'")(plan)
+
+
+for _name in analysis.CATEGORIES:
+    one_category(_name)
+
+#: Each query of a category is answered for each document by its best two pages, which are the chunks here.
+CATEGORY_QUERIES = [(10 * k + n, k, c[0], n, q) for k, c in enumerate(rules.CONDITIONS) for n, q in enumerate(c[1])]
+FOUND = f"""SELECT document_id, query_id, page_number, row_number() OVER (PARTITION BY document_id, query_id ORDER BY n DESC, page_number) AS rank FROM (SELECT t.document_id, q.query_id, t.page_number, count(*) AS n
+  FROM (SELECT document_id, page_number, lower(unnest(regexp_extract_all(text, '{rules.TOKEN}'))) AS token FROM ({CLAUSES})) t
+  JOIN (SELECT DISTINCT query_id, unnest({LEX_TOKENS.format('query')}) AS token FROM {values(CATEGORY_QUERIES, 'query_id, ord, category, query_ord, query')}) q ON q.token = t.token GROUP BY 1, 2, 3) QUALIFY rank <= 2"""
+HITS = f"""SELECT f.document_id, q.ord AS wanted, f.page_number AS page, min(q.query_ord * 100 + f.rank) AS hit FROM ({FOUND}) f JOIN (SELECT * FROM {values(CATEGORY_QUERIES, 'query_id, ord, category, query_ord, query')}) q ON q.query_id = f.query_id GROUP BY 1, 2, 3"""
+
+
+def searched_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    chunks = clauses(spark, sf).withColumns({"chunk_id": F.col("page_number"), "embedding": F.lit(None).cast("array<float>")})
+    asked = analysis.category_queries(spark).withColumn("vector", F.lit(None).cast("array<float>"))
+    return chunks, retrieval.hybrid(asked, chunks, 2, ("document_id",))
+
+
+@query("document_id bigint, query_id bigint, mode string, rank bigint, chunk_id bigint", f"SELECT document_id, query_id, 'lexical' AS mode, rank, page_number AS chunk_id FROM ({FOUND})")
+def search_within_documents(spark, sf):
+    return searched_pages(spark, sf)[1]
+
+
+@query("document_id bigint, modes string", f"SELECT DISTINCT document_id, 'lexical' AS modes FROM ({FOUND})")
+def retrieval_modes(spark, sf):
+    return analysis.retrieval_modes(searched_pages(spark, sf)[1])
+
+
+@query("document_id bigint, category string, place bigint, number bigint, chunk_id bigint, page_number bigint, start_char bigint, end_char bigint, quote string, score double", condition_sql(
+    f"(SELECT m.*, h.hit FROM m JOIN ({HITS}) h ON h.document_id = m.document_id AND h.wanted = m.ord AND h.page = m.page_number)", "hit, lo", "page_number AS chunk_id, 100 + lo", "100 + hi"))
+def conditions_from_search(spark, sf):
+    chunks, found = searched_pages(spark, sf)
+    hits = analysis.category_hits(found, analysis.category_queries(spark))
+    return analysis.conditions_of_hits(hits.join(chunks.select("document_id", "chunk_id", "page_number", F.lit(100).alias("start_char"), "text"), ["document_id", "chunk_id"]))
+
+
+@query("document_id bigint, category string, numbers string", f"SELECT document_id, category, string_agg(number, ',' ORDER BY number) AS numbers FROM ({CONDITIONS}) GROUP BY ALL")
+def conditions_by_category(spark, sf):
+    return analysis.by_category(analysis.conditions(clauses(spark, sf)))
+
+
+@query("document_id bigint, number bigint, page_number bigint, quote string", f"SELECT document_id, number, page_number, quote FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN number = document_id % 4 THEN 0 ELSE 1 END, number) AS k FROM ({CONDITIONS})) WHERE k = 1")
+def selected_citation(spark, sf):
+    return analysis.selected_citation(analysis.conditions(clauses(spark, sf)), tenders(spark, sf).withColumn("selected_number", F.col("document_id") % 4))
+
+
 def listed_categories(inside: bool) -> str:
     return f"coalesce((SELECT string_agg(c, ',' ORDER BY o) FROM {values(list(enumerate(analysis.CATEGORIES)), 'o, c')} WHERE {'' if inside else 'NOT '}coalesce(list_contains(have, c), false)), '')"
 
@@ -373,6 +478,18 @@ def risk_checklist(spark, sf):
     return analysis.risks(tenders(spark, sf), analysis.conditions(clauses(spark, sf)))
 
 
+@query("document_id bigint, citations bigint, grounded bigint, high bigint", f"""SELECT r.document_id, coalesce(any_value(c.n), 0) AS citations, sum(CAST(r.grounded AS INT)) AS grounded, sum(CAST(r.grounded AND r.severity = 'high' AS INT)) AS high
+  FROM ({RISK_SQL}) r LEFT JOIN (SELECT document_id, count(DISTINCT number) AS n FROM ({CONDITIONS}) GROUP BY 1) c ON c.document_id = r.document_id GROUP BY 1""")
+def citation_counts(spark, sf):
+    found = analysis.conditions(clauses(spark, sf))
+    return analysis.cited_chunks(found, analysis.risks(tenders(spark, sf), found))
+
+
+@query("document_id bigint, position bigint, rule_id string", f"SELECT document_id, position, rule_id FROM ({RISK_SQL}) WHERE position <= 3")
+def risk_preview(spark, sf):
+    return analysis.shown(risk_checklist(spark, sf))
+
+
 LOCAL = [("deadline_compliance", "Соблюдение срока"), ("missing_budget", "Бюджет не найден")]
 
 
@@ -381,6 +498,11 @@ def risk_localized(spark, sf):
     return analysis.localized(risk_checklist(spark, sf), literal(spark, LOCAL, "rule_id string, local_title string"))
 
 
+@query("document_id bigint, page_number bigint, segment bigint, quote string", f"SELECT document_id, page_number, k - 1 AS segment, trim(l[k]) AS quote FROM (SELECT document_id, page_number, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT document_id, page_number, {SPLIT.format('trim(text)')} AS l FROM ({CLAUSES})))")
+def segments_qa(spark, sf):
+    return clauses(spark, sf).select("document_id", "page_number", F.posexplode(text.qa_segments("text")).alias("segment", "quote"))
+
+
 # ---- questions ------------------------------------------------------------------------------------------
 
 QUESTIONS = [(1, "What is the penalty for delay?"), (2, "Which payment terms apply?"), (3, "Is a policy number given for insurance?"), (4, "What percentage may a subcontract cover?"), (5, "What does the annex list?"), (6, "How long is the warranty?"), (7, "zebra xylophone")]
@@ -394,6 +516,11 @@ def asked_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return qa.evidence(clauses(spark, sf), ["document_id"], ["page_number"])
 
 
+@query("document_id bigint, evidence_id string, page_number bigint", f"SELECT document_id, 'C' || page_number AS evidence_id, page_number FROM ({CLAUSES})")
+def evidence_numbering(spark, sf):
+    return asked_evidence(spark, sf)
+
+
 def answer_sql() -> str:
     chain = lambda column, which: "CASE " + " ".join(f"WHEN regexp_matches({column}, {rules.re2(q[which])}) THEN '{q[0]}'" for q in rules.QUESTIONS) + " END"
     match = "CASE category " + " ".join(f"WHEN '{n}' THEN CAST(regexp_matches(quote, {rules.re2(e)}) AS INT)" for n, _, e in rules.QUESTIONS) + " ELSE 0 END"
@@ -456,47 +583,65 @@ def llm_output_extract(spark, sf):
 
 # ---- reranking ------------------------------------------------------------------------------------------
 
-TEMPLATES = [(c, v, p, q) for c, q, ps in (
-    ("deadline", "When must the offer arrive?", ("Offers must arrive by {value}.", "The last day for an offer is {value}.", "No offer is taken after {value}.")),
-    ("budget", "How much may the offer cost?", ("The offer may cost {value} USD.", "At most {value} USD are paid.", "The ceiling of an offer is {value} USD.")),
-    ("priority", "How urgent is the order?", ("The order has priority {value}.", "Urgency is {value}.", "It is handled as {value}.")),
-    ("state", "What state is the order in?", ("The order is in state {value}.", "State of the order: {value}.", "Its state is {value}.")),
-) for v, p in enumerate(ps)]
-SCENARIOS = """SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 10 = 0 THEN 'test' WHEN o_orderkey % 10 = 1 THEN 'validation' ELSE 'train' END AS split, CAST(CAST(o_orderdate AS DATE) AS STRING) AS deadline,
-  CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS budget, o_orderpriority AS priority, o_orderstatus AS state FROM orders"""
-KINDS = ["deadline", "budget", "priority", "state"]
-FACTS = f"""SELECT s.document_id, s.split, s.category, t.variant, replace(t.passage, '{{value}}', s.value) AS passage, t.question
-  FROM (SELECT *, list_sum(list_transform(str_split(CAST(document_id AS VARCHAR) || category, ''), lambda x: unicode(x))) % 3 AS v FROM (UNPIVOT ({SCENARIOS}) ON deadline, budget, priority, state INTO NAME category VALUE value)) s
-  JOIN {values(TEMPLATES, 'category, variant, passage, question')} ON t.category = s.category AND t.variant = s.v"""
+#: By category and language: heading, and the subject that the sentences speak of.
+SUBJECTS = [
+    ("deadline", "Dates", "submission deadline"), ("budget", "Price", "maximum contract value"), ("delivery", "Delivery", "delivery period"), ("payment", "Settlement", "payment term"),
+    ("bid_security", "Securities", "security of the bid"), ("performance_security", "Securities", "security of the performance"), ("penalty", "Delay", "penalty for a day of delay"), ("warranty", "Warranty", "warranty period"),
+]
+PASSAGES = {"en": ("The {subject} is {value}.", "{value} holds as the {subject} of this contract.", "Bidders accept {value} for the {subject}."), "de": ("Hier gilt: {subject} {value}.", "{value} ist vereinbart ({subject}).")}
+ASKS = {"en": ("What is the {subject}?", "Which {subject} applies to the contract?", "How is the {subject} set?"), "de": ("Was gilt ({subject})?", "Welche Angabe steht zu {subject}?")}
+TEMPLATES = [(lang, c, v, p.replace("{subject}", s), h, k // 3 + 1) for lang, ps in PASSAGES.items() for k, (c, h, s) in enumerate(SUBJECTS) for v, p in enumerate(ps)]
+FACT_QUESTIONS = [(lang, c, n, q.replace("{subject}", s)) for lang, qs in ASKS.items() for c, _, s in SUBJECTS for n, q in enumerate(qs, 1)]
+SCENARIOS = """SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 10 = 0 THEN 'test' WHEN o_orderkey % 10 = 1 THEN 'validation' ELSE 'train' END AS split, CASE WHEN o_orderkey % 3 = 0 THEN 'de' ELSE 'en' END AS language,
+  CAST(CAST(o_orderdate AS DATE) AS STRING) AS deadline, concat(CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), ' USD') AS budget, concat(CAST(o_orderkey % 60 + 20 AS STRING), ' calendar days') AS delivery,
+  concat(CAST(o_orderkey % 30 + 10 AS STRING), ' days') AS payment, concat(CAST(o_orderkey % 5 + 1 AS STRING), '%') AS bid_security, concat(CAST(o_orderkey % 10 + 5 AS STRING), '%') AS performance_security,
+  concat('0.', CAST(o_orderkey % 9 + 1 AS STRING), '%') AS penalty, concat(CAST(o_orderkey % 24 + 12 AS STRING), ' months') AS warranty FROM orders"""
+KINDS = list(rules.FACT_KINDS)
+FACTS = f"""SELECT s.document_id, s.split, s.language, s.category, t.variant, t.heading, t.page_number, replace(t.passage, '{{value}}', s.value) AS passage
+  FROM (SELECT *, list_sum(list_transform(str_split(CAST(document_id AS VARCHAR) || ':' || category, ''), lambda x: unicode(x))) % CASE language {" ".join(f"WHEN '{k}' THEN {len(v)}" for k, v in PASSAGES.items())} END AS v
+    FROM (UNPIVOT ({SCENARIOS}) ON {", ".join(KINDS)} INTO NAME category VALUE value)) s
+  JOIN {values(TEMPLATES, 'language, category, variant, passage, heading, page_number')} ON t.language = s.language AND t.category = s.category AND t.variant = s.v"""
 OCHIAI = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / sqrt(CAST(len({a}) * len({b}) AS DOUBLE)) ELSE 0.0 END"
-NEGATIVES = f"""SELECT *, row_number() OVER (PARTITION BY document_id, category ORDER BY score DESC, negative_category DESC) AS place FROM (SELECT a.document_id, a.category, b.category AS negative_category, b.passage AS negative,
-  round({OCHIAI.format(a='a.qt', b='b.pt')}, 6) AS score FROM f a JOIN f b ON a.document_id = b.document_id AND a.category <> b.category) QUALIFY place <= 3"""
-WITH_FACTS = f"WITH f AS (SELECT *, {RERANK_TOKENS.format('question')} AS qt, {RERANK_TOKENS.format('passage')} AS pt FROM ({FACTS}))"
+CONFUSED = " OR ".join(f"(a.category = '{c}' AND b.category IN ({', '.join(repr(o) for o in ones)}))" for c, ones in rules.CONFUSIONS.items())
+NEGATIVES = f"""SELECT *, row_number() OVER (PARTITION BY document_id, category, nth ORDER BY preferred DESC, score DESC, negative_category DESC) AS place FROM (SELECT a.document_id, a.category, a.nth, b.category AS negative_category, b.passage AS negative,
+  {CONFUSED} AS preferred, b.pt AS npt, round({OCHIAI.format(a='a.qt', b='b.pt')}, 6) AS score FROM f a JOIN f b ON a.document_id = b.document_id AND a.category <> b.category AND b.nth = 1) QUALIFY place <= 3"""
+WITH_FACTS = f"WITH f AS (SELECT *, {RERANK_TOKENS.format('question')} AS qt, {RERANK_TOKENS.format('passage')} AS pt FROM (SELECT f.*, t.nth, t.question FROM ({FACTS}) f JOIN {values(FACT_QUESTIONS, 'language, category, nth, question')} ON t.language = f.language AND t.category = f.category))"
 
 
 def fact_rows(spark: SparkSession, sf: str) -> DataFrame:
     scenarios = spark.sql(SCENARIOS.replace("FROM orders", "FROM {orders}"), orders=spread(table(spark, sf, "orders")))
-    return rerank.facts(scenarios, KINDS, literal(spark, TEMPLATES, "category string, variant int, passage string, question string"))
+    return rerank.facts(scenarios, KINDS, literal(spark, TEMPLATES, "language string, category string, variant int, passage string, heading string, page_number int"))
+
+
+def asked_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return rerank.asked(fact_rows(spark, sf), literal(spark, FACT_QUESTIONS, "language string, category string, nth int, question string"))
 
 
 def example_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fact_rows(spark, sf)
+    rows = asked_rows(spark, sf)
     return rerank.examples(rows, rerank.hard_negatives(rows))
 
 
-@query("document_id bigint, split string, category string, variant bigint, passage string, question string", FACTS)
+@query("document_id bigint, split string, language string, category string, variant bigint, heading string, page_number bigint, passage string", FACTS)
 def rerank_corpus_facts(spark, sf):
     return fact_rows(spark, sf)
 
 
-@query("document_id bigint, category string, negative_category string, negative string, score double, place bigint", f"{WITH_FACTS} {NEGATIVES}")
+@query("document_id bigint, category string, nth bigint, negative_category string, negative string, preferred boolean, score double, place bigint", f"{WITH_FACTS} {NEGATIVES}")
 def hard_negatives(spark, sf):
-    return rerank.hard_negatives(fact_rows(spark, sf))
+    return rerank.hard_negatives(asked_rows(spark, sf))
 
 
+ID = "CAST(f.document_id AS VARCHAR) || '-' || f.category || '-q' || f.nth"
 PAIRS = f"""{WITH_FACTS}, n AS ({NEGATIVES}),
-  p AS (SELECT CAST(document_id AS VARCHAR) || '-' || category AS id, split, question AS query, qt, 0 AS position, passage, pt, 1.0 AS label FROM f
-    UNION ALL SELECT CAST(f.document_id AS VARCHAR) || '-' || f.category, f.split, f.question, f.qt, n.place, n.negative, o.pt, 0.0 FROM f JOIN n ON n.document_id = f.document_id AND n.category = f.category JOIN f o ON o.document_id = n.document_id AND o.category = n.negative_category)"""
+  p AS (SELECT {ID} AS id, split, language, question AS query, qt, 0 AS position, passage, pt, 1.0 AS label FROM f
+    UNION ALL SELECT {ID}, f.split, f.language, f.question, f.qt, n.place, n.negative, n.npt, 0.0 FROM f JOIN n ON n.document_id = f.document_id AND n.category = f.category AND n.nth = f.nth)"""
+
+
+@query("id string, split string, language string, query string, positive string, source_page bigint, categories string", f"""{WITH_FACTS}, n AS ({NEGATIVES}) SELECT {ID} AS id, any_value(split) AS split, any_value(language) AS language, any_value(question) AS query, any_value(passage) AS positive,
+  any_value(page_number) AS source_page, string_agg(n.negative_category, ',' ORDER BY n.place) AS categories FROM f JOIN n ON n.document_id = f.document_id AND n.category = f.category AND n.nth = f.nth GROUP BY f.document_id, f.category, f.nth""")
+def rerank_examples(spark, sf):
+    return example_rows(spark, sf).withColumn("categories", F.array_join("negative_categories", ","))
 
 
 @query("id string, split string, query string, position bigint, passage string, label double", f"{PAIRS} SELECT * FROM p")
@@ -504,11 +649,21 @@ def expand_pairs(spark, sf):
     return rerank.pairs(example_rows(spark, sf))
 
 
+@query("doc_id bigint, variant bigint", "SELECT doc_id, coalesce(list_sum(list_transform(str_split(source || ':' || lang, ''), lambda x: unicode(x))), 0) % 7 AS variant FROM documents")
+def stable_variant(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(text.code_point_sum(F.concat("source", F.lit(":"), "lang")) % 7, F.lit(0)).alias("variant"))
+
+
 @query("examples bigint, documents bigint, pairs bigint, train bigint, validation bigint, test bigint", f"{PAIRS} SELECT count(DISTINCT id) AS examples, count(DISTINCT split_part(id, '-', 1)) AS documents, count(*) AS pairs, count(DISTINCT id) FILTER (split = 'train') AS train, count(DISTINCT id) FILTER (split = 'validation') AS validation, count(DISTINCT id) FILTER (split = 'test') AS test FROM p")
 def dataset_summary(spark, sf):
     return rerank.dataset_summary(example_rows(spark, sf))
 
 
+@query("language string, examples bigint", f"{PAIRS} SELECT language, count(DISTINCT id) AS examples FROM p GROUP BY language")
+def dataset_languages(spark, sf):
+    return rerank.language_summary(example_rows(spark, sf))
+
+
 @query("document_id bigint, splits bigint", "SELECT 1 AS document_id, 1 AS splits WHERE false")
 def dataset_leakage(spark, sf):
     return rerank.leaks(example_rows(spark, sf))
@@ -519,6 +674,16 @@ def dataset_invalid(spark, sf):
     return rerank.invalid(example_rows(spark, sf))
 
 
+@query("id string, n bigint", f"{PAIRS} SELECT id, count(*) AS n FROM p WHERE position = 0 GROUP BY id HAVING count(*) > 1")
+def dataset_duplicate_ids(spark, sf):
+    return rerank.duplicate_ids(example_rows(spark, sf))
+
+
+@query("split string", f"{PAIRS} SELECT split FROM (VALUES ('train'), ('validation'), ('test')) AS t(split) WHERE split NOT IN (SELECT split FROM p WHERE split <> 'test')")
+def dataset_missing_splits(spark, sf):
+    return rerank.missing_splits(example_rows(spark, sf).filter("split <> 'test'"))
+
+
 SCORED = f"{PAIRS}, s AS (SELECT *, {OCHIAI.format(a='qt', b='pt')} AS score FROM p)"
 RANKED = f"{SCORED}, r AS (SELECT id, split, 1 + sum(CASE WHEN label = 0 AND score >= positive THEN 1 ELSE 0 END) AS positive_rank, arg_max(position, (score, position)) AS best_position FROM (SELECT *, max(CASE WHEN label = 1 THEN score END) OVER (PARTITION BY id) AS positive FROM s) GROUP BY 1, 2)"
 
@@ -561,6 +726,33 @@ def category_report(spark, sf):
     return found.groupBy("category").agg(F.count("*").alias("conditions"), F.round(F.avg("score"), 6).alias("mean_score"), F.min("page_number").alias("first_page"))
 
 
+#: Observations of an evaluation, made of events.
+OBSERVED = """SELECT user_id AS document_id, event_type AS category, event_id % 5 <> 0 AS answerable, event_id % 3 <> 0 AS hit_at_5, 1.0D0 / (1 + event_id % 4) AS reciprocal_rank, event_id % 7 <> 0 AS page_correct,
+  event_id % 11 <> 0 AS quote_correct, event_id % 10 = 0 AS refused, value AS search_ms, value * 2 AS answer_ms FROM events"""
+
+
+def observed(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(OBSERVED.replace("1.0D0", "1.0D").replace("FROM events", "FROM {events}"), events=table(spark, sf, "events"))
+
+
+@query("documents bigint, questions bigint, hit_rate double, mrr double, page_accuracy double, quote_accuracy double, refusal_accuracy double, search_p50 double, search_p95 double, answer_p50 double, answer_p95 double", f"""SELECT count(DISTINCT document_id) AS documents, count(*) AS questions,
+  round(avg(CAST(hit_at_5 AS DOUBLE)) FILTER (answerable), 6) AS hit_rate, round(avg(reciprocal_rank) FILTER (answerable), 6) AS mrr, round(avg(CAST(page_correct AS DOUBLE)) FILTER (answerable), 6) AS page_accuracy,
+  round(avg(CAST(quote_correct AS DOUBLE)) FILTER (answerable), 6) AS quote_accuracy, round(avg(CAST(refused AS DOUBLE)) FILTER (NOT answerable), 6) AS refusal_accuracy, round(quantile_cont(search_ms, 0.5) FILTER (answerable), 2) AS search_p50,
+  round(quantile_cont(search_ms, 0.95) FILTER (answerable), 2) AS search_p95, round(quantile_cont(answer_ms, 0.5), 2) AS answer_p50, round(quantile_cont(answer_ms, 0.95), 2) AS answer_p95 FROM ({OBSERVED.replace("1.0D0", "CAST(1 AS DOUBLE)")})""")
+def evaluation_report(spark, sf):
+    return service.evaluation_report(observed(spark, sf))
+
+
+@query("category string, questions bigint, hit_at_5 double, page_correct double, quote_correct double", f"SELECT category, count(*) AS questions, round(avg(CAST(hit_at_5 AS DOUBLE)), 6) AS hit_at_5, round(avg(CAST(page_correct AS DOUBLE)), 6) AS page_correct, round(avg(CAST(quote_correct AS DOUBLE)), 6) AS quote_correct FROM ({OBSERVED.replace('1.0D0', '1.0')}) GROUP BY category")
+def evaluation_by_category(spark, sf):
+    return service.flag_report(observed(spark, sf), ["category"], ["hit_at_5", "page_correct", "quote_correct"])
+
+
+@query("category string, failed bigint", f"SELECT category, count(*) AS failed FROM ({OBSERVED.replace('1.0D0', '1.0')}) WHERE NOT CASE WHEN answerable THEN hit_at_5 AND page_correct AND quote_correct ELSE refused END GROUP BY category")
+def evaluation_failures(spark, sf):
+    return service.failures(observed(spark, sf)).groupBy("category").agg(F.count("*").alias("failed"))
+
+
 EXPECTED = "SELECT o_orderkey AS document_id, c.category, c.page_number FROM orders CROSS JOIN (VALUES ('deadline', 1), ('budget', 1), ('penalty', 2), ('requirement', 2)) AS c(category, page_number)"
 
 
@@ -594,7 +786,7 @@ def html_escape(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.html_escaped("text").cast("binary"), 256).alias("digest"))
 
 
-@query("document_id bigint, page_number bigint, html string", f"SELECT document_id, page_number, regexp_replace(text, '(?i)(must\\s+show)', '<mark>\\1</mark>', 'g') AS html FROM ({CLAUSES})")
+@query("document_id bigint, page_number bigint, html string", f"SELECT document_id, page_number, regexp_replace(text, '(?i)(must\\s+show)', '<mark class=\"{rules.HIGHLIGHT_CLASS}\">\\1</mark>') AS html FROM ({CLAUSES})")
 def highlight_quote(spark, sf):
     return clauses(spark, sf).select("document_id", "page_number", analysis.highlighted(F.col("text"), F.lit(" Must  SHOW")).alias("html"))
 

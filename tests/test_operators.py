@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import analysis, chunking, library, metrics, qa, rerank, retrieval
+from lexweave.operators import analysis, chunking, library, metrics, qa, rerank, retrieval, service
 from lexweave.sources import files
 from lexweave.streaming import ingest
 
@@ -56,8 +56,18 @@ def test_conditions(spark):
 
 
 def test_highlight(spark):
-    df = spark.createDataFrame([("A <b> must\n show & go", "MUST show"), ("plain", " "), ("a+b", "a+b")], "t string, q string")
-    assert [r.v for r in df.select(analysis.highlighted(F.col("t"), F.col("q")).alias("v")).collect()] == ["A &lt;b&gt; <mark>must\n show</mark> &amp; go", "plain", "<mark>a+b</mark>"]
+    cases = [
+        ("A <b> must\n show & must show", "MUST show", 'A &lt;b&gt; <mark class="x">must\n show</mark> &amp; must show'),
+        ("plain", " ", "plain"),
+        ("a+b", "a+b", '<mark class="x">a+b</mark>'),
+        ("Piece  of it", "a longer piece of it, and more", '<mark class="x">Piece  of it</mark>'),
+        ("of it", "a longer piece of it", "of it"),
+        (None, "q", None),
+        ("t & u", None, "t &amp; u"),
+    ]
+    df = spark.createDataFrame([(k, *c[:2]) for k, c in enumerate(cases)], "k int, t string, q string")
+    got = df.select("k", analysis.highlighted(F.col("t"), F.col("q"), "x").alias("v")).orderBy("k").collect()
+    assert [r.v for r in got] == [c[2] for c in cases]
 
 
 def test_answers(spark):
@@ -87,6 +97,72 @@ def test_ranking(spark):
     assert sorted(r.id for r in rerank.invalid(bad).collect()) == ["a", "b"]
 
 
+def test_examples(spark):
+    scenarios = spark.createDataFrame([(7, "train", "en", "1 May", "5 USD", "3 days")], "document_id long, split string, language string, deadline string, budget string, delivery string")
+    templates = [("en", c, v, f"{c} {v} is {{value}}", c.title(), k) for k, c in enumerate(("deadline", "budget", "delivery"), 1) for v in range(3)]
+    rows = rerank.facts(scenarios, ["deadline", "budget", "delivery"], spark.createDataFrame(templates, "language string, category string, variant int, passage string, heading string, page_number int"))
+    want = {c: sum(map(ord, f"7:{c}")) % 3 for c in ("deadline", "budget", "delivery")}
+    assert {r.category: r.variant for r in rows.collect()} == want
+    questions = spark.createDataFrame([("en", "deadline", 1, "budget when"), ("en", "deadline", 2, "x"), ("en", "budget", 1, "x"), ("en", "delivery", 1, "x"), ("de", "budget", 1, "y")], "language string, category string, nth int, question string")
+    asked = rerank.asked(rows, questions)
+    made = {r.id: r for r in rerank.examples(asked, rerank.hard_negatives(asked)).collect()}
+    assert sorted(made) == ["7-budget-q1", "7-deadline-q1", "7-deadline-q2", "7-delivery-q1"]
+    first = made["7-deadline-q1"]
+    assert first.negative_categories == ["delivery", "budget"]  # easily confused before more words in common
+    assert (first.positive, first.source_page, first.language) == (f"deadline {want['deadline']} is 1 May", 1, "en")
+    assert made["7-budget-q1"].negative_categories == ["delivery", "deadline"]  # a tie: the later name first
+    every = rerank.examples(asked, rerank.hard_negatives(asked))
+    assert rerank.invalid(every).count() == 0 and rerank.duplicate_ids(every).count() == 0
+    assert sorted(r.split for r in rerank.missing_splits(every).collect()) == ["test", "validation"]
+    assert rerank.selected(every, "train").count() == 4 and rerank.language_summary(every).first().examples == 4
+    odd = every.withColumn("negative_categories", F.array(F.lit("one")))
+    assert rerank.invalid(odd).count() == 4
+
+
+def test_conditions_of_hits(spark):
+    chunks = spark.createDataFrame(
+        [(1, 1, 1, 0, "Penalty: 5% a day."), (1, 2, 2, 50, "A fine is due. penalty:  5% a DAY."), (1, 3, 3, 0, "Maximum budget: 10 USD.")], "document_id long, chunk_id long, page_number int, start_char int, text string"
+    )
+    asked = analysis.category_queries(spark)
+    penalty = [r.query_id for r in asked.filter("category = 'penalty'").orderBy("query_ord").collect()]
+    found = spark.createDataFrame([(1, penalty[0], "lexical", 1, 2), (1, penalty[1], "hybrid", 1, 1), (1, penalty[1], "hybrid", 2, 2)], "document_id long, query_id long, mode string, rank int, chunk_id long")
+    hits = analysis.category_hits(found, asked)
+    assert {r.chunk_id: tuple(r.hit) for r in hits.collect()} == {2: (0, 1), 1: (1, 1)}
+    rows = analysis.conditions_of_hits(hits.join(chunks, ["document_id", "chunk_id"])).orderBy("number").collect()
+    assert [(r.category, r.chunk_id, r.start_char, r.end_char) for r in rows] == [("penalty", 2, 65, 84), ("penalty", 2, 50, 64)]  # no budget: its queries found nothing
+    assert analysis.retrieval_modes(found).first().modes == "hybrid,lexical"
+
+
+def test_search_within_documents(spark):
+    chunks = spark.createDataFrame([(1, 1, "price price", [1.0, 0.0]), (1, 2, "price", [0.0, 1.0]), (2, 3, "price", None), (2, 4, "price", None)], "document_id long, chunk_id long, text string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "the price", [0.0, 1.0])], "query_id long, query string, vector array<float>")
+    got = {(r.document_id, r["rank"]): (r.chunk_id, r["mode"]) for r in retrieval.hybrid(asked, chunks, 1, ("document_id",)).collect()}
+    assert got == {(1, 1): (2, "hybrid"), (2, 1): (3, "lexical")} or got == {(1, 1): (1, "hybrid"), (2, 1): (3, "lexical")}
+    places = chunks.withColumns({"page_number": F.col("chunk_id"), "chunk_index": F.lit(0)})
+    assert [r.chunk_id for r in retrieval.work_order(places, 2).collect()] == [3, 4]
+
+
+def test_service(spark):
+    with pytest.raises(ValueError):
+        service.Settings(chunk_size=100, chunk_overlap=100)
+    assert service.Settings().max_upload_bytes == 20 * 1024 * 1024
+    service.checked(query="ab", limit=20, offset=0)
+    for bad in ({"query": "a"}, {"limit": 0}, {"limit": 21}, {"question": "x" * 2001}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            service.checked(**bad)
+    codes = spark.createDataFrame([(1, "invalid_pdf"), (2, "odd"), (3, None)], "k int, c string").orderBy("k")
+    assert [r.m for r in codes.select(service.message(F.col("c")).alias("m")).collect()] == [service.MESSAGES["invalid_pdf"][0], service.MESSAGES[""][0], None]
+    nothing = spark.createDataFrame([], "document_id long, answerable boolean, hit_at_5 boolean, reciprocal_rank double, page_correct boolean, quote_correct boolean, refused boolean, search_ms double, answer_ms double")
+    assert tuple(service.evaluation_report(nothing).first()) == (0,) * 11
+    old = spark.createDataFrame([("test", 0.5), ("validation", 0.9)], "split string, hit_at_1 double")
+    new = spark.createDataFrame([("test", 0.75), ("validation", 0.9)], "split string, hit_at_1 double")
+    assert {r.split: r.improved for r in service.improvements(old, new).collect()} == {"test": True, "validation": False}
+    totals = service.file_totals(spark.createDataFrame([(10, 2, 3), (5, 1, 1)], "size_bytes long, answerable long, questions long")).first()
+    assert tuple(totals) == (2, 15, 3, 1, 0.75)
+    rows = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "c array<string>")
+    assert [r.s for r in rows.select(service.scored_citation(F.col("c")).alias("s")).collect()] == ["a", None, None]
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([("a", float(v)) for v in (10, 20, 30, 40)], "k string, v double")
     assert metrics.percentiles(rows, ["k"], "v", {"p": 0.95}).first().p == 38.5
