@@ -36,9 +36,9 @@ def asked(rows: DataFrame, questions: DataFrame) -> DataFrame:
 
 def hard_negatives(rows: DataFrame, limit: int = 3, confusions: dict[str, tuple[str, ...]] = rules.CONFUSIONS) -> DataFrame:
     """For each question of asked() the passages of its document's other facts: easily confused categories first, then by overlap."""
-    others = rows.filter("nth = 1")
-    pairs = rows.alias("a").join(others.alias("b"), (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.category") != F.col("b.category")))
-    score = F.round(SCORERS["overlap"](F.col("a.question"), F.col("b.passage")), 6)
+    others = rows.filter("nth = 1").select("document_id", "category", "passage", text.rerank_tokens("passage").alias("tokens"))
+    pairs = rows.withColumn("tokens", text.rerank_tokens("question")).alias("a").join(others.alias("b"), (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.category") != F.col("b.category")))
+    score = F.round(text.ochiai(F.col("a.tokens"), F.col("b.tokens")), 6)  # tokens are cut once a row, not once a pair
     known = F.create_map(*(x for c, ones in confusions.items() for x in (F.lit(c), F.array(*map(F.lit, ones)))))
     preferred = F.coalesce(F.array_contains(F.try_element_at(known, F.col("a.category")), F.col("b.category")), F.lit(False))
     scored = pairs.select("a.document_id", "a.category", "a.nth", F.col("b.category").alias("negative_category"), F.col("b.passage").alias("negative"), preferred.alias("preferred"), score.alias("score"))
