@@ -59,37 +59,45 @@ def registers(doc: np.ndarray, value: np.ndarray, n_docs: int, buckets: int) ->
     return out
 
 
-_borrowed: dict[int, np.ndarray] = {}
+_borrowed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def dense(regs: np.ndarray, tries: int = 24) -> np.ndarray:
-    """Empty registers filled from others: each bucket has a fixed random order of buckets to borrow from; past it the next filled one.
+def dense(regs: np.ndarray, columns: int, tries: int = 24) -> np.ndarray:
+    """The first columns registers, empty ones filled from others: each has its own random order of all buckets and borrows from the first filled one.
 
-    So the chance that two documents agree in a register is their similarity, for small sets, too.
+    The order is some draws, made at once for all documents, and past them a permutation for those that are
+    still empty.  No two registers share an order, so those of a small set fail to agree independently, too,
+    and the chance that two documents agree in one is their similarity.
     """
-    n, buckets = regs.shape
+    buckets = regs.shape[1]
     if buckets not in _borrowed:
-        _borrowed[buckets] = np.random.default_rng(77).integers(0, buckets, (tries, buckets))
-    out = regs.copy()
-    for order in _borrowed[buckets]:
+        rnd = np.random.default_rng(77)
+        draws = rnd.integers(0, buckets, (tries, buckets))
+        _borrowed[buckets] = draws, rnd.permuted(np.tile(np.arange(buckets, dtype=np.uint16)[:, None], (1, buckets)), axis=0)
+    draws, place = _borrowed[buckets]  # place[bucket, register]: where the bucket stands in the register's order
+    out = regs[:, :columns].copy()
+    for order in draws[:, :columns]:
         gap = out == EMPTY
         if not gap.any():
             return out
         out = np.where(gap, regs[:, order], out)
-    row, col = np.nonzero(out == EMPTY)
-    if len(row):
-        filled = regs != EMPTY
-        place = np.where(filled, np.arange(buckets), 2 * buckets)
-        ahead = np.minimum.accumulate(np.concatenate([place, place + buckets], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :buckets]
-        spot = ahead[row, col]
-        ok = spot < 2 * buckets
-        out[row[ok], col[ok]] = regs[row[ok], spot[ok] % buckets]
+    filled = regs != EMPTY
+    count = filled.sum(axis=1)
+    late = np.flatnonzero((out == EMPTY).any(axis=1) & (count > 0))
+    for n in np.unique(count[late]):
+        step = max(1, (1 << 21) // (int(n) * columns))
+        same = late[count[late] == n]
+        for k in range(0, len(same), step):
+            rows = same[k : k + step]
+            have = np.nonzero(filled[rows])[1].reshape(len(rows), n)
+            first = np.take_along_axis(have, place[have, :columns].argmin(axis=1), axis=1)
+            out[rows] = np.where(out[rows] == EMPTY, np.take_along_axis(regs[rows], first, axis=1), out[rows])
     return out
 
 
 def band_keys(regs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(documents x bands) keys of bands of densified registers; documents without shingles have keys that mean nothing."""
-    parts = dense(regs)[:, : bands * rows].reshape(len(regs), bands, rows)
+    parts = dense(regs, bands * rows).reshape(len(regs), bands, rows)
     total = np.tile(np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), (len(regs), 1))
     for k in range(rows):
         total = mix(total * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k].astype(np.uint64) + np.uint64(k + 1))
