@@ -275,12 +275,16 @@ class NearDup:
         banded = self.banded(reps).repartition("key")
         shared = banded.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1").select("k")
         members = saved(banded.join(shared, F.col("key") == F.col("k"), "left_semi"))
-        labels = sets = tried = None
+        labels = documents.sparkSession.createDataFrame([], "node long, label long")
+        sets = tried = None
         for limit in (None, 8, 1 << 40):
             if limit is None:
                 tried = found = saved(self.pairs(members, reps, None))
             else:
-                found = saved(self.pairs(self.mixed_groups(members, labels), reps, limit).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+                known = tried.select("a", "b", F.lit(True).alias("known"))
+                every = saved(self.pairs(self.mixed_groups(members, labels), reps, limit).join(known, ["a", "b"], "left"))
+                held = every.agg(F.max("held")).first()[0]  # tried pairs, too, may have held others back
+                found = every.filter("known is null").drop("known")
                 tried = tried.unionByName(found)
             if not found.isEmpty():
                 used = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
@@ -290,15 +294,11 @@ class NearDup:
                 if not used.isEmpty():
                     more = saved(self.sets(documents, used))
                     sets = more if sets is None else sets.unionByName(more)
-            elif limit is None:
-                return rows, reps.select("sid", F.col("uid").alias("component"))
-            else:
-                break
-            new = saved(self.verified(found.select("a", "b"), sets))
-            if limit is None or not new.isEmpty():
-                # what is known already goes in as a star for each component, not as all its links
-                labels = saved(components(new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
-            if limit is not None and not found.agg(F.max("held")).first()[0]:
+                new = saved(self.verified(found.select("a", "b"), sets))
+                if not new.isEmpty():
+                    # what is known already goes in as a star for each component, not as all its links
+                    labels = saved(components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+            if limit is not None and not held:
                 break
         named = reps.select("rid", "sid", "uid").join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         least = named.groupBy("label").agg(F.min("uid").alias("component"))

@@ -20,3 +20,28 @@ def test_small_sets_at_the_threshold_share_a_band(percent, common, left, right):
 
     same = keys(values[:, : common + left]) == keys(np.delete(values, np.s_[common : common + left], axis=1))
     assert same.any(axis=1).all()
+
+
+TEXTS = [" ".join(f"w{k}" for k in range(100)), " ".join(f"w{k}" for k in range(101)), " ".join(f"v{k}" for k in range(100))]
+
+
+def test_pairs_are_looked_for_after_empty_forests(spark):
+    class Cut(neardup.NearDup):
+        def forest(self, regs, size):
+            return []
+
+    found = Cut().deduplicated(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(0, 0), (1, 0), (2, 2)]
+
+
+def test_pairs_held_back_by_tried_ones_are_verified(spark):
+    class Held(neardup.NearDup):
+        def pairs(self, groups, reps, limit):
+            if limit == 1 << 40:
+                return super().pairs(groups, reps, limit)
+            rid = {r.uid: r.rid for r in reps.collect()}
+            refused = (min(rid[0], rid[2]), max(rid[0], rid[2]), limit is not None)
+            return reps.sparkSession.createDataFrame([refused], "a long, b long, held boolean")
+
+    found = Held().deduplicated(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(0, 0), (1, 0), (2, 2)]
