@@ -4,7 +4,7 @@
    registers (by bucket of the hash space the least hash, as leading-zero count and mantissa bits in a byte)
    and a key for each band of registers.  Documents with equal sets are one class from here on.
 2. Classes that share a band key are compared by their registers: the share of equal ones, corrected for
-   chance collisions, estimates the Jaccard similarity.  Pairs that may reach the threshold (less 4.5
+   chance collisions, estimates the Jaccard similarity.  Pairs that may reach the threshold (less 5
    standard errors) are candidates.
 3. Candidates are verified on full shingle sets; links give components.
 
@@ -16,8 +16,8 @@ So every pair that may link two components is verified before the end, while cop
 not pairs.  Groups of over two pieces are cut into blocks; the classes outside the main component are repeated
 in each block.
 
-Chance of losing a pair: under 1e-6 that no band agrees, (1 - s**rows)**bands for similarity s at the
-threshold, less above it; and under 1e-5 that the estimate is 4.5 standard errors low.
+Chance of losing a pair: under 1e-10 that no band agrees, (1 - s**rows)**bands for similarity s at the
+threshold, less above it; and under 1e-6 that the estimate is 5 standard errors low.
 
 Cases: null, empty and wordless texts have no set, link with nothing and are kept; equal texts link whatever
 their ids; rows with equal ids are judged by the id; a null id sorts last, and its component is null only if
@@ -80,12 +80,12 @@ class NearDup:
     buckets: int = 512
     rows: int = 6
     piece: int = 1024
-    deviations: float = 4.5
+    deviations: float = 5.0
 
     @property
     def bands(self) -> int:
-        """As many as leave a pair at the threshold a chance under 1e-6 to share none."""
-        return math.ceil(math.log(1e-6) / math.log(1 - (self.percent / 100) ** self.rows))
+        """As many as leave a pair at the threshold a chance under 1e-10 to share none."""
+        return math.ceil(math.log(1e-10) / math.log(1 - (self.percent / 100) ** self.rows))
 
     # ---- sketches -------------------------------------------------------------------------------------
 

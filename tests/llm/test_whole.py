@@ -45,3 +45,9 @@ def test_pairs_held_back_by_tried_ones_are_verified(spark):
 
     found = Held().deduplicated(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
     assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(0, 0), (1, 0), (2, 2)]
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_bounds_of_losing_a_pair(percent):
+    near = neardup.NearDup(percent=percent)
+    assert (1 - (percent / 100) ** near.rows) ** near.bands <= 1e-10 and near.deviations >= 5 and near.bands * near.rows <= near.buckets
