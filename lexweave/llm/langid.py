@@ -82,7 +82,7 @@ class Model:
     languages: list[str]
     table: np.ndarray  # BUCKETS x languages, log-likelihoods
 
-    def mixtures(self, data: np.ndarray, offsets: np.ndarray, max_languages: int = 4) -> np.ndarray:
+    def mixtures(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Documents x languages: the proportions within the chosen language set; all 0 without letters."""
         bucket, first, counts = trigrams(data, offsets)
         n, k = len(counts), len(self.languages)
@@ -101,16 +101,20 @@ class Model:
         np.put_along_axis(rank, order, np.arange(k)[None, :].repeat(len(has), 0), axis=1)
         chosen = (rank < 1).astype(np.float64)
         best = fitted(likely, size, chosen.astype(np.float32), 1)[1]
-        open_sets = np.flatnonzero(gain - penalty > best)  # for the others no larger set can win
-        if len(open_sets):
-            mine = np.repeat(np.isin(np.arange(len(has)), open_sets), size)
-            part, many, top = likely[mine], size[open_sets], best[open_sets]
-            for m in range(2, min(max_languages, k) + 1):
-                share, gain = fitted(part, many, (rank[open_sets] < m).astype(np.float32))
-                value = gain - (m - 1) * penalty[open_sets]
-                better = value > top
-                chosen[open_sets[better]] = share[better]
-                top = np.maximum(top, value)
+        # log-likelihood is concave in the proportions, so no set can lie above this, converged or not
+        mixed = (likely * np.repeat(full, size, axis=0)).sum(axis=1, dtype=np.float64)
+        slope = np.add.reduceat(likely / np.maximum(mixed, 1e-30)[:, None], np.cumsum(size) - size, axis=0).max(axis=1) - size
+        bound = gain + np.maximum(slope, 0) + 0.01  # and what rounding may hide
+        left = np.arange(len(has))
+        for m in range(2, k + 1):
+            left = left[bound[left] - (m - 1) * penalty[left] > best[left]]  # for the others no set of m or more can win
+            if not len(left):
+                break
+            share, gain = fitted(likely[np.repeat(np.isin(np.arange(len(has)), left), size)], size[left], (rank[left] < m).astype(np.float32))
+            value = gain - (m - 1) * penalty[left]
+            better = value > best[left]
+            chosen[left[better]] = share[better]
+            best[left] = np.maximum(best[left], value)
         out[has] = chosen
         return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from lexweave.llm import neardup, shingles
+from lexweave.llm import langid, neardup, shingles
 
 
 @pytest.mark.parametrize("percent, common, left, right", [(85, 6, 1, 0), (85, 12, 1, 1), (85, 17, 2, 1), (85, 17, 3, 0), (80, 4, 1, 0), (80, 8, 1, 1), (80, 12, 2, 1), (80, 16, 2, 2)])
@@ -51,3 +51,28 @@ def test_pairs_held_back_by_tried_ones_are_verified(spark):
 def test_bounds_of_losing_a_pair(percent):
     near = neardup.NearDup(percent=percent)
     assert (1 - (percent / 100) ** near.rows) ** near.bands <= 1e-10 and near.deviations >= 5 and near.bands * near.rows <= near.buckets
+
+
+def test_every_language_set_that_can_win_is_fitted():
+    rnd, k = np.random.default_rng(4), 20
+    model = langid.Model([f"l{x}" for x in range(k)], rnd.normal(0, 0.35, (langid.BUCKETS, k)).astype(np.float32))
+    vocabulary = ["".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4000)]
+    offsets = np.arange(len(vocabulary) + 1) * 6
+    bucket, first, _ = langid.trigrams(np.frombuffer("".join(vocabulary).encode(), np.uint8), offsets)
+    spoken = np.add.reduceat(model.table[bucket], first, axis=0).argmax(axis=1)
+    texts = []
+    for j in range(40):
+        mix = rnd.dirichlet([1] * 6) if j % 4 == 0 else np.array([0.98 - j / 2000, 0.02 + j / 2000])
+        languages = rnd.permutation(k)[: len(mix)]
+        texts.append(" ".join(vocabulary[rnd.choice(np.flatnonzero(spoken == languages[rnd.choice(len(mix), p=mix)]))] for _ in range(600)).encode())
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got = model.mixtures(data, offsets)
+    bucket, first, size = langid.trigrams(data, offsets)
+    likely = np.add.reduceat(model.table[bucket], first, axis=0)
+    likely = np.exp(likely - likely.max(axis=1, keepdims=True))
+    rank = np.argsort(np.argsort(-langid.fitted(likely, size, np.ones((len(texts), k), np.float32))[0], axis=1, kind="stable"), axis=1)
+    fits = [langid.fitted(likely, size, (rank < m).astype(np.float32), 1 if m == 1 else langid.ROUNDS) for m in range(1, k + 1)]
+    value = np.array([gain - m * 0.5 * np.log(size + 1.0) for m, (_, gain) in enumerate(fits)])
+    want = np.array([fits[m][0][j] for j, m in enumerate(value.argmax(axis=0))])
+    assert np.abs(got - want).max() < 1e-6 and (want > 0).sum(axis=1).max() > 4
