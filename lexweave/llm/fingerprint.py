@@ -5,12 +5,12 @@ is the sum of its paragraphs' vectors, lane by lane modulo a power of two.  Orde
 multisets have equal sums, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 The vector has two parts.  8 lanes modulo 2**64 are random in the whole paragraph: they carry equality.
-256 lanes modulo 2**16 are the paragraph's word 3-grams, each counted with a random sign in a random lane
+256 lanes modulo 2**32 are the paragraph's word 3-grams, each counted with a random sign in a random lane
 (a paragraph of fewer words is one unit): the difference of two sums estimates how much two documents
 differ, for likeness = 1 - |a - b|^2 / (|a|^2 + |b|^2), clipped to 0..1, and 1 for equal fingerprints.
 
-Cases: null texts are empty; an empty text has the zero vector; equal texts have equal fingerprints; over
-32,767 like units in a lane wrap around, which blurs likeness but not equality.
+Cases: null texts are empty; an empty text has the zero vector; equal texts have equal fingerprints; a
+lane holds up to 2**31 - 1 like units, more than the words of any text that Arrow's strings hold.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ SALTS = mix(np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of the paragraphs' vectors of each document: (n x WIDE) uint64 and (n x SKETCH) uint16."""
+    """The sums of the paragraphs' vectors of each document: (n x WIDE) uint64 and (n x SKETCH) uint32."""
     n = len(offsets) - 1
-    wide, sketch = np.zeros((n, WIDE), np.uint64), np.zeros((n, SKETCH), np.uint16)
+    wide, sketch = np.zeros((n, WIDE), np.uint64), np.zeros((n, SKETCH), np.uint32)
     word_start, word_end, by_doc = words(data, offsets, SPACES)
     if not len(word_start):
         return wide, sketch
@@ -62,7 +62,7 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         unit = mix(unit + np.where(at + k < last, coded[np.minimum(at + k, len(coded) - 1)], np.uint64(0)) + np.uint64(k + 1))
     lane = doc[owner] * SKETCH + (unit & np.uint64(SKETCH - 1)).astype(np.int64)
     sign = 1.0 - 2.0 * ((unit >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
-    sketch[:] = (np.bincount(lane, sign, n * SKETCH).astype(np.int64) & 0xFFFF).astype(np.uint16).reshape(n, SKETCH)
+    sketch[:] = (np.bincount(lane, sign, n * SKETCH).astype(np.int64) & 0xFFFFFFFF).astype(np.uint32).reshape(n, SKETCH)
     return wide, sketch
 
 
@@ -72,7 +72,7 @@ def combine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    square = lambda x: (x.astype(np.int16).astype(np.float64) ** 2).sum(axis=1)
+    square = lambda x: (x.astype(np.int32).astype(np.float64) ** 2).sum(axis=1)
     apart, size = square(a[1] - b[1]), square(a[1]) + square(b[1])
     out = np.clip(1.0 - apart / np.maximum(size, 1.0), 0.0, 1.0)
     out[size == 0] = 0.0
@@ -81,7 +81,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def encoded(v: tuple[np.ndarray, np.ndarray]) -> list[str]:
-    joined = np.concatenate([v[0].astype("<u8").view(np.uint8), v[1].astype("<u2").view(np.uint8)], axis=1)
+    joined = np.concatenate([v[0].astype("<u8").view(np.uint8), v[1].astype("<u4").view(np.uint8)], axis=1)
     return [base64.b64encode(row).decode() for row in joined]
 
 

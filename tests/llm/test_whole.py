@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from lexweave.llm import langid, neardup, shingles
+from lexweave.llm import fingerprint, langid, neardup, shingles
 
 
 @pytest.mark.parametrize("percent, common, left, right", [(85, 6, 1, 0), (85, 12, 1, 1), (85, 17, 2, 1), (85, 17, 3, 0), (80, 4, 1, 0), (80, 8, 1, 1), (80, 12, 2, 1), (80, 16, 2, 2)])
@@ -76,3 +76,9 @@ def test_every_language_set_that_can_win_is_fitted():
     value = np.array([gain - m * 0.5 * np.log(size + 1.0) for m, (_, gain) in enumerate(fits)])
     want = np.array([fits[m][0][j] for j, m in enumerate(value.argmax(axis=0))])
     assert np.abs(got - want).max() < 1e-6 and (want > 0).sum(axis=1).max() > 4
+
+
+def test_long_repetitive_texts_are_like():
+    text = "x " * 65_538
+    one, edited = fingerprint.of_texts([text]), fingerprint.of_texts([text + "and an end"])
+    assert fingerprint.likeness(one, edited)[0] > 0.99
