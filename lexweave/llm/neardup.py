@@ -116,6 +116,16 @@ class NearDup:
     def matrix(self, regs: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(regs), np.uint8).reshape(len(regs), self.buckets)
 
+    def with_sids(self, documents: DataFrame) -> DataFrame:
+        """The documents' rows with __sid."""
+        at = documents.columns.index("text")
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            sids = [binaries(set_ids(*shingle_sets(data, offsets, self.width), hi - lo)) for lo, hi, data, offsets in slices(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(sids)], [*batch.schema.names, "__sid"])
+
+        return arrow_map(documents, run, documents.select("*", F.lit("").cast("binary").alias("__sid")).schema)
+
     def sets(self, documents: DataFrame, wanted: DataFrame) -> DataFrame:
         """rid, shingles (sorted hashes) of the classes in wanted(rid, sid, uid)."""
         ids = saved(wanted.select("rid", "sid", "uid"))
@@ -266,7 +276,7 @@ class NearDup:
         return both.filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * self.percent).select("a", "b")
 
     def classes(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(uid, n, sid by document; sid, component by class): component is the least uid that is reachable."""
+        """(uid, n, sid by document; sid, component, label by class): component is the least uid that is reachable, label tells apart groups that share it."""
         documents = need(documents, "doc_id", "text")
         sketched = saved(self.sketches(documents))
         rows = sketched.select("uid", "n", "sid")
@@ -302,7 +312,7 @@ class NearDup:
                 break
         named = reps.select("rid", "sid", "uid").join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         least = named.groupBy("label").agg(F.min("uid").alias("component"))
-        return rows, named.join(least, "label").select("sid", "component")
+        return rows, named.join(least, "label").select("sid", "component", "label")
 
     def deduplicated(self, documents: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id, kept."""

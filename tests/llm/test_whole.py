@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lexweave.llm import fingerprint, langid, neardup, shingles
 
 
@@ -82,3 +83,13 @@ def test_long_repetitive_texts_are_like():
     text = "x " * 65_538
     one, edited = fingerprint.of_texts([text]), fingerprint.of_texts([text + "and an end"])
     assert fingerprint.likeness(one, edited)[0] > 0.99
+
+
+def test_rows_with_null_and_repeated_ids_are_judged_by_their_texts(spark):
+    a, near, b = TEXTS
+    c, d, e = (" ".join(f"{x}{k}" for k in range(100)) for x in "cde")
+    rows = [(1, a), (None, near), (None, b), (None, b), (None, c), (5, d), (5, e), (5, d), (6, e), (7, ""), (7, ""), (7, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    want = [(1, a), (None, b), (None, c), (5, d), (5, e), (7, ""), (7, None), (None, ""), (None, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
