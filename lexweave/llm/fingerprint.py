@@ -4,7 +4,7 @@ Each paragraph (line with a byte other than white space) is hashed to a wide vec
 is the sum of its paragraphs' vectors, lane by lane modulo a power of two.  Order plays no part, equal
 multisets have equal sums, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
-The vector has two parts.  8 lanes modulo 2**64 are random in the whole paragraph: they carry equality.
+The vector has two parts.  8 lanes modulo 2**64 are the 512 bits of the paragraph's BLAKE2b: they carry equality.
 256 lanes modulo 2**32 are the paragraph's word 3-grams, each counted with a random sign in a random lane
 (a paragraph of fewer words is one unit): the difference of two sums estimates how much two documents
 differ, for likeness = 1 - |a - b|^2 / (|a|^2 + |b|^2), clipped to 0..1, and 1 for equal fingerprints.
@@ -26,44 +26,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import arrow_stream, need
-from lexweave.llm.kernels import PLAIN, SLICE_BYTES, mix, prefix_sums, span_hashes, word_table, words
+from lexweave.llm.kernels import SLICE_BYTES, hashed_words, joined, span_hashes, windows, word_table, words
 
 WIDE, SKETCH, GRAM = 8, 256, 3
 MAX_PARTS = 20_000
 LINE = word_table(b"\n\r")
 SPACES = word_table(b"\x20\x09\x0a\x0b\x0c\x0d")
-SALTS = mix(np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A row of WIDE independent lanes for each paragraph: 512 bits of a real hash."""
+    body = memoryview(data)
+    found = b"".join(hashlib.blake2b(body[a:b], digest_size=8 * WIDE).digest() for a, b in zip(start.tolist(), end.tolist()))
+    return np.frombuffer(found, "<u8").reshape(-1, WIDE)
+
+
+def sketched(coded: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """(n x SKETCH) uint32: the signed counts of the word 3-grams of paragraphs, each of count words from first on, in document doc."""
+    taken = np.maximum(count - GRAM + 1, 1)
+    owner = np.repeat(np.arange(len(doc)), taken)
+    at = np.arange(taken.sum()) - (np.cumsum(taken) - taken)[owner] + first[owner]
+    last = (first + count)[owner]
+    unit = np.full(len(at), GRAM, np.uint64)
+    for k in range(GRAM):
+        unit = joined(unit, np.where(at + k < last, coded[np.minimum(at + k, len(coded) - 1)], np.uint64(0)))
+    lane = doc[owner] * SKETCH + (unit & np.uint64(SKETCH - 1)).astype(np.int64)
+    sign = 1.0 - 2.0 * ((unit >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
+    return (np.bincount(lane, sign, n * SKETCH).astype(np.int64) & 0xFFFFFFFF).astype(np.uint32).reshape(n, SKETCH)
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sums of the paragraphs' vectors of each document: (n x WIDE) uint64 and (n x SKETCH) uint32."""
     n = len(offsets) - 1
+    if n == 1 and len(data) > 2 * SLICE_BYTES:
+        return long_vectors(data)
     wide, sketch = np.zeros((n, WIDE), np.uint64), np.zeros((n, SKETCH), np.uint32)
-    word_start, word_end, by_doc = words(data, offsets, SPACES)
+    word_start, word_end, _ = words(data, offsets, SPACES)
     if not len(word_start):
         return wide, sketch
-    sums = prefix_sums(data, PLAIN)
     start, end, lines = words(data, offsets, LINE)
     doc = np.repeat(np.arange(n), lines)
     first = np.searchsorted(word_start, start)
     count = np.searchsorted(word_start, end) - first
     start, end, doc, first, count = (x[count > 0] for x in (start, end, doc, first, count))
-    whole = span_hashes(sums, start, end)
     begin = np.flatnonzero(np.diff(doc, prepend=-1))
-    for k in range(WIDE):
-        wide[doc[begin], k] = np.add.reduceat(mix(whole ^ SALTS[k]), begin)
-    coded = span_hashes(sums, word_start, word_end)
-    taken = np.maximum(count - GRAM + 1, 1)
-    owner = np.repeat(np.arange(len(doc)), taken)
-    at = np.arange(taken.sum()) - (np.cumsum(taken) - taken)[owner] + first[owner]
-    unit = np.zeros(len(at), np.uint64)
-    last = (first + count)[owner]
-    for k in range(GRAM):
-        unit = mix(unit + np.where(at + k < last, coded[np.minimum(at + k, len(coded) - 1)], np.uint64(0)) + np.uint64(k + 1))
-    lane = doc[owner] * SKETCH + (unit & np.uint64(SKETCH - 1)).astype(np.int64)
-    sign = 1.0 - 2.0 * ((unit >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
-    sketch[:] = (np.bincount(lane, sign, n * SKETCH).astype(np.int64) & 0xFFFFFFFF).astype(np.uint32).reshape(n, SKETCH)
-    return wide, sketch
+    wide[doc[begin]] = np.add.reduceat(digests(data, start, end), begin, axis=0)
+    return wide, sketched(span_hashes(data, word_start, word_end), first, count, doc, n)
+
+
+def long_vectors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """vectors() of one long document: those of its pieces, added up; a paragraph longer than a piece goes by stretches of its words."""
+    total = np.zeros((1, WIDE), np.uint64), np.zeros((1, SKETCH), np.uint32)
+    for a, b in windows(data, LINE):
+        if b - a > 2 * SLICE_BYTES:
+            breaks = np.flatnonzero(~LINE[data[a : a + SLICE_BYTES]])
+            cut = a + int(breaks[-1]) + 1 if len(breaks) else a
+            total = combine(total, vectors(data[a:cut], np.array([0, cut - a])))
+            line = data[cut:b]
+            coded, _ = hashed_words(line, np.array([0, len(line)]), SPACES)
+            if len(coded):
+                total = combine(total, (digests(line, np.array([0]), np.array([len(line)])), np.zeros((1, SKETCH), np.uint32)))
+            for k in range(0, max(len(coded) - GRAM + 1, min(len(coded), 1)), SLICE_BYTES):
+                part = coded[k : k + SLICE_BYTES + GRAM - 1]
+                total = combine(total, (np.zeros((1, WIDE), np.uint64), sketched(part, np.array([0]), np.array([len(part)]), np.array([0]), 1)))
+        else:
+            total = combine(total, vectors(data[a:b], np.array([0, b - a])))
+    return total
 
 
 def combine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], delete: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -1,72 +1,84 @@
 """Vectorised byte kernels shared by the document operators.
 
-Everything here works on one *slice*: the UTF-8 bytes of some documents laid end to end in a numpy
-array, with offsets.  A slice holds a few megabytes (or one longer document), so memory stays bounded
-whatever the Arrow batch size is.  Hashes are polynomial over random byte codes modulo 2**64: the hash
-of any substring is a difference of two prefix sums, so all word, n-gram or window hashes of a slice
-cost a handful of array passes.
+Everything here works on one *slice*: the UTF-8 bytes of some documents laid end to end in a numpy array,
+with offsets.  A slice holds about a megabyte; a longer document is a slice of its own, which the operators
+walk in windows, so memory stays bounded whatever the Arrow batch size is.
+
+Hashes are 64 bits wide and read eight bytes at a time; each step scrambles the state before the next bytes
+enter, so no sum or polynomial over the bytes is left in which regular texts cancel out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1_000_000
-_BASE = 0x9E3779B97F4A7C15 | 1
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_INV = np.uint64(pow(_BASE, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """base**i (or its inverse) modulo 2**64 for i < n at least."""
-    name = "inv" if inverse else "pow"
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 70_000)
-        step = _INV if inverse else np.uint64(_BASE)
-        out = np.empty(size, np.uint64)
-        out[0] = 1
-        done = 1
-        while done < size:
-            take = min(done, size - done)
-            np.multiply(out[:take], np.uint64(int(out[done - 1]) * int(step) & 0xFFFFFFFFFFFFFFFF), out=out[done : done + take])
-            done += take
-        _powers[name] = have = out
-    return have
-
-
-def byte_codes(fold: bool) -> np.ndarray:
-    """A random 64-bit code for each byte; fold gives A-Z the codes of a-z."""
-    codes = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    if fold:
-        codes[65:91] = codes[97:123]
-    return codes
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 2048
+_M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-
-PLAIN, FOLDED = byte_codes(False), byte_codes(True)
+#: A-Z to a-z, other bytes as they are.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= _M1
+    y ^= y >> np.uint64(27)
+    y *= _M2
+    y ^= y >> np.uint64(31)
+    return y
+
+
+def joined(state: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The state after value; the order counts."""
+    out = state * _STEP
+    out += value
+    return mix(out)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end]; equal bytes have equal hashes wherever they stand."""
+    view, size = eights(data), ends - starts
+    out = joined(size.astype(np.uint64), view[starts] & _KEEP[np.minimum(size, 8)])
+    for k in np.flatnonzero(size > LONG_SPAN):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    more = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    done = 8
+    while len(more):
+        out[more] = joined(out[more], view[starts[more] + done] & _KEEP[np.minimum(size[more] - done, 8)])
+        done += 8
+        more = more[size[more] > done]
+    return out
 
 
-def prefix_sums(data: np.ndarray, codes: np.ndarray = PLAIN) -> np.ndarray:
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(codes[data] * powers(len(data))[: len(data)], out=out[1:])
-    return out
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of data[i : i + width] for each i < len(data) - width + 1, with width >= 8."""
+    return widened(mix(eights(data)[: max(0, len(data) - 7)]), 8, width)
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Scrambled hashes of data[start:end]; equal bytes have equal hashes wherever they stand."""
-    return mix((sums[ends] - sums[starts]) * powers(len(sums), True)[starts] + (ends - starts).astype(np.uint64) * _M1)
+def widened(hashes: np.ndarray, have: int, width: int) -> np.ndarray:
+    """window_hashes() of a greater width from those of a smaller one: each is made of two."""
+    while have < width and len(hashes):
+        step = min(have, width - have)
+        hashes = joined(hashes[: max(0, len(hashes) - step)], hashes[step:])
+        have += step
+    return hashes
 
 
 def word_table(separators: bytes) -> np.ndarray:
@@ -80,6 +92,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     inside = table[data]
     before, after = np.empty_like(inside), np.empty_like(inside)
     if len(data):
+        before[0] = after[-1] = False
         before[1:], after[:-1] = inside[:-1], inside[1:]
         lo, hi = offsets[:-1], offsets[1:]
         full = hi > lo
@@ -89,8 +102,33 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, one past the last row, bytes, offsets from 0) for runs of rows; nulls are empty."""
+def windows(data: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of pieces of one document of about SLICE_BYTES that cut no word; a piece ends with a longer word."""
+    at, n, limit = 0, len(data), SLICE_BYTES
+    while at < n:
+        to = min(n, at + limit)
+        while to < n and table[data[to]] and table[data[to - 1]]:
+            gap = np.flatnonzero(~table[data[to : to + limit]])
+            to = to + int(gap[0]) if len(gap) else min(n, to + limit)
+        yield at, to
+        at = to
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and the count by document."""
+
+    def each(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, counts = words(data, offsets, table)
+        return span_hashes(FOLD[data] if fold else data, starts, ends), counts
+
+    if len(data) <= 2 * SLICE_BYTES or len(offsets) > 2:
+        return each(data, offsets)
+    parts = [each(data[a:b], np.array([0, b - a])) for a, b in windows(data, table)]
+    return np.concatenate([p[0] for p in parts]), sum(p[1] for p in parts)
+
+
+def slices(column: pa.Array | pa.ChunkedArray, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, one past the last row, bytes, offsets from 0) for runs of rows; nulls are empty; a longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
@@ -104,15 +142,9 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
     _, where, body = column.buffers()
     offsets = np.frombuffer(where, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(body, np.uint8) if body is not None else np.empty(0, np.uint8)
-    at = 0
+    at, limit = 0, limit or SLICE_BYTES
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         to = min(to, n)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
-
-
-def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of True."""
-    edges = np.diff(np.concatenate(([0], flags.view(np.int8), [0])))
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)

@@ -11,10 +11,11 @@
 Not all pairs of a band group are written.  The first round takes from each piece of a group (at most
 `piece` classes) the spanning forest of the likeliest pairs.  Later rounds look only at groups whose classes
 lie in different components, leave out pairs inside a component, and take for each class outside the group's
-main component its likeliest pairs: at most 8, then all, each pair in the first band that it shares.
-So every pair that may link two components is verified before the end, while copies of a hot text cost rows,
-not pairs.  Groups of over two pieces are cut into blocks; the classes outside the main component are repeated
-in each block.
+main component its likeliest pairs: at most 8, then 64 and so on while any are held back, each pair in the
+first band that it shares.  So every pair that may link two components is verified before the end, while copies
+of a hot text cost rows, not pairs.  Groups of over two pieces are cut into blocks of the main component's
+classes, with the others in each.  Where the others are more than a piece (many texts that share much but are
+no copies), the group's classes are grouped anew by their rarest shingles, an exact prefix filter.
 
 Chance of losing a pair: under 1e-10 that no band agrees, (1 - s**rows)**bands for similarity s at the
 threshold, less above it; and under 1e-6 that the estimate is 5 standard errors low.
@@ -41,6 +42,8 @@ from lexweave.llm.shingles import EMPTY, MANTISSA_BITS, band_keys, registers, sh
 
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: At most so many counts of common shingles (16 bytes each) are broadcast.
+MAX_COMMON = 100_000
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -183,41 +186,48 @@ class NearDup:
             best[closer], parent[closer] = near[at][closer], at
         return out
 
-    def crossing(self, regs: np.ndarray, size: np.ndarray, label: np.ndarray, main: np.ndarray, key: int, first: bool, limit: int) -> tuple[list[tuple[int, int]], bool]:
+    def crossing(self, regs: np.ndarray, size: np.ndarray, label: np.ndarray, main: np.ndarray, chunk: np.ndarray, group: tuple[int, int, int], banded: bool, limit: int) -> tuple[list[tuple[int, int]], bool]:
         """The likeliest pairs of rows with different labels, at most limit for each row outside the main label; and if any were held back.
 
-        first: whether this block is the one that compares the rows outside the main label among themselves.
+        group: the key, then (-1, block) for a block of the main label's rows beside all others, of which the first
+        compares the others among themselves; or the numbers of two chunks to be compared with each other.
+        banded: whether keys are band keys; then a pair counts in the first band that it shares.
         """
-        rows = np.flatnonzero(~main)
-        keys = band_keys(regs, self.bands, self.rows)
+        key, one, two = group
+        rows = np.flatnonzero(~main & ((one < 0) | (chunk == one)))
+        keys = band_keys(regs, self.bands, self.rows) if banded else None
+        place = np.arange(len(regs))[None]
         out, held = [], False
         for k in range(0, len(rows), 256):
             at = rows[k : k + 256]
             near = self.estimates(regs, size, at)
             apart = label[at][:, None] != label[None]
-            apart &= main[None] | (first & (at[:, None] < np.arange(len(regs))[None]))
+            if one < 0:
+                apart &= main[None] | ((two == 0) & (at[:, None] < place))
+            else:
+                apart &= (chunk == two)[None] & ((one != two) | (at[:, None] < place))
             near[~apart] = -1
             x, j = np.nonzero(near >= 0)
-            i = at[x]
-            shared = keys[i] == keys[j]
-            here = keys[i, shared.argmax(axis=1)] == key
-            x, i, j, value = x[here], i[here], j[here], near[x[here], j[here]]
-            order = np.lexsort((-value, x))
-            x, i, j = x[order], i[order], j[order]
+            if banded:
+                shared = keys[at[x]] == keys[j]
+                here = keys[at[x], shared.argmax(axis=1)] == key
+                x, j = x[here], j[here]
+            order = np.lexsort((-near[x, j], x))
+            x, j = x[order], j[order]
             begin = np.flatnonzero(np.diff(x, prepend=-1))
             nth = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
             held |= bool((nth >= limit).any())
-            out += zip(i[nth < limit].tolist(), j[nth < limit].tolist())
+            out += zip(at[x[nth < limit]].tolist(), j[nth < limit].tolist())
         return out, held
 
-    def pairs(self, groups: DataFrame, reps: DataFrame, limit: int | None) -> DataFrame:
-        """a, b, held from groups(key, rid[, label, main, block]): forests if limit is None, else crossing pairs."""
+    def pairs(self, groups: DataFrame, reps: DataFrame, limit: int | None, banded: bool = True) -> DataFrame:
+        """a, b, held from groups(key, rid[, label, main, chunk, one, two]): forests if limit is None, else crossing pairs."""
         crossing = limit is not None
         rows = groups.join(reps.select("rid", "n", "regs"), "rid")
         if crossing:
-            rows = rows.select("key", "block", "rid", "n", "regs", "label", "main").repartition("key", "block").sortWithinPartitions("key", "block", "rid")
+            rows = rows.select("key", "one", "two", "rid", "n", "regs", "label", "main", "chunk").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rid")
         else:
-            rows = rows.select("key", F.lit(0).alias("block"), "rid", "n", "regs").repartitionByRange("key", "regs").sortWithinPartitions("key", "regs")
+            rows = rows.select("key", F.lit(-1).alias("one"), F.lit(0).alias("two"), "rid", "n", "regs").repartitionByRange("key", "regs").sortWithinPartitions("key", "regs")
         piece = self.piece
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +237,7 @@ class NearDup:
                 regs, size = self.matrix([p[1] for p in part]), np.array([p[0][1] for p in part], np.float64)
                 rid = [p[0][0] for p in part]
                 if crossing:
-                    found, held = self.crossing(regs, size, np.array([p[2] for p in part]), np.array([p[3] for p in part]), key[0], key[1] == 0, limit)
+                    found, held = self.crossing(regs, size, *(np.array([p[k] for p in part]) for k in (2, 3, 4)), key, banded, limit)
                 else:
                     found, held = self.forest(regs, size), False
                 out.extend((min(rid[i], rid[j]), max(rid[i], rid[j]), held) for i, j in found if rid[i] != rid[j])
@@ -238,12 +248,12 @@ class NearDup:
                 return batch
 
             for batch in source:
-                for k, block, rid, n, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (k, block) != key or not crossing and len(part) >= piece:
+                for k, one, two, rid, n, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (k, one, two) != key or not crossing and len(part) >= piece:
                         if len(part) > 1:
                             solve()
-                        part = part[:: max(1, piece // 16)][:16] if (k, block) == key else []  # some go on, to tie the pieces
-                        key = (k, block)
+                        part = part[:: max(1, piece // 16)][:16] if (k, one, two) == key else []  # some go on, to tie the pieces
+                        key = (k, one, two)
                         if len(out) > 20_000:
                             yield flush()
                     part.append(((rid, n), *rest))
@@ -254,16 +264,48 @@ class NearDup:
 
         return arrow_stream(rows, run, "a long, b long, held boolean").groupBy("a", "b").agg(F.max("held").alias("held"))
 
-    def mixed_groups(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of the groups with several labels; large groups cut into blocks, with all but the main label's classes in each."""
+    def mixed_groups(self, members: DataFrame, labels: DataFrame, grid: bool = False) -> tuple[DataFrame, DataFrame | None]:
+        """The groups with several labels, by blocks for pairs(); and the classes of the groups left out of it, rid, if any.
+
+        A large group with few classes outside its main label is cut into blocks of the main label's classes, with
+        the others in each.  Where the others are more than a piece, the group is left out; or, with grid, cut into
+        chunks, each pair of which is a block.
+        """
         named = saved(members.join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid")))
         by_label = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-        by_key = saved(by_label.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"), F.max_by("label", "c").alias("most")).filter("kinds > 1"))
-        blocks = F.ceil(F.col("all") / F.lit(2.0 * self.piece)).cast("int")
+        by_key = saved(by_label.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"), F.max("c").alias("top"), F.max_by("label", "c").alias("most")).filter("kinds > 1"))
+        rows = named.join(by_key, "key")
+        few = (F.col("all") <= 2 * self.piece) | (F.col("all") - F.col("top") <= self.piece)
+        blocks = F.ceil(F.col("all") / F.lit((1.0 if grid else 2.0) * self.piece)).cast("int")
         own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
         main = F.col("label") == F.col("most")
-        spread = F.when((blocks > 1) & ~main, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-        return named.join(by_key, "key").select("key", "rid", "label", main.alias("main"), F.explode(spread).alias("block"))
+        upto = F.sequence(F.lit(0), blocks - 1)
+        pair = lambda one, two: F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"))
+        beside = F.transform(F.when((blocks > 1) & ~main, upto).otherwise(F.array(own)), lambda b: pair(F.lit(-1), b))
+        crossed = F.transform(upto, lambda b: pair(F.least(b, own), F.greatest(b, own)))
+        compared = rows if grid else rows.filter(few)
+        at = F.explode(F.when(few, beside).otherwise(crossed) if grid else beside)
+        compared = compared.select("key", "rid", "label", (main & few).alias("main"), own.alias("chunk"), at.alias("at")).select("key", "rid", "label", "main", "chunk", "at.one", "at.two")
+        hot = None if grid or by_key.filter(~few).isEmpty() else rows.filter(~few).select("rid").distinct()
+        return compared, hot
+
+    def rare_groups(self, documents: DataFrame, reps: DataFrame, hot: DataFrame) -> DataFrame:
+        """key, rid: the rarest shingles of the classes in hot(rid), as many as two similar sets must share one of (a prefix filter).
+
+        With all shingles in one order, of a set of n the first n - ceil(n * percent / 100) + 1 are taken; so a group
+        of many classes that have a band in common falls apart unless they are alike in their rare parts, too.
+        Shingles in many sets are so few that their counts are broadcast; the others' counts are joined.
+        """
+        sets = saved(self.sets(documents, hot.join(reps.select("rid", "sid", "uid"), "rid")))
+        each = sets.select("rid", F.explode("shingles").alias("s"))
+        counts = saved(each.groupBy("s").agg(F.count("*").alias("c")))
+        total = counts.agg(F.sum("c")).first()[0] or 0
+        common = F.broadcast(counts.filter(F.col("c") > total / MAX_COMMON))  # under MAX_COMMON of them, by their sum
+        rare = each.join(common.select(F.col("s").alias("o")), F.col("s") == F.col("o"), "left_anti").join(counts.filter(F.col("c") <= total / MAX_COMMON), "s")
+        ranked = rare.select("rid", "c", "s").unionByName(each.join(common, "s").select("rid", "c", "s")).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("t"))
+        n = F.size("t")
+        first = F.slice("t", 1, n - F.ceil(n * self.percent / F.lit(100)).cast("int") + 1)
+        return ranked.select("rid", F.explode(first).alias("t")).filter("t.c > 1").select(F.col("t.s").alias("key"), "rid")
 
     # ---- links and components -------------------------------------------------------------------------
 
@@ -286,16 +328,25 @@ class NearDup:
         shared = banded.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1").select("k")
         members = saved(banded.join(shared, F.col("key") == F.col("k"), "left_semi"))
         labels = documents.sparkSession.createDataFrame([], "node long, label long")
-        sets = tried = None
-        for limit in (None, 8, 1 << 40):
+        sets = tried = rare = None
+        limit, held = None, True
+        while held:
             if limit is None:
                 tried = found = saved(self.pairs(members, reps, None))
+                limit = 8
             else:
                 known = tried.select("a", "b", F.lit(True).alias("known"))
-                every = saved(self.pairs(self.mixed_groups(members, labels), reps, limit).join(known, ["a", "b"], "left"))
+                groups, hot = self.mixed_groups(members, labels)
+                every = self.pairs(groups, reps, limit)
+                if hot is not None and rare is None:  # later rounds' hot groups are among the first one's
+                    rare = saved(self.rare_groups(documents, reps, saved(hot)))
+                if rare is not None:
+                    every = every.unionByName(self.pairs(self.mixed_groups(rare, labels, True)[0], reps, limit, False)).groupBy("a", "b").agg(F.max("held").alias("held"))
+                every = saved(every.join(known, ["a", "b"], "left"))
                 held = every.agg(F.max("held")).first()[0]  # tried pairs, too, may have held others back
                 found = every.filter("known is null").drop("known")
                 tried = tried.unionByName(found)
+                limit *= 8
             if not found.isEmpty():
                 used = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
                 if sets is not None:
@@ -308,8 +359,6 @@ class NearDup:
                 if not new.isEmpty():
                     # what is known already goes in as a star for each component, not as all its links
                     labels = saved(components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
-            if limit is not None and not held:
-                break
         named = reps.select("rid", "sid", "uid").join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         least = named.groupBy("label").agg(F.min("uid").alias("component"))
         return rows, named.join(least, "label").select("sid", "component", "label")

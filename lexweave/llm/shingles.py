@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from lexweave.llm.kernels import FOLDED, mix, prefix_sums, span_hashes, word_table, words
+from lexweave.llm.kernels import SLICE_BYTES, hashed_words, joined, mix, word_table
 
 #: Words are maximal runs of other bytes than these (a fixed value of the contract).
 SPACES = word_table(b"\x20\x09\x0a\x0b\x0c\x0d")
@@ -17,21 +17,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
 
     A document with fewer words than width, but not none, has its whole word sequence as one shingle.
     """
-    starts, ends, counts = words(data, offsets, SPACES)
-    if not len(starts):
+    coded, counts = hashed_words(data, offsets, SPACES, fold=True)
+    if not len(coded):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    coded = span_hashes(prefix_sums(data, FOLDED), starts, ends)
-    first = np.concatenate(([0], np.cumsum(counts)))[:-1]
-    taken = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
-    doc = np.repeat(np.arange(len(counts)), taken)
-    at = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken) + first[doc]
-    span = np.minimum(counts, width)[doc]
-    total = span.astype(np.uint64)
-    for k in range(width):
-        part = coded[np.minimum(at + k, len(coded) - 1)] * np.uint64(2 * 0x2545F4914F6CDD1D * (k + 1) + 1 & 0xFFFFFFFFFFFFFFFF)
-        part = mix(part)
-        total += part if (counts[counts > 0] >= width).all() else np.where(k < span, part, np.uint64(0))
-    value = mix(total)
+    if len(counts) == 1 and len(coded) > SLICE_BYTES:  # a long document: its set grows piece by piece
+        value = np.empty(0, np.uint64)
+        for k in range(0, len(coded) - width + 1, SLICE_BYTES):
+            part = coded[k : k + SLICE_BYTES + width - 1]
+            value = np.union1d(value, shingles(part, np.array([len(part)]), width)[1])
+        return np.zeros(len(value), np.int64), value
+    doc, value = shingles(coded, counts, width)
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
@@ -39,6 +34,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
     return doc[new], value[new]
 
 
+def shingles(coded: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, hash) of all shingles of the words with these hashes."""
+    first = np.cumsum(counts) - counts
+    taken = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    doc = np.repeat(np.arange(len(counts)), taken)
+    at = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken) + first[doc]
+    span = np.minimum(counts, width)[doc]
+    short = (counts[counts > 0] < width).any()
+    value = mix(span.astype(np.uint64))
+    for k in range(width):
+        longer = joined(value, coded[np.minimum(at + k, len(coded) - 1)])
+        value = np.where(k < span, longer, value) if short else longer
+    return doc, value
+
+
 def registers(doc: np.ndarray, value: np.ndarray, n_docs: int, buckets: int) -> np.ndarray:
     """HyperMinHash registers, a byte each: by bucket of a document the leading zeros of its least value (4 bits) and the bits after the first one (4 bits).
 

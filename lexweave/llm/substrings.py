@@ -36,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import arrow_map, arrow_stream, need, saved
-from lexweave.llm.kernels import mix, powers, prefix_sums, runs, slices, span_hashes
-from lexweave.llm.neardup import lists
+from lexweave.llm.kernels import SLICE_BYTES, joined, mix, slices, widened, window_hashes
 
 LOW32 = np.uint64(0xFFFFFFFF)
+#: Whole runs are hashed by blocks of so many bytes.
+BLOCK = 32
 SOLVE_BYTES = 3_000_000
+#: Up to so many texts' identities (12 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -59,7 +62,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 class Repeats:
     length: int = 400
     gram: int = 50
-    group: int = 2000
+    group: int = 500
 
     def texts(self, documents: DataFrame) -> DataFrame:
         """doc_id, text, tid, size."""
@@ -71,9 +74,8 @@ class Repeats:
         n, length, gram = len(data), self.length, self.gram
         if n < length:
             return None
-        sums = prefix_sums(data)
-        rolling = (sums[gram:] - sums[:-gram]) * powers(n, True)[: n - gram + 1]
-        rolling = mix(rolling)
+        blocks = window_hashes(data, BLOCK)
+        rolling = widened(blocks, BLOCK, gram)
         least = sliding_least((rolling & ~LOW32) | np.arange(len(rolling), dtype=np.uint64), length - gram + 1)
         place = (least & LOW32).astype(np.int64)
         long = offsets[1:] - offsets[:-1] >= length
@@ -90,19 +92,32 @@ class Repeats:
         count = np.diff(np.append(first, len(at)))
         start, doc = at[first], doc[first]
         spot = place[start]
-        whole = span_hashes(sums, start, start + count - 1 + length)
-        whole = mix(whole + (spot - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64))
+        whole = joined(count.astype(np.uint64), (spot - start).astype(np.uint64))
+        last = start + count - 1 + length - BLOCK
+        for k in range(0, 2 * length - gram, BLOCK):
+            whole = joined(whole, blocks[np.minimum(start + k, last)])
         return doc, start - offsets[doc], count, spot - start, mix(rolling[spot] ^ np.uint64(0x5851F42D4C957F2D)), whole
 
     def all_runs(self, texts: DataFrame) -> DataFrame:
         """gram, whole, tid, size, start, span (count of starts * 512 + the minimizer's offset)."""
 
+        def pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+            """Slices; of a long text the windows of its starts, with where they begin: a run that is cut is two runs."""
+            for lo, _, data, offsets in slices(batch.column(0)):
+                if len(data) <= 2 * SLICE_BYTES:
+                    yield lo, 0, data, offsets
+                    continue
+                for a in range(0, len(data) - self.length + 1, SLICE_BYTES):
+                    part = data[a : a + SLICE_BYTES + self.length - 1]
+                    yield lo, a, part, np.array([0, len(part)])
+
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             tid, size = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for lo, _, data, offsets in slices(batch.column(0)):
+            for lo, a, data, offsets in pieces(batch):
                 found = self.runs_of(data, offsets)
                 if found is not None:
                     doc, start, count, offset, key, whole = found
+                    start = start + a
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(tid[lo + doc]), pa.array(size[lo + doc], pa.int32()), pa.array(start, pa.int32()), pa.array(count * 512 + offset, pa.int32())],
                         ["gram", "whole", "tid", "size", "start", "span"],
@@ -111,9 +126,15 @@ class Repeats:
         return arrow_map(texts.filter(F.col("size") >= self.length).select("text", "tid", "size"), run, "gram long, whole long, tid long, size int, start int, span int")
 
     def contexts(self, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-        """key, tid, size, start, span, ghost, n, bytes for wanted(gram, tid, size, start, span, ghost, n)."""
+        """key, tid, size, start, span, ghost, n, bytes for wanted(gram, tid, size, start, span, ghost, n).
+
+        Of equal texts one goes on: copies are dropped where they are read, before the shuffle.
+        """
         lists_of = saved(wanted.groupBy("tid", "size").agg(F.collect_list(F.struct("gram", "start", "span", "ghost", "n")).alias("w")))
-        rows = texts.select("text", "tid", "size").join(lists_of, ["tid", "size"]).select("text", "tid", "size", "w")
+        few = lists_of.count() <= BROADCAST_TEXTS
+        ids = lists_of.select("tid", "size")
+        picked = texts.select("text", "tid", "size").join(F.broadcast(ids) if few else ids, ["tid", "size"], "left_semi")
+        rows = picked.groupBy("tid", "size").agg(F.first("text").alias("text")).join(lists_of, ["tid", "size"]).select("text", "tid", "size", "w")
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for row in range(batch.num_rows):
@@ -134,12 +155,11 @@ class Repeats:
         data = np.frombuffer(b"".join(bodies), np.uint8)
         size = np.array([len(b) for b in bodies])
         begin = np.cumsum(size) - size
-        sums = prefix_sums(data)
         n = len(data)
         rank = np.full(n + 1, -1, np.int64)  # -1: unique, or too near its body's end
         ends = np.repeat(begin + size, size)
         at = np.flatnonzero(np.arange(n) + self.gram <= ends)
-        code = span_hashes(sums, at, at + self.gram)
+        code = window_hashes(data, self.gram)[at]
         reach = self.gram
         starts = np.zeros(n + 1, bool)
         starts[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin, counts)] = True
@@ -200,8 +220,6 @@ class Repeats:
                         held, size = [], 0
                         if found is not None:
                             yield found
-                    if held and row[:4] == held[-1][:4]:  # another copy of the same text
-                        continue
                     held.append(row)
                     size += len(row[6])
             if held and (found := solve(held)) is not None:
@@ -267,21 +285,24 @@ def remove_repeats(documents: DataFrame, repeats: Repeats = Repeats()) -> DataFr
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         size, gone, spans, digest = [], [], [], []
-        found = batch.column(2).to_pylist()
+        found = batch.column(2)
+        ends = found.offsets.to_numpy() - found.offsets[0].as_py()
+        every = found.flatten()
+        begin, end = every.field("lo").to_numpy().astype(np.int64), every.field("hi").to_numpy().astype(np.int64)
         for lo, hi, data, offsets in slices(batch.column(1)):
             for row in range(lo, hi):
                 body = data[offsets[row - lo] : offsets[row - lo + 1]]
-                kept, at, total, parts = hashlib.sha256(), 0, 0, 0
-                for s in found[row] or ():
-                    if s["lo"] > at or not parts:
-                        kept.update(body[at : s["lo"]])
-                        parts += 1
-                    total += max(0, s["hi"] - max(at, s["lo"]))
-                    at = max(at, s["hi"])
+                a, b = begin[ends[row] : ends[row + 1]], np.maximum.accumulate(end[ends[row] : ends[row + 1]])
+                first = np.flatnonzero(np.append(True, a[1:] > b[:-1])[: len(a)])
+                start, stop = a[first], b[np.append(first[1:], len(b)) - 1] if len(b) else b
+                kept, at = hashlib.sha256(), 0
+                for x, y in zip(start.tolist(), stop.tolist()):
+                    kept.update(body[at:x])
+                    at = y
                 kept.update(body[at:])
                 size.append(len(body))
-                gone.append(total)
-                spans.append(parts)
+                gone.append(int((stop - start).sum()))
+                spans.append(len(start))
                 digest.append(kept.hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexweave.llm import fingerprint, langid, neardup, shingles
+from lexweave.llm import fingerprint, langid, neardup, shingles, substrings
+from tests.llm import brute
 
 
 @pytest.mark.parametrize("percent, common, left, right", [(85, 6, 1, 0), (85, 12, 1, 1), (85, 17, 2, 1), (85, 17, 3, 0), (80, 4, 1, 0), (80, 8, 1, 1), (80, 12, 2, 1), (80, 16, 2, 2)])
@@ -38,7 +40,7 @@ def test_pairs_are_looked_for_after_empty_forests(spark):
 def test_pairs_held_back_by_tried_ones_are_verified(spark):
     class Held(neardup.NearDup):
         def pairs(self, groups, reps, limit):
-            if limit == 1 << 40:
+            if limit is not None and limit > 8:
                 return super().pairs(groups, reps, limit)
             rid = {r.uid: r.rid for r in reps.collect()}
             refused = (min(rid[0], rid[2]), max(rid[0], rid[2]), limit is not None)
@@ -48,6 +50,38 @@ def test_pairs_held_back_by_tried_ones_are_verified(spark):
     assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(0, 0), (1, 0), (2, 2)]
 
 
+def template(k: int, shared: int, own: int) -> str:
+    """A text whose first words many others share."""
+    return " ".join([f"s{x}" for x in range(shared)] + [f"o{k}x{x}" for x in range(own)])
+
+
+def test_many_classes_in_one_group_without_a_main_one(spark, monkeypatch):
+    """Texts that share three quarters and so bands, but are not linked, beside real near copies among them."""
+    texts = [template(k, 60, 20) for k in range(60)]
+    texts += [texts[k] + " end" for k in range(0, 60, 7)] + [texts[3] + " fin", texts[3] + " end fin"]
+    seen = []
+    monkeypatch.setattr(neardup.NearDup, "rare_groups", lambda self, *a, real=neardup.NearDup.rare_groups: seen.append(1) or real(self, *a))
+    found = neardup.NearDup(piece=4).deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(brute.near_groups(list(enumerate(texts)))) and seen
+
+
+def test_blocks_of_a_hot_group_grow_with_its_classes(spark):
+    near = neardup.NearDup(piece=64)
+    rows = {}
+    for n in (500, 1000):
+        members = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rid"))
+        labels = spark.createDataFrame([], "node long, label long")
+        groups, hot = near.mixed_groups(members, labels)
+        assert groups.count() == 0 and hot.count() == n
+        # where even rare shingles don't tell them apart: each pair of chunks is a block of its own
+        sizes = near.mixed_groups(members, labels, True)[0].groupBy("one", "two").count().collect()
+        assert max(r["count"] for r in sizes) < 4 * near.piece
+        main = near.mixed_groups(members, spark.range(n).filter("id > 20").select(F.col("id").alias("node"), F.lit(7).cast("long").alias("label")))
+        rows[n] = main[0].count()
+        assert main[1] is None
+    assert rows[1000] < 2.5 * rows[500] < 5000
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_bounds_of_losing_a_pair(percent):
     near = neardup.NearDup(percent=percent)
@@ -93,3 +127,51 @@ def test_rows_with_null_and_repeated_ids_are_judged_by_their_texts(spark):
     got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     want = [(1, a), (None, b), (None, c), (5, d), (5, e), (7, ""), (7, None), (None, ""), (None, "")]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def opposites(n: int) -> tuple[str, str]:
+    """A Thue-Morse text and its complement, which polynomials modulo a power of two can't tell apart."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_regular_texts_are_told_apart(spark, n):
+    one, other = opposites(n)
+    a, b = fingerprint.of_texts([one]), fingerprint.of_texts([other])
+    assert not (a[0] == b[0]).any() and fingerprint.likeness(a, b)[0] < 0.5
+    df = spark.createDataFrame([(0, f"{one} x y z w"), (1, f"{other} x y z w"), (2, f"{one} x y z w")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.NearDup().deduplicated(df).collect()) == [(0, 0), (1, 1), (2, 0)]
+    texts = [one + "one", other + "other", "c" * 500 + one[:700]]
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((k, *w) for k, w in enumerate(brute.repeats(texts)))
+
+
+def test_long_texts_go_by_windows(spark, monkeypatch):
+    """Every operator on slices gives the same for a text that is walked in windows."""
+    from lexweave.llm import kernels
+
+    rnd = np.random.default_rng(3)
+    line = " ".join(f"w{x}" for x in rnd.integers(0, 4000, 3000))
+    texts = [line + "\n" + " ".join(f"w{x}" for x in rnd.integers(0, 4000, 200)) + "\n" + line[:5000], line[300:9000] + "Zz" * 900, "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bodies = [t.encode() for t in texts]
+
+    def kinds():
+        out = []
+        for b in bodies:
+            data, offsets = np.frombuffer(b, np.uint8), np.array([0, len(b)])
+            out += [*fingerprint.vectors(data, offsets), *shingles.shingle_sets(data, offsets)]
+        return out
+
+    whole = kinds()
+    for module in (kernels, fingerprint, shingles):
+        monkeypatch.setattr(module, "SLICE_BYTES", 1000)
+    assert all((a == b).all() for a, b in zip(whole, kinds(), strict=True))
+    repeats = substrings.Repeats()
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 1000)
+    starts = repeats.all_runs(repeats.texts(df).repartition(1))
+    assert sorted(tuple(r) for r in substrings.remove_repeats(df).collect()) == sorted((k, *w) for k, w in enumerate(brute.repeats(texts)))
+    assert starts.filter("size > 2000").count() > 0
