@@ -16,6 +16,9 @@ suffixes would shuffle each byte position in each round; here only positions tha
    by growing strings around it, common to all strings that start at nearby offsets: 64 offsets, then 8, then
    1, where a count of equal keys decides.  So no task gets an unbounded group.
 
+Beside this, n_passages reports the stretches of words that documents share: a passage of over 50 words has
+often under `length` bytes, so that none of it is to be removed.
+
 Strings are compared by 64-bit hashes within groups of equal 64-bit hashes.  Texts are known by a 64-bit hash
 and their size.  Matches never cross documents, equal texts repeat each other, and strings are judged on the
 input.
@@ -36,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import arrow_map, arrow_stream, need, saved
-from lexweave.llm.kernels import SLICE_BYTES, joined, mix, slices, widened, window_hashes
+from lexweave.llm.kernels import SLICE_BYTES, hashed_words, joined, mix, slices, widened, window_hashes
+from lexweave.llm.shingles import SPACES
 
 LOW32 = np.uint64(0xFFFFFFFF)
 #: Whole runs are hashed by blocks of so many bytes.
@@ -58,11 +62,34 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+def passage_grams(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, hash) of the distinct minimizers, `gram` words each, of all windows of `window` words, sorted by both."""
+    coded, counts = hashed_words(data, offsets, SPACES)
+    if len(coded) < window:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    grams = widened(coded, 1, gram)
+    least = sliding_least((grams & ~LOW32) | np.arange(len(grams), dtype=np.uint64), window - gram + 1)
+    ends = np.cumsum(counts)
+    doc = np.searchsorted(ends, np.arange(len(least)), "right")
+    inside = np.arange(len(least)) + window <= ends[doc]
+    doc, value = doc[inside], grams[(least[inside] & LOW32).astype(np.int64)]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+    doc, value = doc[new], value[new]
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+    return doc[new], value[new]
+
+
 @dataclass(frozen=True)
 class Repeats:
     length: int = 400
     gram: int = 50
     group: int = 500
+    passage_words: int = 51
+    passage_gram: int = 32
 
     def texts(self, documents: DataFrame) -> DataFrame:
         """doc_id, text, tid, size."""
@@ -273,15 +300,34 @@ class Repeats:
                 pending = parts.filter(F.col("n") > self.group)
         return out.distinct()
 
+    def passages(self, texts: DataFrame) -> DataFrame:
+        """tid, size, n_passages of the texts that share stretches of words with other documents.
+
+        Of each window of `passage_words` words one stretch of `passage_gram`, its minimizer, is looked up among those
+        of all documents.  So a passage of that many words that another document has, too, is always found, whatever
+        its bytes, and nothing shorter than a stretch ever is.
+        """
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for lo, _, data, offsets in slices(batch.column(0)):
+                doc, value = passage_grams(data, offsets, self.passage_words, self.passage_gram)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(1).take(pa.array(lo + doc)), batch.column(2).take(pa.array(lo + doc))], ["gram", "tid", "size"])
+
+        long = texts.filter(F.col("size") >= 2 * self.passage_words - 1).select("text", "tid", "size")
+        every = saved(arrow_map(long, run, "gram long, tid long, size int"))
+        shared = every.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n")).filter("n > 1").select("g")
+        return every.join(saved(shared), F.col("gram") == F.col("g"), "left_semi").groupBy("tid", "size").agg(F.count_distinct("gram").alias("n_passages"))
+
     def removed(self, documents: DataFrame) -> DataFrame:
-        """doc_id, text, spans array<struct<lo, hi>>: the byte ranges to remove by start (they may overlap); null without any."""
+        """doc_id, text, spans array<struct<lo, hi>>: the byte ranges to remove by start (they may overlap); null without any; n_passages."""
         texts = self.texts(need(documents, "doc_id", "text"))
         found = self.repeated(texts).groupBy("tid", "size").agg(F.array_sort(F.collect_list(F.struct("lo", (F.col("hi") + self.length).alias("hi")))).alias("spans"))
-        return texts.join(saved(found), ["tid", "size"], "left").select("doc_id", "text", "spans")
+        both = saved(found.join(self.passages(texts), ["tid", "size"], "full_outer"))
+        return texts.join(both, ["tid", "size"], "left").select("doc_id", "text", "spans", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"))
 
 
 def remove_repeats(documents: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         size, gone, spans, digest = [], [], [], []
@@ -304,7 +350,7 @@ def remove_repeats(documents: DataFrame, repeats: Repeats = Repeats()) -> DataFr
                 gone.append(int((stop - start).sum()))
                 spans.append(len(start))
                 digest.append(kept.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(digest, pa.string()), batch.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return arrow_map(repeats.removed(documents), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_map(repeats.removed(documents), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")

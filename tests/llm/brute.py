@@ -26,6 +26,16 @@ def repeats(texts: list[str | None], length: int = 400) -> list[tuple[int, int,
     return out
 
 
+def sharing(texts: list[str | None], n: int) -> set[int]:
+    """The places of the texts that have n words in a row that another one has, too."""
+    holders = defaultdict(set)
+    for k, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for i in range(len(words) - n + 1):
+            holders[tuple(words[i : i + n])].add(k)
+    return set().union(*(ks for ks in holders.values() if len(ks) > 1))
+
+
 def shingles(text: str | None, width: int = 5) -> frozenset:
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
     if not words:
