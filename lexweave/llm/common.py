@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,22 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_made: dict[str, Any] = {}
+
+
+class Sent:
+    """A broadcast value that each Python worker turns into what it needs once, and keeps until it needs another."""
+
+    def __init__(self, spark: SparkSession, value: Any, make: Callable[[Any], Any]) -> None:
+        self.name, self.value, self.make = uuid.uuid4().hex, spark.sparkContext.broadcast(value), make
+
+    def made(self) -> Any:
+        if self.name not in _made:
+            _made.clear()
+            _made[self.name] = self.make(self.value.value)
+        return _made[self.name]
+
+
 def arrow_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow, with memory given back at the end of a task."""
 
