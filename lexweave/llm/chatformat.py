@@ -7,7 +7,7 @@ state machine accepted the order of turns.
 
 Cases: turns are ordered by turn, then role and text (nulls first); a null text is empty; a null or unknown
 role is marked by its own (escaped) name, gets no loss and is not valid; conversations that break the order
-are formatted all the same, with valid false; an empty table gives an empty result; other columns are not read.
+are formatted all the same, with valid false; a conversation is one row, as its output is; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,20 +27,22 @@ class Template:
     closing: str = "<|end|>\n"
     #: In this order; undone in the reverse order.  No text keeps a "<", so none holds a control string.
     escapes: tuple[tuple[str, str], ...] = (("&", "&amp;"), ("<", "&lt;"))
+    #: Beside those, in roles, which end at the first line break.
+    role_escapes: tuple[tuple[str, str], ...] = (("\n", "&#10;"),)
     loss: tuple[str, ...] = ("assistant",)
     #: state: the roles that may come next; a role's name is the state after it.
     moves: tuple[tuple[str, tuple[str, ...]], ...] = (("start", ("system", "user")), ("system", ("user",)), ("user", ("assistant",)), ("assistant", ("user",)))
     final: tuple[str, ...] = ("user", "assistant")
 
-    def escaped(self, text: Column) -> Column:
-        return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), self.escapes, text)
+    def escaped(self, text: Column, role: bool = False) -> Column:
+        return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), self.escapes + self.role_escapes * role, text)
 
-    def plain(self, text: Column) -> Column:
-        return reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), reversed(self.escapes), text)
+    def plain(self, text: Column, role: bool = False) -> Column:
+        return reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), reversed(self.escapes + self.role_escapes * role), text)
 
     def opens(self, role: Column) -> Column:
         before, after = self.opening.split("{role}")
-        return F.concat(F.lit(before), self.escaped(role), F.lit(after))
+        return F.concat(F.lit(before), self.escaped(role, True), F.lit(after))
 
     def accepts(self, roles: Column) -> Column:
         def step(state: Column, role: Column) -> Column:
@@ -77,7 +79,7 @@ def read_turns(formatted: Column, template: Template = Template()) -> Column:
     def parsed(piece: Column) -> Column:
         inner = F.substring(piece, F.lit(len(before) + 1), F.length(piece))
         role = F.substring_index(inner, after, 1)
-        return F.struct(template.plain(role).alias("role"), template.plain(F.substring(inner, F.length(role) + len(after) + 1, F.length(inner))).alias("text"))
+        return F.struct(template.plain(role, True).alias("role"), template.plain(F.substring(inner, F.length(role) + len(after) + 1, F.length(inner))).alias("text"))
 
     return F.transform(pieces, parsed)
 

@@ -123,7 +123,7 @@ s AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
          coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
-         sum(length('<|turn|>' || chr(10) || '<|end|>' || chr(10)) + length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) + length(replace(replace(text, '&', '&amp;'), '<', '&lt;'))) AS chars,
+         sum(length('<|turn|>' || chr(10) || '<|end|>' || chr(10)) + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<', '&lt;'))) AS chars,
          list(role ORDER BY turn, role, text) AS roles
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
