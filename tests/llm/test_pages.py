@@ -82,6 +82,10 @@ def test_url_filter(pages):
         want.append((i, host, path, best[2], best[1]))
     assert got == sorted(want, key=repr)
     assert {w[4] for w in want} == {"allow", "block"}
+    # a list longer than a chunk, as rows or as a table
+    listed = pages.sparkSession.createDataFrame(list(queries.RULES), "action string, host string, path string")
+    for rules in (queries.RULES, listed):
+        assert sorted((tuple(r) for r in urlfilter.filter_urls(pages, rules, limit=12).collect()), key=repr) == sorted(want, key=repr)
     assert urlfilter.filter_urls(pages.limit(0), queries.RULES).count() == 0
 
 
@@ -90,9 +94,19 @@ def test_block_wins_a_tie():
     assert urlfilter.judge(root, "b.a.org", "/xyz")[2] == "block" and urlfilter.judge(root, "ba.org", "/xyz") is None
 
 
+def test_many_entries_of_one_host():
+    """A lookup does not walk the host's entries."""
+    root = urlfilter.compile_rules([("block", "a.org", f"p/{k}") for k in range(50_000)] + [("allow", "a.org", "p/77/")])
+    node = root.labels["org"].labels["a"].segments[""].segments["p"]
+    assert len(node.open) == 50_000 and len(node.sizes) == 5
+    assert urlfilter.judge(root, "a.org", "/p/49999x")[3] == "a.org/p/49999" and urlfilter.judge(root, "a.org", "/p/77/z")[2] == "allow"
+    assert urlfilter.judge(root, "a.org", "/p/x") is None
+
+
 TURNS = [
     (1, 2, "assistant", "a <|end|>\n& b &lt; c"), (1, 0, "system", "be <b>"), (1, 1, "user", "hi"), (2, 0, "user", None), (2, 1, "assistant", ""), (3, 0, "assistant", "first"), (4, 0, None, "x"), (4, 1, "<|turn|>user", "y"),
     (5, 0, "user", "twin"), (5, 0, "user", "twin"), (6, None, "user", "q"), (6, 1, "assistant", "😀" * 5), (None, 0, "user", "nobody"), (7, 0, "user", "w " * 50_000), (7, 1, "assistant", "&amp;" * 1000), (8, 0, "system", "alone"),
+    (9, 0, "us\ner", "hi"), (9, 1, "&#10;\n\n<", "there\n&#10;"),
 ]
 
 
