@@ -3,8 +3,8 @@
 A size-weighted sample of keys gives quantile boundaries; records are range-partitioned by them; ranges
 that turn out overfull are sampled again and subdivided.  Consecutive ranges are then dealt to shards by
 their exact cumulative size.  The key is (hash of the group column, hash of the id): records of one group
-(equal texts) stay adjacent and so in one range, unless the group alone fills whole ranges; only such hot
-groups are subdivided, by the second part.
+(equal texts) stay adjacent and so in one range, unless the group is over `tolerance` of a shard; only such hot
+groups are subdivided, by the second part, in which each row's place in a saved table sets apart rows of one id.
 
 What reaches the driver is bounded by parameters: about `draws` sampled keys a range, and a row for each
 range.  Cases: null group values form a group; null ids hash like any value; repeated rows and ties get
@@ -39,12 +39,13 @@ class RangeSharder:
     draws: int = 24
     overfull: float = 2.0
     rounds: int = 4
+    tolerance: float = 0.05
     bounds: list[tuple[int, int]] = field(default_factory=list)
     deal: list[tuple[int, int, int]] = field(default_factory=list)
 
     def keyed(self, df: DataFrame, group: str, ident: str) -> DataFrame:
-        """Adds the two key parts."""
-        return df.withColumns({"__k1": F.xxhash64(F.col(f"`{group}`")), "__k2": F.xxhash64(F.col(f"`{ident}`"))})
+        """Adds the two key parts; the result is to be saved, as the second depends on the row's place."""
+        return df.withColumns({"__k1": F.xxhash64(F.col(f"`{group}`")), "__k2": F.xxhash64(F.col(f"`{ident}`"), F.monotonically_increasing_id())})
 
     def ranged(self, df: DataFrame) -> DataFrame:
         first = np.array([b[0] for b in self.bounds], np.int64)
@@ -70,16 +71,15 @@ class RangeSharder:
         rows = light.withColumn("__w", weight).filter(chance < F.col("__w")).select("__k1", "__k2", F.greatest("__w", F.lit(1.0)).alias("w"), "__range")
         return [tuple(r) for r in rows.collect()]
 
-    @staticmethod
-    def quantiles(sample: list[tuple[int, int, float, int]], pieces: int) -> list[tuple[int, int]]:
-        """Boundaries that cut the sample into pieces of equal weight; inside a group only if it fills a piece by itself."""
+    def quantiles(self, sample: list[tuple[int, int, float, int]], pieces: int) -> list[tuple[int, int]]:
+        """Boundaries that cut the sample into pieces of equal weight; inside a group only if it is over the tolerance."""
         if not sample or pieces < 2:
             return []
         sample = sorted((a, b, w) for a, b, w, _ in sample)
         total = np.cumsum([s[2] for s in sample])
         cuts = np.searchsorted(total, total[-1] * np.arange(1, pieces) / pieces)
         by_key = pd.Series([s[2] for s in sample]).groupby([s[0] for s in sample]).sum()
-        heavy = set(by_key[by_key > total[-1] / pieces].index)
+        heavy = set(by_key[by_key > self.tolerance * self.ranges_per_shard * self.draws].index)  # a shard's weight in draws
         return sorted({(sample[c][0], sample[c][1] if sample[c][0] in heavy else LOW) for c in cuts})
 
     def fit(self, light: DataFrame) -> RangeSharder:
@@ -136,6 +136,6 @@ def shard_documents(documents: DataFrame, n_shards: int = 8) -> DataFrame:
 def sharded(documents: DataFrame, n_shards: int = 8) -> DataFrame:
     """The whole records, in the order of their shards' ranges, with shard and slot."""
     sharder = RangeSharder(n_shards)
-    keyed = sharder.keyed(documents, "text", "doc_id")
-    sharder.fit(saved(keyed.select("__k1", "__k2", byte_size("text").alias("__size"))))
+    keyed = saved(sharder.keyed(documents, "text", "doc_id"))
+    sharder.fit(keyed.select("__k1", "__k2", byte_size("text").alias("__size")))
     return sharder.transform(keyed)
