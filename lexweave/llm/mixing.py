@@ -6,13 +6,15 @@ first, and only what the whole parent can't use goes further up.  Each leaf then
 as fit and a token prefix of the next one, in that epoch's seeded order; of the last document of the prefix
 only the tokens that are left to the budget count.
 
-What reaches the driver is a row for each leaf (refused over MAX_LEAVES).  A leaf's order is cut into buckets
-of the seeded hash: whole buckets are taken by their sums, and only the bucket where the budget ends is
-ordered row by row, so a source with a third of all rows is nowhere in one task.
+The nodes above the leaves are shared out on the driver, which gets a row for each domain and language; the leaves
+of one parent by a window over them, so any number of sources will do.  A leaf's order is a seeded hash, cut into
+2 ** BITS buckets: whole buckets are taken by their sums, and the bucket where the budget ends is cut again until it
+holds at most EDGE_ROWS rows; only these are ordered row by row, so a source with a third of all rows is nowhere in
+one task.  Rows that share their id and text are told apart by their place in a saved table.
 
 Cases: null domains, languages and sources are leaves of their own, with the default weight; null and empty
-texts have no tokens and go with the place they have in the order; ties in the order (repeated rows) are
-broken by id and text; an empty table gives an empty result; other columns are carried along.
+texts have no tokens and go with the place they have in the order; ties in the order (repeated rows, null ids with
+one text) are broken by place; an empty table gives an empty result; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LEAVES = 100_000
-MAX_BUCKETS = 4096
-BUCKET_TOKENS = 100_000
-LEVELS = ("domain", "lang", "source")
+from lexweave.llm.common import saved
+
+#: Up to so many leaves (some 100 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_LEAVES = 100_000
+BITS, KEY_BITS = 9, 63
+EDGE_ROWS = 1000
+LAST = (1 << KEY_BITS) - 1
 
 
 def token_count(text: str | Column) -> Column:
@@ -61,67 +66,107 @@ class Mixture:
     max_epochs: int = 2
     seed: int = 7
 
-    def budgets(self, leaves: dict[tuple, int], budget: float) -> dict[tuple, int]:
-        """Tokens for each leaf (domain, lang, source); leaves: the tokens that each has."""
+    def exact(self, leaves: dict[tuple, int], budget: float) -> dict[tuple, float]:
+        """The share of each of these nodes, all of one depth; leaves: the tokens that each has."""
         room: dict[tuple, float] = {}
         children: dict[tuple, list[tuple]] = {}
         for leaf in sorted(leaves, key=repr):
             for depth in range(len(leaf) + 1):
                 node = leaf[:depth]
+                if depth < len(leaf) and node not in children:
+                    children[node] = []
+                if depth and node not in room:
+                    children[leaf[: depth - 1]].append(node)
                 room[node] = room.get(node, 0) + leaves[leaf] * self.max_epochs
-                if depth < len(leaf) and leaf[: depth + 1] not in children.setdefault(node, []):
-                    children[node].append(leaf[: depth + 1])
-        out: dict[tuple, int] = {}
-        todo = [((), min(budget, room.get((), 0)))]
+        out: dict[tuple, float] = {}
+        todo = [((), min(budget, room.get((), 0)))] if leaves else []
         while todo:
             node, have = todo.pop()
-            if node in leaves and node not in children:
-                out[node] = int(round(have))
+            if node not in children:
+                out[node] = have
                 continue
-            below = children.get(node, [])
-            given = fill(have, [self.weights.get(c, self.default_weight) for c in below], [room[c] for c in below])
-            todo += zip(below, given)
+            below = children[node]
+            todo += zip(below, fill(have, [self.weights.get(c, self.default_weight) for c in below], [room[c] for c in below]))
         return out
 
-    def select(self, documents: DataFrame, domain: Column, budget_share: float) -> DataFrame:
-        """The documents' rows, one for each epoch that takes them, with domain, tokens, epoch and taken_tokens.
+    def budgets(self, leaves: dict[tuple, int], budget: float) -> dict[tuple, int]:
+        """Whole tokens for each leaf (domain, lang, source)."""
+        return {leaf: round(have) for leaf, have in self.exact(leaves, budget).items()}
+
+    def shares(self, leaves: DataFrame, budget_share: float) -> DataFrame:
+        """leaf, n, share for leaves(leaf, n): the tokens that each leaf gives.
+
+        Siblings are filled in the order of room by weight: those up to some level give all that they have, the
+        others that level by weight.
+        """
+        spark = leaves.sparkSession
+        above = {(r[0], r[1]): r[2] for r in leaves.groupBy("leaf.domain", "leaf.lang").agg(F.sum("n")).collect()}
+        parents = [(*k, float(v)) for k, v in self.exact(above, sum(above.values()) * budget_share).items()]
+        given = F.broadcast(spark.createDataFrame(parents, "d string, l string, have double"))
+        named = F.broadcast(spark.createDataFrame([(*k, float(w)) for k, w in self.weights.items() if len(k) == 3], "wd string, wl string, ws string, w double"))
+        rows = leaves.join(given, F.col("leaf.domain").eqNullSafe(F.col("d")) & F.col("leaf.lang").eqNullSafe(F.col("l")))
+        rows = rows.join(named, F.col("leaf.domain").eqNullSafe(F.col("wd")) & F.col("leaf.lang").eqNullSafe(F.col("wl")) & F.col("leaf.source").eqNullSafe(F.col("ws")), "left")
+        rows = rows.select("leaf", "n", "have", F.coalesce("w", F.lit(float(self.default_weight))).alias("w"), (F.col("n") * self.max_epochs).cast("double").alias("room"))
+        rows = rows.withColumn("level", F.when(F.col("w") > 0, F.col("room") / F.col("w")).otherwise(F.lit(0.0))).withColumn("room", F.when(F.col("w") > 0, F.col("room")).otherwise(F.lit(0.0)))
+        of = Window.partitionBy("leaf.domain", "leaf.lang")
+        upto = of.orderBy("level", "leaf.source").rowsBetween(Window.unboundedPreceding, -1)
+        left = F.greatest(F.col("have") - F.coalesce(F.sum("room").over(upto), F.lit(0.0)), F.lit(0.0))
+        weight = F.sum("w").over(of) - F.coalesce(F.sum("w").over(upto), F.lit(0.0))
+        rows = rows.withColumn("mark", F.when(F.col("w") > 0, left / weight))
+        # the first that is not full sets the level; for those after it the mark is lower
+        level = F.max(F.when(F.col("mark") < F.col("level"), F.col("mark"))).over(of)
+        return rows.withColumn("cap", level).select("leaf", "n", F.rint(F.least("room", F.coalesce(F.col("cap") * F.col("w"), F.col("room")))).cast("long").alias("share"))
+
+    def prepared(self, documents: DataFrame, domain: Column) -> DataFrame:
+        """The documents' rows with __leaf, __tokens and __tie, the hash that sets the rows of one id apart."""
+        leaf = F.struct(domain.alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source"))
+        return documents.withColumns({"__leaf": leaf, "__tokens": token_count("text"), "__tie": F.xxhash64("text")})
+
+    def select(self, prepared: DataFrame, budget_share: float) -> DataFrame:
+        """The rows of prepared(), one for each epoch that takes them, with domain, tokens, epoch and taken_tokens.
 
         budget_share: the token budget as a share of the tokens of documents.
         """
-        spark = documents.sparkSession
-        rows = documents.withColumns({"__leaf": F.struct(domain.alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source")), "__tokens": token_count("text")})
-        found = rows.groupBy("__leaf").agg(F.sum("__tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
-        if len(found) > MAX_LEAVES:
-            raise ValueError(f"over {MAX_LEAVES} leaves")
-        leaves = {tuple(r[0]): r[1] for r in found}
-        shares = self.budgets(leaves, sum(leaves.values()) * budget_share)
-        plan = []
-        for leaf, n in leaves.items():
-            whole = min(self.max_epochs, shares[leaf] // n) if n else 0
-            plan.append((leaf, whole, shares[leaf] - whole * n, max(1, min(MAX_BUCKETS, -(-n // BUCKET_TOKENS)))))
-        plans = spark.createDataFrame(plan, "leaf struct<domain: string, lang: string, source: string>, whole int, rest long, buckets int")
-        key = F.xxhash64(F.lit(self.seed), "whole", "doc_id")
-        rows = (
-            rows.join(F.broadcast(plans), F.col("__leaf").eqNullSafe(F.col("leaf")))
-            .withColumn("__key", F.shiftrightunsigned(key, 1))
-            .withColumn("__bucket", (F.shiftrightunsigned("__key", 32) * F.col("buckets") / float(1 << 31)).cast("int"))
-        )
-        steps = rows.filter("rest > 0").groupBy("leaf", "__bucket").agg(F.sum("__tokens").alias("n"), F.first("rest").alias("rest"))
-        upto = Window.partitionBy("leaf").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cut = steps.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
-        ends = [(tuple(r[0]), r[1], r[2]) for r in cut.filter("before < rest and upto >= rest").select("leaf", "__bucket", "before").collect()]
-        edge = spark.createDataFrame(ends, "l struct<domain: string, lang: string, source: string>, edge int, before long")
-        rows = rows.join(F.broadcast(edge), F.col("leaf").eqNullSafe(F.col("l")), "left")
-        names = [F.col(f"`{c}`") for c in documents.columns]
+        names = [F.col(f"`{c}`") for c in prepared.columns if c not in ("__leaf", "__tokens", "__tie")]
+        rows = saved(prepared.withColumn("__place", F.monotonically_increasing_id()))
+        leaves = saved(self.shares(rows.groupBy(F.col("__leaf").alias("leaf")).agg(F.sum("__tokens").alias("n")), budget_share))
+        few = leaves.count() <= BROADCAST_LEAVES
+        whole = F.when(F.col("n") > 0, F.least(F.lit(self.max_epochs), F.floor(F.col("share") / F.col("n")))).otherwise(F.lit(0)).cast("int")
+        leaves = leaves.select("leaf", "n", whole.alias("whole"), "share").withColumn("rest", F.col("share") - F.col("whole") * F.col("n"))
+        listed = lambda df: F.broadcast(df) if few else df
+        hashed = lambda *c: F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), *c), 1)
+        keyed = rows.join(listed(leaves), F.col("__leaf").eqNullSafe(F.col("leaf"))).withColumns({"__key": hashed("whole", "doc_id", "__tie"), "__second": hashed("__place")})
+        # the bucket where a leaf's budget ends: keys from lo to hi, and second keys from lo2 to hi2 if lo = hi
+        edges = leaves.filter("rest > 0").select("leaf", "rest", *(F.lit(x).cast("long").alias(c) for c, x in (("lo", 0), ("hi", LAST), ("lo2", 0), ("hi2", LAST), ("before", 0), ("held", EDGE_ROWS + 1))))
+        edges = saved(edges)
+        for level in range(2 * KEY_BITS // BITS):
+            todo = edges.filter(F.col("held") > EDGE_ROWS)
+            if todo.isEmpty():
+                break
+            second, shift = level >= KEY_BITS // BITS, KEY_BITS - BITS * (level % (KEY_BITS // BITS) + 1)
+            key, lo, hi = ("__second", "lo2", "hi2") if second else ("__key", "lo", "hi")
+            inside = keyed.select(F.col("leaf").alias("of"), "__key", "__second", "__tokens").join(listed(todo), F.col("of").eqNullSafe(F.col("leaf")) & F.col("__key").between(F.col("lo"), F.col("hi")) & F.col("__second").between(F.col("lo2"), F.col("hi2")))
+            sums = inside.groupBy("leaf", F.shiftrightunsigned(F.col(key) - F.col(lo), shift).alias("bucket")).agg(
+                F.sum("__tokens").alias("t"), F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("rest", "lo", "hi", "lo2", "hi2", "before"))
+            )
+            upto = Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+            cut = sums.withColumn("start", F.col("before") + F.coalesce(F.sum("t").over(upto), F.lit(0))).filter((F.col("start") < F.col("rest")) & (F.col("start") + F.col("t") >= F.col("rest")))
+            begin = F.col(lo) + F.shiftleft("bucket", shift)
+            cut = cut.select("leaf", "rest", "lo", "hi", "lo2", "hi2", F.col("start").alias("before"), F.col("c").alias("held"), begin.alias("a"), (begin + F.lit((1 << shift) - 1)).alias("b"))
+            cut = cut.withColumns({lo: F.col("a"), hi: F.col("b")}).drop("a", "b")
+            edges = saved(edges.filter(F.col("held") <= EDGE_ROWS).unionByName(cut))
+        edges = edges.select(F.col("leaf").alias("of"), "lo", "hi", "lo2", "hi2", "before")
+        keyed = keyed.join(listed(edges), F.col("leaf").eqNullSafe(F.col("of")), "left")
 
         def made(df: DataFrame, epoch: Column, taken: Column) -> DataFrame:
             return df.select(*names, F.col("leaf.domain").alias("domain"), F.col("__tokens").alias("tokens"), epoch.cast("int").alias("epoch"), taken.cast("long").alias("taken_tokens"))
 
-        sure = F.col("whole") + F.when(F.col("__bucket") < F.col("edge"), 1).otherwise(0)
-        whole = rows.filter(sure > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0), sure - 1)))
-        order = Window.partitionBy("leaf").orderBy("__key", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-        last = rows.filter("__bucket = edge").withColumn("__at", F.coalesce(F.sum("__tokens").over(order), F.lit(0)) + F.col("before")).filter("__at < rest")
-        return made(whole, F.col("__epoch"), F.col("__tokens")).unionByName(made(last, F.col("whole"), F.least(F.col("__tokens"), F.col("rest") - F.col("__at"))))
+        inside = F.col("__key").between(F.col("lo"), F.col("hi"))
+        sure = F.col("whole") + F.when((F.col("__key") < F.col("lo")) | (inside & (F.col("__second") < F.col("lo2"))), 1).otherwise(0)
+        every = keyed.filter(sure > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0), sure - 1)))
+        order = Window.partitionBy("leaf").orderBy("__key", "__second").rowsBetween(Window.unboundedPreceding, -1)
+        last = keyed.filter(inside & F.col("__second").between(F.col("lo2"), F.col("hi2"))).withColumn("__at", F.coalesce(F.sum("__tokens").over(order), F.lit(0)) + F.col("before")).filter("__at < rest")
+        return made(every, F.col("__epoch"), F.col("__tokens")).unionByName(made(last, F.col("whole"), F.least(F.col("__tokens"), F.col("rest") - F.col("__at"))))
 
 
 #: The tree that the query and the pipeline use: sources are grouped into domains by their number.
@@ -136,5 +181,5 @@ def domain_of() -> Column:
 
 def mix_documents(documents: DataFrame) -> DataFrame:
     """doc_id, domain, lang, source, tokens, epoch, taken_tokens."""
-    picked = documents.select("doc_id", "text", "lang", "source")
-    return MIXTURE.select(picked, domain_of(), BUDGET_SHARE).drop("text")
+    picked = MIXTURE.prepared(documents.select("doc_id", "text", "lang", "source"), domain_of())
+    return MIXTURE.select(picked.drop("text"), BUDGET_SHARE)

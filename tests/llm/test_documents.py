@@ -61,6 +61,16 @@ def test_sharding(docs, empty):
     for r in got:
         shards[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and set(shards) <= set(range(8))
+    where = defaultdict(set)
+    for r in got:
+        where[r.text_crc32].add(r.shard)
+    total, longest = sum(r.size for r in got), max(r.size for r in got)
+    by_shard = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    groups = defaultdict(int)
+    for r in got:
+        groups[r.text_crc32] += r.size
+    assert all(len(s) == 1 or groups[k] > 0.04 * total / 8 for k, s in where.items() if k)  # null and empty texts are two groups
+    assert max(by_shard) - total / 8 <= max(longest, 0.05 * total / 8) + total / 100
     assert sharding.shard_documents(empty).count() == 0
 
 
@@ -70,6 +80,15 @@ def test_shards_near_equal_with_a_hot_group(spark):
     assert len(sizes) == 8 and max(sizes) < 1.03 * sum(sizes) / 8 and min(sizes) > 0.97 * sum(sizes) / 8
 
 
+def test_small_groups_stay_together_and_rows_of_one_key_are_cut(spark):
+    groups = spark.range(150).select(F.explode(F.sequence(F.lit(1), F.col("id") % 8 + 2)).alias("k"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    shards = sharding.shard_documents(groups.select(F.monotonically_increasing_id().alias("doc_id"), "text")).groupBy("text_crc32").agg(F.count_distinct("shard").alias("n"), F.count("*").alias("c"))
+    assert shards.filter("n > 1 and c < 5").isEmpty() and shards.filter("n > 1").count() <= 7
+    same = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    counts = [r["count"] for r in sharding.shard_documents(same).groupBy("shard").count().collect()]
+    assert len(counts) == 8 and max(counts) < 1.1 * 1000
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates(docs, empty, percent):
     got = rows_of(neardup.NearDup(percent=percent).deduplicated(docs).filter("doc_id is not null"))
@@ -208,20 +227,80 @@ def test_likeness_follows_shared_text():
     assert near[0] == 1 and 0.35 < near[1] < 0.65 and near[2] < 0.2
 
 
+def plain_fill(budget, kids):
+    """kids: (weight, room). One unit of level after the other: who is full drops out."""
+    got = [0.0] * len(kids)
+    while budget > 1e-7:
+        free = [k for k, (w, r) in enumerate(kids) if w > 0 and r - got[k] > 1e-9]
+        if not free:
+            break
+        weight = sum(kids[k][0] for k in free)
+        step = min([budget / weight, *((kids[k][1] - got[k]) / kids[k][0] for k in free)])
+        for k in free:
+            got[k] += step * kids[k][0]
+        budget -= step * weight
+    return got
+
+
+def plain_shares(mix, leaves, budget):
+    """Tokens by leaf, level after level."""
+    room = lambda node: sum(n * mix.max_epochs for leaf, n in leaves.items() if leaf[: len(node)] == node)
+    have = {(): min(budget, room(()))}
+    for depth in range(3):
+        below = {}
+        for node, b in have.items():
+            kids = sorted({leaf[: depth + 1] for leaf in leaves if leaf[:depth] == node}, key=repr)
+            below |= zip(kids, plain_fill(b, [(mix.weights.get(k, mix.default_weight), room(k)) for k in kids]))
+        have = below
+    return have
+
+
+def leaf_tokens(docs):
+    return {tuple(r[0]): r[1] for r in docs.groupBy(F.struct(mixing.domain_of().alias("d"), "lang", "source")).agg(F.sum(mixing.token_count("text"))).collect()}
+
+
 def test_mixing(docs, empty, spark):
-    picked = docs.select("doc_id", "text", "lang", "source")
     got = mixing.mix_documents(docs).collect()
-    leaves = {tuple(r[0]): r[1] for r in picked.groupBy(F.struct(mixing.domain_of().alias("d"), "lang", "source")).agg(F.sum(mixing.token_count("text"))).collect()}
-    budgets = mixing.MIXTURE.budgets(leaves, sum(leaves.values()) * mixing.BUDGET_SHARE)
-    taken = defaultdict(int)
+    leaves = leaf_tokens(docs)
+    budgets = plain_shares(mixing.MIXTURE, leaves, sum(leaves.values()) * mixing.BUDGET_SHARE)
+    taken, epochs = defaultdict(int), defaultdict(lambda: defaultdict(list))
     for r in got:
-        taken[(r.domain, r.lang, r.source)] += r.taken_tokens
+        leaf = (r.domain, r.lang, r.source)
+        taken[leaf] += r.taken_tokens
+        epochs[leaf][r.epoch].append(r)
         assert 0 <= r.taken_tokens <= r.tokens and 0 <= r.epoch < mixing.MIXTURE.max_epochs + 1
-    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in budgets.items() if v}
+    assert all(abs(taken[k] - v) < 0.6 for k, v in budgets.items())
     assert abs(sum(taken.values()) - sum(leaves.values()) * mixing.BUDGET_SHARE) <= len(leaves)
+    rows = defaultdict(list)
+    for r in docs.withColumn("d", mixing.domain_of()).select("d", "lang", "source", "doc_id", mixing.token_count("text").alias("t"), F.xxhash64("text").alias("h")).collect():
+        rows[tuple(r[:3])].append(r)
+    for leaf, by_epoch in epochs.items():
+        for epoch, picked in by_epoch.items():
+            if sum(r.taken_tokens for r in picked) == leaves[leaf]:
+                continue
+            # a prefix of the epoch's order: all before the last one whole
+            key = {(r.doc_id, r.t): F.shiftrightunsigned(F.xxhash64(F.lit(mixing.MIXTURE.seed), F.lit(epoch), F.lit(r.doc_id).cast("long"), F.lit(r.h)), 1) for r in rows[leaf]}
+            value = spark.range(1).select(*key.values()).first()
+            order = [k for _, k in sorted(zip(value, key), key=lambda x: x[0])]
+            cut = [k for r in picked if r.taken_tokens < r.tokens for k in [(r.doc_id, r.tokens)]]
+            assert len(cut) <= 1
+            ends = max(order.index((r.doc_id, r.tokens)) for r in picked)
+            assert {k for k in order[: ends + 1]} == {(r.doc_id, r.tokens) for r in picked} and (not cut or order[ends] == cut[0])
     assert mixing.mix_documents(empty).count() == 0
 
 
+def test_shares_of_many_leaves(spark):
+    rnd = random.Random(9)
+    leaves = {(f"d{rnd.randrange(4)}", rnd.choice(["en", "de", None]), f"s{k}"): rnd.choice([0, 1, 50, 400, 30_000]) for k in range(400)}
+    mix = mixing.Mixture(weights={("d0",): 3.0, ("d1",): 0.0, ("d2", "en"): 5.0} | {leaf: rnd.choice([0.0, 0.5, 7.0]) for leaf in list(leaves)[:150]})
+    table = spark.createDataFrame([(k, n) for k, n in leaves.items()], "leaf struct<domain: string, lang: string, source: string>, n long")
+    for share in (0.01, 0.4, 0.9, 5.0):
+        want = plain_shares(mix, leaves, sum(leaves.values()) * share)
+        got = {tuple(r[0]): r[1] for r in mix.shares(table, share).select("leaf", "share").collect()}
+        assert set(got) <= set(want) and all(abs(got.get(k, 0) - v) <= 0.6 for k, v in want.items()), share
+        assert all(abs(v - want[k]) < 1e-3 for k, v in mix.exact(leaves, sum(leaves.values()) * share).items())
+
+
 def test_budgets_go_to_siblings_first():
     tree = {("a", "x", "1"): 100, ("a", "x", "2"): 10, ("a", "y", "1"): 500, ("b", "x", "1"): 1000}
     mix = mixing.Mixture(weights={("a",): 0.5, ("b",): 0.5}, max_epochs=1)
@@ -232,7 +311,16 @@ def test_budgets_go_to_siblings_first():
     assert mix.budgets({}, 5) == {}
 
 
-def test_mixing_takes_prefixes_whatever_the_buckets(docs, monkeypatch):
+@pytest.mark.parametrize("name, value", [("EDGE_ROWS", 1), ("BROADCAST_LEAVES", 0)])
+def test_mixing_takes_prefixes_whatever_the_buckets(docs, monkeypatch, name, value):
     few = rows_of(mixing.mix_documents(docs))
-    monkeypatch.setattr(mixing, "BUCKET_TOKENS", 50)
+    monkeypatch.setattr(mixing, name, value)
     assert rows_of(mixing.mix_documents(docs)) == few
+
+
+def test_mixing_cuts_equal_rows(spark, monkeypatch):
+    """Rows with one key: as many of them as the budget has room for, in no single task."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 10)
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c d e").alias("text"), F.lit("en").alias("lang"), F.lit("s1").alias("source"))
+    got = mixing.Mixture().select(mixing.Mixture().prepared(rows, mixing.domain_of()), 0.3101)
+    assert got.agg(F.sum("taken_tokens")).first()[0] == round(20_000 * 0.3101) and got.count() == 1241
