@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,16 @@ def arrow_map(df: DataFrame, batches: Callable[[pa.RecordBatch], Iterator[pa.Rec
     return arrow_stream(df, each, schema)
 
 
+def place_among(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the sorted boundaries (first, second) are not above each key (a, b)."""
+    at, end = np.searchsorted(first, a, "left"), np.searchsorted(first, a, "right")
+    for lo in np.unique(at[end > at]):  # the keys that are boundaries themselves
+        rows = np.flatnonzero((at == lo) & (end > at))
+        hi = end[rows[0]]
+        at[rows] = lo + np.searchsorted(second[lo:hi], b[rows], "right")
+    return at.astype(np.int32)
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, so that further ones with any names can't clash."""
     return df.select(*(F.col(f"`{c}`") for c in columns))

@@ -10,7 +10,8 @@ The vector has two parts.  8 lanes modulo 2**64 are the 512 bits of the paragrap
 differ, for likeness = 1 - |a - b|^2 / (|a|^2 + |b|^2), clipped to 0..1, and 1 for equal fingerprints.
 
 Cases: null texts are empty; an empty text has the zero vector; equal texts have equal fingerprints; a
-lane holds up to 2**31 - 1 like units, more than the words of any text that Arrow's strings hold.
+lane holds up to 2**31 - 1 like units, more than the words of any text that Arrow's strings hold.  The rows of one
+id, null for one, are ordered by their texts' hashes.
 """
 
 from __future__ import annotations
@@ -20,16 +21,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import arrow_stream, need
+from lexweave.llm.common import arrow_map, arrow_stream, need, place_among, saved
 from lexweave.llm.kernels import SLICE_BYTES, hashed_words, joined, span_hashes, windows, word_table, words
 
 WIDE, SKETCH, GRAM = 8, 256, 3
-MAX_PARTS = 20_000
+PART_BYTES = 64_000_000
+DRAWS = 16
 LINE = word_table(b"\n\r")
 SPACES = word_table(b"\x20\x09\x0a\x0b\x0c\x0d")
 
@@ -128,69 +130,107 @@ def of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_documents(documents: DataFrame, per_part: int = 4000) -> DataFrame:
+def collapsed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (k, h, doc_id, text) with n: one for the batch's rows of one id and text."""
+    keys = np.rec.fromarrays([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+    _, first, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    if not pc.all(pc.equal(batch.column(3), batch.column(3).take(pa.array(first[inverse])))).as_py():  # hashes collide
+        first, count = np.arange(batch.num_rows), np.ones(batch.num_rows, np.int64)
+    return pa.RecordBatch.from_arrays([*(c.take(pa.array(first)) for c in batch.columns), pa.array(count, pa.int64())], ["k", "h", "doc_id", "text", "n"])
+
+
+def fingerprint_documents(documents: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id and COLUMNS for documents(doc_id, text), each with the next by (doc_id, hash of the text); after the last comes the first.
 
-    Documents are cut into runs of neighbouring ids (null ids first); each run also gets a copy of the first
-    document of the following run.  So texts are shuffled once, and no task orders the whole table.  The
-    driver gets the least id of each run: one for `per_part` documents, MAX_PARTS at most.
+    Documents are cut into ranges of (id, hash) by size-weighted sampled splitters (null ids first); each range also
+    gets a copy of the first document of the following one.  So texts are shuffled once, no task orders the whole
+    table, and an id of many texts, null for one, is cut like any others; rows of one id and text are counted up
+    before the shuffle.  The driver gets some DRAWS keys a range of PART_BYTES.
     """
+    spark = documents.sparkSession
     docs = need(documents, "doc_id", "text").select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("k"))
+    docs = docs.withColumn("h", F.xxhash64("text")).select("k", "h", "doc_id", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {COLUMNS}"
-    n = docs.count()
+    light = saved(docs.select("k", "h", (F.octet_length("text") + 64).cast("long").alias("w")))
+    n, total = light.agg(F.count("*"), F.sum("w")).first()
     if not n:
-        return documents.sparkSession.createDataFrame([], schema)
-    parts = max(1, min(MAX_PARTS, n // per_part))
-    cuts = sorted({int(x) for x in docs.select(F.col("k").cast("double")).stat.approxQuantile("k", [j / parts for j in range(1, parts)], 1 / (4 * parts))}) if parts > 1 else []
-    bounds = np.array(cuts, np.int64)
-
-    @F.pandas_udf("int")
-    def place(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(), "right").astype(np.int32))
-
-    firsts = sorted((r[0], r[1]) for r in docs.select("k").withColumn("part", place("k")).groupBy("part").agg(F.min("k").alias("k")).collect())
-    lead = documents.sparkSession.createDataFrame([(k, firsts[j - 1][0]) for j, (_, k) in enumerate(firsts)], "k long, before int")
-    placed = docs.withColumn("part", place("k")).join(F.broadcast(lead), "k", "left")
-    copies = F.when(F.col("before").isNull(), F.array(F.struct(F.col("part"), F.lit(False).alias("copy")))).otherwise(
-        F.array(F.struct(F.col("part"), F.lit(False).alias("copy")), F.struct(F.col("before").alias("part"), F.lit(True).alias("copy")))
-    )
-    rows = placed.withColumn("c", F.explode(copies)).select("c.part", "c.copy", "k", F.xxhash64("text").alias("h"), "doc_id", "text")
-    rows = rows.repartition("part").sortWithinPartitions("part", "copy", "k", "h", "text").select("part", "copy", "doc_id", "text")
+        return spark.createDataFrame([], schema)
+    parts = parts or max(-(-total // PART_BYTES), min(n // 100, 4 * spark.sparkContext.defaultParallelism), 1)
+    chance = F.xxhash64(F.lit(5), "k", "h").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    drawn = light.withColumn("w", F.col("w") * F.lit(parts * DRAWS / total)).filter(chance < F.col("w")).distinct().orderBy("k", "h").toPandas()
+    upto = np.cumsum(np.maximum(drawn["w"].to_numpy(), 1.0))
+    cuts = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)) if len(upto) else np.empty(0, np.int64)
+    first, second = drawn["k"].to_numpy(np.int64)[cuts], drawn["h"].to_numpy(np.int64)[cuts]
+
+    def least(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        part = place_among(first, second, k, h)
+        order = np.lexsort((h, k))
+        _, at = np.unique(part[order], return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x[order][at]) for x in (part, k, h)], ["part", "k", "h"])
+
+    starts = arrow_map(light.select("k", "h"), least, "part int, k long, h long").groupBy("part").agg(F.min(F.struct("k", "h")).alias("m")).orderBy("part").select("part", "m.k", "m.h").toPandas()
+    before = {(k, h): part for k, h, part in zip(starts["k"], starts["h"], np.roll(starts["part"].to_numpy(), 1).tolist())}
+    lead = np.sort(starts["k"].to_numpy(np.int64))
+
+    def dealt(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = collapsed(batch)
+        k, h = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        part = place_among(first, second, k, h)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(k), bool)), *rows.columns], ["part", "copy", *rows.schema.names])
+        maybe = np.flatnonzero(lead[np.minimum(np.searchsorted(lead, k), len(lead) - 1)] == k)
+        at = [(x, before[key]) for x in maybe.tolist() if (key := (int(k[x]), int(h[x]))) in before]
+        if at:
+            copies = rows.take(pa.array([x for x, _ in at]))
+            yield pa.RecordBatch.from_arrays([pa.array([p for _, p in at], pa.int32()), pa.array([True] * len(at)), *copies.columns], ["part", "copy", *rows.schema.names])
+
+    rows = arrow_map(docs, dealt, f"part int, copy boolean, k long, h long, doc_id {kind}, text string, n long")
+    rows = rows.repartition(len(starts), "part").sortWithinPartitions("part", "copy", "k", "h", "text").select("part", "copy", "doc_id", "text", "n")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, nexts, held, size = [], [], [], None, 0
+        units: list[tuple] = []
+        held, size, source_type = None, 0, None
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
+            texts, nexts = [u[1] for u in units], [u[2] for u in units]
             changed = [edited(t, x) for t, x in zip(texts, nexts)]
-            own, new, then = of_texts(texts), of_texts(changed), of_texts(nexts)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, source_type),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
-                    pa.array(encoded(own), pa.string()),
-                    pa.array(encoded(new), pa.string()),
-                    pa.array(likeness(own, new), pa.float64()),
-                    pa.array(likeness(own, then), pa.float64()),
-                ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-        source_type = None
+            own = of_texts(texts)
+            after = of_texts(nexts)
+            near_next = likeness(own, after)
+            new = of_texts(changed)
+            columns = [
+                pa.array([u[0] for u in units], source_type),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
+                pa.array(encoded(own), pa.string()),
+                pa.array(encoded(new), pa.string()),
+                pa.array(likeness(own, new), pa.float64()),
+                pa.array(near_next, pa.float64()),
+            ]
+            found = pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            times = np.array([u[3] for u in units])
+            if (times == 1).all():
+                yield found
+                return
+            upto = np.cumsum(times)
+            for at in range(0, int(upto[-1]), 2000):
+                yield found.take(pa.array(np.searchsorted(upto, np.arange(at, min(at + 2000, int(upto[-1]))), "right")))
+
         for batch in source:
             source_type = batch.schema.field("doc_id").type
-            for part, copy, ident, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, copy, ident, text, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if held is not None and held[0] == part:
-                    ids.append(held[1])
-                    texts.append(held[2])
-                    nexts.append(text)
+                    units.append((held[1], held[2], text, 1))
                     size += len(held[2])
-                    if size > SLICE_BYTES // 2:
-                        yield flush()
-                        ids, texts, nexts, size = [], [], [], 0
+                if not copy and n > 1:  # all but the last of equal rows are followed by one like them
+                    units.append((ident, text, text, n - 1))
+                    size += len(text)
                 held = None if copy else (part, ident, text)
-        if ids:
-            yield flush()
+                if size > SLICE_BYTES // 2:
+                    yield from flush()
+                    units, size = [], 0
+        if units:
+            yield from flush()
 
     return arrow_stream(rows, run, schema)

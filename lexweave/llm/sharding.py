@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import need, saved
+from lexweave.llm.common import need, place_among, saved
 
 LOW = -(1 << 63)
 
@@ -53,14 +53,7 @@ class RangeSharder:
 
         @F.pandas_udf("int")
         def place(k1: pd.Series, k2: pd.Series) -> pd.Series:
-            a, b = k1.to_numpy(), k2.to_numpy()
-            at = np.searchsorted(first, a, "left")
-            end = np.searchsorted(first, a, "right")
-            for lo in np.unique(at[end > at]):  # the keys that are boundaries themselves: some hundreds
-                rows = np.flatnonzero((at == lo) & (end > at))
-                hi = end[rows[0]]
-                at[rows] = lo + np.searchsorted(second[lo:hi], b[rows], "right")
-            return pd.Series(at.astype(np.int32))
+            return pd.Series(place_among(first, second, k1.to_numpy(), k2.to_numpy()))
 
         return df.withColumn("__range", place("__k1", "__k2"))
 

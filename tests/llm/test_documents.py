@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontam, fingerprint, langid, mixing, neardup, sharding, substrings
+from lexweave.llm import decontam, fingerprint, kernels, langid, mixing, neardup, sharding, substrings
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, slot int, score double, tokens long, starts string, uid long, size int, part int, k int, __k1 string, domain string"
@@ -186,27 +188,59 @@ def test_mixed_languages_are_found(docs):
     assert abs(share[model.languages.index("en")] - 0.6) < 0.1 and abs(share[model.languages.index("fr")] - 0.4) < 0.1
 
 
-def test_fingerprints(docs, empty):
-    got = defaultdict(list)
-    for r in fingerprint.fingerprint_documents(docs, per_part=20).collect():
-        got[r.doc_id].append(r)
-    texts = made()
-    order = sorted((r for r in texts if r[0] is not None), key=lambda r: r[0])
-    by_text = {}
-    for k, r in enumerate(order):
-        text, after = r[1] or "", (order[k + 1][1] if k + 1 < len(order) else "nobody knows this one") or ""
-        mine = got[r[0]]
+def plain_fingerprint(text):
+    """Paragraph by paragraph, word by word."""
+    wide, sketch = [0] * fingerprint.WIDE, [0] * fingerprint.SKETCH
+    one = lambda b: int(kernels.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & (1 << 64) - 1
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & (1 << 64) - 1
+        return x ^ x >> 31
+
+    for line in re.split(rb"[\n\r]", text.encode()):
+        words = re.findall(rb"[^\x20\x09-\x0d]+", line)
+        if not words:
+            continue
+        lanes = hashlib.blake2b(line, digest_size=64).digest()
+        wide = [(w + int.from_bytes(lanes[8 * k : 8 * k + 8], "little")) % (1 << 64) for k, w in enumerate(wide)]
+        for k in range(max(1, len(words) - 2)):
+            unit = 3
+            for j in range(3):
+                unit = mixed((unit * 0x9E3779B97F4A7C15 + (one(words[k + j]) if k + j < len(words) else 0)) & (1 << 64) - 1)
+            sketch[unit % 256] += 1 - 2 * (unit >> 40 & 1)
+    near = lambda a, b: 1.0 if a[0] == b[0] else 0.0 if not any(a[1]) and not any(b[1]) else min(1.0, max(0.0, 1 - sum((x - y) ** 2 for x, y in zip(a[1], b[1])) / (sum(x * x for x in a[1]) + sum(x * x for x in b[1]))))
+    return (tuple(wide), tuple(sketch)), near
+
+
+@pytest.mark.parametrize("parts", [None, 7, 60])
+def test_fingerprints(docs, empty, parts):
+    got = sorted((tuple(r) for r in fingerprint.fingerprint_documents(docs, parts).collect()), key=repr)
+    hashes = {r[0]: r[1] for r in docs.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    order = sorted(((r[0] if r[0] is not None else -(1 << 63), hashes[r[1] or ""], r[1] or "", r[0]) for r in made()), key=lambda x: x[:3])
+    want = []
+    for k, (_, _, text, ident) in enumerate(order):
+        after = order[(k + 1) % len(order)][2]
         half = len(text) // 2
-        want = hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
-        assert want in {m.edited_sha256 for m in mine}
-        for m in mine:
-            assert m.n_chars == len(text) and 0 <= m.near_edited <= 1 and 0 <= m.near_next <= 1
-            assert by_text.setdefault(text, m.fingerprint) == m.fingerprint
-    assert len(set(by_text.values())) == len({t for t in by_text if t.strip()}) + 1  # texts without a paragraph are alike
-    assert sum(len(v) for v in got.values()) == len(texts)
+        new = text[: len(text) - half] + after[:half]
+        (own, near), (changed, _), (then, _) = plain_fingerprint(text), plain_fingerprint(new), plain_fingerprint(after)
+        code = lambda v: base64.b64encode(b"".join(x.to_bytes(8, "little") for x in v[0]) + b"".join((x % (1 << 32)).to_bytes(4, "little") for x in v[1])).decode()
+        want.append((ident, len(text), hashlib.sha256(new.encode()).hexdigest(), code(own), code(changed), near(own, changed), near(own, then)))
+    assert [g[:5] for g in got] == [w[:5] for w in sorted(want, key=repr)]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in sorted(want, key=repr)])
     assert fingerprint.fingerprint_documents(empty).count() == 0
 
 
+def test_fingerprints_of_rows_of_one_id(spark):
+    """Many texts of one id are cut into ranges; rows of one id and text are counted up before they are shuffled."""
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 1000).cast("string")).alias("text"))
+    rows = rows.unionAll(spark.range(20_000).select(F.lit(4).cast("long"), F.lit("same words"))).unionAll(spark.createDataFrame([(9, "the last")], "doc_id long, text string"))
+    found = fingerprint.fingerprint_documents(rows, 20)
+    parts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert found.count() == 23_001 and found.filter("doc_id = 4 and near_next = 1").count() == 19_999
+    assert 2000 <= found.filter("doc_id is null and near_next = 1").count() < 2012 and sorted(parts)[-2] < 1000
+
+
 def test_fingerprints_are_homomorphic():
     a, b = "first line here\nsecond one\nthird", "second one\nfourth line"
     both = fingerprint.of_texts([f"{b}\n{a}"])
