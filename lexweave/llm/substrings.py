@@ -291,7 +291,7 @@ class Repeats:
             if pending.isEmpty():
                 break
             parts = saved(self.split(pending.dropDuplicates(["key", "tid", "size", "start"]).select("key", "tid", "size", "start", "span", "ghost", "n", "bytes"), width))
-            counts = parts.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).filter("m > 1")
+            counts = saved(parts.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).filter("m > 1"))  # a table, so that the join may be cut at hot keys
             parts = saved(parts.drop("n").join(counts, F.col("key") == F.col("k")).select("key", "tid", "size", "start", "span", "ghost", F.col("m").alias("n"), "bytes"))
             if width == 1:
                 out = out.unionByName(parts.filter("not ghost").select("tid", "size", F.col("start").alias("lo"), F.col("start").alias("hi")))
