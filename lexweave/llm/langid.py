@@ -6,7 +6,9 @@ a document: a word's likelihood in a language is the product of its trigrams', t
 document's languages.  Nested language sets are compared by likelihood penalised by half the logarithm of the
 word count for each language; the set's largest proportion names the language and is the score.
 
-The model (languages x BUCKETS floats) is what is broadcast: 1 MB for four languages, refused over MAX_LANGUAGES.
+The model (languages x buckets floats) is what is broadcast: 1 MB for four languages; past MODEL_BYTES trigrams share
+buckets, so that it does not grow.  The driver gets the counts by language and bucket.  A long text is read in pieces,
+and its words are counted up by their hashes.
 
 Cases: a null text, or one without a letter, is "und" with score 0; without any labelled document every text
 is "und"; null labels are never learned; rows with a null id are not held out; repeated rows are judged alike;
@@ -24,16 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import arrow_map, need
-from lexweave.llm.kernels import slices, words
+from lexweave.llm.kernels import FOLD, SLICE_BYTES, slices, span_hashes, windows, words
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 200
+MODEL_BYTES = 64_000_000
 SAMPLE_DOCS = 2000
 ROUNDS = 12
 SMOOTHING = 0.5
 UNKNOWN = "und"
-FOLD = np.arange(256, dtype=np.uint32)
-FOLD[65:91] += 32
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -60,57 +60,89 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (value >> np.uint32(16)).astype(np.int64), first, counts
 
 
-def fitted(likely: np.ndarray, size: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def fitted(likely: np.ndarray, times: np.ndarray, size: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Proportions by expectation-maximisation over words, and the log-likelihood (up to a constant), by document.
 
-    likely: words x languages; size: words by document; allowed: documents x languages, 0 or 1.
+    likely: words x languages; times: how often each word counts; size: rows of likely by document; allowed: documents
+    x languages, 0 or 1.
     """
     begin = np.cumsum(size) - size
     share = allowed / allowed.sum(axis=1, keepdims=True)
     for _ in range(rounds):
         part = likely * np.repeat(share, size, axis=0)
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
+        part *= (times / np.maximum(part.sum(axis=1), 1e-30))[:, None]
         share = np.add.reduceat(part, begin, axis=0) * allowed
         share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
     share = np.where(share.sum(axis=1, keepdims=True) > 0, share, allowed / allowed.sum(axis=1, keepdims=True))
-    gain = np.log(np.maximum((likely * np.repeat(share, size, axis=0)).sum(axis=1, dtype=np.float64), 1e-30))
+    gain = times * np.log(np.maximum((likely * np.repeat(share, size, axis=0)).sum(axis=1, dtype=np.float64), 1e-30))
     return share, np.add.reduceat(gain, begin)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages, log-likelihoods
+    table: np.ndarray  # buckets x languages, log-likelihoods
+
+    def worded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log-likelihoods of words by language, how often each counts, rows by document)."""
+        shift = (BUCKETS // len(self.table)).bit_length() - 1
+        if len(data) <= 2 * SLICE_BYTES or len(offsets) > 2:
+            bucket, first, counts = trigrams(data, offsets)
+            by_word = np.add.reduceat(self.table[bucket >> shift], first, axis=0) if len(first) else np.zeros((0, len(self.languages)), np.float32)
+            return by_word, np.ones(len(by_word), np.float32), counts
+        names, rows, times = np.empty(0, np.uint64), np.zeros((0, len(self.languages)), np.float32), np.zeros(0)
+        for a, b in windows(data, LETTER):
+            piece, ends = data[a:b], np.array([0, b - a])
+            more, _, _ = Model.worded(self, piece, ends) if b - a <= 2 * SLICE_BYTES else (self.stretched(piece), None, None)
+            start, stop, _ = words(piece, ends, LETTER)
+            names = np.append(names, span_hashes(FOLD[piece], start, stop))
+            rows, times = np.concatenate((rows, more)), np.append(times, np.ones(len(more)))
+            names, first, which = np.unique(names, return_index=True, return_inverse=True)
+            rows, times = rows[first], np.bincount(which, times)
+        return rows, times.astype(np.float32), np.array([len(rows)])
+
+    def stretched(self, data: np.ndarray) -> np.ndarray:
+        """The log-likelihoods of the words of a piece that ends with a very long one: a word's trigrams are added up in stretches."""
+        shift = (BUCKETS // len(self.table)).bit_length() - 1
+        start, stop, _ = words(data, np.array([0, len(data)]), LETTER)
+        out = np.zeros((len(start), len(self.languages)), np.float32)
+        for k, (a, b) in enumerate(zip(start.tolist(), stop.tolist())):
+            for x in range(a, b, SLICE_BYTES):
+                lo, hi = max(a, x - 1), min(b, x + SLICE_BYTES + 1)
+                bucket = trigrams(data[lo:hi], np.array([0, hi - lo]))[0][x - lo :][:SLICE_BYTES]
+                out[k] += self.table[bucket >> shift].sum(axis=0)
+        return out
 
     def mixtures(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Documents x languages: the proportions within the chosen language set; all 0 without letters."""
-        bucket, first, counts = trigrams(data, offsets)
+        by_word, times, counts = self.worded(data, offsets)
         n, k = len(counts), len(self.languages)
         out = np.zeros((n, k))
         has = np.flatnonzero(counts)
         if not len(has) or not k:
             return out
-        by_word = np.add.reduceat(self.table[bucket], first, axis=0)
         likely = np.exp(by_word - by_word.max(axis=1, keepdims=True))
         size = counts[has]
-        penalty = 0.5 * np.log(size + 1.0)
+        total = np.add.reduceat(times, np.cumsum(size) - size, dtype=np.float64)
+        penalty = 0.5 * np.log(total + 1.0)
         every = np.ones((len(has), k), np.float32)
-        full, gain = fitted(likely, size, every)
+        full, gain = fitted(likely, times, size, every)
         order = np.argsort(-full, axis=1, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(k)[None, :].repeat(len(has), 0), axis=1)
         chosen = (rank < 1).astype(np.float64)
-        best = fitted(likely, size, chosen.astype(np.float32), 1)[1]
+        best = fitted(likely, times, size, chosen.astype(np.float32), 1)[1]
         # log-likelihood is concave in the proportions, so no set can lie above this, converged or not
         mixed = (likely * np.repeat(full, size, axis=0)).sum(axis=1, dtype=np.float64)
-        slope = np.add.reduceat(likely / np.maximum(mixed, 1e-30)[:, None], np.cumsum(size) - size, axis=0).max(axis=1) - size
+        slope = np.add.reduceat(likely * (times / np.maximum(mixed, 1e-30))[:, None], np.cumsum(size) - size, axis=0).max(axis=1) - total
         bound = gain + np.maximum(slope, 0) + 0.01  # and what rounding may hide
         left = np.arange(len(has))
         for m in range(2, k + 1):
             left = left[bound[left] - (m - 1) * penalty[left] > best[left]]  # for the others no set of m or more can win
             if not len(left):
                 break
-            share, gain = fitted(likely[np.repeat(np.isin(np.arange(len(has)), left), size)], size[left], (rank[left] < m).astype(np.float32))
+            rows = np.repeat(np.isin(np.arange(len(has)), left), size)
+            share, gain = fitted(likely[rows], times[rows], size[left], (rank[left] < m).astype(np.float32))
             value = gain - (m - 1) * penalty[left]
             better = value > best[left]
             chosen[left[better]] = share[better]
@@ -122,35 +154,42 @@ class Model:
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """From documents(doc_id, text, lang), those that are held out left aside."""
     labelled = need(documents, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    totals = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    totals = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not totals:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
+    shift = max(0, (4 * BUCKETS * len(totals) // (MODEL_BYTES + 1)).bit_length())
+    buckets = max(1, BUCKETS >> shift)
     rates = documents.sparkSession.createDataFrame([(k, min(1.0, sample_docs / n)) for k, n in totals.items()], "lang string, rate double")
     chance = F.xxhash64(F.lit(9), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
     sample = labelled.join(F.broadcast(rates), "lang").filter(chance < F.col("rate")).select("lang", "text")
 
+    def told(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, have in sums.items():
+            at = np.flatnonzero(have)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(have[at], pa.int64())], ["lang", "bucket", "n"])
+        sums.clear()
+
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         names = batch.column(0).to_pylist()
         for lo, hi, data, offsets in slices(batch.column(1)):
             for row in range(lo, hi):
-                bucket, _, _ = trigrams(data[offsets[row - lo] : offsets[row - lo + 1]], np.array([0, offsets[row - lo + 1] - offsets[row - lo]]))
-                have = sums.setdefault(names[row], np.zeros(BUCKETS, np.int64))
-                have += np.bincount(bucket, minlength=BUCKETS)
-        for name, have in sums.items():
-            at = np.flatnonzero(have)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(have[at], pa.int64())], ["lang", "bucket", "n"])
+                body = data[offsets[row - lo] : offsets[row - lo + 1]]
+                for a, b in windows(body, LETTER):
+                    have = sums.setdefault(names[row], np.zeros(buckets, np.int64))
+                    have += np.bincount(trigrams(body[a:b], np.array([0, b - a]))[0] >> shift, minlength=buckets)
+                if len(sums) > 64:
+                    yield from told(sums)
+        yield from told(sums)
 
     counted = arrow_map(sample, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(totals)
-    counts = np.zeros((BUCKETS, len(languages)))
+    counts = np.zeros((buckets, len(languages)))
     place = {x: k for k, x in enumerate(languages)}
     counts[counted["bucket"].to_numpy(), [place[x] for x in counted["lang"].to_pylist()]] = counted["n"].to_numpy()
     shared = counts.sum(axis=1, keepdims=True)
     prior = (shared + 0.1) / (shared + 0.1).sum()
-    counts += SMOOTHING * BUCKETS * prior / 64
+    counts += SMOOTHING * buckets * prior / 64
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 

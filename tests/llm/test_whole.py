@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexweave.llm import fingerprint, langid, neardup, shingles, substrings
+from lexweave.llm import decontam, fingerprint, langid, neardup, shingles, substrings
 from tests.llm import brute
 
 
@@ -106,8 +106,8 @@ def test_every_language_set_that_can_win_is_fitted():
     bucket, first, size = langid.trigrams(data, offsets)
     likely = np.add.reduceat(model.table[bucket], first, axis=0)
     likely = np.exp(likely - likely.max(axis=1, keepdims=True))
-    rank = np.argsort(np.argsort(-langid.fitted(likely, size, np.ones((len(texts), k), np.float32))[0], axis=1, kind="stable"), axis=1)
-    fits = [langid.fitted(likely, size, (rank < m).astype(np.float32), 1 if m == 1 else langid.ROUNDS) for m in range(1, k + 1)]
+    rank = np.argsort(np.argsort(-langid.fitted(likely, np.ones(len(likely)), size, np.ones((len(texts), k), np.float32))[0], axis=1, kind="stable"), axis=1)
+    fits = [langid.fitted(likely, np.ones(len(likely)), size, (rank < m).astype(np.float32), 1 if m == 1 else langid.ROUNDS) for m in range(1, k + 1)]
     value = np.array([gain - m * 0.5 * np.log(size + 1.0) for m, (_, gain) in enumerate(fits)])
     want = np.array([fits[m][0][j] for j, m in enumerate(value.argmax(axis=0))])
     assert np.abs(got - want).max() < 1e-6 and (want > 0).sum(axis=1).max() > 4
@@ -170,8 +170,31 @@ def test_long_texts_go_by_windows(spark, monkeypatch):
     for module in (kernels, fingerprint, shingles):
         monkeypatch.setattr(module, "SLICE_BYTES", 1000)
     assert all((a == b).all() for a, b in zip(whole, kinds(), strict=True))
+    items = decontam.Search([("a", line[500:700]), ("b", "w1"), ("c", "Zz" * 300)])
+    pieces = [items.spans(np.frombuffer(b, np.uint8), np.array([0, len(b)])) for b in bodies]
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 10**9)
+    for (count, found), b in zip(pieces, bodies):
+        again, want = items.spans(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        assert (count == again).all() and {d: (set(s), n) for d, (s, n) in found.items()} == {d: (set(s), n) for d, (s, n) in want.items()}
+    assert pieces[0][1]
+    model = langid.Model(["x", "y", "z"], rnd.normal(0, 0.5, (langid.BUCKETS, 3)).astype(np.float32))
+    for b in bodies:
+        shares = []
+        for limit in (1000, 10**9):
+            monkeypatch.setattr(langid, "SLICE_BYTES", limit)
+            shares.append(model.mixtures(np.frombuffer(b, np.uint8), np.array([0, len(b)])))
+        assert np.abs(shares[0] - shares[1]).max() < 1e-4
     repeats = substrings.Repeats()
     monkeypatch.setattr(substrings, "SLICE_BYTES", 1000)
     starts = repeats.all_runs(repeats.texts(df).repartition(1))
     assert sorted(tuple(r) for r in substrings.remove_repeats(df).drop("n_passages").collect()) == sorted((k, *w) for k, w in enumerate(brute.repeats(texts)))
     assert starts.filter("size > 2000").count() > 0
+
+
+def test_a_model_of_many_languages_is_bounded(spark, monkeypatch):
+    rows = [(k, " ".join(f"{chr(97 + k % 5)}{x}ab" for x in "klmnop") * 3, f"l{k % 5}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MODEL_BYTES", 4 * 5 * 1024)
+    model = langid.train(df)
+    assert model.table.shape == (1024, 5)
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in langid.identify_documents(df).collect())
