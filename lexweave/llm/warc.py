@@ -15,7 +15,7 @@ its length, and payloads are decoded only if the schema asks for the payload col
 Paths are opened by pyarrow's file systems (local or mounted, s3, gs, hdfs).
 
 Cases of archive_pages(): a null html is an empty payload; payloads under `least` bytes are all responses;
-rows that repeat the least id of a payload are responses, too; null ids and urls go without the header; line
+rows that repeat the least id of a payload are responses, too; rows of one id have one record id; null ids and urls go without the header; line
 breaks in a url are percent-encoded; an empty table gives an empty archive, read as no rows.
 """
 
@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from lexweave.llm.common import need, shared_dir
+from lexweave.llm.common import need, saved, shared_dir
 
 RECORD_SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_length long, payload binary"
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_BYTES = 4_000_000
+#: 40 bytes each.
+BROADCAST_DIGESTS = 500_000
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -111,12 +113,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, top = opened(self.path)
         system.create_dir(top, recursive=True)
-        if self.overwrite:
-            for old in system.get_file_info(fs.FileSelector(top)):
-                if old.base_name.startswith("_manifest-"):
-                    system.delete_file(old.path)
+        old = system.get_file_info(fs.FileSelector(top)) if self.overwrite else []
+        ours = [f for m in messages if m is not None for f in m.files]
         with system.open_output_stream(f"{top}/_manifest-{uuid.uuid4().hex}.json") as out:
-            out.write(json.dumps([f for m in messages if m is not None for f in m.files]).encode())
+            out.write(json.dumps(ours).encode())
+        new = {f["name"] for f in ours}
+        for f in sorted(old, key=lambda f: not f.base_name.startswith("_manifest-")):  # manifests first, then what they named
+            if f.base_name.startswith("_manifest-") or f.base_name.endswith((".warc", ".warc.gz")) and f.base_name not in new:
+                system.delete_file(f.path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         system, top = opened(self.path)
@@ -289,12 +293,17 @@ def read_warc(spark: SparkSession, path: str, columns: str = RECORD_SCHEMA) -> D
 def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
     """A record for each page: the least page_id of equal payloads is the response that the others revisit.
 
-    The digests that occur twice or more are found by a combined minimum; a hot payload is one row of them.
+    The digests that occur twice or more are found by a combined minimum over ids and digests; a hot payload is one
+    row of them.  Up to BROADCAST_DIGESTS of them are broadcast; past that, payloads of `least` bytes and more are
+    joined by a shuffle, the others pass by.
     """
     pages = need(pages, "page_id", "url", "html").withColumn("payload", F.coalesce("html", F.lit("")).cast("binary")).drop("html")
     pages = pages.withColumns({"digest": F.sha2("payload", 256), "length": F.octet_length("payload").cast("long")})
-    groups = pages.filter(F.col("length") >= least).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("d", "first")
-    joined = pages.join(groups, F.col("digest") == F.col("d"), "left")
+    groups = pages.filter(F.col("length") >= least).groupBy(F.unhex("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("d", "first")
+    groups = saved(groups)
+    few = groups.count() <= BROADCAST_DIGESTS
+    joined = pages.filter(F.col("length") >= least).join(F.broadcast(groups) if few else groups, F.unhex("digest") == F.col("d"), "left")
+    joined = joined.unionByName(pages.filter(F.col("length") < least), allowMissingColumns=True)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return joined.select(

@@ -23,7 +23,9 @@ def pages(spark):
     return spark.createDataFrame([(*p, "other", 1) for p in PAGES], "page_id long, url string, html string, digest string, n int")
 
 
-def test_archive(pages):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_archive(pages, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", few)
     got = sorted((tuple(r) for r in warc.archive_pages(pages).collect()), key=repr)
     least: dict = {}
     for i, _, h in PAGES:
@@ -59,6 +61,15 @@ def test_reading(spark, pages, tmp_path, compress):
     assert warc.read_warc(spark, path).count() == len(PAGES)  # without a manifest
 
 
+def test_overwriting_leaves_nothing_behind(spark, pages, tmp_path):
+    path = str(tmp_path / "w")
+    warc.register(spark)
+    for part in (pages, pages.filter("page_id = 8")):
+        warc.page_records(part).write.format("lexwarc").mode("overwrite").save(path)
+    left = [f for f in os.listdir(path) if not f.startswith(".")]
+    assert warc.read_warc(spark, path).count() == 1 and len(left) == 2
+
+
 def test_pushdown_skips_payloads(spark, tmp_path, pages):
     from pyspark.sql.datasource import EqualTo, GreaterThan
     from pyspark.sql.types import StructType
