@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions import text
+from lexweave.operators.retrieval import small
+
 
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0."""
@@ -43,3 +46,24 @@ def precision_recall(expected: DataFrame, found: DataFrame, keys: list[str], pag
     precise = right.agg(F.count("*").alias("extracted"), F.sum(F.coalesce((F.col("__page") == F.col(page)).cast("int"), F.lit(0))).alias("correct"))
     both = recall.join(precise, F.lit(True))
     return both.select("expected", "matched", "extracted", "correct", F.round(ratio(F.col("matched"), F.col("expected")), 6).alias("recall"), F.round(ratio(F.col("correct"), F.col("extracted")), 6).alias("precision"))
+
+
+def quoting(documents: DataFrame, quotes: DataFrame) -> DataFrame:
+    """doc_id, item_id for every text of documents(doc_id, text) that holds a quote(item_id, quote), case and white space aside.
+
+    A quote's words, but for the first and last, are whole words of a text that holds it; the rarest of them leads to
+    the texts that come into question.  Quotes of fewer than three words have none and are looked for everywhere.
+    """
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    asked = quotes.select("item_id", text.collapsed("quote").alias("quote")).withColumn("inner", F.expr("slice(split(quote, ' '), 2, greatest(size(split(quote, ' ')) - 2, 0))"))
+    folded = documents.select("doc_id", text.collapsed("text").alias("text"))
+    wanted = asked.select("item_id", F.explode(F.array_distinct("inner")).alias("word"))
+    listed = small(wanted.select("word").distinct())
+    held = folded.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word")).join(listed, "word", "left_semi")
+    counts = held.groupBy("word").agg(F.count("*").alias("n"))
+    anchors = wanted.join(counts, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    maybe = held.join(small(anchors), "word").select("doc_id", "item_id")
+    # doc_id need not be unique: a candidate is checked on all texts of the id
+    checked = folded.join(maybe.distinct(), "doc_id").join(small(asked.select("item_id", "quote")), "item_id")
+    short = folded.join(small(asked.filter(F.size("inner") == 0).select("item_id", "quote")), F.contains("text", "quote"))
+    return checked.filter(F.contains("text", "quote")).select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id"))

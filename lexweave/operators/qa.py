@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
+from lexweave.operators.retrieval import small
 
 
 def evidence(hits: DataFrame, by: list[str], order: list[str], limit: int = rules.EVIDENCE_LIMIT) -> DataFrame:
@@ -14,18 +15,23 @@ def evidence(hits: DataFrame, by: list[str], order: list[str], limit: int = rule
     return ranked.withColumn("evidence_id", F.concat(F.lit("C"), F.col("evidence_rank").cast("string")))
 
 
-def extracted(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The best sentence of the evidence of each question, or a refusal.
+def extracted(proof: DataFrame, questions: DataFrame, by: list[str], asked: list[str], shared: list[str] | None = None) -> DataFrame:
+    """The best sentence of the evidence for each question, or a refusal.
 
-    rows: by columns, question, evidence_id, evidence_rank, text.  The order of preference is category match,
-    a value beside it, shared terms, earlier evidence, earlier sentence; a combined maximum finds it.
+    proof: by columns, evidence_id, evidence_rank, text; questions: asked columns, question, and the columns in shared
+    where a question is put to its own evidence only (without any, each is put to all).  Evidence is cut into sentences
+    and terms once, whatever the number of questions.  The order of preference is category match, a value beside it,
+    shared terms, earlier evidence, earlier sentence; a combined maximum finds it.
     """
-    asked = rows.withColumns({"category": text.question_category("question"), "terms": text.qa_terms("question")})
-    parts = asked.select(*by, "question", "category", "terms", "evidence_id", "evidence_rank", F.posexplode(text.qa_segments("text")).alias("nth", "piece"))
-    parts = parts.withColumn("quote", F.regexp_replace(F.left("piece", F.lit(rules.QUOTE_LIMIT)), text.SPACE + r"+\z", ""))
+    pieces = proof.select(*by, "evidence_id", "evidence_rank", F.posexplode(text.qa_segments("text")).alias("nth", "piece"))
+    pieces = pieces.withColumn("quote", F.regexp_replace(F.left("piece", F.lit(rules.QUOTE_LIMIT)), text.SPACE + r"+\z", ""))
+    cut = pieces.select(*by, "evidence_id", "evidence_rank", "nth", "quote", text.qa_terms("quote").alias("found"), text.found("quote", rules.QUOTE_VALUE).alias("value"))
+    wanted = questions.withColumns({"category": text.question_category("question"), "terms": text.qa_terms("question")})
+    parts = cut.join(small(wanted), shared) if shared else cut.join(small(wanted), F.lit(True))
+    by = list(dict.fromkeys([*by, *asked]))
     match = text.category_match("category", "quote")
-    parts = parts.withColumns({"match": match, "overlap": F.size(F.array_intersect("terms", text.qa_terms("quote")))})
-    valued = ((F.col("match") == 1) & text.found("quote", rules.QUOTE_VALUE)).cast("int")
+    parts = parts.withColumns({"match": match, "overlap": F.size(F.array_intersect("terms", "found"))})
+    valued = ((F.col("match") == 1) & F.col("value")).cast("int")
     key = F.struct("match", valued.alias("valued"), "overlap", (-F.col("evidence_rank")).alias("e"), (-F.col("nth")).alias("s"))
     best = parts.groupBy(*by, "question", "category").agg(F.max_by(F.struct("evidence_id", "quote", "match", "overlap"), key).alias("b")).select(*by, "question", "category", "b.*")
     refused = (

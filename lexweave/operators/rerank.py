@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
@@ -15,53 +16,87 @@ SPLITS = ("train", "validation", "test")
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {"overlap": lambda q, p: text.ochiai(text.rerank_tokens(q), text.rerank_tokens(p))}
 
 
-def facts(scenarios: DataFrame, categories: list[str], templates: DataFrame) -> DataFrame:
-    """One row for each scenario and category: the passage of the scenario's variant of the template, with its value.
+def by_language(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """language and a map from category to an array of the columns, for a small table of templates or questions."""
+    packed = rows.groupBy("language", "category").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("one"))
+    return small(packed.groupBy("language").agg(F.map_from_entries(F.collect_list(F.struct("category", "one"))).alias(name)))
+
+
+def fact_arrays(scenarios: DataFrame, categories: list[str], templates: DataFrame) -> DataFrame:
+    """document_id, split, language and facts: an array with, for each category, the passage of the scenario's variant of the template.
 
     scenarios: document_id, split, language and a column for each category; templates: language, category, variant
-    (from 0), passage, heading, page_number.  A category without a template in the language gives no row.
+    (from 0), passage, heading, page_number.  A category without a value, or without a template in the language, gives
+    no fact.  A document's facts stay in one row, so whatever compares them needs no join and no shuffle.
     """
-    variants = templates.groupBy("language", "category").agg(F.count("*").alias("variants"))
-    long = scenarios.unpivot(["document_id", "split", "language"], categories, "category", "value").filter("value is not null")
-    named = F.concat(F.col("document_id").cast("string"), F.lit(":"), "category")
-    chosen = long.join(small(variants), ["language", "category"]).withColumn("variant", (text.code_point_sum(named) % F.col("variants")).cast("int"))
-    joined = chosen.join(small(templates), ["language", "category", "variant"])
-    return joined.select("document_id", "split", "language", "category", "variant", "heading", "page_number", F.replace("passage", F.lit("{value}"), F.col("value")).alias("passage"))
+    rows = scenarios.join(by_language(templates, "templates", "variant", "heading", "page_number", "passage"), "language")
+
+    def fact(category: str) -> Column:
+        ones = F.try_element_at("templates", F.lit(category))
+        variant = (text.code_point_sum(F.concat(F.col("document_id").cast("string"), F.lit(f":{category}"))) % F.size(ones)).cast("int")
+        one = F.get(ones, variant)
+        passage = F.replace(one["passage"], F.lit("{value}"), F.col(category))
+        made = F.struct(F.lit(category).alias("category"), one["variant"].alias("variant"), one["heading"].alias("heading"), one["page_number"].alias("page_number"), passage.alias("passage"), text.rerank_tokens(passage).alias("tokens"))
+        return F.when(F.col(category).isNotNull() & ones.isNotNull(), made)
+
+    return rows.select("document_id", "split", "language", F.filter(F.array(*map(fact, categories)), lambda f: f.isNotNull()).alias("facts"))
+
+
+def facts(scenarios: DataFrame, categories: list[str], templates: DataFrame) -> DataFrame:
+    """fact_arrays() with a row for each fact."""
+    return fact_arrays(scenarios, categories, templates).select("document_id", "split", "language", F.explode("facts").alias("f")).select("document_id", "split", "language", "f.*").drop("tokens")
 
 
 def asked(rows: DataFrame, questions: DataFrame) -> DataFrame:
-    """facts() with every question of their category and language (J11). questions: language, category, nth (from 1), question."""
-    return rows.join(small(questions), ["language", "category"])
+    """fact_arrays() with a row for each fact and each question of its category and language, beside all the document's facts.
 
+    questions: language, category, nth (from 1), question.
+    """
+    both = rows.join(by_language(questions, "questions", "nth", "question"), "language").select("document_id", "split", "language", "questions", "facts", F.explode("facts").alias("f"))
+    each = both.select("document_id", "split", "language", "facts", "f.*", F.explode(F.try_element_at("questions", F.col("f.category"))).alias("q"))
+    return each.select("document_id", "split", "language", "facts", "category", "variant", "heading", "page_number", "passage", "tokens", "q.nth", "q.question")
 
-def hard_negatives(rows: DataFrame, limit: int = 3, confusions: dict[str, tuple[str, ...]] = rules.CONFUSIONS) -> DataFrame:
-    """For each question of asked() the passages of its document's other facts: easily confused categories first, then by overlap."""
-    others = rows.filter("nth = 1").select("document_id", "category", "passage", text.rerank_tokens("passage").alias("tokens"))
-    pairs = rows.withColumn("tokens", text.rerank_tokens("question")).alias("a").join(others.alias("b"), (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.category") != F.col("b.category")))
-    score = F.round(text.ochiai(F.col("a.tokens"), F.col("b.tokens")), 6)  # tokens are cut once a row, not once a pair
+
+def negatives_of(rows: DataFrame, limit: int = 3, confusions: dict[str, tuple[str, ...]] = rules.CONFUSIONS) -> DataFrame:
+    """asked() with score, that of its own passage, and negatives: the passages of the document's other facts, easily confused categories first, then by overlap."""
     known = F.create_map(*(x for c, ones in confusions.items() for x in (F.lit(c), F.array(*map(F.lit, ones)))))
-    preferred = F.coalesce(F.array_contains(F.try_element_at(known, F.col("a.category")), F.col("b.category")), F.lit(False))
-    scored = pairs.select("a.document_id", "a.category", "a.nth", F.col("b.category").alias("negative_category"), F.col("b.passage").alias("negative"), preferred.alias("preferred"), score.alias("score"))
-    order = Window.partitionBy("document_id", "category", "nth").orderBy(F.desc("preferred"), F.desc("score"), F.desc("negative_category"))
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    # F.transform may compute an argument again for each element: the question's tokens are a column of their own first
+    cut = rows.withColumns({"asked": text.rerank_tokens("question"), "confused": F.try_element_at(known, F.col("category"))})
+
+    def negative(f: Column) -> Column:
+        overlap = text.ochiai(F.col("asked"), f["tokens"])
+        preferred = F.coalesce(F.array_contains("confused", f["category"]), F.lit(False))
+        return F.struct(preferred.alias("preferred"), F.round(overlap, 6).alias("score"), f["category"].alias("negative_category"), f["passage"].alias("negative"), overlap.alias("overlap"))
+
+    others = F.transform(F.filter("facts", lambda f: f["category"] != F.col("category")), negative)
+    ranked = cut.withColumns({"negatives": F.slice(F.sort_array(others, asc=False), 1, limit), "score": text.ochiai(F.col("asked"), F.col("tokens"))})
+    return ranked.drop("asked", "confused", "tokens", "facts")
 
 
-def examples(rows: DataFrame, negatives: DataFrame) -> DataFrame:
-    """id, document_id, split, language, query, positive, negatives, category, source_page, negative_categories; negatives in order."""
-    by = ["document_id", "category", "nth"]
-    packed = negatives.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", "negative", "negative_category"))).alias("n"))
+def hard_negatives(rows: DataFrame, limit: int = 3, confusions: dict[str, tuple[str, ...]] = rules.CONFUSIONS) -> DataFrame:
+    """negatives_of() with a row for each, and its place."""
+    each = negatives_of(rows, limit, confusions).select("document_id", "category", "nth", F.posexplode("negatives").alias("at", "n"))
+    return each.select("document_id", "category", "nth", "n.negative_category", "n.negative", "n.preferred", "n.score", (F.col("at") + 1).alias("place"))
+
+
+def examples(rows: DataFrame, limit: int = 3) -> DataFrame:
+    """id, document_id, split, language, query, positive, negatives, category, source_page, negative_categories, overlaps, for asked(); negatives in order.
+
+    overlaps are the scores by shared tokens of the positive and then the negatives, as finding these has given them.
+    """
     ident = F.concat(F.col("document_id").cast("string"), F.lit("-"), "category", F.lit("-q"), F.col("nth").cast("string"))
-    return rows.join(packed, by).select(
+    return negatives_of(rows, limit).filter(F.size("negatives") > 0).select(
         ident.alias("id"),
         "document_id",
         "split",
         "language",
         F.col("question").alias("query"),
         F.col("passage").alias("positive"),
-        F.transform("n", lambda n: n["negative"]).alias("negatives"),
+        F.col("negatives.negative").alias("negatives"),
         "category",
         F.col("page_number").alias("source_page"),
-        F.transform("n", lambda n: n["negative_category"]).alias("negative_categories"),
+        F.col("negatives.negative_category").alias("negative_categories"),
+        F.concat(F.array("score"), F.col("negatives.overlap")).alias("overlaps"),
     )
 
 
@@ -114,6 +149,22 @@ def leaks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
 
 
+def pair_scorer(score: Callable[[list[tuple[str, str]]], list[float]], batch: int = 64) -> Callable[[Column, Column], Column]:
+    """A scorer of batches of (query, passage) pairs, such as a cross-encoder, for SCORERS; it must give as many scores as pairs."""
+
+    @F.pandas_udf("double")
+    def scores(query: pd.Series, passage: pd.Series) -> pd.Series:
+        every, out = list(zip(query, passage)), []
+        for k in range(0, len(every), batch):
+            found = list(score(every[k : k + batch]))
+            if len(found) != len(every[k : k + batch]):
+                raise ValueError(f"{len(found)} scores for {len(every[k : k + batch])} pairs")
+            out += map(float, found)
+        return pd.Series(out, dtype="float64")
+
+    return lambda q, p: scores(q, p)
+
+
 def scored(rows: DataFrame, scorer: str = "overlap") -> DataFrame:
     """pairs() with a score."""
     return rows.withColumn("score", SCORERS[scorer](F.col("query"), F.col("passage")))
@@ -131,6 +182,19 @@ def predictions(rows: DataFrame) -> DataFrame:
     return with_best.select("id", "split", rank.alias("positive_rank"), "best_position")
 
 
+def predictions_of(rows: DataFrame, scores: str = "overlaps") -> DataFrame:
+    """predictions() of examples() that have their scores in an array, the positive's first: no pair leaves its row."""
+    best = F.array_max(F.transform(scores, lambda s, k: F.struct(s, k.alias("k"))))["k"]
+    rank = 1 + F.size(F.filter(F.slice(scores, 2, F.size(scores)), lambda s: s >= F.get(scores, F.lit(0))))
+    return rows.select("id", "split", rank.alias("positive_rank"), best.alias("best_position"))
+
+
+def mistakes(ranked: DataFrame, limit: int | None = None) -> DataFrame:
+    """Examples whose positive is not first, all or the first of them by id."""
+    wrong = ranked.filter("positive_rank > 1")
+    return wrong if limit is None else wrong.orderBy("id").limit(limit)
+
+
 def metrics(rows: DataFrame) -> DataFrame:
     """hit@1, hit@3, MRR, nDCG@3 and the mean rank by split."""
     r = F.col("positive_rank")

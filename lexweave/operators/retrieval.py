@@ -8,6 +8,13 @@ document on its own (Q6, Q7, F4-F6, T1).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +32,6 @@ def top(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str)
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def token_counts(chunks: DataFrame, ident: str = "chunk_id", body: str = "text") -> DataFrame:
-    """chunk, token, tf: the index that lexical searches share."""
-    tokens = F.filter(F.transform(text.words(F.coalesce(F.col(body), F.lit(""))), text.casefold), lambda t: F.length(t) >= 3)
-    return chunks.select(ident, F.explode(tokens).alias("token")).groupBy(ident, "token").agg(F.count("*").alias("tf"))
-
-
 def lexical(queries: DataFrame, chunks: DataFrame, k: int = rules.LEXICAL_K, within: tuple[str, ...] = ()) -> DataFrame:
     """query_id, chunk_id, lexical_score, lexical_rank: chunks with any of the query's tokens, by a tenth of their occurrences.
 
@@ -42,25 +43,79 @@ def lexical(queries: DataFrame, chunks: DataFrame, k: int = rules.LEXICAL_K, wit
     return top(scored, [*within, "query_id"], [F.desc("lexical_score"), F.col("chunk_id")], k, "lexical_rank")
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def with_norm(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    return vectors.withColumn("norm", F.sqrt(dot(F.col(column), F.col(column))))
+#: Scores are rounded to so many digits, so that equal vectors tie whatever the order of summation.
+SCORE_DIGITS = 12
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = rules.DENSE_K, within: tuple[str, ...] = ()) -> DataFrame:
     """query_id, chunk_id, semantic_score, dense_rank: cosine similarity of queries(query_id, vector) to vectors(chunk_id, embedding).
 
-    A stated set of queries against all rows: queries are broadcast in a bounded block.
+    A stated set of queries against all rows: blocks of at most some MAX_BROADCAST_QUERIES go to the tasks as a matrix,
+    each a pass over the vectors.  A task multiplies batches of vectors by the block and hands on, of each batch, the
+    best k a query.  Vectors without a direction (null, zero, of another size than the query's) have no score.
     """
-    if queries.limit(MAX_BROADCAST_QUERIES + 1).count() > MAX_BROADCAST_QUERIES:
-        raise ValueError("ask in blocks of MAX_BROADCAST_QUERIES")
-    asked = F.broadcast(with_norm(queries, "vector").withColumnRenamed("norm", "query_norm"))
-    scale = F.nullif(F.col("norm") * F.col("query_norm"), F.lit(0.0))
-    rows = with_norm(vectors.filter("embedding is not null")).join(asked, F.lit(True)).select(*within, "query_id", "chunk_id", (dot("embedding", "vector") / scale).alias("semantic_score"))
-    return top(rows.filter("semantic_score is not null"), [*within, "query_id"], [F.desc("semantic_score"), F.col("chunk_id")], k, "dense_rank")
+    n = queries.count()
+    blocks = 1 if n <= MAX_BROADCAST_QUERIES else 2 * -(-n // MAX_BROADCAST_QUERIES)
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema} | {"query_id": queries.schema["query_id"].dataType.simpleString()}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*within, "query_id", "chunk_id")) + ", semantic_score double"
+    rows = vectors.filter("embedding is not null").select(*within, "chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    found = None
+    for block in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        asked = queries.sparkSession.sparkContext.broadcast(part.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null").toArrow())
+        near = rows.mapInArrow(partial(nearest, asked, k, len(within)), schema)
+        found = near if found is None else found.unionByName(near)
+    return top(found, [*within, "query_id"], [F.desc("semantic_score"), F.col("chunk_id")], k, "dense_rank")
+
+
+def matrix(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of a column of lists, by size; those with nulls or of no length are left out."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        every = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+        norm = np.sqrt((every * every).sum(axis=1))
+        with np.errstate(invalid="ignore"):
+            good = norm > 0  # not for NaN
+        yield at[good], every[good] / norm[good, None]
+
+
+def nearest(asked: Broadcast, k: int, fixed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best k rows a query (and value of the first `fixed` columns) of each batch, ties by chunk_id."""
+    table = asked.value.combine_chunks()
+    names = table.column("query_id").combine_chunks()
+    queries = {m.shape[1]: (at, m) for at, m in matrix(table.column("vector").combine_chunks())} if len(names) else {}
+    for batch in batches:
+        groups = pa.Table.from_batches([batch.select(list(range(fixed)))]).group_by(batch.schema.names[:fixed]).aggregate([]).num_rows if fixed else 1
+        of = np.zeros(batch.num_rows, np.int64)
+        if groups > 1:
+            keys = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in batch.columns[:fixed]]
+            of = np.unique(np.stack(keys), axis=1, return_inverse=True)[1].reshape(-1)
+        for at, unit in matrix(batch.column(fixed + 1)):
+            if unit.shape[1] not in queries or not len(at):
+                continue
+            which, other = queries[unit.shape[1]]
+            ident = batch.column(fixed).take(pa.array(at))
+            place = np.empty(len(at), np.int64)
+            place[pc.sort_indices(ident).to_numpy()] = np.arange(len(at))
+            for begin in range(0, len(which), 256):
+                score = np.round(unit @ other[begin : begin + 256].T, SCORE_DIGITS)
+                rows, columns = [], []
+                for q in range(score.shape[1]):
+                    best = np.arange(len(at))
+                    if groups == 1 and len(at) > 4 * k:
+                        best = np.flatnonzero(score[:, q] >= np.partition(score[:, q], -k)[-k])
+                    order = best[np.lexsort((place[best], -score[best, q], of[at][best]))]
+                    group = of[at][order]
+                    first = np.flatnonzero(np.diff(group, prepend=-1))
+                    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                    rows.append(order[nth < k])
+                    columns.append(np.full((nth < k).sum(), q))
+                row, column = np.concatenate(rows), np.concatenate(columns)
+                out = batch.take(pa.array(at[row]))
+                yield pa.RecordBatch.from_arrays(
+                    [*out.columns[:fixed], names.take(pa.array(which[begin + column])), out.column(fixed), pa.array(score[row, column])], [*batch.schema.names[:fixed], "query_id", batch.schema.names[fixed], "semantic_score"]
+                )
 
 
 def fused(dense_hits: DataFrame, lexical_hits: DataFrame, rrf_k: int = rules.RRF_K, within: tuple[str, ...] = ()) -> DataFrame:

@@ -220,10 +220,15 @@ def chunk_pages_small(spark, sf):
     return digested(chunking.chunked(pages(spark, sf), 400, 50))
 
 
-@query("document_id bigint, page_number bigint, chunk_index bigint", "SELECT 1 AS document_id, 1 AS page_number, 1 AS chunk_index WHERE false")
+@query("document_id bigint, page_number bigint, chunk_index bigint", f"SELECT document_id, page_number, chunk_index FROM ({chunk_sql(400, 50)}) WHERE chunk_index % 5 < 3 AND (chunk_index % 5 < 2 OR end_char - start_char > 300)")
 def chunk_invariants(spark, sf):
+    """Sound chunks, and some made to break each rule: text moved by one character, an end past the page, a length over the limit."""
     p = pages(spark, sf)
-    return chunking.broken(chunking.chunked(p, 400, 50), p, 400)
+    chunks = chunking.chunked(p, 400, 50)
+    kind = F.col("chunk_index") % 5
+    odd = chunks.withColumns({"start_char": F.col("start_char") + F.when(kind == 0, 1).otherwise(0), "end_char": F.col("end_char") + F.when(kind == 1, 100_000).otherwise(0)})
+    limit = chunking.broken(odd.filter(kind != 2), p, 400)
+    return limit.unionByName(chunking.broken(odd.filter(kind == 2), p, 300))
 
 
 @query("chunks bigint, pages bigint, longest bigint", f"SELECT count(*) AS chunks, count(DISTINCT (document_id, page_number)) AS pages, max(end_char - start_char) AS longest FROM ({chunk_sql(400, 50)})")
@@ -364,12 +369,36 @@ INTENT_CASES = [
 ]
 
 
-@query("id bigint, expanded string, intent bigint")
+def intent_sql(question: str, passage: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({question}, {rules.re2(q)}) THEN CAST(regexp_matches({passage}, {rules.re2(e, dotall=True)}) AS INT)" for q, e in rules.INTENTS) + " ELSE 0 END"
+
+
+EXPANDED = "concat_ws(' ', question, " + ", ".join(f"CASE WHEN regexp_matches(question, {rules.re2(p)}) THEN '{t}' END" for p, t in rules.EXPANSIONS) + ")"
+
+
+@query("id bigint, expanded string, intent bigint", f"SELECT id, {EXPANDED} AS expanded, {intent_sql('question', 'passage')} AS intent FROM {values(INTENT_CASES, 'id, question, passage')}")
 def query_expansion_and_intent(spark, sf):
     rows = literal(spark, INTENT_CASES, "id long, question string, passage string")
     return rows.select("id", text.expanded_query("question").alias("expanded"), text.intent_score("question", "passage").alias("intent"))
 
 
+#: Passages with equal words of the question, of which every third has the value that it asks for.
+OFFERS = """SELECT o_orderkey AS chunk_id, CASE o_orderkey % 3 WHEN 0 THEN concat('Maximum contract value: ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), ' USD') WHEN 1 THEN 'The maximum contract value is explained below.'
+  ELSE concat('Contract number ', CAST(o_orderkey AS STRING)) END AS text FROM orders"""
+OFFER_QUERIES = [(1, "What is the maximum contract value?"), (2, "Which contract number?"), (3, "budget cap or value")]
+OFFERED = f"""SELECT q.query_id, o.chunk_id, count(*) * 0.1 AS s FROM (SELECT chunk_id, lower(unnest(regexp_extract_all(text, '{rules.TOKEN}'))) AS token FROM ({OFFERS})) o
+  JOIN (SELECT DISTINCT query_id, unnest({LEX_TOKENS.format('query')}) AS token FROM {values(OFFER_QUERIES, 'query_id, query')}) q ON o.token = q.token GROUP BY 1, 2"""
+
+
+@query("query_id bigint, rank bigint, chunk_id bigint, intent bigint", f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY intent DESC, lexical_rank) AS rank, chunk_id, intent FROM (
+  SELECT l.*, {intent_sql('q.query', 'o.text')} AS intent FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS lexical_rank FROM ({OFFERED}) QUALIFY lexical_rank <= 20) l
+  JOIN {values(OFFER_QUERIES, 'query_id, query')} q ON q.query_id = l.query_id JOIN ({OFFERS}) o ON o.chunk_id = l.chunk_id) QUALIFY rank <= 5""".replace("AS t(query_id, query) q", "AS q(query_id, query)"))
+def hybrid_search_intent(spark, sf):
+    chunks = spark.sql(OFFERS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders")).withColumn("embedding", F.lit(None).cast("array<float>"))
+    asked = literal(spark, [(i, q, None) for i, q in OFFER_QUERIES], "query_id long, query string, vector array<float>")
+    return retrieval.hybrid(asked, chunks)
+
+
 # ---- analysis -------------------------------------------------------------------------------------------
 
 SPLIT = "str_split(regexp_replace({}, '([.!?;])(\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
@@ -505,7 +534,7 @@ def segments_qa(spark, sf):
 
 # ---- questions ------------------------------------------------------------------------------------------
 
-QUESTIONS = [(1, "What is the penalty for delay?"), (2, "Which payment terms apply?"), (3, "Is a policy number given for insurance?"), (4, "What percentage may a subcontract cover?"), (5, "What does the annex list?"), (6, "How long is the warranty?"), (7, "zebra xylophone")]
+QUESTIONS = [(1, "What is the penalty for delay?"), (2, "Which payment terms apply?"), (3, "Is a policy number given for insurance?"), (4, "What percentage may a subcontract cover?"), (5, "What does the annex list?"), (6, "How long is the warranty?"), (7, "zebra xylophone"), (8, "Где зебра?")]
 
 
 def questions(spark: SparkSession) -> DataFrame:
@@ -538,13 +567,12 @@ def answer_sql() -> str:
 
 @query("document_id bigint, question_id bigint, category string, cannot_answer boolean, evidence_id string, quote string", answer_sql())
 def extractive_answer(spark, sf):
-    rows = asked_evidence(spark, sf).join(F.broadcast(questions(spark)), F.lit(True))
-    return qa.extracted(rows, ["document_id", "question_id"])
+    return qa.extracted(asked_evidence(spark, sf), questions(spark), ["document_id"], ["question_id"])
 
 
-@query("answerable bigint, unanswerable bigint, grounded_rate double, refusal_accuracy double", f"SELECT count(*) FILTER (question_id NOT IN (3, 4, 7)) AS answerable, count(*) FILTER (question_id IN (3, 4, 7)) AS unanswerable, round(avg(CAST(NOT cannot_answer AS INT)) FILTER (question_id NOT IN (3, 4, 7)), 6) AS grounded_rate, round(avg(CAST(cannot_answer AS INT)) FILTER (question_id IN (3, 4, 7)), 6) AS refusal_accuracy FROM ({answer_sql()})")
+@query("answerable bigint, unanswerable bigint, grounded_rate double, refusal_accuracy double", f"SELECT count(*) FILTER (question_id NOT IN (3, 4, 7, 8)) AS answerable, count(*) FILTER (question_id IN (3, 4, 7, 8)) AS unanswerable, round(avg(CAST(NOT cannot_answer AS INT)) FILTER (question_id NOT IN (3, 4, 7, 8)), 6) AS grounded_rate, round(avg(CAST(cannot_answer AS INT)) FILTER (question_id IN (3, 4, 7, 8)), 6) AS refusal_accuracy FROM ({answer_sql()})")
 def answer_refusals(spark, sf):
-    rows = extractive_answer(spark, sf).select((~F.col("question_id").isin(3, 4, 7)).alias("answerable"), (~F.col("cannot_answer")).alias("grounded"))
+    rows = extractive_answer(spark, sf).select((~F.col("question_id").isin(3, 4, 7, 8)).alias("answerable"), (~F.col("cannot_answer")).alias("grounded"))
     return metrics.refusals(rows)
 
 
@@ -559,7 +587,12 @@ def claim_verification(spark, sf):
     return qa.verified(claims, hits, ["document_id"])
 
 
-@query("document_id bigint, answer string, grounded boolean")
+def refusal_sql(question: str) -> str:
+    return f"CASE WHEN regexp_matches({question}, '[Ѐ-ӿ]') THEN '{rules.REFUSALS['ru']}' ELSE '{rules.REFUSALS['en']}' END"
+
+
+@query("document_id bigint, question_id bigint, answer string, grounded boolean", f"""SELECT a.document_id, a.question_id, CASE WHEN a.cannot_answer THEN {refusal_sql('t.question')} ELSE rtrim(a.quote) || ' [1]' END AS answer, NOT a.cannot_answer AS grounded
+  FROM ({answer_sql()}) a JOIN {values(QUESTIONS, 'question_id, question')} ON t.question_id = a.question_id""")
 def grounded_answers(spark, sf):
     claims = extractive_answer(spark, sf).filter("not cannot_answer").select("document_id", "question_id", F.lit(1).alias("ord"), F.col("quote").alias("claim"), "evidence_id", "quote")
     by = ["document_id", "question_id"]
@@ -610,7 +643,7 @@ WITH_FACTS = f"WITH f AS (SELECT *, {RERANK_TOKENS.format('question')} AS qt, {R
 
 def fact_rows(spark: SparkSession, sf: str) -> DataFrame:
     scenarios = spark.sql(SCENARIOS.replace("FROM orders", "FROM {orders}"), orders=spread(table(spark, sf, "orders")))
-    return rerank.facts(scenarios, KINDS, literal(spark, TEMPLATES, "language string, category string, variant int, passage string, heading string, page_number int"))
+    return rerank.fact_arrays(scenarios, KINDS, literal(spark, TEMPLATES, "language string, category string, variant int, passage string, heading string, page_number int"))
 
 
 def asked_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -618,13 +651,12 @@ def asked_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def example_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = asked_rows(spark, sf)
-    return rerank.examples(rows, rerank.hard_negatives(rows))
+    return rerank.examples(asked_rows(spark, sf))
 
 
 @query("document_id bigint, split string, language string, category string, variant bigint, heading string, page_number bigint, passage string", FACTS)
 def rerank_corpus_facts(spark, sf):
-    return fact_rows(spark, sf)
+    return fact_rows(spark, sf).select("document_id", "split", "language", F.explode("facts").alias("f")).select("document_id", "split", "language", "f.*")
 
 
 @query("document_id bigint, category string, nth bigint, negative_category string, negative string, preferred boolean, score double, place bigint", f"{WITH_FACTS} {NEGATIVES}")
@@ -664,14 +696,26 @@ def dataset_languages(spark, sf):
     return rerank.language_summary(example_rows(spark, sf))
 
 
-@query("document_id bigint, splits bigint", "SELECT 1 AS document_id, 1 AS splits WHERE false")
+DOCUMENT = "CAST(split_part(id, '-', 1) AS BIGINT)"
+
+
+@query("document_id bigint, splits bigint", f"""{PAIRS} SELECT document_id, count(DISTINCT s) AS splits FROM (SELECT {DOCUMENT} AS document_id, CASE WHEN {DOCUMENT} % 7 = 0 AND split_part(id, '-', 2) = 'budget' THEN 'test' ELSE split END AS s
+  FROM p WHERE position = 0) GROUP BY 1 HAVING count(DISTINCT s) > 1""")
 def dataset_leakage(spark, sf):
-    return rerank.leaks(example_rows(spark, sf))
+    """Some documents have a category in another split."""
+    moved = (F.col("document_id") % 7 == 0) & (F.col("category") == "budget")
+    return rerank.leaks(example_rows(spark, sf).withColumn("split", F.when(moved, "test").otherwise(F.col("split"))))
 
 
-@query("id string", "SELECT '' AS id WHERE false")
+@query("id string", f"{PAIRS} SELECT id FROM p WHERE position = 0 AND {DOCUMENT} % 6 < 4")
 def dataset_invalid(spark, sf):
-    return rerank.invalid(example_rows(spark, sf))
+    """Rows made to break each rule, by their document: a lone negative, the positive among them, one twice, names that don't fit."""
+    kind = F.col("document_id") % 6
+    shouted = F.concat(F.lit("  "), F.upper(F.replace("positive", F.lit(" "), F.lit("  "))))
+    bad = F.when(kind == 0, F.slice("negatives", 1, 1)).when(kind == 1, F.concat(F.slice("negatives", 1, 2), F.array(shouted))).when(kind == 2, F.concat("negatives", F.array(F.upper(F.get("negatives", F.lit(0))))))
+    rows = example_rows(spark, sf).withColumn("negatives", F.coalesce(bad, F.col("negatives")))
+    fits = F.transform("negatives", lambda n: F.lit("x"))
+    return rerank.invalid(rows.withColumn("negative_categories", F.when(kind == 3, F.array(F.lit("x"))).otherwise(fits)))
 
 
 @query("id string, n bigint", f"{PAIRS} SELECT id, count(*) AS n FROM p WHERE position = 0 GROUP BY id HAVING count(*) > 1")
@@ -695,12 +739,17 @@ def lexical_overlap_scores(spark, sf):
 
 @query("id string, positive_rank bigint, best_position bigint", f"{RANKED} SELECT * FROM r WHERE positive_rank > 1")
 def rank_mistakes(spark, sf):
-    return rerank.predictions(rerank.scored(rerank.pairs(example_rows(spark, sf)))).filter("positive_rank > 1")
+    return rerank.mistakes(rerank.predictions(rerank.scored(rerank.pairs(example_rows(spark, sf)))))
+
+
+@query("id string, positive_rank bigint, best_position bigint", f"{RANKED} SELECT * FROM r WHERE positive_rank > 1 ORDER BY id LIMIT 100")
+def rank_mistakes_first(spark, sf):
+    return rerank.mistakes(rerank.predictions_of(example_rows(spark, sf)), 100)
 
 
 @query("split string, examples bigint, hit_at_1 double, hit_at_3 double, mrr double, ndcg_at_3 double, mean_rank double", f"{RANKED} SELECT split, count(*) AS examples, round(avg(CAST(positive_rank <= 1 AS DOUBLE)), 6) AS hit_at_1, round(avg(CAST(positive_rank <= 3 AS DOUBLE)), 6) AS hit_at_3, round(avg(1.0 / positive_rank), 6) AS mrr, round(avg(CASE WHEN positive_rank <= 3 THEN 1.0 / log2(positive_rank + 1) ELSE 0 END), 6) AS ndcg_at_3, round(avg(positive_rank), 6) AS mean_rank FROM r GROUP BY split")
 def ranking_metrics(spark, sf):
-    return rerank.metrics(rerank.predictions(rerank.scored(rerank.pairs(example_rows(spark, sf)))))
+    return rerank.metrics(rerank.predictions_of(example_rows(spark, sf)))
 
 
 # ---- evaluation -----------------------------------------------------------------------------------------
@@ -764,10 +813,10 @@ def analysis_precision_recall(spark, sf):
     return metrics.precision_recall(expected, analysis.conditions(clauses(spark, sf)).select("document_id", "category", "page_number"), ["document_id", "category"])
 
 
-@query("item_id bigint, documents bigint", "SELECT b.item_id, count(d.doc_id) AS documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
+@query("item_id bigint, documents bigint", f"SELECT b.item_id, count(d.doc_id) AS documents FROM (SELECT item_id, {COLLAPSED.format('text')} AS q FROM benchmark) b LEFT JOIN (SELECT doc_id, {COLLAPSED.format('text')} AS t FROM documents) d ON contains(d.t, b.q) GROUP BY b.item_id")
 def expected_quote_on_page(spark, sf):
-    items = retrieval.small(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")))
-    found = table(spark, sf, "documents").join(items, F.contains("text", "quote")).groupBy("item_id").agg(F.count("*").alias("n"))
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    found = metrics.quoting(table(spark, sf, "documents").select("doc_id", "text"), items).groupBy("item_id").agg(F.count("*").alias("n"))
     return items.join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("documents"))
 
 

@@ -74,7 +74,7 @@ def test_answers(spark):
     hits = spark.createDataFrame([(1, 1, "Intro. The penalty applies. Penalty: 5% a day!", 100), (1, 2, "Insurance is needed. A subcontract is allowed.", 0)], "d long, page_number int, text string, start_char int")
     proof = qa.evidence(hits, ["d"], ["page_number"])
     asked = spark.createDataFrame([(1, "What is the penalty?"), (2, "Which policy number?"), (3, "What percentage may a subcontract take?"), (4, "intro please"), (5, "Где зебра?")], "q long, question string")
-    got = {r.q: r for r in qa.extracted(proof.join(asked, F.lit(True)), ["d", "q"]).collect()}
+    got = {r.q: r for r in qa.extracted(proof, asked, ["d"], ["q"]).collect()}
     assert (got[1].evidence_id, got[1].quote) == ("C1", "Penalty: 5% a day!")
     assert [got[k].cannot_answer for k in (2, 3, 4, 5)] == [True, True, False, True]
     claims = spark.createDataFrame([(1, 1, 1, "a ", "C1", "Penalty:  5%"), (1, 1, 2, "b", "C9", "Intro."), (1, 1, 3, "c", "C2", "Insurance"), (1, 1, 6, "d", "C1", "Intro.")], "d long, q long, ord int, claim string, evidence_id string, quote string")
@@ -100,18 +100,18 @@ def test_ranking(spark):
 def test_examples(spark):
     scenarios = spark.createDataFrame([(7, "train", "en", "1 May", "5 USD", "3 days")], "document_id long, split string, language string, deadline string, budget string, delivery string")
     templates = [("en", c, v, f"{c} {v} is {{value}}", c.title(), k) for k, c in enumerate(("deadline", "budget", "delivery"), 1) for v in range(3)]
-    rows = rerank.facts(scenarios, ["deadline", "budget", "delivery"], spark.createDataFrame(templates, "language string, category string, variant int, passage string, heading string, page_number int"))
+    rows = rerank.fact_arrays(scenarios, ["deadline", "budget", "delivery"], spark.createDataFrame(templates, "language string, category string, variant int, passage string, heading string, page_number int"))
     want = {c: sum(map(ord, f"7:{c}")) % 3 for c in ("deadline", "budget", "delivery")}
-    assert {r.category: r.variant for r in rows.collect()} == want
+    assert {f.category: f.variant for f in rows.first().facts} == want
     questions = spark.createDataFrame([("en", "deadline", 1, "budget when"), ("en", "deadline", 2, "x"), ("en", "budget", 1, "x"), ("en", "delivery", 1, "x"), ("de", "budget", 1, "y")], "language string, category string, nth int, question string")
     asked = rerank.asked(rows, questions)
-    made = {r.id: r for r in rerank.examples(asked, rerank.hard_negatives(asked)).collect()}
+    made = {r.id: r for r in rerank.examples(asked).collect()}
     assert sorted(made) == ["7-budget-q1", "7-deadline-q1", "7-deadline-q2", "7-delivery-q1"]
     first = made["7-deadline-q1"]
     assert first.negative_categories == ["delivery", "budget"]  # easily confused before more words in common
     assert (first.positive, first.source_page, first.language) == (f"deadline {want['deadline']} is 1 May", 1, "en")
     assert made["7-budget-q1"].negative_categories == ["delivery", "deadline"]  # a tie: the later name first
-    every = rerank.examples(asked, rerank.hard_negatives(asked))
+    every = rerank.examples(asked)
     assert rerank.invalid(every).count() == 0 and rerank.duplicate_ids(every).count() == 0
     assert sorted(r.split for r in rerank.missing_splits(every).collect()) == ["test", "validation"]
     assert rerank.selected(every, "train").count() == 4 and rerank.language_summary(every).first().examples == 4
