@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from lexweave.functions import rules, text
 from lexweave.operators.retrieval import small
 
+MASK_BITS = 62
+#: More than the facts of a document.
+PLACES = 1 << 12
 SPLITS = ("train", "validation", "test")
 #: Scorers by name: of (query, passage) columns; a pandas UDF fits, too.
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {"overlap": lambda q, p: text.ochiai(text.rerank_tokens(q), text.rerank_tokens(p))}
@@ -27,7 +30,7 @@ def fact_arrays(scenarios: DataFrame, categories: list[str], templates: DataFram
 
     scenarios: document_id, split, language and a column for each category; templates: language, category, variant
     (from 0), passage, heading, page_number.  A category without a value, or without a template in the language, gives
-    no fact.  A document's facts stay in one row, so whatever compares them needs no join and no shuffle.
+    no fact; facts are in order of category.  A document's facts stay in one row, so whatever compares them needs no join and no shuffle.
     """
     rows = scenarios.join(by_language(templates, "templates", "variant", "heading", "page_number", "passage"), "language")
 
@@ -39,7 +42,7 @@ def fact_arrays(scenarios: DataFrame, categories: list[str], templates: DataFram
         made = F.struct(F.lit(category).alias("category"), one["variant"].alias("variant"), one["heading"].alias("heading"), one["page_number"].alias("page_number"), passage.alias("passage"), text.rerank_tokens(passage).alias("tokens"))
         return F.when(F.col(category).isNotNull() & ones.isNotNull(), made)
 
-    return rows.select("document_id", "split", "language", F.filter(F.array(*map(fact, categories)), lambda f: f.isNotNull()).alias("facts"))
+    return rows.select("document_id", "split", "language", F.filter(F.array(*map(fact, sorted(categories))), lambda f: f.isNotNull()).alias("facts"))
 
 
 def facts(scenarios: DataFrame, categories: list[str], templates: DataFrame) -> DataFrame:
@@ -47,30 +50,66 @@ def facts(scenarios: DataFrame, categories: list[str], templates: DataFrame) ->
     return fact_arrays(scenarios, categories, templates).select("document_id", "split", "language", F.explode("facts").alias("f")).select("document_id", "split", "language", "f.*").drop("tokens")
 
 
+def token_mask(tokens: Column, vocabulary: Column) -> Column:
+    """A bit for each word of the vocabulary that is among the distinct tokens, in longs of MASK_BITS."""
+
+    def part(w: Column) -> Column:
+        def bit(token: Column) -> Column:
+            at = F.array_position(vocabulary, token).cast("int") - 1 - w * MASK_BITS
+            return F.when(at.between(0, MASK_BITS - 1), F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
+
+        return F.aggregate(tokens, F.lit(0).cast("long"), lambda sum_, token: sum_ + bit(token))
+
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(vocabulary) - 1) / MASK_BITS).cast("int"), F.lit(0))), part)
+
+
+def mask_overlap(a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
+    """text.ochiai() of two token sets, one of them a part of the vocabulary of both masks."""
+    zero = F.lit(0)
+    every = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), zero, lambda n, x: n + x)
+    shared = F.when(F.size(a) == 1, F.bit_count(F.get(a, zero).bitwiseAND(F.get(b, zero)))).otherwise(every)
+    return F.when(size_a * size_b > 0, shared / F.sqrt((size_a * size_b).cast("double"))).otherwise(F.lit(0.0))
+
+
 def asked(rows: DataFrame, questions: DataFrame) -> DataFrame:
     """fact_arrays() with a row for each fact and each question of its category and language, beside all the document's facts.
 
-    questions: language, category, nth (from 1), question.
+    questions: language, category, nth (from 1), question.  Words are compared as bits of the questions' vocabulary,
+    which is cut once a language, and a passage's words once a fact.
     """
-    both = rows.join(by_language(questions, "questions", "nth", "question"), "language").select("document_id", "split", "language", "questions", "facts", F.explode("facts").alias("f"))
-    each = both.select("document_id", "split", "language", "facts", "f.*", F.explode(F.try_element_at("questions", F.col("f.category"))).alias("q"))
-    return each.select("document_id", "split", "language", "facts", "category", "variant", "heading", "page_number", "passage", "tokens", "q.nth", "q.question")
+    cut = questions.withColumn("tokens", text.rerank_tokens("question"))
+    words = cut.groupBy("language").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("vocabulary"))
+    cut = cut.join(words, "language").select("language", "category", "nth", "question", F.size("tokens").alias("size"), token_mask(F.col("tokens"), F.col("vocabulary")).alias("mask"))
+    both = rows.join(by_language(cut, "questions", "nth", "question", "size", "mask"), "language").join(small(words), "language")
+    known = F.transform("facts", lambda f: F.struct(f["category"], f["variant"], f["heading"], f["page_number"], f["passage"], F.size(f["tokens"]).alias("size"), token_mask(f["tokens"], F.col("vocabulary")).alias("mask")))
+    both = both.select("document_id", "split", "language", "questions", known.alias("facts"))
+    each = both.select("document_id", "split", "language", "questions", "facts", F.explode("facts").alias("f"))
+    each = each.select("document_id", "split", "language", "facts", "f", F.explode(F.try_element_at("questions", F.col("f.category"))).alias("q"))
+    return each.select("document_id", "split", "language", "facts", "f.*", F.col("q.nth").alias("nth"), F.col("q.question").alias("question"), F.struct("q.size", "q.mask").alias("asked"))
 
 
 def negatives_of(rows: DataFrame, limit: int = 3, confusions: dict[str, tuple[str, ...]] = rules.CONFUSIONS) -> DataFrame:
     """asked() with score, that of its own passage, and negatives: the passages of the document's other facts, easily confused categories first, then by overlap."""
     known = F.create_map(*(x for c, ones in confusions.items() for x in (F.lit(c), F.array(*map(F.lit, ones)))))
-    # F.transform may compute an argument again for each element: the question's tokens are a column of their own first
-    cut = rows.withColumns({"asked": text.rerank_tokens("question"), "confused": F.try_element_at(known, F.col("category"))})
+    cut = rows.withColumn("confused", F.coalesce(F.try_element_at(known, F.col("category")), F.array().cast("array<string>")))
+    overlap = lambda mask, size: mask_overlap(F.col("asked.mask"), mask, F.col("asked.size"), size)
+    # one number to sort by: whether it is preferred, the score in millionths, the place (facts are in order of category)
+    preferred = lambda f: F.array_contains("confused", f["category"])
+
+    def key(f: Column, at: Column) -> Column:
+        score = F.rint(overlap(f["mask"], f["size"]) * 1e6).cast("long") * PLACES + at
+        return F.when(f["category"] == F.col("category"), F.lit(-1).cast("long")).otherwise(F.when(preferred(f), score + (PLACES << 30)).otherwise(score))
+
+    first = F.slice(F.sort_array(F.transform("facts", key), asc=False), 1, limit)
+    cut = cut.withColumn("places", F.transform(F.filter(first, lambda k: k >= 0), lambda k: (k % PLACES).cast("int")))
 
-    def negative(f: Column) -> Column:
-        overlap = text.ochiai(F.col("asked"), f["tokens"])
-        preferred = F.coalesce(F.array_contains("confused", f["category"]), F.lit(False))
-        return F.struct(preferred.alias("preferred"), F.round(overlap, 6).alias("score"), f["category"].alias("negative_category"), f["passage"].alias("negative"), overlap.alias("overlap"))
+    def negative(at: Column) -> Column:
+        f = F.get("facts", at)
+        score = overlap(f["mask"], f["size"])
+        return F.struct(preferred(f).alias("preferred"), F.round(score, 6).alias("score"), f["category"].alias("negative_category"), f["passage"].alias("negative"), score.alias("overlap"))
 
-    others = F.transform(F.filter("facts", lambda f: f["category"] != F.col("category")), negative)
-    ranked = cut.withColumns({"negatives": F.slice(F.sort_array(others, asc=False), 1, limit), "score": text.ochiai(F.col("asked"), F.col("tokens"))})
-    return ranked.drop("asked", "confused", "tokens", "facts")
+    ranked = cut.withColumns({"negatives": F.transform("places", negative), "score": overlap(F.col("mask"), F.col("size"))})
+    return ranked.drop("asked", "confused", "places", "mask", "size", "facts")
 
 
 def hard_negatives(rows: DataFrame, limit: int = 3, confusions: dict[str, tuple[str, ...]] = rules.CONFUSIONS) -> DataFrame:
