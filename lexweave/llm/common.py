@@ -18,25 +18,42 @@ from pyspark.sql import functions as F
 NO_ID = (1 << 63) - 1
 
 
+#: What has been written to scratch() paths in this process and clear() has not removed.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset, in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lexweave-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    _written.append(f"{shared_dir(spark)}/lexweave-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def saved(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexweave-{uuid.uuid4().hex}"
-    schema = df.schema
+    spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes the tables behind all results so far; to be called when these have been read."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def trim() -> None:
     """Gives freed memory back, for a Python worker that will stay idle beside other stages."""
     pa.default_memory_pool().release_unused()

@@ -30,7 +30,9 @@ from lexweave.llm.common import arrow_map, arrow_stream, need, place_among, save
 from lexweave.llm.kernels import SLICE_BYTES, hashed_words, joined, span_hashes, windows, word_table, words
 
 WIDE, SKETCH, GRAM = 8, 256, 3
-PART_BYTES = 64_000_000
+PART_BYTES = 4_000_000
+#: Past this many, ranges grow; a task streams its ranges, whatever their size.
+MOST_PARTS = 200_000
 DRAWS = 16
 LINE = word_table(b"\n\r")
 SPACES = word_table(b"\x20\x09\x0a\x0b\x0c\x0d")
@@ -145,7 +147,7 @@ def fingerprint_documents(documents: DataFrame, parts: int | None = None) -> Dat
     Documents are cut into ranges of (id, hash) by size-weighted sampled splitters (null ids first); each range also
     gets a copy of the first document of the following one.  So texts are shuffled once, no task orders the whole
     table, and an id of many texts, null for one, is cut like any others; rows of one id and text are counted up
-    before the shuffle.  The driver gets some DRAWS keys a range of PART_BYTES.
+    before the shuffle.  The driver gets some DRAWS keys a range.
     """
     spark = documents.sparkSession
     docs = need(documents, "doc_id", "text").select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("k"))
@@ -156,7 +158,7 @@ def fingerprint_documents(documents: DataFrame, parts: int | None = None) -> Dat
     n, total = light.agg(F.count("*"), F.sum("w")).first()
     if not n:
         return spark.createDataFrame([], schema)
-    parts = parts or max(-(-total // PART_BYTES), min(n // 100, 4 * spark.sparkContext.defaultParallelism), 1)
+    parts = parts or max(1, min(-(-total // PART_BYTES), MOST_PARTS, n // 100))
     chance = F.xxhash64(F.lit(5), "k", "h").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
     drawn = light.withColumn("w", F.col("w") * F.lit(parts * DRAWS / total)).filter(chance < F.col("w")).distinct().orderBy("k", "h").toPandas()
     upto = np.cumsum(np.maximum(drawn["w"].to_numpy(), 1.0))
@@ -186,7 +188,7 @@ def fingerprint_documents(documents: DataFrame, parts: int | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([p for _, p in at], pa.int32()), pa.array([True] * len(at)), *copies.columns], ["part", "copy", *rows.schema.names])
 
     rows = arrow_map(docs, dealt, f"part int, copy boolean, k long, h long, doc_id {kind}, text string, n long")
-    rows = rows.repartition(len(starts), "part").sortWithinPartitions("part", "copy", "k", "h", "text").select("part", "copy", "doc_id", "text", "n")
+    rows = rows.repartition(-(-len(starts) // 4), "part").sortWithinPartitions("part", "copy", "k", "h", "text").select("part", "copy", "doc_id", "text", "n")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units: list[tuple] = []

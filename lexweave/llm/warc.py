@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from lexweave.llm.common import need, saved, shared_dir
+from lexweave.llm.common import need, saved, scratch
 
 RECORD_SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_length long, payload binary"
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
@@ -324,7 +324,7 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     register(spark)
-    path = path or f"{shared_dir(spark)}/lexweave-warc-{uuid.uuid4().hex}"
+    path = path or scratch(spark)
     page_records(pages).write.format("lexwarc").mode("append").save(path)
     kind = pages.schema["page_id"].dataType.simpleString()
     back = lambda c: F.expr(f"cast(regexp_extract({c}, '<urn:page:(.*)>', 1) as {kind})")
