@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
@@ -86,5 +86,21 @@ def paginated(documents: DataFrame, lines: int = 10) -> DataFrame:
     return pages.withColumn("char_count", F.length("text"))
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+#: The states that a document may go on to.
+MOVES = {"uploaded": ("processing", "failed"), "processing": ("ready", "failed"), "failed": ("processing",)}
+
+
+def applied(rows: DataFrame, updates: DataFrame) -> DataFrame:
+    """The library after updates(doc_id, status, error_code), one a document: the table to be written next.
+
+    An update to a state that does not follow is left out; a state other than failed has no error.
+    """
+    new = updates.select("doc_id", F.col("status").alias("__status"), F.col("error_code").alias("__error"))
+    both = rows.join(new, "doc_id", "left")
+    legal = F.lit(False)
+    for state, after in MOVES.items():
+        legal = legal | ((F.col("status") == state) & F.col("__status").isin(*after))
+    legal = F.coalesce(legal, F.lit(False))
+    old = F.col("error_code") if "error_code" in rows.columns else F.lit(None).cast("string")
+    error = F.when(legal, F.when(F.col("__status") == "failed", F.col("__error"))).otherwise(old)
+    return both.withColumns({"error_code": error, "status": F.when(legal, F.col("__status")).otherwise(F.col("status"))}).drop("__status", "__error")

@@ -105,3 +105,14 @@ def draft_claims(rows: DataFrame, by: list[str], column: str = "draft") -> DataF
     claims = read.filter(~F.coalesce("__draft.cannot_answer", F.lit(False))).select(*by, F.posexplode(F.slice("__draft.claims", 1, 10)).alias("k", "c"))
     good = F.length("c.text").between(1, 2000) & F.length("c.quote").between(1, 2000) & F.rlike("c.evidence_id", F.lit("^C[1-9][0-9]*$"))
     return claims.filter(good).select(*by, (F.col("k") + 1).alias("ord"), F.col("c.text").alias("claim"), F.col("c.evidence_id").alias("evidence_id"), F.col("c.quote").alias("quote"))
+
+
+def with_fallback(drafts: DataFrame, answered: DataFrame, by: list[str], name: str = "provider", column: str = "draft") -> DataFrame:
+    """by, ord, claim, evidence_id, quote, mode: a provider's claims, and where it failed those of extracted().
+
+    A provider has failed on a row whose draft is null or no JSON object of a draft; mode is then extractive_fallback.
+    """
+    broken = F.get_json_object(column, "$.claims").isNull() & F.get_json_object(column, "$.cannot_answer").isNull()
+    own = draft_claims(drafts.filter(~broken), by, column).withColumn("mode", F.lit(name))
+    spare = answered.filter("not cannot_answer").join(drafts.filter(broken).select(*by), by, "left_semi")
+    return own.unionByName(spare.select(*by, F.lit(1).alias("ord"), F.col("quote").alias("claim"), "evidence_id", "quote", F.lit("extractive_fallback").alias("mode")))

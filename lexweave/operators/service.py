@@ -58,6 +58,17 @@ def checked(**request: str | int) -> None:
             raise ValueError(f"{name} must be from {low} to {high}")
 
 
+def request_error(**request: Column) -> Column:
+    """The first parameter of each request that is out of its bounds, or null."""
+    bad = []
+    for name, value in request.items():
+        low, high = BOUNDS[name]
+        size = F.length(value) if name in ("query", "question") else value
+        test = (size < low) if high is None else ~size.between(low, high)
+        bad.append(F.when(value.isNull() | test, name))
+    return F.coalesce(*bad)
+
+
 def document_responses(rows: DataFrame) -> DataFrame:
     """Library rows as they are shown: without the hash, with a short id and the day of creation."""
     created = F.timestamp_seconds("created_at")

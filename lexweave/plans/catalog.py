@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
 from lexweave.operators import analysis, chunking, library, metrics, qa, rerank, retrieval, service
-from lexweave.session import spread, table
+from lexweave.session import scratch, spread, table
+from lexweave.sources import files
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +30,7 @@ class Query:
         return [tuple(c.strip().split(" ")) for c in self.schema.split(",")]  # type: ignore[misc]
 
     def oracle(self) -> str | None:
-        picked = ", ".join(f"CAST({name} AS {kind.replace('string', 'VARCHAR')}) AS {name}" for name, kind in self.columns())
+        picked = ", ".join(f'CAST("{name}" AS {kind.replace("string", "VARCHAR")}) AS "{name}"' for name, kind in self.columns())
         return self.sql and f"SELECT {picked} FROM ({self.sql})"
 
 
@@ -840,6 +841,130 @@ def highlight_quote(spark, sf):
     return clauses(spark, sf).select("document_id", "page_number", analysis.highlighted(F.col("text"), F.lit(" Must  SHOW")).alias("html"))
 
 
+# ---- files, requests and updates ------------------------------------------------------------------------
+
+
+@query("item_id bigint, digest string, error boolean", "SELECT item_id, sha256(text) AS digest, false AS error FROM benchmark")
+def json_lines_round_trip(spark, sf):
+    path = scratch(spark)
+    files.write_json_lines(table(spark, sf, "benchmark").select("item_id", "text"), path)
+    return files.json_lines(spark, path, "item_id long, text string").withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+
+
+@query("side string, value string", "SELECT 'missing' AS side, '{\"item_id\":' || item_id || ',\"n\":' || length(text) || '}' AS value FROM benchmark WHERE item_id % 4 = 0")
+def json_lines_check_run(spark, sf):
+    """A written file that lacks some rows, against the rows that it should have."""
+    path, rows = scratch(spark), table(spark, sf, "benchmark").select("item_id", F.length("text").alias("n"))
+    files.write_json_lines(rows.filter("item_id % 4 <> 0"), path)
+    return files.differing_lines(rows, path)
+
+
+@query("name string, page_number bigint, text string", "SELECT 'set' AS name, row_number() OVER (ORDER BY n_name) AS page_number, n_name AS text FROM nation")
+def evaluation_pages_json(spark, sf):
+    path = scratch(spark)
+    pages_of = table(spark, sf, "nation").agg(F.sort_array(F.collect_list("n_name")).alias("pages"))
+    files.write_report(pages_of.select(F.lit("set").alias("name"), F.lit("").alias("description"), "pages"), path)
+    return files.evaluation_pages(files.json_documents(spark, path, files.EVALUATION))
+
+
+@query("document_id bigint, page_number bigint, digest string, error_code string", f"""SELECT document_id, CASE WHEN blank THEN NULL ELSE k END AS page_number, CASE WHEN NOT blank THEN sha256({NORMAL.format('l[k]')}) END AS digest, CASE WHEN blank THEN 'no_extractable_text' END AS error_code
+  FROM (SELECT document_id, l, unnest(CASE WHEN blank THEN [1] ELSE range(1, len(l) + 1) END) AS k, blank FROM (SELECT page_id AS document_id, str_split(html, '</p>') AS l, NOT regexp_matches(replace(html, '</p>', ''), '[^\\s]') AS blank FROM pages WHERE html IS NOT NULL))""")
+def extracted_pages(spark, sf):
+    rows = table(spark, sf, "pages").filter("html is not null").select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"), F.lit(None).cast("string").alias("error_code"))
+    found = files.extracted(spread(rows), lambda body: body.decode().split("</p>"), 1 << 30)
+    return found.select(F.col("path").alias("document_id"), "page_number", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "error_code")
+
+
+#: A manifest of a document for each nation, with some of every fault.
+MANIFEST_ROWS = """SELECT n_nationkey AS k, CASE n_nationkey WHEN 7 THEN '6' ELSE CAST(n_nationkey AS STRING) END AS id, CASE WHEN n_nationkey = 11 THEN 'X.pdf' WHEN n_nationkey = 12 THEN 'x.PDF' WHEN n_nationkey % 5 = 0 THEN concat('a/', n_name) ELSE n_name END AS filename,
+  CASE WHEN n_nationkey IN (20, 21) THEN 'same' ELSE n_name END AS sha256 FROM nation"""
+
+
+@query("id string, rule string", f"""WITH m AS ({MANIFEST_ROWS}) SELECT id, 'answerable_without_evidence_or_reverse' AS rule FROM m WHERE k % 8 = 1 UNION ALL SELECT id, 'page_below_one' FROM m WHERE k % 4 = 0 UNION ALL SELECT id, 'filename_has_a_path' FROM m WHERE contains(filename, '/')
+  UNION ALL SELECT id, 'one_sided_questions' FROM m WHERE k % 8 = 1 UNION ALL SELECT id, 'question_twice' FROM m WHERE k % 6 = 0 UNION ALL SELECT id, 'document_twice' FROM m GROUP BY id HAVING count(*) > 1
+  UNION ALL SELECT lower(filename), 'filename_twice' FROM m GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT sha256, 'hash_twice' FROM m GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT id, 'question_twice' FROM m GROUP BY id HAVING count(*) > 1 AND bool_and(k % 6 <> 0)""")
+def manifest_rules(spark, sf):
+    rows = spark.sql(MANIFEST_ROWS.replace("FROM nation", "FROM {nation}"), nation=table(spark, sf, "nation"))
+    none = F.array().cast("array<int>")
+    one = F.struct(F.lit("q1").alias("id"), F.lit(True).alias("answerable"), F.array(F.when(F.col("k") % 4 == 0, 0).otherwise(1)).alias("expected_pages"), F.array(F.lit("x")).alias("expected_quote_fragments"))
+    two = F.struct(F.when(F.col("k") % 6 == 0, "q1").otherwise("q2").alias("id"), (F.col("k") % 8 == 1).alias("answerable"), none.alias("expected_pages"), F.array().cast("array<string>").alias("expected_quote_fragments"))
+    return files.manifest_violations(rows.withColumn("questions", F.array(one, two)))
+
+
+@query("document_id bigint, rule string", f"""WITH p AS ({PAGES}), s AS (SELECT document_id, count(*) AS n, min(length(text)) AS least, sum(length(text)) AS total FROM p GROUP BY 1)
+  SELECT document_id, 'page_count' AS rule FROM s WHERE n <> 1 UNION ALL SELECT document_id, 'short_page' FROM s WHERE least < 60 UNION ALL SELECT document_id, 'short_document' FROM s WHERE total < 900
+  UNION ALL SELECT document_id, 'quote_not_on_page' FROM (SELECT *, CASE WHEN document_id % 3 = 0 THEN 'zz no such zz' ELSE replace(left(text, 15), ' ', '   ') END AS q FROM p WHERE page_number = 1) WHERE NOT contains({COLLAPSED.format('text')}, {COLLAPSED.format('q')})""")
+def pack_rules(spark, sf):
+    p = pages(spark, sf)
+    quote = F.when(F.col("document_id") % 3 == 0, "zz no such zz").otherwise(F.replace(F.left("text", F.lit(15)), F.lit(" "), F.lit("   ")))
+    return files.pack_violations(p, p.filter("page_number = 1").select("document_id", "page_number", quote.alias("quote")), 1, 60, 900)
+
+
+@query("document_id bigint, filename string, questions bigint, digest string", f"""{WITH_FACTS} SELECT document_id, 'document-' || document_id || '.pdf' AS filename, count(*) AS questions, sha256(string_agg(category || '-q' || nth || ':' || page_number || ':' || passage, '|' ORDER BY category || '-q' || nth)) AS digest FROM f GROUP BY document_id""")
+def manifest_questions(spark, sf):
+    made = files.manifest_of(asked_rows(spark, sf))
+    line = F.transform("questions", lambda q: F.concat(q["id"], F.lit(":"), F.get(q["expected_pages"], F.lit(0)).cast("string"), F.lit(":"), F.get(q["expected_quote_fragments"], F.lit(0))))
+    return made.select("document_id", "filename", F.size("questions").alias("questions"), F.sha2(F.array_join(line, "|").cast("binary"), 256).alias("digest"))
+
+
+@query("item_id bigint, error string", "SELECT item_id, CASE WHEN length(text) NOT BETWEEN 2 AND 1000 THEN 'query' WHEN item_id % 25 NOT BETWEEN 1 AND 20 THEN 'limit' WHEN item_id < 3 THEN 'offset' END AS error FROM benchmark")
+def request_bounds(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", service.request_error(query=F.col("text"), limit=F.col("item_id") % 25, offset=F.col("item_id") - 3).alias("error"))
+
+
+UPDATED = "CASE doc_id % 4 WHEN 0 THEN 'processing' WHEN 1 THEN 'ready' WHEN 2 THEN 'failed' END"
+LEGAL = "coalesce((status = 'uploaded' AND n IN ('processing', 'failed')) OR (status = 'processing' AND n IN ('ready', 'failed')) OR (status = 'failed' AND n = 'processing'), false)"
+
+
+@query("doc_id bigint, status string, error_code string", f"SELECT doc_id, CASE WHEN {LEGAL} THEN n ELSE status END AS status, CASE WHEN {LEGAL} AND n = 'failed' THEN 'invalid_pdf' END AS error_code FROM (SELECT doc_id, status, {UPDATED} AS n FROM ({LIBRARY}))")
+def status_updates(spark, sf):
+    rows = lib(spark, sf)
+    return library.applied(rows, rows.select("doc_id", F.expr(UPDATED).alias("status"), F.lit("invalid_pdf").alias("error_code")).filter("status is not null"))
+
+
+@query("chunk_id bigint, size bigint", "SELECT doc_id AS chunk_id, CASE WHEN vec_id IS NOT NULL AND doc_id % 3 > 0 THEN len(embedding) WHEN regexp_matches(coalesce(text, ''), '[^\\s]') THEN 16 END AS size FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def embedding_updates(spark, sf):
+    """A third of the embeddings taken away, and those missing given by a provider."""
+    known = vectors(spark, sf).select("chunk_id", "embedding")
+    chunks = doc_chunks(spark, sf).join(known, "chunk_id", "left").withColumn("embedding", F.when(F.col("chunk_id") % 3 > 0, F.col("embedding")))
+    new = files.with_missing_embeddings(chunks, chunks.filter("embedding is not null"), lambda c: files.feature_embedding(c, 16))
+    return files.with_embeddings(chunks, new).select("chunk_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("size"))
+
+
+@query("split string, before double, after double, improved boolean", """SELECT *, after > before AS improved FROM (SELECT event_type AS split, round(avg(value) FILTER (event_id % 2 = 0), 6) AS before, round(avg(value) FILTER (event_id % 2 = 1), 6) AS after FROM events GROUP BY event_type) WHERE before IS NOT NULL AND after IS NOT NULL""")
+def metric_improvements(spark, sf):
+    half = lambda k: table(spark, sf, "events").filter(F.col("event_id") % 2 == k).groupBy(F.col("event_type").alias("split")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return service.improvements(half(0), half(1), "value")
+
+
+@query("document_id bigint, number bigint", f"SELECT o_orderkey AS document_id, (SELECT min(number) FROM ({CONDITIONS}) c WHERE c.document_id = o_orderkey) AS number FROM orders")
+def scored_citations(spark, sf):
+    found = analysis.conditions(clauses(spark, sf)).groupBy("document_id").agg(F.sort_array(F.collect_list("number")).alias("citations"))
+    return tenders(spark, sf).join(found, "document_id", "left").select("document_id", service.scored_citation(F.col("citations")).alias("number"))
+
+
+@query("document_id bigint, mode string, answer string", f"""SELECT a.document_id, CASE WHEN a.document_id % 3 = 2 THEN 'provider' ELSE 'extractive_fallback' END AS mode, CASE WHEN a.document_id % 3 = 2 THEN 'Listed goods [1]' WHEN a.cannot_answer THEN '{rules.REFUSALS["en"]}' ELSE rtrim(a.quote) || ' [1]' END AS answer
+  FROM ({answer_sql()}) a WHERE question_id = 2""")
+def answers_with_fallback(spark, sf):
+    """A provider that answers a third of the questions, fails on a third, and gives no JSON for the others."""
+    by = ["document_id"]
+    good = '{"cannot_answer":false,"claims":[{"text":"Listed goods","evidence_id":"C1","quote":"Goods are  listed"}]}'
+    drafts = tenders(spark, sf).withColumn("draft", F.when(F.col("document_id") % 3 == 2, good).when(F.col("document_id") % 3 == 1, "no json"))
+    question = literal(spark, [q for q in QUESTIONS if q[0] == 2], "question_id long, question string")
+    claims = qa.with_fallback(drafts, qa.extracted(asked_evidence(spark, sf), question, by, []), by)
+    modes = drafts.select("document_id", F.when(F.col("draft").startswith("{"), "provider").otherwise("extractive_fallback").alias("mode"))
+    asked = modes.withColumn("question", F.lit(QUESTIONS[1][1]))
+    final = qa.answers(asked, qa.verified(claims, asked_evidence(spark, sf).withColumn("start_char", F.lit(0)), by), by)
+    return final.join(claims.select("document_id", F.col("mode").alias("given")).distinct(), by, "left").join(modes, by).select("document_id", F.coalesce("given", "mode").alias("mode"), "answer")
+
+
+@query("table string, rule string, n bigint", f"""SELECT 'documents' AS "table", 'unique sha256' AS rule, count(*) AS n FROM (SELECT sha256 FROM ({LIBRARY}) GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0 UNION ALL SELECT 'documents', 'size > 0', count(*) FROM ({LIBRARY}) WHERE size_bytes = 0 HAVING count(*) > 0
+  UNION ALL SELECT 'chunks', 'page exists', count(*) FROM ({chunk_sql(400, 50)}) WHERE page_number % 7 = 0 HAVING count(*) > 0""")
+def stored_constraints(spark, sf):
+    p = pages(spark, sf)
+    return files.constraint_violations(lib(spark, sf), p.filter("page_number % 7 <> 0"), chunking.chunked(p, 400, 50))
+
+
 @query("doc_id bigint, sha256 string")
 def stream_ingest_dedupe(spark, sf):
     from lexweave.streaming import ingest

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,13 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where its files are fewer than these; a table of many files stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); in local mode without one, a folder of our own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="lexweave-")
+    return f"{shared.rstrip('/')}/lexweave-{uuid.uuid4().hex}"

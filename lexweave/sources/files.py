@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
@@ -175,9 +175,45 @@ def feature_embedding(column: str, size: int = 384):
     return embed(column)
 
 
-def with_missing_embeddings(chunks: DataFrame, embedded: DataFrame, size: int = 384) -> DataFrame:
-    """Embeddings for the chunks that embedded(chunk_id) lacks: run again, it gives none (D3)."""
-    return chunks.join(embedded.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", feature_embedding("text", size).alias("embedding")).filter("embedding is not null")
+def embedding_provider(embed: Callable[[list[str]], list[list[float]]], size: int, batch: int = 64) -> Callable[[str], Column]:
+    """A provider for with_missing_embeddings() from a function of a batch of texts, such as a model's; counts and sizes are checked."""
+
+    def column(name: str) -> Column:
+        @F.pandas_udf("array<float>")
+        def vectors(texts: pd.Series) -> pd.Series:
+            asked, out = [t or "" for t in texts], []
+            for k in range(0, len(asked), batch):
+                part = asked[k : k + batch]
+                found = [[float(x) for x in v] for v in embed(part)]
+                if len(found) != len(part) or any(len(v) != size for v in found):
+                    raise ValueError(f"{len(part)} texts want as many vectors of {size}")
+                out += found
+            return pd.Series(out, dtype=object)
+
+        return vectors(name)
+
+    return column
+
+
+def with_missing_embeddings(chunks: DataFrame, embedded: DataFrame, provider: Callable[[str], Column] = feature_embedding) -> DataFrame:
+    """Embeddings for the chunks that embedded(chunk_id) lacks: run again, it gives none."""
+    return chunks.join(embedded.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", provider("text").alias("embedding")).filter("embedding is not null")
+
+
+def with_embeddings(chunks: DataFrame, new: DataFrame) -> DataFrame:
+    """The chunks, where embedding is null that of new(chunk_id, embedding): the table to be written next (Q8)."""
+    return chunks.join(new.withColumnRenamed("embedding", "__new"), "chunk_id", "left").withColumn("embedding", F.coalesce("embedding", "__new")).drop("__new")
+
+
+def manifest_of(rows: DataFrame) -> DataFrame:
+    """document_id, filename, language and questions of a manifest, from a row for each question with its page and evidence.
+
+    rows: document_id, language, category, nth, question, page_number, passage.
+    """
+    ident = F.concat("category", F.lit("-q"), F.col("nth").cast("string"))
+    one = F.struct(ident.alias("id"), "language", "question", F.lit(True).alias("answerable"), F.array("page_number").alias("expected_pages"), F.array("passage").alias("expected_quote_fragments"))
+    name = F.concat(F.lit("document-"), F.col("document_id").cast("string"), F.lit(".pdf"))
+    return rows.groupBy("document_id", "language").agg(F.array_sort(F.collect_list(one)).alias("questions")).select("document_id", name.alias("filename"), "language", "questions")
 
 
 def constraint_violations(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:

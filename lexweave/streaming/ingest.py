@@ -6,17 +6,11 @@ whose repeats are near in time, give a watermark column to bound it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share, or one of our own where none is named."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexweave-")).rstrip("/")
+from lexweave.session import scratch
 
 
 def new_contents(stream: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
@@ -29,7 +23,7 @@ def new_contents(stream: DataFrame, watermark: tuple[str, str] | None = None) ->
 
 def ingest_stream(spark: SparkSession, source: str, schema: StructType | None = None, path: str | None = None) -> DataFrame:
     """Everything that has arrived at source, ingested by one available-now run; a later run on the same path takes only what is new."""
-    path = path or f"{shared(spark)}/lexweave-stream-{uuid.uuid4().hex}"
+    path = path or scratch(spark)
     schema = schema or spark.read.parquet(source).schema
     # a lone file is read through its folder
     folder, _, name = source.rpartition("/")

@@ -212,10 +212,47 @@ def test_json(spark, tmp_path):
 
 def test_embeddings_are_incremental(spark):
     chunks = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "")], "chunk_id long, text string")
-    first = files.with_missing_embeddings(chunks, spark.createDataFrame([(1,)], "chunk_id long"), 16)
+    first = files.with_missing_embeddings(chunks, spark.createDataFrame([(1,)], "chunk_id long"), lambda c: files.feature_embedding(c, 16))
     assert [(r.chunk_id, len(r.embedding)) for r in first.collect()] == [(2, 16)]
 
 
+def test_providers_are_checked(spark):
+    chunks = spark.createDataFrame([(1, "a b"), (2, None)], "chunk_id long, text string")
+    none = spark.createDataFrame([], "chunk_id long")
+    lengths = files.embedding_provider(lambda texts: [[len(t), 1.0] for t in texts], 2, 1)
+    assert sorted((r.chunk_id, list(r.embedding)) for r in files.with_missing_embeddings(chunks, none, lengths).collect()) == [(1, [3, 1]), (2, [0, 1])]
+    pairs = spark.createDataFrame([("q", "p"), ("q", "pp")], "query string, passage string")
+    scorer = rerank.pair_scorer(lambda rows: [len(p) / 2 for _, p in rows], 1)
+    assert sorted(r.s for r in pairs.select(scorer(F.col("query"), F.col("passage")).alias("s")).collect()) == [0.5, 1.0]
+    for bad in (files.with_missing_embeddings(chunks, none, files.embedding_provider(lambda texts: [], 2)), files.with_missing_embeddings(chunks, none, files.embedding_provider(lambda texts: [[1.0]] * len(texts), 2)), pairs.select(rerank.pair_scorer(lambda rows: [1.0] * 3)("query", "passage"))):
+        with pytest.raises(Exception, match="vectors|scores"):
+            bad.collect()
+
+
+def test_dense_search_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0] if k % 11 else None if k % 2 else [0.0, 0.0, 0.0]) for k in range(60)] + [(99, [1.0])], "chunk_id long, embedding array<double>")
+    asked = rows.filter("chunk_id % 3 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    whole = sorted(tuple(r) for r in retrieval.dense(asked, rows, 4).collect())
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 5)
+    assert sorted(tuple(r) for r in retrieval.dense(asked, rows, 4).collect()) == whole and len(whole) > 60
+    assert retrieval.dense(asked.limit(0), rows, 4).count() == 0
+
+
+def test_masks_of_many_words(spark):
+    """More words than one long has bits."""
+    vocabulary = [f"w{k}" for k in range(150)]
+    df = spark.createDataFrame([(vocabulary, [f"w{k}" for k in range(0, 150, 7)], [f"w{k}" for k in range(0, 160, 5)])], "v array<string>, a array<string>, b array<string>")
+    both = df.select(rerank.token_mask(F.col("a"), F.col("v")).alias("a"), rerank.token_mask(F.col("b"), F.col("v")).alias("b"), F.size("a").alias("n"), F.size("b").alias("m"))
+    got = both.select(rerank.mask_overlap(F.col("a"), F.col("b"), F.col("n"), F.col("m")).alias("s")).first().s
+    assert abs(got - 5 / (22 * 32) ** 0.5) < 1e-12
+
+
+def test_quotes(spark):
+    docs = spark.createDataFrame([(1, "The  GOODS are\nlisted here"), (2, "goods are listed"), (3, "nothing"), (4, None)], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "oods are list"), (2, "listed here"), (3, "goods zebra listed"), (4, "not")], "item_id long, quote string")
+    assert sorted(tuple(r) for r in metrics.quoting(docs, quotes).collect()) == [(1, 1), (1, 2), (2, 1), (3, 4)]
+
+
 def test_constraints(spark):
     documents = spark.createDataFrame([("x", 1, "ready"), ("x", 0, "odd")], "sha256 string, size_bytes long, status string")
     pages = spark.createDataFrame([(1, 1)], "document_id long, page_number int")
