@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+from lexweave.llm import mixing
 from tests.llm import brute
-from tests.llm.test_documents import SCHEMA, made
+from tests.llm.test_documents import SCHEMA, made, plain_mixed
 
 
 def test_stages(spark, tmp_path):
@@ -31,7 +32,31 @@ def test_stages(spark, tmp_path):
     assert Counter(out["language_id"]) == lettered
     assert rows[10][0] not in out["decontamination"] and set(out["decontamination"]) <= set(out["near_dedup"])
     assert len(out["near_dedup"]) - len(out["decontamination"]) == 1
+    plain = plain_mixed(spark, mixing.MIXTURE, spark.read.parquet(f"{sf}/out2"), mixing.BUDGET_SHARE)
+    assert Counter(out["mixing"]) == sum((Counter({ident: n}) for (ident, _, _), n in plain.items()), Counter())
     assert Counter(out["sharding"]) == Counter(out["mixing"])
+    slots = defaultdict(list)
+    sizes = Counter()
+    for r in docs.collect():
+        slots[r[-2]].append(r[-1])
+        sizes[r[-2]] += len((r.text or "").encode()) + 1
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(sizes.values()) <= sum(sizes.values()) / 8 + max(len((r.text or "").encode()) + 1 for r in docs.collect())
+
+
+def test_awkward_rows_in_every_stage(spark, tmp_path):
+    """Null columns, an id with several texts, repeated rows: no stage fails, and none takes more or less than its rule says."""
+    sf = str(tmp_path)
+    words = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, words("a", 30), "en", "src1", 1), (1, words("b", 30), None, None, None), (None, words("c", 30), "en", None, 2), (None, words("c", 30), "en", None, 2), (2, None, "en", "src1", 0), (3, "", None, "src1", 0), (4, "12 34", "de", "src2", 5), (5, words("d", 30), "de", "src30", 9), (5, words("d", 30), "de", "src30", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, words("b", 12))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{sf}/out{k}")
+        docs = spark.read.parquet(f"{sf}/out{k}")
+        seen.append(sorted((r.text[0] for r in docs.collect())))
+    assert seen[:3] == [list("abccdd"), list("abcd"), list("acd")] and set(seen[3]) <= set("acd") and seen[4] == seen[3]
 
 
 def test_empty(spark, tmp_path):
