@@ -118,6 +118,26 @@ def html_escaped(c: Column | str) -> Column:
     return reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")), col(c))
 
 
+def html_safe(c: Column | str) -> Column:
+    """Escaped for text between tags: quotes stay."""
+    return reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")), col(c))
+
+
+def wrapped(c: Column | str, width: int = 88) -> Column:
+    """Lines of whole words, each as long as width allows; a longer word is a line of its own."""
+    words = F.filter(F.split(col(c), SPACE + "+"), lambda w: w != "")
+
+    def step(acc: Column, word: Column) -> Column:
+        fits = F.length(acc["line"]) + 1 + F.length(word) <= width
+        done = F.concat(acc["done"], F.array(acc["line"]))
+        return F.when(acc["line"] == "", F.struct(acc["done"].alias("done"), word.alias("line"))).otherwise(
+            F.struct(F.when(fits, acc["done"]).otherwise(done).alias("done"), F.when(fits, F.concat(acc["line"], F.lit(" "), word)).otherwise(word).alias("line"))
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+    return F.aggregate(words, start, step, lambda acc: F.when(acc["line"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))))
+
+
 def safe_filename(c: Column | str) -> Column:
     """The base name, stripped, at most 255 characters, or document.pdf (S3)."""
     base = stripped(F.substring_index(F.replace(col(c), F.lit("\\"), F.lit("/")), "/", -1))

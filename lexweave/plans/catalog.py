@@ -836,6 +836,20 @@ def html_escape(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.html_escaped("text").cast("binary"), 256).alias("digest"))
 
 
+@query("page_id bigint, digest string", "SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS digest FROM pages")
+def html_safe(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.sha2(text.html_safe("html").cast("binary"), 256).alias("digest"))
+
+
+@query("document_id bigint, page_number bigint, lines bigint, digest string", f"""WITH RECURSIVE w AS (SELECT document_id, page_number, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM ({CLAUSES})),
+  s(document_id, page_number, w, k, line, done) AS (SELECT document_id, page_number, w, CAST(1 AS BIGINT), w[1], CAST([] AS VARCHAR[]) FROM w WHERE len(w) > 0
+    UNION ALL SELECT document_id, page_number, w, k + 1, CASE WHEN length(line) + 1 + length(w[k + 1]) <= 40 THEN line || ' ' || w[k + 1] ELSE w[k + 1] END, CASE WHEN length(line) + 1 + length(w[k + 1]) <= 40 THEN done ELSE list_append(done, line) END FROM s WHERE k < len(w))
+  SELECT document_id, page_number, len(done) + 1 AS lines, sha256(array_to_string(list_append(done, line), chr(10))) AS digest FROM s WHERE k = len(w)""")
+def wrapped_lines(spark, sf):
+    lines = text.wrapped("text", 40)
+    return clauses(spark, sf).select("document_id", "page_number", F.size(lines).alias("lines"), F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("digest"))
+
+
 @query("document_id bigint, page_number bigint, html string", f"SELECT document_id, page_number, regexp_replace(text, '(?i)(must\\s+show)', '<mark class=\"{rules.HIGHLIGHT_CLASS}\">\\1</mark>') AS html FROM ({CLAUSES})")
 def highlight_quote(spark, sf):
     return clauses(spark, sf).select("document_id", "page_number", analysis.highlighted(F.col("text"), F.lit(" Must  SHOW")).alias("html"))
