@@ -198,3 +198,21 @@ def test_a_model_of_many_languages_is_bounded(spark, monkeypatch):
     model = langid.train(df)
     assert model.table.shape == (1024, 5)
     assert all(r.lang_pred == rows[r.doc_id][2] for r in langid.identify_documents(df).collect())
+
+
+def test_past_the_bounds_of_what_is_broadcast(spark, monkeypatch):
+    """The ways beyond the thresholds give the same rows."""
+    texts = [template(k, 60, 20) for k in range(12)] + [template(3, 60, 21), template(3, 60, 20), None, "", template(5, 60, 22)] + [template(k, 600, 5) for k in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def results():
+        found = substrings.remove_repeats(df)
+        pipe = corpus_pipeline.drop_near_duplicates(spark, df, "")
+        return [sorted((tuple(r) for r in x.collect()), key=repr) for x in (neardup.NearDup(piece=3).deduplicated(df), found, pipe)]
+
+    usual = results()
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(neardup, "MAX_COMMON", 3)
+    monkeypatch.setattr(substrings, "BROADCAST_TEXTS", 0)
+    assert results() == usual
+    assert usual[0] == sorted(brute.near_groups(list(enumerate(texts))), key=repr)
