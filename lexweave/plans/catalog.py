@@ -12,6 +12,7 @@ from lexweave.functions import rules, text
 from lexweave.operators import analysis, chunking, library, metrics, qa, rerank, retrieval, service
 from lexweave.session import scratch, spread, table
 from lexweave.sources import files
+from lexweave.streaming import ingest
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -979,13 +980,23 @@ def stored_constraints(spark, sf):
     return files.constraint_violations(lib(spark, sf), p.filter("page_number % 7 <> 0"), chunking.chunked(p, 400, 50))
 
 
-@query("doc_id bigint, sha256 string")
+@query("sha256 string", "SELECT DISTINCT sha256(coalesce(text, '')) AS sha256 FROM documents")
 def stream_ingest_dedupe(spark, sf):
-    from lexweave.streaming import ingest
-
     return ingest.ingest_stream(spark, f"{sf}/documents.parquet")
 
 
+STATES = "CASE event_id % 5 WHEN 0 THEN 'processing' WHEN 1 THEN 'ready' WHEN 2 THEN 'failed' ELSE 'processing' END"
+MAY_MOVE = " OR ".join(f"(split_part(s, '|', 1) = '{a}' AND split_part(t, '|', 1) IN ({', '.join(repr(x) for x in after)}))" for a, after in library.MOVES.items())
+
+
+@query("doc_id bigint, status string, changes bigint", f"""SELECT doc_id, split_part(r, '|', 1) AS status, CAST(split_part(r, '|', 2) AS BIGINT) AS changes FROM (SELECT user_id AS doc_id, list_reduce(list_prepend('uploaded|0', list({STATES} || '|0' ORDER BY event_id)),
+  lambda s, t: CASE WHEN {MAY_MOVE} THEN split_part(t, '|', 1) || '|' || CAST(CAST(split_part(s, '|', 2) AS INT) + 1 AS VARCHAR) ELSE s END) AS r FROM events WHERE user_id IS NOT NULL GROUP BY user_id) WHERE NOT starts_with(r, 'uploaded')""")
+def stream_status_changes(spark, sf):
+    events = ingest.opened(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("at"), F.expr(STATES).alias("status"))
+    changes = ingest.drained(spark, ingest.moved(events), scratch(spark))
+    return changes.groupBy("doc_id").agg(F.max_by("status", "at").alias("status"), F.count("*").alias("changes"))
+
+
 def queries() -> dict[str, Plan]:
     return {name: q.run for name, q in CATALOG.items()}
 

@@ -266,3 +266,16 @@ def test_stream(spark, tmp_path):
     assert ingest.ingest_stream(spark, source, path=out).count() == 2
     spark.createDataFrame([(4, "a"), (5, "b")], "doc_id long, text string").write.mode("append").parquet(source)
     assert ingest.ingest_stream(spark, source, path=out).count() == 3
+
+
+def test_states_are_kept_between_runs(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "doc_id long, at long, status string"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        return sorted(tuple(r) for r in ingest.drained(spark, ingest.moved(ingest.opened(spark, source)), out).collect())
+
+    first = run([(1, 2, "ready"), (1, 1, "processing"), (2, 1, "ready"), (None, 1, "failed"), (3, 1, None)])
+    assert first == [(1, 1, "processing"), (1, 2, "ready")]
+    assert run([(1, 3, "failed"), (2, 2, "processing"), (2, 3, "failed"), (2, 4, "processing")]) == first + [(2, 2, "processing"), (2, 3, "failed"), (2, 4, "processing")]
