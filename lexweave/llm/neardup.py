@@ -44,6 +44,8 @@ from lexweave.llm.shingles import EMPTY, MANTISSA_BITS, band_keys, registers, sh
 BROADCAST_IDS = 500_000
 #: At most so many counts of common shingles (16 bytes each) are broadcast.
 MAX_COMMON = 100_000
+#: Rows of groups to a task, and the most tasks of a stage.
+TASK_ROWS, MOST_TASKS = 10_000, 100_000
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -220,14 +222,18 @@ class NearDup:
             out += zip(at[x[nth < limit]].tolist(), j[nth < limit].tolist())
         return out, held
 
-    def pairs(self, groups: DataFrame, reps: DataFrame, limit: int | None, banded: bool = True) -> DataFrame:
-        """a, b, held from groups(key, rid[, label, main, chunk, one, two]): forests if limit is None, else crossing pairs."""
+    def pairs(self, groups: DataFrame, reps: DataFrame, limit: int | None, many: int, banded: bool = True) -> DataFrame:
+        """a, b, held from groups(key, rid[, label, main, chunk, one, two]): forests if limit is None, else crossing pairs.
+
+        many: the rows of groups.  The work on a row is far more than its bytes tell, so tasks are cut by rows.
+        """
         crossing = limit is not None
+        tasks = max(1, min(MOST_TASKS, many // TASK_ROWS))
         rows = groups.join(reps.select("rid", "n", "regs"), "rid")
         if crossing:
-            rows = rows.select("key", "one", "two", "rid", "n", "regs", "label", "main", "chunk").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rid")
+            rows = rows.select("key", "one", "two", "rid", "n", "regs", "label", "main", "chunk").repartition(tasks, "key", "one", "two").sortWithinPartitions("key", "one", "two", "rid")
         else:
-            rows = rows.select("key", F.lit(-1).alias("one"), F.lit(0).alias("two"), "rid", "n", "regs").repartitionByRange("key", "regs").sortWithinPartitions("key", "regs")
+            rows = rows.select("key", F.lit(-1).alias("one"), F.lit(0).alias("two"), "rid", "n", "regs").repartitionByRange(tasks, "key", "regs").sortWithinPartitions("key", "regs")
         piece = self.piece
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +270,8 @@ class NearDup:
 
         return arrow_stream(rows, run, "a long, b long, held boolean").groupBy("a", "b").agg(F.max("held").alias("held"))
 
-    def mixed_groups(self, members: DataFrame, labels: DataFrame, grid: bool = False) -> tuple[DataFrame, DataFrame | None]:
-        """The groups with several labels, by blocks for pairs(); and the classes of the groups left out of it, rid, if any.
+    def mixed_groups(self, members: DataFrame, labels: DataFrame, grid: bool = False) -> tuple[DataFrame, DataFrame | None, int]:
+        """The groups with several labels, by blocks for pairs(); the classes of the groups left out of it, rid, if any; and the rows of the first.
 
         A large group with few classes outside its main label is cut into blocks of the main label's classes, with
         the others in each.  Where the others are more than a piece, the group is left out; or, with grid, cut into
@@ -286,8 +292,10 @@ class NearDup:
         compared = rows if grid else rows.filter(few)
         at = F.explode(F.when(few, beside).otherwise(crossed) if grid else beside)
         compared = compared.select("key", "rid", "label", (main & few).alias("main"), own.alias("chunk"), at.alias("at")).select("key", "rid", "label", "main", "chunk", "at.one", "at.two")
-        hot = None if grid or by_key.filter(~few).isEmpty() else rows.filter(~few).select("rid").distinct()
-        return compared, hot
+        made = F.when(few, F.when(blocks > 1, F.col("top") + (F.col("all") - F.col("top")) * blocks).otherwise(F.col("all"))).otherwise(F.col("all") * blocks if grid else F.lit(0))
+        many, any_hot = by_key.agg(F.sum(made), F.max(~few)).first()
+        hot = rows.filter(~few).select("rid").distinct() if any_hot and not grid else None
+        return compared, hot, many or 0
 
     def rare_groups(self, documents: DataFrame, reps: DataFrame, hot: DataFrame) -> DataFrame:
         """key, rid: the rarest shingles of the classes in hot(rid), as many as two similar sets must share one of (a prefix filter).
@@ -332,16 +340,17 @@ class NearDup:
         limit, held = None, True
         while held:
             if limit is None:
-                tried = found = saved(self.pairs(members, reps, None))
+                tried = found = saved(self.pairs(members, reps, None, members.count()))
                 limit = 8
             else:
                 known = tried.select("a", "b", F.lit(True).alias("known"))
-                groups, hot = self.mixed_groups(members, labels)
-                every = self.pairs(groups, reps, limit)
+                groups, hot, many = self.mixed_groups(members, labels)
+                every = self.pairs(groups, reps, limit, many)
                 if hot is not None and rare is None:  # later rounds' hot groups are among the first one's
                     rare = saved(self.rare_groups(documents, reps, saved(hot)))
                 if rare is not None:
-                    every = every.unionByName(self.pairs(self.mixed_groups(rare, labels, True)[0], reps, limit, False)).groupBy("a", "b").agg(F.max("held").alias("held"))
+                    groups, _, many = self.mixed_groups(rare, labels, True)
+                    every = every.unionByName(self.pairs(groups, reps, limit, many, False)).groupBy("a", "b").agg(F.max("held").alias("held"))
                 every = saved(every.join(known, ["a", "b"], "left"))
                 held = every.agg(F.max("held")).first()[0]  # tried pairs, too, may have held others back
                 found = every.filter("known is null").drop("known")

@@ -39,9 +39,9 @@ def test_pairs_are_looked_for_after_empty_forests(spark):
 
 def test_pairs_held_back_by_tried_ones_are_verified(spark):
     class Held(neardup.NearDup):
-        def pairs(self, groups, reps, limit):
+        def pairs(self, groups, reps, limit, *rest):
             if limit is not None and limit > 8:
-                return super().pairs(groups, reps, limit)
+                return super().pairs(groups, reps, limit, *rest)
             rid = {r.uid: r.rid for r in reps.collect()}
             refused = (min(rid[0], rid[2]), max(rid[0], rid[2]), limit is not None)
             return reps.sparkSession.createDataFrame([refused], "a long, b long, held boolean")
@@ -71,14 +71,14 @@ def test_blocks_of_a_hot_group_grow_with_its_classes(spark):
     for n in (500, 1000):
         members = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rid"))
         labels = spark.createDataFrame([], "node long, label long")
-        groups, hot = near.mixed_groups(members, labels)
+        groups, hot, _ = near.mixed_groups(members, labels)
         assert groups.count() == 0 and hot.count() == n
         # where even rare shingles don't tell them apart: each pair of chunks is a block of its own
         sizes = near.mixed_groups(members, labels, True)[0].groupBy("one", "two").count().collect()
         assert max(r["count"] for r in sizes) < 4 * near.piece
         main = near.mixed_groups(members, spark.range(n).filter("id > 20").select(F.col("id").alias("node"), F.lit(7).cast("long").alias("label")))
         rows[n] = main[0].count()
-        assert main[1] is None
+        assert main[1] is None and main[2] == rows[n]
     assert rows[1000] < 2.5 * rows[500] < 5000
 
 
