@@ -47,11 +47,28 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _written.remove(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes the tables behind all results so far; to be called when these have been read."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    removed(spark, list(_written))
+
+
+def settled(since: int, *results: DataFrame) -> list[DataFrame]:
+    """The results as tables of their own; what has been written after the first `since` paths, to make them, is removed."""
+    old, out = _written[since:], [saved(r) for r in results]
+    removed(results[0].sparkSession, old)
+    return out
+
+
+def written() -> int:
+    """How many paths there are, for settled()."""
+    return len(_written)
 
 
 def trim() -> None:

@@ -42,10 +42,13 @@ class RangeSharder:
     tolerance: float = 0.05
     bounds: list[tuple[int, int]] = field(default_factory=list)
     deal: list[tuple[int, int, int]] = field(default_factory=list)
+    #: Whether a range of several rows is left over the tolerance of a shard.
+    stuck: bool = False
 
-    def keyed(self, df: DataFrame, group: str, ident: str) -> DataFrame:
-        """Adds the two key parts; the result is to be saved, as the second depends on the row's place."""
-        return df.withColumns({"__k1": F.xxhash64(F.col(f"`{group}`")), "__k2": F.xxhash64(F.col(f"`{ident}`"), F.monotonically_increasing_id())})
+    def keyed(self, df: DataFrame, group: str, ident: str, place: bool = True) -> DataFrame:
+        """Adds the two key parts; with place the second depends on the row's place, too, and the result is to be saved."""
+        rest = [F.monotonically_increasing_id()] if place else []
+        return df.withColumns({"__k1": F.xxhash64(F.col(f"`{group}`")), "__k2": F.xxhash64(F.col(f"`{ident}`"), *rest)})
 
     def ranged(self, df: DataFrame) -> DataFrame:
         first = np.array([b[0] for b in self.bounds], np.int64)
@@ -78,7 +81,7 @@ class RangeSharder:
     def fit(self, light: DataFrame) -> RangeSharder:
         """light: __k1, __k2, __size."""
         total, rows = light.agg(F.sum("__size"), F.count("*")).first()
-        self.bounds, self.deal = [], []
+        self.bounds, self.deal, self.stuck = [], [], False
         if not rows:
             return self
         pieces = self.n_shards * self.ranges_per_shard
@@ -98,6 +101,7 @@ class RangeSharder:
             if more <= set(self.bounds):
                 break
             self.bounds = sorted(more | set(self.bounds))
+        self.stuck = any(v[0] > 2 * self.tolerance * total / self.n_shards and v[1] > 1 for v in stats.values())
         before, filled = 0, [0] * self.n_shards
         for k in sorted(stats):
             size, count = stats[k]
@@ -129,6 +133,10 @@ def shard_documents(documents: DataFrame, n_shards: int = 8) -> DataFrame:
 def sharded(documents: DataFrame, n_shards: int = 8) -> DataFrame:
     """The whole records, in the order of their shards' ranges, with shard and slot."""
     sharder = RangeSharder(n_shards)
-    keyed = saved(sharder.keyed(documents, "text", "doc_id"))
-    sharder.fit(keyed.select("__k1", "__k2", byte_size("text").alias("__size")))
+    light = lambda keyed: keyed.select("__k1", "__k2", byte_size("text").alias("__size"))
+    keyed = sharder.keyed(documents, "text", "doc_id", False)
+    sharder.fit(saved(light(keyed)))
+    if sharder.stuck:  # on rows of one id and text: these are told apart by their place, in a table of all columns
+        keyed = saved(sharder.keyed(documents, "text", "doc_id"))
+        sharder.fit(light(keyed))
     return sharder.transform(keyed)

@@ -90,6 +90,10 @@ def test_small_groups_stay_together_and_rows_of_one_key_are_cut(spark):
     same = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     counts = [r["count"] for r in sharding.shard_documents(same).groupBy("shard").count().collect()]
     assert len(counts) == 8 and max(counts) < 1.1 * 1000
+    slots = defaultdict(list)
+    for r in sharding.sharded(same.withColumn("more", F.lit(1))).collect():
+        slots[r.shard].append(r.slot)
+    assert len(slots) == 8 and all(sorted(s) == list(range(len(s))) and len(s) < 1.1 * 1000 for s in slots.values())
 
 
 @pytest.mark.parametrize("percent", [85, 80])
