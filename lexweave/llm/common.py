@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -18,8 +19,40 @@ from pyspark.sql import functions as F
 NO_ID = (1 << 63) - 1
 
 
-#: What has been written to scratch() paths in this process and clear() has not removed.
-_written: list[str] = []
+class Scope:
+    """The tables that one query writes: scratch() paths are entered in the innermost open scope of their thread, and a scope removes nothing but its own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def clear(self, spark: SparkSession) -> None:
+        """Removes the tables of this scope; to be called when what rests on them has been read."""
+        while self.paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: The scope of what is written outside all others.
+_outside = Scope()
+_open: contextvars.ContextVar[Scope] = contextvars.ContextVar("scope", default=_outside)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Scope]:
+    """Opens a scope in this thread; its tables stay until its clear() or until settled()."""
+    own = Scope()
+    token = _open.set(own)
+    try:
+        yield own
+    finally:
+        _open.reset(token)
+
+
+def settled(own: Scope, *results: DataFrame) -> list[DataFrame]:
+    """The results as tables in the scope that is open now; what has been written in own, to make them, is removed."""
+    out = [saved(r) for r in results]
+    own.clear(results[0].sparkSession)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +69,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder."""
-    _written.append(f"{shared_dir(spark)}/lexweave-{uuid.uuid4().hex}")
-    return _written[-1]
+    path = f"{shared_dir(spark)}/lexweave-{uuid.uuid4().hex}"
+    _open.get().paths.append(path)
+    return path
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -47,28 +81,9 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def removed(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        _written.remove(path)
-
-
 def clear(spark: SparkSession) -> None:
-    """Removes the tables behind all results so far; to be called when these have been read."""
-    removed(spark, list(_written))
-
-
-def settled(since: int, *results: DataFrame) -> list[DataFrame]:
-    """The results as tables of their own; what has been written after the first `since` paths, to make them, is removed."""
-    old, out = _written[since:], [saved(r) for r in results]
-    removed(results[0].sparkSession, old)
-    return out
-
-
-def written() -> int:
-    """How many paths there are, for settled()."""
-    return len(_written)
+    """Removes the tables of the scope that is open in this thread: without one, those behind all results so far that have none of their own."""
+    _open.get().clear(spark)
 
 
 def trim() -> None:

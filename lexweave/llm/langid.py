@@ -1,17 +1,18 @@
 """Language identification by a mixture of languages in each document.
 
 Training counts letter trigrams (hashed to `BUCKETS`) by language, over a bounded, seeded sample of labelled
-documents (`sample_docs` a language, whole texts).  Prediction runs expectation-maximisation over the words of
+documents (`sample_docs` different texts a language, whole ones, whichever ids they have and how often they occur).  Prediction runs expectation-maximisation over the words of
 a document: a word's likelihood in a language is the product of its trigrams', the mixing proportions are the
 document's languages.  Nested language sets are compared by likelihood penalised by half the logarithm of the
 word count for each language; the set's largest proportion names the language and is the score.
 
-The model (languages x buckets floats) is what is broadcast: 1 MB for four languages; past MODEL_BYTES trigrams share
-buckets, so that it does not grow.  The driver gets the counts by language and bucket.  A long text is read in pieces,
+The model (languages x buckets floats) is what is broadcast: 256 KB a label, 1 MB for four, whatever the documents are;
+the same buckets serve any number of labels.  The driver gets the counts by language and bucket.  A long text is read in pieces,
 and its words are counted up by their hashes.
 
 Cases: a null text, or one without a letter, is "und" with score 0; without any labelled document every text
-is "und"; null labels are never learned; rows with a null id are not held out; repeated rows are judged alike;
+is "und"; null labels are never learned; rows with a null id are not held out; repeated texts are learned once a
+language and judged alike;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -22,15 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import arrow_map, need
+from lexweave.llm.common import arrow_map, need, saved
 from lexweave.llm.kernels import FOLD, SLICE_BYTES, slices, span_hashes, windows, words
 
 BUCKETS = 1 << 16
-MODEL_BYTES = 64_000_000
 SAMPLE_DOCS = 2000
+#: So many sampled hashes are broadcast; more, of thousands of labels, are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
 ROUNDS = 12
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -85,10 +87,9 @@ class Model:
 
     def worded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log-likelihoods of words by language, how often each counts, rows by document)."""
-        shift = (BUCKETS // len(self.table)).bit_length() - 1
         if len(data) <= 2 * SLICE_BYTES or len(offsets) > 2:
             bucket, first, counts = trigrams(data, offsets)
-            by_word = np.add.reduceat(self.table[bucket >> shift], first, axis=0) if len(first) else np.zeros((0, len(self.languages)), np.float32)
+            by_word = np.add.reduceat(self.table[bucket], first, axis=0) if len(first) else np.zeros((0, len(self.languages)), np.float32)
             return by_word, np.ones(len(by_word), np.float32), counts
         names, rows, times = np.empty(0, np.uint64), np.zeros((0, len(self.languages)), np.float32), np.zeros(0)
         for a, b in windows(data, LETTER):
@@ -103,14 +104,13 @@ class Model:
 
     def stretched(self, data: np.ndarray) -> np.ndarray:
         """The log-likelihoods of the words of a piece that ends with a very long one: a word's trigrams are added up in stretches."""
-        shift = (BUCKETS // len(self.table)).bit_length() - 1
         start, stop, _ = words(data, np.array([0, len(data)]), LETTER)
         out = np.zeros((len(start), len(self.languages)), np.float32)
         for k, (a, b) in enumerate(zip(start.tolist(), stop.tolist())):
             for x in range(a, b, SLICE_BYTES):
                 lo, hi = max(a, x - 1), min(b, x + SLICE_BYTES + 1)
                 bucket = trigrams(data[lo:hi], np.array([0, hi - lo]))[0][x - lo :][:SLICE_BYTES]
-                out[k] += self.table[bucket >> shift].sum(axis=0)
+                out[k] += self.table[bucket].sum(axis=0)
         return out
 
     def mixtures(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -154,14 +154,16 @@ class Model:
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """From documents(doc_id, text, lang), those that are held out left aside."""
     labelled = need(documents, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    totals = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    if not totals:
+    by_text = labelled.select("lang", F.xxhash64(F.lit(9), "text").alias("__t")).distinct()
+    drawn = by_text.withColumn("__nth", F.row_number().over(Window.partitionBy("lang").orderBy("__t"))).filter(F.col("__nth") <= sample_docs)
+    # a table, as its rows are counted before they are broadcast: 8 bytes and a label for each of at most sample_docs a language
+    drawn = saved(drawn.select(F.col("lang").alias("__l"), F.col("__t").alias("__d")))
+    languages = sorted(r[0] for r in drawn.select("__l").distinct().collect())
+    if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
-    shift = max(0, (4 * BUCKETS * len(totals) // (MODEL_BYTES + 1)).bit_length())
-    buckets = max(1, BUCKETS >> shift)
-    rates = documents.sparkSession.createDataFrame([(k, min(1.0, sample_docs / n)) for k, n in totals.items()], "lang string, rate double")
-    chance = F.xxhash64(F.lit(9), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    sample = labelled.join(F.broadcast(rates), "lang").filter(chance < F.col("rate")).select("lang", "text")
+    hashed = labelled.withColumn("__t", F.xxhash64(F.lit(9), "text"))
+    few = drawn.count() <= BROADCAST_TEXTS
+    sample = hashed.join(F.broadcast(drawn) if few else drawn, (F.col("lang") == F.col("__l")) & (F.col("__t") == F.col("__d")), "left_semi").dropDuplicates(["lang", "__t"]).select("lang", "text")
 
     def told(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, have in sums.items():
@@ -176,20 +178,19 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
             for row in range(lo, hi):
                 body = data[offsets[row - lo] : offsets[row - lo + 1]]
                 for a, b in windows(body, LETTER):
-                    have = sums.setdefault(names[row], np.zeros(buckets, np.int64))
-                    have += np.bincount(trigrams(body[a:b], np.array([0, b - a]))[0] >> shift, minlength=buckets)
+                    have = sums.setdefault(names[row], np.zeros(BUCKETS, np.int64))
+                    have += np.bincount(trigrams(body[a:b], np.array([0, b - a]))[0], minlength=BUCKETS)
                 if len(sums) > 64:
                     yield from told(sums)
         yield from told(sums)
 
     counted = arrow_map(sample, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(totals)
-    counts = np.zeros((buckets, len(languages)))
+    counts = np.zeros((BUCKETS, len(languages)))
     place = {x: k for k, x in enumerate(languages)}
     counts[counted["bucket"].to_numpy(), [place[x] for x in counted["lang"].to_pylist()]] = counted["n"].to_numpy()
     shared = counts.sum(axis=1, keepdims=True)
     prior = (shared + 0.1) / (shared + 0.1).sum()
-    counts += SMOOTHING * buckets * prior / 64
+    counts += SMOOTHING * BUCKETS * prior / 64
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 

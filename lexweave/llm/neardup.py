@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import NO_ID, arrow_map, arrow_stream, components, need, saved, settled, written
+from lexweave.llm.common import NO_ID, arrow_map, arrow_stream, components, need, saved, scope, settled
 from lexweave.llm.kernels import mix, slices
 from lexweave.llm.shingles import EMPTY, MANTISSA_BITS, band_keys, registers, shingle_sets
 
@@ -327,7 +327,13 @@ class NearDup:
 
     def classes(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(uid, n, sid by document; sid, component, label by class): component is the least uid that is reachable, label tells apart groups that share it."""
-        since, documents = written(), need(documents, "doc_id", "text")
+        with scope() as own:
+            results = self.judged(need(documents, "doc_id", "text"))
+        found, joined = settled(own, *results)
+        return found, joined
+
+    def judged(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """classes(), resting on tables of the open scope."""
         sketched = saved(self.sketches(documents))
         rows = sketched.select("uid", "n", "sid")
         reps = sketched.filter("n > 0").groupBy("sid").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("regs").alias("regs"))
@@ -370,8 +376,7 @@ class NearDup:
                     labels = saved(components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
         named = reps.select("rid", "sid", "uid").join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         least = named.groupBy("label").agg(F.min("uid").alias("component"))
-        found, joined = settled(since, rows, named.join(least, "label").select("sid", "component", "label"))
-        return found, joined
+        return rows, named.join(least, "label").select("sid", "component", "label")
 
     def deduplicated(self, documents: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id, kept."""

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import arrow_map, arrow_stream, need, saved, settled, written
+from lexweave.llm.common import arrow_map, arrow_stream, need, saved, scope, settled
 from lexweave.llm.kernels import SLICE_BYTES, hashed_words, joined, mix, slices, widened, window_hashes
 from lexweave.llm.shingles import SPACES
 
@@ -320,9 +320,11 @@ class Repeats:
 
     def removed(self, documents: DataFrame) -> DataFrame:
         """doc_id, text, spans array<struct<lo, hi>>: the byte ranges to remove by start (they may overlap); null without any; n_passages."""
-        since, texts = written(), self.texts(need(documents, "doc_id", "text"))
-        found = self.repeated(texts).groupBy("tid", "size").agg(F.array_sort(F.collect_list(F.struct("lo", (F.col("hi") + self.length).alias("hi")))).alias("spans"))
-        (both,) = settled(since, found.join(self.passages(texts), ["tid", "size"], "full_outer"))
+        texts = self.texts(need(documents, "doc_id", "text"))
+        with scope() as own:
+            found = self.repeated(texts).groupBy("tid", "size").agg(F.array_sort(F.collect_list(F.struct("lo", (F.col("hi") + self.length).alias("hi")))).alias("spans"))
+            found = found.join(self.passages(texts), ["tid", "size"], "full_outer")
+        (both,) = settled(own, found)
         return texts.join(both, ["tid", "size"], "left").select("doc_id", "text", "spans", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"))
 
 

@@ -191,13 +191,63 @@ def test_long_texts_go_by_windows(spark, monkeypatch):
     assert starts.filter("size > 2000").count() > 0
 
 
-def test_a_model_of_many_languages_is_bounded(spark, monkeypatch):
-    rows = [(k, " ".join(f"{chr(97 + k % 5)}{x}ab" for x in "klmnop") * 3, f"l{k % 5}") for k in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    monkeypatch.setattr(langid, "MODEL_BYTES", 4 * 5 * 1024)
-    model = langid.train(df)
-    assert model.table.shape == (1024, 5)
-    assert all(r.lang_pred == rows[r.doc_id][2] for r in langid.identify_documents(df).collect())
+def spoken(lang: str, k: int) -> str:
+    """A text with letters of its language only."""
+    return " ".join("".join(lang[(k * 7 + x * 3 + y) % len(lang)] for y in range(4)) for x in range(12 + k % 5))
+
+
+def test_no_language_is_lost_with_null_and_repeated_ids(spark):
+    letters = {"de": "abcdefg", "fr": "hijklmn", "es": "opqrstu"}
+    for odd in (2, 0, None):
+        rows = [(4 * k + 1, spoken(letters["de"], k), "de") for k in range(300)] + [(None, spoken(letters["fr"], k), "fr") for k in range(600)] + [(odd, spoken(letters["es"], k), "es") for k in range(600)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+        model = langid.train(df, 50)
+        right = langid.identify(df, model).filter("lang = lang_pred").groupBy("lang").count().collect()
+        assert {r.lang: r["count"] for r in right} == {"de": 300, "fr": 600, "es": 600}
+
+
+def test_the_sample_is_bounded_and_blind_to_copies(spark):
+    texts = [spoken("abcdefg", k) + f" {'xyz'[k % 3]}" for k in range(40)]
+    once = spark.createDataFrame([(k, t, "l") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    copied = once.unionByName(once.limit(5)).unionByName(spark.createDataFrame([(None, texts[0], "l")] * 500, once.schema))
+    for docs in (7, 2000):
+        assert (langid.train(once.filter(~langid.held_out()), docs).table == langid.train(copied.filter(~langid.held_out()), docs).table).all()
+
+
+def test_predictions_do_not_depend_on_the_number_of_labels(spark, monkeypatch):
+    rows = [(k, spoken("abcdefg" if k % 2 else "hijklmn", k), "one" if k % 2 else "two") for k in range(80)]
+    more = rows + [(None, f"{chr(97 + k % 26)}{chr(97 + k // 26)}q", f"l{k}") for k in range(300)]
+    few, many = (langid.train(spark.createDataFrame(x, "doc_id long, text string, lang string")) for x in (rows, more))
+    assert many.table.shape == (langid.BUCKETS, 302) and few.table.shape == (langid.BUCKETS, 2)
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, label string"), many)
+    assert all(r.lang_pred == r.label for r in got.collect())
+    monkeypatch.setattr(langid, "BROADCAST_TEXTS", 0)
+    assert (langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).table == few.table).all()
+
+
+def test_queries_at_once_keep_their_own_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lexweave.llm import mixing
+    from lexweave.llm.common import scope
+
+    texts = [template(k, 60, 4 + k % 9) for k in range(24)] + [template(k, 600, 5) for k in range(4)]
+    df = spark.createDataFrame([(k, t, "en", f"src{k % 20}") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    runs = [lambda: neardup.NearDup().deduplicated(df), lambda: substrings.remove_repeats(df), lambda: mixing.mix_documents(df), lambda: corpus_pipeline.drop_near_duplicates(spark, df, "")]
+    alone = [sorted((tuple(r) for r in run().collect()), key=repr) for run in runs]
+
+    def scoped(run):
+        with scope() as own:
+            got = sorted((tuple(r) for r in run().collect()), key=repr)
+            paths = list(own.paths)
+            own.clear(spark)
+        exists = [spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
+        return got, paths, exists
+
+    with ThreadPoolExecutor(4) as pool:
+        together = list(pool.map(scoped, runs * 2))
+    assert [g for g, _, _ in together] == alone * 2
+    assert all(paths and not any(exists) for _, paths, exists in together)
 
 
 def test_past_the_bounds_of_what_is_broadcast(spark, monkeypatch):
