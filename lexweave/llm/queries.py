@@ -1,4 +1,4 @@
-"""The queries of the ten document operators, and SQL for those that it can express."""
+"""The queries of the corpus operators, and SQL for those that it can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import chatformat, decontam, fingerprint, langid, mixing, neardup, sharding, substrings, urlfilter, warc
+from lexweave.llm import chatformat, decontam, divergence, fingerprint, langid, mixing, neardup, negatives, sharding, substrings, urlfilter, warc
 
 RULES = (
     ("block", "com", "en/"),
@@ -82,6 +82,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_sharding, op2_warc, op3_url_filter, op4_mixing, op5_fingerprint, op6_near_dedup, op7_chat_format, op8_repeated_substrings, op9_language_id, op10_decontamination, pipeline]
+    named = [op1_sharding, op2_warc, op3_url_filter, op4_mixing, op5_fingerprint, op6_near_dedup, op7_chat_format, op8_repeated_substrings, op9_language_id, op10_decontamination, op11_source_divergence, op12_hard_negatives, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -147,6 +155,33 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM d LEFT JOIN covered c ON d.r = c.r LEFT JOIN items i ON d.r = i.r
 """
 
+SQL_11 = f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS c FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(c) AS HUGEINT) AS c FROM t GROUP BY lang, term HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+sizes AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, CAST(sum(c) AS HUGEINT) AS c FROM t GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.c AS whole FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT grid.lang, source, term, grid.c, 1 + (1000000000 * (grid.c + 5)) // (sum(grid.c) OVER (PARTITION BY grid.lang, source) + 5 * v) AS p, 1 + (1000000000 * (whole + 5)) // (n + 5 * v) AS q FROM grid JOIN sizes ON sizes.lang = grid.lang),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(far.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows) WHERE part = 'pair' OR rank <= 50
+"""
+
+SQL_12 = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score FROM e a JOIN e ON a.r <> e.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS nth FROM s WHERE same) WHERE nth <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.nth ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.r = p.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 SQL_6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') || CASE WHEN len(w) < 5 THEN ' ' ELSE '' END AS g
@@ -162,4 +197,4 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(c) AS c FROM
 
 def oracle_sql() -> dict[str, str]:
     """Where it is missing (op1, op4, op5, op8, op9, pipeline) SQL can't express the operator; tests hold it against brute force."""
-    return {"op2_warc": SQL_2, "op3_url_filter": SQL_3, "op6_near_dedup": SQL_6, "op7_chat_format": SQL_7, "op10_decontamination": SQL_10}
+    return {"op2_warc": SQL_2, "op3_url_filter": SQL_3, "op6_near_dedup": SQL_6, "op7_chat_format": SQL_7, "op10_decontamination": SQL_10, "op11_source_divergence": SQL_11, "op12_hard_negatives": SQL_12}
