@@ -15,7 +15,8 @@ main component its likeliest pairs: at most 8, then 64 and so on while any are h
 first band that it shares.  So every pair that may link two components is verified before the end, while copies
 of a hot text cost rows, not pairs.  Groups of over two pieces are cut into blocks of the main component's
 classes, with the others in each.  Where the others are more than a piece (many texts that share much but are
-no copies), the group's classes are grouped anew by their rarest shingles, an exact prefix filter.
+no copies), the group's classes are grouped anew by their rarest shingles, an exact prefix filter, and where such a
+group is as large, by two of them, then three and four.
 
 Chance of losing a pair: under 1e-10 that no band agrees, (1 - s**rows)**bands for similarity s at the
 threshold, less above it; and under 1e-6 that the estimate is 5 standard errors low.
@@ -86,6 +87,8 @@ class NearDup:
     rows: int = 6
     piece: int = 1024
     deviations: float = 5.0
+    #: How many shingles at most a group of classes is cut by.
+    deep: int = 4
 
     @property
     def bands(self) -> int:
@@ -197,7 +200,6 @@ class NearDup:
         """
         key, one, two = group
         rows = np.flatnonzero(~main & ((one < 0) | (chunk == one)))
-        keys = band_keys(regs, self.bands, self.rows) if banded else None
         place = np.arange(len(regs))[None]
         out, held = [], False
         for k in range(0, len(rows), 256):
@@ -211,8 +213,7 @@ class NearDup:
             near[~apart] = -1
             x, j = np.nonzero(near >= 0)
             if banded:
-                shared = keys[at[x]] == keys[j]
-                here = keys[at[x], shared.argmax(axis=1)] == key
+                here = self.met_first(regs, at[x], j, key)
                 x, j = x[here], j[here]
             order = np.lexsort((-near[x, j], x))
             x, j = x[order], j[order]
@@ -222,6 +223,13 @@ class NearDup:
             out += zip(at[x[nth < limit]].tolist(), j[nth < limit].tolist())
         return out, held
 
+    def met_first(self, regs: np.ndarray, one: np.ndarray, other: np.ndarray, key: int) -> np.ndarray:
+        """Whether key is the first band key that each pair of rows shares."""
+        used, which = np.unique(np.concatenate((one, other)), return_inverse=True)
+        keys = band_keys(regs[used], self.bands, self.rows)
+        a, b = keys[which[: len(one)]], keys[which[len(one) :]]
+        return a[np.arange(len(a)), (a == b).argmax(axis=1)] == key
+
     def pairs(self, groups: DataFrame, reps: DataFrame, limit: int | None, many: int, banded: bool = True) -> DataFrame:
         """a, b, held from groups(key, rid[, label, main, chunk, one, two]): forests if limit is None, else crossing pairs.
 
@@ -233,7 +241,7 @@ class NearDup:
         if crossing:
             rows = rows.select("key", "one", "two", "rid", "n", "regs", "label", "main", "chunk").repartition(tasks, "key", "one", "two").sortWithinPartitions("key", "one", "two", "rid")
         else:
-            rows = rows.select("key", F.lit(-1).alias("one"), F.lit(0).alias("two"), "rid", "n", "regs").repartitionByRange(tasks, "key", "regs").sortWithinPartitions("key", "regs")
+            rows = rows.select("key", F.lit(-1).alias("one"), F.lit(0).alias("two"), "rid", "n", "regs").repartitionByRange(tasks, "key", "regs", "rid").sortWithinPartitions("key", "regs")
         piece = self.piece
 
         def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +305,13 @@ class NearDup:
         hot = rows.filter(~few).select("rid").distinct() if any_hot and not grid else None
         return compared, hot, many or 0
 
-    def rare_groups(self, documents: DataFrame, reps: DataFrame, hot: DataFrame) -> DataFrame:
-        """key, rid: the rarest shingles of the classes in hot(rid), as many as two similar sets must share one of (a prefix filter).
+    def rare_groups(self, documents: DataFrame, reps: DataFrame, hot: DataFrame, labels: DataFrame) -> DataFrame:
+        """key, rid: the classes in hot(rid) grouped anew by rare shingles that two similar sets must share (a prefix filter).
 
-        With all shingles in one order, of a set of n the first n - ceil(n * percent / 100) + 1 are taken; so a group
-        of many classes that have a band in common falls apart unless they are alike in their rare parts, too.
-        Shingles in many sets are so few that their counts are broadcast; the others' counts are joined.
+        With all shingles in one order, rarest first, similar sets of which one has n share at least m of the first
+        n - ceil(n * percent / 100) + m.  Groups are made with m = 1; those that are too large, not counting their
+        main label, are cut by a second shingle, and so on to `deep`.  Shingles in many sets are so few that their
+        counts are broadcast; the others' counts are joined.
         """
         sets = saved(self.sets(documents, hot.join(reps.select("rid", "sid", "uid"), "rid")))
         each = sets.select("rid", F.explode("shingles").alias("s"))
@@ -311,9 +320,24 @@ class NearDup:
         common = F.broadcast(counts.filter(F.col("c") > total / MAX_COMMON))  # under MAX_COMMON of them, by their sum
         rare = each.join(common.select(F.col("s").alias("o")), F.col("s") == F.col("o"), "left_anti").join(counts.filter(F.col("c") <= total / MAX_COMMON), "s")
         ranked = rare.select("rid", "c", "s").unionByName(each.join(common, "s").select("rid", "c", "s")).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("t"))
-        n = F.size("t")
-        first = F.slice("t", 1, n - F.ceil(n * self.percent / F.lit(100)).cast("int") + 1)
-        return ranked.select("rid", F.explode(first).alias("t")).filter("t.c > 1").select(F.col("t.s").alias("key"), "rid")
+        least = F.ceil(F.size("t") * self.percent / F.lit(100)).cast("int")
+        named = ranked.join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left")
+        ranked = saved(named.select("rid", "t", least.alias("least"), F.coalesce("label", "rid").alias("label")))
+        first = lambda m: F.filter(F.slice("t", 1, F.size("t") - F.col("least") + m), lambda e: e["c"] > 1)
+        rows = saved(ranked.select("rid", "label", "least", F.explode(first(1)).alias("e")).select("rid", "label", "least", F.array("e.s").alias("chosen")))
+        for m in range(2, self.deep + 1):
+            by_label = rows.groupBy("chosen", "label").agg(F.count("*").alias("c"))
+            by_key = by_label.groupBy(F.col("chosen").alias("k")).agg(F.sum("c").alias("all"), F.max("c").alias("top"))
+            large = saved(by_key.filter((F.col("all") > 2 * self.piece) & (F.col("all") - F.col("top") > self.piece)).select("k"))
+            if large.isEmpty():
+                break
+            held = rows.join(large, F.col("chosen") == F.col("k"), "left_semi")
+            parts = held.filter(F.col("least") >= m).select("rid", "label", "least", "chosen").join(ranked.select("rid", "t"), "rid")
+            cut = parts.select("rid", "label", "least", "chosen", F.explode(first(m)).alias("e")).filter(~F.array_contains("chosen", F.col("e.s")))
+            cut = cut.select("rid", "label", "least", F.array_sort(F.array_append("chosen", F.col("e.s"))).alias("chosen")).distinct()
+            stay = rows.join(large, F.col("chosen") == F.col("k"), "left_anti").unionByName(held.filter(F.col("least") < m))
+            rows = saved(stay.unionByName(cut))
+        return rows.select(F.xxhash64("chosen").alias("key"), "rid")
 
     # ---- links and components -------------------------------------------------------------------------
 
@@ -338,9 +362,10 @@ class NearDup:
         rows = sketched.select("uid", "n", "sid")
         reps = sketched.filter("n > 0").groupBy("sid").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("regs").alias("regs"))
         reps = saved(reps.select(F.monotonically_increasing_id().alias("rid"), "sid", "uid", "n", "regs"))
-        banded = self.banded(reps).repartition("key")
+        banded = saved(self.banded(reps))
         shared = banded.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1").select("k")
-        members = saved(banded.join(shared, F.col("key") == F.col("k"), "left_semi"))
+        # both sides are tables, so that the join may be cut at hot keys
+        members = saved(banded.join(saved(shared), F.col("key") == F.col("k"), "left_semi"))
         labels = documents.sparkSession.createDataFrame([], "node long, label long")
         sets = tried = rare = None
         limit, held = None, True
@@ -353,7 +378,7 @@ class NearDup:
                 groups, hot, many = self.mixed_groups(members, labels)
                 every = self.pairs(groups, reps, limit, many)
                 if hot is not None and rare is None:  # later rounds' hot groups are among the first one's
-                    rare = saved(self.rare_groups(documents, reps, saved(hot)))
+                    rare = saved(self.rare_groups(documents, reps, saved(hot), labels))
                 if rare is not None:
                     groups, _, many = self.mixed_groups(rare, labels, True)
                     every = every.unionByName(self.pairs(groups, reps, limit, many, False)).groupBy("a", "b").agg(F.max("held").alias("held"))

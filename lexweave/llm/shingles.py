@@ -20,11 +20,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
     coded, counts = hashed_words(data, offsets, SPACES, fold=True)
     if not len(coded):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    if len(counts) == 1 and len(coded) > SLICE_BYTES:  # a long document: its set grows piece by piece
-        value = np.empty(0, np.uint64)
-        for k in range(0, len(coded) - width + 1, SLICE_BYTES):
-            part = coded[k : k + SLICE_BYTES + width - 1]
-            value = np.union1d(value, shingles(part, np.array([len(part)]), width)[1])
+    if len(counts) == 1 and len(coded) > SLICE_BYTES:  # a long document: piece by piece
+        parts = [coded[k : k + SLICE_BYTES + width - 1] for k in range(0, len(coded) - width + 1, SLICE_BYTES)]
+        value = np.unique(np.concatenate([np.unique(shingles(part, np.array([len(part)]), width)[1]) for part in parts]))
         return np.zeros(len(value), np.int64), value
     doc, value = shingles(coded, counts, width)
     order = np.lexsort((value, doc))
