@@ -249,7 +249,7 @@ class Miner:
         shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).cast(kind)
         out = None
         for first, last in self.chunks(anchors):
-            own = anchors.filter((F.col("rid") >= first) & (F.col("rid") < last)).toArrow().combine_chunks()
+            own = anchors.filter((F.col("rid") >= first) & (F.col("rid") < last)).toArrow().combine_chunks().sort_by("rid")
             column = lambda k: own.column(k).combine_chunks()
             scale = self.scale
             value = (column(0).to_numpy(), column(2).to_numpy(), column(3) if not isinstance(column(3), pa.ChunkedArray) else pa.concat_arrays(column(3).chunks))
