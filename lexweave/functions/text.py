@@ -49,6 +49,29 @@ def lexical_tokens(c: Column | str) -> Column:
     return F.array_distinct(F.filter(F.transform(kept, casefold), lambda t: ~t.isin(*rules.LEXICAL_STOP)))
 
 
+#: Forms of lexemes of full text, the first that fits counts: mail address, host with a path or without, hyphenated word, word, number.
+HOST = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+LEXEME = (
+    r"[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|" + HOST + r"(?:/[^\s<>\"]*)?|"
+    r"\p{L}[\p{L}\p{N}]*(?:-[\p{L}\p{N}]+)+|\p{N}*\p{L}[\p{L}\p{N}]*|[+-]?[0-9]+(?:\.[0-9]+)*(?:[eE][+-]?[0-9]+)?"
+)
+
+
+def simple_lexemes(c: Column | str) -> Column:
+    """The lexemes of full text in order, lower-cased, as a parser with a dictionary that changes nothing gives them.
+
+    Numbers with sign, fraction and exponent, mail addresses and hosts are one lexeme each; a host with a path is
+    three (the whole, the host, the path); a hyphenated word is itself and then its parts.
+    """
+    def spread(t: Column) -> Column:
+        host = F.regexp_extract(t, f"^({HOST})/", 1)
+        url = F.when((host != "") & ~F.contains(t, F.lit("@")), F.array(t, host, F.substr(t, F.length(host) + 1)))
+        word = F.when(F.rlike(t, F.lit(r"^\p{L}[\p{L}\p{N}]*(-[\p{L}\p{N}]+)+$")), F.concat(F.array(t), F.split(t, "-")))
+        return F.coalesce(url, word, F.array(t))
+
+    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(LEXEME), 0), lambda t: spread(F.lower(t))))
+
+
 def lexical_query(c: Column | str) -> Column:
     return F.array_join(lexical_tokens(c), " | ")
 
