@@ -26,12 +26,13 @@ def timed(spark: SparkSession) -> SparkSession:
 class Waiting(StatefulProcessor):
     """From a document's first event on: its first end state within limit, or the end of that time.
 
-    State is one row a document, what it waits since and whether it has been answered; it is dropped a second limit
-    after the answer, so that late events don't begin anew.
+    State is one row a document, what it waits since and whether it has been answered.  With forget it is dropped so
+    many seconds after the beginning; a document that has events later than that is then waited for anew.
     """
 
-    def __init__(self, key: str, limit: float, done: tuple[str, ...] = DONE) -> None:
+    def __init__(self, key: str, limit: float, done: tuple[str, ...] = DONE, forget: float | None = None) -> None:
         self.key, self.limit, self.done = key, pd.Timedelta(seconds=limit), done
+        self.timers = [self.limit] if forget is None else [self.limit, pd.Timedelta(seconds=max(forget, limit + 0.001))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -49,8 +50,8 @@ class Waiting(StatefulProcessor):
         else:
             begun, answered = found[0][0], False
             self.since.update((begun.to_pydatetime(), False))
-            for times in (1, 2):
-                self.handle.registerTimer(int((begun + times * self.limit).timestamp() * 1000))
+            for after in self.timers:
+                self.handle.registerTimer(int((begun + after).timestamp() * 1000))
         if answered:
             return
         last = begun + self.limit
@@ -74,7 +75,7 @@ class Waiting(StatefulProcessor):
         pass
 
 
-def outcomes(events: DataFrame, limit: float, delay: str, done: tuple[str, ...] = DONE, key: str = "doc_id") -> DataFrame:
+def outcomes(events: DataFrame, limit: float, delay: str, done: tuple[str, ...] = DONE, key: str = "doc_id", forget: float | None = None) -> DataFrame:
     """key, begun, outcome (one of done, or timeout), seconds of events(key, at timestamp, status), a stream of a timed() session.
 
     Events may be `delay` late.  A document that is neither done nor out of time by the watermark is not answered yet.
@@ -82,4 +83,4 @@ def outcomes(events: DataFrame, limit: float, delay: str, done: tuple[str, ...]
     """
     rows = events.select(key, "at", "status").filter(F.col(key).isNotNull() & F.col("at").isNotNull() & F.col("status").isNotNull())
     kind = rows.schema[key].dataType.simpleString()
-    return rows.withWatermark("at", delay).groupBy(key).transformWithStateInPandas(Waiting(key, limit, done), f"{key} {kind}, {OUTCOME}", "Append", "eventTime")
+    return rows.withWatermark("at", delay).groupBy(key).transformWithStateInPandas(Waiting(key, limit, done, forget), f"{key} {kind}, {OUTCOME}", "Append", "eventTime")
