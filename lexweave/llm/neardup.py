@@ -278,6 +278,10 @@ class NearDup:
 
         return arrow_stream(rows, run, "a long, b long, held boolean").groupBy("a", "b").agg(F.max("held").alias("held"))
 
+    def first_groups(self, members: DataFrame) -> DataFrame:
+        """The groups that forests are made in."""
+        return members
+
     def mixed_groups(self, members: DataFrame, labels: DataFrame, grid: bool = False) -> tuple[DataFrame, DataFrame | None, int]:
         """The groups with several labels, by blocks for pairs(); the classes of the groups left out of it, rid, if any; and the rows of the first.
 
@@ -371,7 +375,8 @@ class NearDup:
         limit, held = None, True
         while held:
             if limit is None:
-                tried = found = saved(self.pairs(members, reps, None, members.count()))
+                first = self.first_groups(members)
+                tried = found = saved(self.pairs(first, reps, None, first.count()))
                 limit = 8
             else:
                 known = tried.select("a", "b", F.lit(True).alias("known"))
