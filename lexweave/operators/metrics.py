@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text
@@ -20,9 +23,40 @@ def retrieval(hits: DataFrame, k: int = 5) -> DataFrame:
     return hits.groupBy("query_id").agg((F.coalesce(first, F.lit(1 << 30)) <= k).cast("int").alias("hit"), F.coalesce(1.0 / first, F.lit(0.0)).alias("reciprocal_rank"))
 
 
-def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return rows.groupBy(*by).agg(*(F.round(F.percentile(value, F.lit(q)), 6).alias(name) for name, q in shares.items()))
+#: Ranges of values that percentiles are counted in.
+RANGES = 1000
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], digits: int | None = 6) -> DataFrame:
+    """Exact percentiles with linear interpolation; nulls don't count.
+
+    No task gets all values of a group: a sketch gives each group's ranges, rows are counted by range, and only the
+    values of the ranges that hold a rank which is asked for are counted up one by one.
+    """
+    rows = rows.select(*by, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    marks = F.percentile_approx("__v", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 10 * RANGES)
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"__{c}"))
+    edges = rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.array_sort(F.array_distinct(marks)).alias("__edges"))
+    match = reduce(and_, map(same, by), F.lit(True))
+    # a value's range is the number of edges below it, so equal values are in one
+    placed = rows.join(small(edges), match).select(*by, "__v", F.size(F.filter("__edges", lambda e: e < F.col("__v"))).alias("__r"))
+    counted = placed.groupBy(*by, "__r").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows a group
+    ranges = counted.withColumns({"__all": F.sum("__n").over(Window.partitionBy(*by, F.lit(0))), "__from": F.coalesce(F.sum("__n").over(before), F.lit(0))})
+    ranks = {name: (F.lit(q) * (F.col("__all") - 1)) for name, q in shares.items()}
+    holds = lambda rank: (rank >= F.col("__from")) & (rank < F.col("__from") + F.col("__n"))
+    wanted = ranges.filter(reduce(or_, (holds(f(p)) for p in ranks.values() for f in (F.floor, F.ceil))))
+    wanted = wanted.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__r").alias("__own"), "__all", "__from")
+    inside = placed.join(small(wanted), match & (F.col("__r") == F.col("__own"))).groupBy(*by, "__r", "__all", "__from", "__v").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*by, "__r").orderBy("__v"))
+    exact = inside.withColumn("__to", F.col("__from") + upto).withColumn("__from", F.col("__to") - F.col("__n"))
+    at = lambda rank: F.max(F.when(holds(rank), F.col("__v")))
+    low = [at(F.floor(p)).alias(f"__low_{name}") for name, p in ranks.items()]
+    high = [at(F.ceil(p)).alias(f"__high_{name}") for name, p in ranks.items()]
+    found = exact.groupBy(*by).agg(*low, *high, F.max("__all").alias("__all"))
+    part = {name: p - F.floor(p) for name, p in ranks.items()}
+    value_of = {n: F.col(f"__low_{n}") + (F.col(f"__high_{n}") - F.col(f"__low_{n}")) * part[n] for n in shares}
+    return found.select(*by, *((v if digits is None else F.round(v, digits)).alias(n) for n, v in value_of.items()))
 
 
 def refusals(rows: DataFrame) -> DataFrame:

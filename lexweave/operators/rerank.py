@@ -161,6 +161,11 @@ def selected(rows: DataFrame, split: str) -> DataFrame:
     return rows.filter(F.col("split") == split)
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    """The scenarios that documents are made of."""
+    return rows.filter(F.coalesce("pdf_sample", F.lit(False)))
+
+
 def duplicate_ids(rows: DataFrame) -> DataFrame:
     """Ids of several examples (A4)."""
     return rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")

@@ -51,8 +51,8 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = rules.DENSE_K, within
     """query_id, chunk_id, semantic_score, dense_rank: cosine similarity of queries(query_id, vector) to vectors(chunk_id, embedding).
 
     A stated set of queries against all rows: blocks of at most some MAX_BROADCAST_QUERIES go to the tasks as a matrix,
-    each a pass over the vectors.  A task multiplies batches of vectors by the block and hands on, of each batch, the
-    best k a query.  Vectors without a direction (null, zero, of another size than the query's) have no score.
+    each a pass over the vectors.  A task multiplies batches of vectors by the block and hands on the best k a query
+    of all its batches; within many documents of what it has seen since it last did.  Vectors without a direction (null, zero, of another size than the query's) have no score.
     """
     n = queries.count()
     blocks = 1 if n <= MAX_BROADCAST_QUERIES else 2 * -(-n // MAX_BROADCAST_QUERIES)
@@ -80,8 +80,39 @@ def matrix(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at[good], every[good] / norm[good, None]
 
 
+#: Rows that a task holds before it hands on what the best of them are.
+HELD = 500_000
+
+
 def nearest(asked: Broadcast, k: int, fixed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best k rows a query (and value of the first `fixed` columns) of each batch, ties by chunk_id."""
+    """The best k rows a query (and value of the first `fixed` columns) of a task, ties by chunk_id."""
+    held: list[pa.RecordBatch] = []
+    for part in nearest_by_batch(asked, k, fixed, batches):
+        held.append(part)
+        if sum(h.num_rows for h in held) > HELD:
+            held = [best_rows(held, k, fixed)]
+            if held[0].num_rows > HELD // 2:
+                yield held.pop()
+    if held:
+        yield best_rows(held, k, fixed)
+
+
+def best_rows(parts: list[pa.RecordBatch], k: int, fixed: int) -> pa.RecordBatch:
+    """Of rows (fixed columns, query_id, chunk_id, semantic_score) the best k by query and fixed columns."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    keys = [rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in range(fixed + 1)]
+    keys = [(key if isinstance(key, pa.DictionaryArray) else key.combine_chunks()).indices.to_numpy() for key in keys]
+    place = np.empty(rows.num_rows, np.int64)
+    place[pc.sort_indices(rows.column(fixed + 1)).to_numpy()] = np.arange(rows.num_rows)
+    order = np.lexsort((place, -rows.column(fixed + 2).to_numpy(), *keys))
+    first = np.any([np.diff(key[order], prepend=-1) != 0 for key in keys], axis=0)
+    at = np.flatnonzero(first)
+    nth = np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order))))
+    return rows.take(pa.array(order[nth < k])).combine_chunks().to_batches()[0]
+
+
+def nearest_by_batch(asked: Broadcast, k: int, fixed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """nearest() of each batch alone."""
     table = asked.value.combine_chunks()
     names = table.column("query_id").combine_chunks()
     queries = {m.shape[1]: (at, m) for at, m in matrix(table.column("vector").combine_chunks())} if len(names) else {}
@@ -130,13 +161,13 @@ def ranked(hits: DataFrame, limit: int = rules.FINAL_K, intent: Column | None =
     return top(hits.withColumn("intent", F.lit(0) if intent is None else intent), [*within, "query_id"], order, limit or rules.FINAL_K, "rank")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, limit: int = rules.FINAL_K, within: tuple[str, ...] = ()) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, limit: int = rules.FINAL_K, within: tuple[str, ...] = (), words: DataFrame | None = None) -> DataFrame:
     """queries(query_id, query, vector) over chunks(within, chunk_id, text, embedding): mode, rank and scores of the best chunks.
 
-    Where no chunk has an embedding the lexical list stands alone (mode lexical).
+    words: the lexical list, where a stored index has given it (operators.postings.search).  Where no chunk has an embedding the lexical list stands alone (mode lexical).
     """
     near = dense(queries.select("query_id", "vector").filter("vector is not null"), chunks.select(*within, "chunk_id", "embedding"), within=within)
-    hits = fused(near, lexical(queries, chunks, within=within), within=within)
+    hits = fused(near, lexical(queries, chunks, within=within) if words is None else words, within=within)
     by = [*within, "query_id"]
     modes = hits.groupBy(*by).agg(F.when(F.bool_or(F.col("dense_rank").isNotNull()), "hybrid").otherwise("lexical").alias("mode"))
     texts = hits.join(chunks.select(*within, "chunk_id", "text"), [*within, "chunk_id"]).join(small(queries.select("query_id", "query")), "query_id")
@@ -154,5 +185,11 @@ def work_order(chunks: DataFrame, document_id: int) -> DataFrame:
     return missing(chunks.filter(F.col("document_id") == document_id)).orderBy("page_number", "chunk_index", "chunk_id")
 
 
+def work_orders(chunks: DataFrame) -> DataFrame:
+    """document_id, place, chunk_id, page_number, chunk_index: what each document still needs embeddings for, in order."""
+    order = Window.partitionBy("document_id").orderBy("page_number", "chunk_index", "chunk_id")
+    return missing(chunks).select("document_id", F.row_number().over(order).alias("place"), "chunk_id", "page_number", "chunk_index")
+
+
 def wrong_dimension(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") != size))

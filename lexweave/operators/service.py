@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
-from lexweave.operators import metrics
+from lexweave.operators import library, metrics
 
 #: The stored tables; keys and checks on them are sources.files.constraint_violations().
 SCHEMAS = {
@@ -49,6 +49,26 @@ class Settings:
         return self.max_upload_mb * 1024 * 1024
 
 
+def settings_error(chunk_size: Column, chunk_overlap: Column, max_upload_mb: Column) -> Column:
+    """What is wrong with settings, or null."""
+    return F.when(~F.coalesce((chunk_overlap >= 0) & (chunk_overlap < chunk_size), F.lit(False)), "overlap").when(~F.coalesce(max_upload_mb > 0, F.lit(False)), "upload")
+
+
+def search_responses(requests: DataFrame, documents: DataFrame, hits: DataFrame) -> DataFrame:
+    """request_id, error, rank, chunk_id: each search request (request_id, document_id, query, limit) answered by its error or its hits.
+
+    The first error counts: bounds, then a document that is unknown or not ready.  hits: request_id, chunk_id, rank.
+    A request without error or hits has one row without a chunk.
+    """
+    status = documents.select(F.col("doc_id").alias("document_id"), "status")
+    known = requests.join(status, "document_id", "left")
+    judged = known.select("request_id", "limit", F.coalesce(request_error(query=F.col("query"), limit=F.col("limit")), library.guard(F.col("status"))).alias("error"))
+    found = judged.join(hits.select("request_id", "rank", "chunk_id"), "request_id", "left")
+    shown = F.col("error").isNull() & (F.col("rank") <= F.col("limit"))
+    cut = found.filter(F.col("rank").isNull() | shown | (F.col("rank") == 1))
+    return cut.select("request_id", "error", *(F.when(shown, F.col(c)).alias(c) for c in ("rank", "chunk_id")))
+
+
 def checked(**request: str | int) -> None:
     """Raises ValueError for the first parameter of a request that is out of its bounds."""
     for name, value in request.items():
@@ -113,8 +133,7 @@ def evaluation_report(rows: DataFrame) -> DataFrame:
     """
     of = lambda c, answerable=True: F.when(F.col("answerable") == answerable, F.col(c).cast("double"))
     mean = lambda c, answerable=True: F.round(F.coalesce(F.avg(of(c, answerable)), F.lit(0.0)), 6)
-    share = lambda c, q: F.round(F.coalesce(F.percentile(c, F.lit(q)), F.lit(0.0)), 2)
-    return rows.agg(
+    one = rows.agg(
         F.count_distinct("document_id").alias("documents"),
         F.count("*").alias("questions"),
         mean("hit_at_5").alias("hit_rate"),
@@ -122,11 +141,11 @@ def evaluation_report(rows: DataFrame) -> DataFrame:
         mean("page_correct").alias("page_accuracy"),
         mean("quote_correct").alias("quote_accuracy"),
         mean("refused", False).alias("refusal_accuracy"),
-        share(of("search_ms"), 0.5).alias("search_p50"),
-        share(of("search_ms"), 0.95).alias("search_p95"),
-        share(F.col("answer_ms").cast("double"), 0.5).alias("answer_p50"),
-        share(F.col("answer_ms").cast("double"), 0.95).alias("answer_p95"),
     )
+    times = F.array(F.struct(F.lit("search").alias("time"), of("search_ms").alias("ms")), F.struct(F.lit("answer").alias("time"), F.col("answer_ms").cast("double").alias("ms")))
+    shares = metrics.percentiles(rows.select(F.explode(times).alias("t")).select("t.time", "t.ms"), ["time"], "ms", {"p50": 0.5, "p95": 0.95}, None)
+    of_time = lambda t, p: F.round(F.coalesce(F.max(F.when(F.col("time") == t, F.col(p))), F.lit(0.0)), 2).alias(f"{t}_{p}")
+    return one.join(shares.agg(*(of_time(t, p) for t in ("search", "answer") for p in ("p50", "p95"))), F.lit(True))  # one row each
 
 
 def failures(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
@@ -378,9 +378,14 @@ def intent_sql(question: str, passage: str) -> str:
 EXPANDED = "concat_ws(' ', question, " + ", ".join(f"CASE WHEN regexp_matches(question, {rules.re2(p)}) THEN '{t}' END" for p, t in rules.EXPANSIONS) + ")"
 
 
-@query("id bigint, expanded string, intent bigint", f"SELECT id, {EXPANDED} AS expanded, {intent_sql('question', 'passage')} AS intent FROM {values(INTENT_CASES, 'id, question, passage')}")
+#: A question and a passage for each order, by turns of INTENT_CASES.
+QUESTIONED = f"""SELECT o_orderkey AS id, c.question, concat(c.passage, ' ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN ' USD' ELSE '' END) AS passage
+  FROM orders JOIN {values(INTENT_CASES, "k, question, passage").replace(" AS t(", " AS c(")} ON c.k = o_orderkey % {len(INTENT_CASES)} + 1"""
+
+
+@query("id bigint, expanded string, intent bigint", f"SELECT id, {EXPANDED} AS expanded, {intent_sql('question', 'passage')} AS intent FROM ({QUESTIONED})")
 def query_expansion_and_intent(spark, sf):
-    rows = literal(spark, INTENT_CASES, "id long, question string, passage string")
+    rows = spark.sql(QUESTIONED.replace("FROM orders", "FROM {orders}"), orders=spread(table(spark, sf, "orders").select("o_orderkey", "o_totalprice")))
     return rows.select("id", text.expanded_query("question").alias("expanded"), text.intent_score("question", "passage").alias("intent"))
 
 
@@ -608,12 +613,16 @@ def evidence_prompt(spark, sf):
     return qa.prompt(asked_evidence(spark, sf), ["document_id"]).select("document_id", F.sha2(F.col("prompt").cast("binary"), 256).alias("digest"))
 
 
-PAYLOADS = [(1, '{"output":[{"type":"reasoning"},{"type":"message","content":[{"type":"refusal","text":"no"},{"type":"output_text","text":"yes"}]}]}'), (2, '{"output":[]}'), (3, "not json")]
+#: A model's response for each event: with an answer after a refusal, without a message, no JSON of a response, two messages.
+RESPONSES = """SELECT event_id AS id, event_id % 4 AS k, concat(event_type, ' ', CAST(user_id AS STRING)) AS said, CASE event_id % 4 WHEN 1 THEN '{"output":[]}' WHEN 2 THEN props
+  WHEN 0 THEN concat('{"output":[{"type":"reasoning"},{"type":"message","content":[{"type":"refusal","text":"no"},{"type":"output_text","text":"', event_type, ' ', CAST(user_id AS STRING), '"}]}]}')
+  ELSE concat('{"output":[{"type":"message","content":[{"type":"output_text","text":"', event_type, ' ', CAST(user_id AS STRING), '"}]},{"type":"message","content":[{"type":"output_text","text":"second"}]}]}') END AS payload FROM events"""
 
 
-@query("id bigint, answer string", f"SELECT id, CASE WHEN id = 1 THEN 'yes' END AS answer FROM {values(PAYLOADS, 'id, payload')}")
+@query("id bigint, answer string", f"SELECT id, CASE WHEN k IN (0, 3) THEN said END AS answer FROM ({RESPONSES})")
 def llm_output_extract(spark, sf):
-    return literal(spark, PAYLOADS, "id long, payload string").select("id", qa.output_text("payload").alias("answer"))
+    rows = spark.sql(RESPONSES.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=table(spark, sf, "events"))
+    return rows.select("id", qa.output_text("payload").alias("answer"))
 
 
 # ---- reranking ------------------------------------------------------------------------------------------
@@ -822,14 +831,14 @@ def expected_quote_on_page(spark, sf):
     return items.join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("documents"))
 
 
-@query("doc_id bigint, expected string, verdict string", f"""SELECT m.doc_id, m.expected, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.sha256 <> m.expected THEN 'changed' ELSE 'same' END AS verdict
-  FROM (SELECT doc_id + CASE WHEN doc_id % 50 = 0 THEN 100000000 ELSE 0 END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN sha256('x') ELSE sha256 END AS expected FROM ({LIBRARY})) m LEFT JOIN ({LIBRARY}) l ON l.doc_id = m.doc_id""")
+@query("id bigint, filename string, verdict string", f"""SELECT m.doc_id AS id, m.filename, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.doc_id % 5 = 3 THEN 'no_pdf' WHEN l.sha256 <> m.expected THEN 'changed' ELSE 'same' END AS verdict
+  FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'lost-' || filename ELSE filename END AS filename, CASE WHEN doc_id % 7 = 0 THEN sha256('x') ELSE sha256 END AS expected FROM ({LIBRARY})) m LEFT JOIN ({LIBRARY}) l ON l.filename = m.filename""")
 def manifest_hash_check(spark, sf):
-    files = lib(spark, sf).select("doc_id", "sha256")
-    moved = F.col("doc_id") + F.when(F.col("doc_id") % 50 == 0, 100000000).otherwise(0)
-    manifest = files.select(moved.alias("doc_id"), F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit(b"x"), 256)).otherwise(F.col("sha256")).alias("expected"))
-    joined = manifest.join(files, "doc_id", "left")
-    return joined.select("doc_id", "expected", F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("expected"), "changed").otherwise("same").alias("verdict"))
+    """A manifest of all documents, with names that no file has and hashes that have changed; every fifth file is no PDF."""
+    have = lib(spark, sf)
+    head = F.when(F.col("doc_id") % 5 == 3, "<html>").otherwise("%PDF-1.7").cast("binary")
+    manifest = have.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("lost-"), "filename")).otherwise(F.col("filename")).alias("filename"), F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit(b"x"), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    return files.file_verdicts(manifest, have.select("filename", "sha256", head.alias("content")))
 
 
 @query("doc_id bigint, digest string", "SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS digest FROM documents")
@@ -874,11 +883,13 @@ def json_lines_check_run(spark, sf):
     return files.differing_lines(rows, path)
 
 
-@query("name string, page_number bigint, text string", "SELECT 'set' AS name, row_number() OVER (ORDER BY n_name) AS page_number, n_name AS text FROM nation")
+@query("name string, page_number bigint, text string", "SELECT r_name AS name, row_number() OVER (PARTITION BY r_name ORDER BY c_custkey) AS page_number, c_name AS text FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 def evaluation_pages_json(spark, sf):
-    path = scratch(spark)
-    pages_of = table(spark, sf, "nation").agg(F.sort_array(F.collect_list("n_name")).alias("pages"))
-    files.write_report(pages_of.select(F.lit("set").alias("name"), F.lit("").alias("description"), "pages"), path)
+    """A set of pages a nation's region, of its customers, written as a report each and read again."""
+    path, whose = scratch(spark), table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf, "customer").join(F.broadcast(whose), F.col("c_nationkey") == F.col("n_nationkey"))
+    sets = rows.groupBy(F.col("r_name").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda c: c["c_name"]).alias("pages"))
+    files.write_report(sets.select("name", F.lit("").alias("description"), "pages"), path)
     return files.evaluation_pages(files.json_documents(spark, path, files.EVALUATION))
 
 
@@ -890,6 +901,22 @@ def extracted_pages(spark, sf):
     return found.select(F.col("path").alias("document_id"), "page_number", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "error_code")
 
 
+@query("document_id bigint, pages bigint, error_code string", """SELECT page_id AS document_id, CASE WHEN strlen(html) % 5 = 4 THEN 2 ELSE 1 END AS pages, CASE strlen(html) % 5 WHEN 0 THEN 'page_extraction_failed' WHEN 1 THEN 'encrypted_pdf' WHEN 2 THEN 'page_extraction_failed' WHEN 3 THEN 'empty_pdf' END AS error_code FROM pages WHERE html IS NOT NULL""")
+def extraction_errors(spark, sf):
+    """A reader that fails in several ways: by a key, by a listed code, by a text that is no code, without pages."""
+
+    def reader(body: bytes) -> list[str]:
+        kind = len(body) % 5
+        if kind == 0:
+            return [{}["none"]]
+        if kind < 3:
+            raise ValueError("encrypted_pdf" if kind == 1 else "can't decode byte 0xff")
+        return [] if kind == 3 else ["one", "two"]
+
+    rows = table(spark, sf, "pages").filter("html is not null").select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"), F.lit(None).cast("string").alias("error_code"))
+    return files.extracted(spread(rows), reader).groupBy(F.col("path").alias("document_id")).agg(F.count("*").alias("pages"), F.max("error_code").alias("error_code"))
+
+
 #: A manifest of a document for each nation, with some of every fault.
 MANIFEST_ROWS = """SELECT n_nationkey AS k, CASE n_nationkey WHEN 7 THEN '6' ELSE CAST(n_nationkey AS STRING) END AS id, CASE WHEN n_nationkey = 11 THEN 'X.pdf' WHEN n_nationkey = 12 THEN 'x.PDF' WHEN n_nationkey % 5 = 0 THEN concat('a/', n_name) ELSE n_name END AS filename,
   CASE WHEN n_nationkey IN (20, 21) THEN 'same' ELSE n_name END AS sha256 FROM nation"""
@@ -903,7 +930,10 @@ def manifest_rules(spark, sf):
     none = F.array().cast("array<int>")
     one = F.struct(F.lit("q1").alias("id"), F.lit(True).alias("answerable"), F.array(F.when(F.col("k") % 4 == 0, 0).otherwise(1)).alias("expected_pages"), F.array(F.lit("x")).alias("expected_quote_fragments"))
     two = F.struct(F.when(F.col("k") % 6 == 0, "q1").otherwise("q2").alias("id"), (F.col("k") % 8 == 1).alias("answerable"), none.alias("expected_pages"), F.array().cast("array<string>").alias("expected_quote_fragments"))
-    return files.manifest_violations(rows.withColumn("questions", F.array(one, two)))
+    path, body = scratch(spark), F.struct("id", "filename", F.lit("en").alias("language"), F.lit("").alias("source_url"), "sha256", F.array(one, two).alias("questions"))
+    manifests = rows.groupBy(F.col("k") % 5).agg(F.collect_list(body).alias("documents"))  # five files
+    files.write_report(manifests.select(F.lit("1").alias("version"), F.lit("set").alias("name"), F.lit("test").alias("split"), "documents"), path)
+    return files.manifest_violations(files.manifest_documents(files.json_documents(spark, path, files.MANIFEST)))
 
 
 @query("document_id bigint, rule string", f"""WITH p AS ({PAGES}), s AS (SELECT document_id, count(*) AS n, min(length(text)) AS least, sum(length(text)) AS total FROM p GROUP BY 1)
@@ -927,6 +957,49 @@ def request_bounds(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", service.request_error(query=F.col("text"), limit=F.col("item_id") % 25, offset=F.col("item_id") - 3).alias("error"))
 
 
+@query("p_partkey bigint, error string", "SELECT p_partkey, CASE WHEN NOT coalesce(p_partkey % 40 < p_size, false) THEN 'overlap' WHEN NOT p_partkey % 3 > 0 THEN 'upload' END AS error FROM part")
+def settings_bounds(spark, sf):
+    error = service.settings_error(F.col("p_size"), F.col("p_partkey") % 40, F.col("p_partkey") % 3)
+    return table(spark, sf, "part").select("p_partkey", error.alias("error"))
+
+
+@query("request_id bigint, error string, rank bigint, chunk_id bigint", f"""WITH r AS (SELECT item_id AS request_id, item_id AS document_id, left(text, 200 * (item_id % 9)) AS query, item_id % 23 AS lim FROM benchmark),
+  e AS (SELECT r.*, CASE WHEN length(query) NOT BETWEEN 2 AND 1000 THEN 'query' WHEN lim NOT BETWEEN 1 AND 20 THEN 'limit' WHEN l.doc_id IS NULL THEN 'document_not_found' WHEN l.status <> 'ready' THEN 'document_not_ready' END AS error FROM r LEFT JOIN (SELECT * FROM ({LIBRARY}) WHERE doc_id % 6 <> 4) l ON l.doc_id = r.document_id),
+  h AS (SELECT vec_id % 40 AS request_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY vec_id % 40 ORDER BY vec_id) AS rank FROM embeddings)
+  SELECT e.request_id, e.error, CASE WHEN e.error IS NULL THEN h.rank END AS rank, CASE WHEN e.error IS NULL THEN h.chunk_id END AS chunk_id FROM e LEFT JOIN h ON h.request_id = e.request_id AND h.rank <= CASE WHEN e.error IS NULL THEN e.lim ELSE 1 END""")
+def search_responses(spark, sf):
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), F.col("item_id").alias("document_id"), F.left("text", (200 * (F.col("item_id") % 9)).cast("int")).alias("query"), (F.col("item_id") % 23).alias("limit"))
+    hits = table(spark, sf, "embeddings").select((F.col("vec_id") % 40).alias("request_id"), F.col("vec_id").alias("chunk_id"))
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("chunk_id")))
+    return service.search_responses(asked, lib(spark, sf).filter("doc_id % 6 <> 4"), hits)
+
+
+@query("document_id bigint, place bigint, page_number bigint, chunk_index bigint", f"SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, chunk_index) AS place, page_number, chunk_index FROM ({chunk_sql(400, 50)}) WHERE (page_number + chunk_index) % 3 <> 0")
+def embedding_work_order(spark, sf):
+    """What each document still needs embeddings for, where a third of its chunks have one."""
+    chunks = chunking.chunked(pages(spark, sf), 400, 50).withColumn("chunk_id", F.col("page_number") * 100000 + F.col("chunk_index"))
+    have = F.when((F.col("page_number") + F.col("chunk_index")) % 3 == 0, F.array(F.lit(1.0)))
+    return retrieval.work_orders(chunks.withColumn("embedding", have))
+
+
+@query("id string, position bigint, score double", f"{PAIRS} SELECT id, position, CAST(length(query) * 1000 + length(passage) AS DOUBLE) AS score FROM p")
+def pair_scores(spark, sf):
+    """Scores of all pairs from a function of batches, as many as it gets pairs."""
+    score = rerank.pair_scorer(lambda pairs: [float(len(q) * 1000 + len(p)) for q, p in pairs], 32)
+    return rerank.pairs(example_rows(spark, sf)).select("id", "position", score(F.col("query"), F.col("passage")).alias("score"))
+
+
+@query("id string, source_page bigint", f"{WITH_FACTS}, n AS ({NEGATIVES}) SELECT DISTINCT {ID} AS id, f.page_number AS source_page FROM f JOIN n ON n.document_id = f.document_id AND n.category = f.category AND n.nth = f.nth WHERE f.split = 'validation'")
+def selected_split(spark, sf):
+    return rerank.selected(example_rows(spark, sf), "validation").select("id", "source_page")
+
+
+@query("document_id bigint, language string, budget string", f"SELECT document_id, language, budget FROM ({SCENARIOS}) WHERE document_id % 24 IN (0, 5)")
+def sampled_scenarios(spark, sf):
+    scenarios = spark.sql(SCENARIOS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders"))
+    return rerank.sampled(scenarios.withColumn("pdf_sample", (F.col("document_id") % 24).isin(0, 5)))
+
+
 UPDATED = "CASE doc_id % 4 WHEN 0 THEN 'processing' WHEN 1 THEN 'ready' WHEN 2 THEN 'failed' END"
 LEGAL = "coalesce((status = 'uploaded' AND n IN ('processing', 'failed')) OR (status = 'processing' AND n IN ('ready', 'failed')) OR (status = 'failed' AND n = 'processing'), false)"
 
@@ -937,13 +1010,15 @@ def status_updates(spark, sf):
     return library.applied(rows, rows.select("doc_id", F.expr(UPDATED).alias("status"), F.lit("invalid_pdf").alias("error_code")).filter("status is not null"))
 
 
-@query("chunk_id bigint, size bigint", "SELECT doc_id AS chunk_id, CASE WHEN vec_id IS NOT NULL AND doc_id % 3 > 0 THEN len(embedding) WHEN regexp_matches(coalesce(text, ''), '[^\\s]') THEN 16 END AS size FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+@query("chunk_id bigint, size bigint, total double", "SELECT doc_id AS chunk_id, CASE WHEN vec_id IS NOT NULL AND doc_id % 3 > 0 THEN len(embedding) WHEN text IS NOT NULL THEN 3 END AS size, round(CASE WHEN vec_id IS NOT NULL AND doc_id % 3 > 0 THEN list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)) WHEN text IS NOT NULL THEN 2 * length(text) + 3 * length(regexp_replace(text, '[^e]', '', 'g')) + 1 END, 4) AS total FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def embedding_updates(spark, sf):
-    """A third of the embeddings taken away, and those missing given by a provider."""
+    """A third of the embeddings taken away, and those missing given by a provider; the vectors by a sum of their components, each times its place."""
     known = vectors(spark, sf).select("chunk_id", "embedding")
     chunks = doc_chunks(spark, sf).join(known, "chunk_id", "left").withColumn("embedding", F.when(F.col("chunk_id") % 3 > 0, F.col("embedding")))
-    new = files.with_missing_embeddings(chunks, chunks.filter("embedding is not null"), lambda c: files.feature_embedding(c, 16))
-    return files.with_embeddings(chunks, new).select("chunk_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("size"))
+    provider = files.embedding_provider(lambda texts: [[1.0, len(t), t.count("e")] for t in texts], 3)
+    new = files.with_missing_embeddings(chunks.filter("text is not null"), chunks.filter("embedding is not null"), provider)
+    places = F.aggregate(F.transform("embedding", lambda x, k: x.cast("double") * (k + 1)), F.lit(0.0), lambda s, x: s + x)
+    return files.with_embeddings(chunks, new).select("chunk_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("size"), F.round(places, 4).alias("total"))
 
 
 @query("split string, before double, after double, improved boolean", """SELECT *, after > before AS improved FROM (SELECT event_type AS split, round(avg(value) FILTER (event_id % 2 = 0), 6) AS before, round(avg(value) FILTER (event_id % 2 = 1), 6) AS after FROM events GROUP BY event_type) WHERE before IS NOT NULL AND after IS NOT NULL""")

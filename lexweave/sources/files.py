@@ -21,6 +21,8 @@ MANIFEST = (
     "questions:array<struct<id:string,language:string,question:string,answerable:boolean,expected_pages:array<int>,expected_quote_fragments:array<string>>>>>"
 )
 HEAD = 1024
+#: What a page reader may say of a file.
+READER_CODES = ("unreadable_pdf", "encrypted_pdf", "page_extraction_failed")
 
 
 def uploads(spark: SparkSession, path: str, stream: bool = False, max_bytes: int = rules.MAX_UPLOAD_BYTES) -> DataFrame:
@@ -41,7 +43,7 @@ def extracted(files: DataFrame, pages_of: Callable[[bytes], list[str]], max_page
     """Normalised pages of each file by a page reader, or the code of its failure.
 
     pages_of is any function of the bytes of a file (a PDF library's reader where one is installed); it may
-    raise ValueError with one of the codes unreadable_pdf, encrypted_pdf, page_extraction_failed.
+    raise ValueError with one of READER_CODES.  Whatever else it raises is page_extraction_failed.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,8 +53,8 @@ def extracted(files: DataFrame, pages_of: Callable[[bytes], list[str]], max_page
                 try:
                     pages = pages_of(bytes(content))
                     code = "empty_pdf" if not pages else "too_many_pages" if len(pages) > max_pages else "no_extractable_text" if not any(p.strip() for p in pages) else None
-                except ValueError as e:
-                    pages, code = [], str(e)
+                except Exception as e:  # a bad file must not end the job, whatever the reader makes of it
+                    pages, code = [], str(e) if isinstance(e, ValueError) and str(e) in READER_CODES else "page_extraction_failed"
                 out += [(path, None, None, code)] if code else [(path, k, p, None) for k, p in enumerate(pages, 1)]
             yield pd.DataFrame(out, columns=["path", "page_number", "text", "error_code"])
 
@@ -139,8 +141,8 @@ def differing_lines(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A one-row nested report as JSON."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """Nested reports as JSON, a file each."""
+    report.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def pack_violations(pages: DataFrame, expected: DataFrame, page_count: int = 20, page_chars: int = 350, document_chars: int = 12_000) -> DataFrame:

@@ -279,3 +279,57 @@ def test_states_are_kept_between_runs(spark, tmp_path):
     first = run([(1, 2, "ready"), (1, 1, "processing"), (2, 1, "ready"), (None, 1, "failed"), (3, 1, None)])
     assert first == [(1, 1, "processing"), (1, 2, "ready")]
     assert run([(1, 3, "failed"), (2, 2, "processing"), (2, 3, "failed"), (2, 4, "processing")]) == first + [(2, 2, "processing"), (2, 3, "failed"), (2, 4, "processing")]
+
+
+def test_percentiles_are_counted_in_ranges(spark, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    groups = {"a": rnd.normal(0, 9, 3000), "b": np.repeat([1.0, 2.0, 5.0], [1000, 1, 999]), "c": np.array([4.0]), "d": np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("e", None), (None, 1.5)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    shares = {"low": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "high": 1.0}
+    for ranges in (1000, 7):
+        monkeypatch.setattr(metrics, "RANGES", ranges)
+        got = {r.g: [r[n] for n in shares] for r in metrics.percentiles(df, ["g"], "v", shares).collect()}
+        assert set(got) == {"a", "b", "c", "d", None} and got[None] == [1.5] * 5
+        for g, vs in groups.items():
+            assert np.allclose(got[g], np.quantile(vs, list(shares.values())), atol=1e-6)
+    whole = metrics.percentiles(df.filter("g = 'a'"), [], "v", {"p50": 0.5}).first()
+    assert abs(whole.p50 - np.median(groups["a"])) < 1e-6 and metrics.percentiles(df.limit(0), [], "v", {"p50": 0.5}).count() <= 1
+
+
+def test_dense_hands_on_the_best_of_a_task(spark, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    rows = [(k, k % 5, rnd.normal(size=6).astype(np.float32).tolist()) for k in range(900)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, document_id long, embedding array<float>").repartition(2).cache()
+    queries = spark.createDataFrame([(q, rnd.normal(size=6).astype(np.float32).tolist()) for q in range(4)], "query_id long, vector array<float>")
+    show = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", F.round("semantic_score", 9), "dense_rank").collect()))
+    want, within = show(retrieval.dense(queries, vectors, 7)), show(retrieval.dense(queries, vectors, 2, ("document_id",)))
+    assert len(want) == 28 and len(within) == 40
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        handed = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
+        sent = vectors.select("chunk_id", F.col("embedding").cast("array<double>")).mapInArrow(lambda b: retrieval.nearest(handed, 7, 0, b), "query_id long, chunk_id long, semantic_score double").count()
+        assert sent <= 2 * 4 * 7
+        assert show(retrieval.dense(queries, vectors, 7)) == want and show(retrieval.dense(queries, vectors, 2, ("document_id",))) == within
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_every_failure_of_a_reader_has_a_listed_code(spark):
+    def reader(body):
+        if body == b"key":
+            return [{}[0]]
+        if body == b"bytes":
+            return [b"\xff".decode()]
+        if body == b"code":
+            raise ValueError("unreadable_pdf")
+        raise ValueError(body.decode())
+
+    rows = [(k, bytearray(b), None) for k, b in (("a", b"key"), ("b", b"bytes"), ("c", b"code"), ("d", b"anything"), ("e", b"empty_pdf"))]
+    got = files.extracted(spark.createDataFrame(rows, "path string, content binary, error_code string"), reader)
+    failed = "page_extraction_failed"
+    assert {r.path: r.error_code for r in got.collect()} == {"a": failed, "b": failed, "c": "unreadable_pdf", "d": failed, "e": failed}
