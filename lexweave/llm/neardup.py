@@ -16,7 +16,7 @@ first band that it shares.  So every pair that may link two components is verifi
 of a hot text cost rows, not pairs.  Groups of over two pieces are cut into blocks of the main component's
 classes, with the others in each.  Where the others are more than a piece (many texts that share much but are
 no copies), the group's classes are grouped anew by their rarest shingles, an exact prefix filter, and where such a
-group is as large, by two of them, then three and four.
+group is as large, by the next ones that are shared.
 
 Chance of losing a pair: under 1e-10 that no band agrees, (1 - s**rows)**bands for similarity s at the
 threshold, less above it; and under 1e-6 that the estimate is 5 standard errors low.
@@ -41,7 +41,7 @@ from lexweave.llm.common import NO_ID, arrow_map, arrow_stream, components, need
 from lexweave.llm.kernels import mix, slices
 from lexweave.llm.shingles import EMPTY, MANTISSA_BITS, band_keys, registers, shingle_sets
 
-#: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
+#: Up to so many ids (8 bytes, of sets 24) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: At most so many counts of common shingles (16 bytes each) are broadcast.
 MAX_COMMON = 100_000
@@ -87,8 +87,8 @@ class NearDup:
     rows: int = 6
     piece: int = 1024
     deviations: float = 5.0
-    #: How many shingles at most a group of classes is cut by.
-    deep: int = 4
+    #: How many atoms at most a group of classes is cut by.
+    deep: int = 8
 
     @property
     def bands(self) -> int:
@@ -147,7 +147,8 @@ class NearDup:
                 doc, value = shingle_sets(data, offsets, self.width)
                 yield pa.RecordBatch.from_arrays([binaries(set_ids(doc, value, hi - lo)), lists(np.bincount(doc, minlength=hi - lo), value.view(np.int64), pa.int64())], ["sid", "shingles"])
 
-        found = arrow_map(rows, run, "sid binary, shingles array<long>").join(ids.select("sid", "rid"), "sid")
+        named = ids.select("sid", "rid")
+        found = arrow_map(rows, run, "sid binary, shingles array<long>").join(F.broadcast(named) if few else named, "sid")
         return found.select("rid", "shingles").dropDuplicates(["rid"])
 
     # ---- candidates -----------------------------------------------------------------------------------
@@ -231,7 +232,7 @@ class NearDup:
         return a[np.arange(len(a)), (a == b).argmax(axis=1)] == key
 
     def pairs(self, groups: DataFrame, reps: DataFrame, limit: int | None, many: int, banded: bool = True) -> DataFrame:
-        """a, b, held from groups(key, rid[, label, main, chunk, one, two]): forests if limit is None, else crossing pairs.
+        """a, b from groups(key, rid[, label, main, chunk, one, two]): forests if limit is None, else crossing pairs; further rows have in held the keys of groups of which some are held back.
 
         many: the rows of groups.  The work on a row is far more than its bytes tell, so tasks are cut by rows.
         """
@@ -254,10 +255,12 @@ class NearDup:
                     found, held = self.crossing(regs, size, *(np.array([p[k] for p in part]) for k in (2, 3, 4)), key, banded, limit)
                 else:
                     found, held = self.forest(regs, size), False
-                out.extend((min(rid[i], rid[j]), max(rid[i], rid[j]), held) for i, j in found if rid[i] != rid[j])
+                out.extend((min(rid[i], rid[j]), max(rid[i], rid[j]), None) for i, j in found if rid[i] != rid[j])
+                if held:
+                    out.append((None, None, key[0]))
 
             def flush() -> pa.RecordBatch:
-                batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "held"])
+                batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64()))], ["a", "b", "held"])
                 out.clear()
                 return batch
 
@@ -276,7 +279,7 @@ class NearDup:
             if out:
                 yield flush()
 
-        return arrow_stream(rows, run, "a long, b long, held boolean").groupBy("a", "b").agg(F.max("held").alias("held"))
+        return arrow_stream(rows, run, "a long, b long, held long").distinct()
 
     def first_groups(self, members: DataFrame) -> DataFrame:
         """The groups that forests are made in."""
@@ -310,38 +313,54 @@ class NearDup:
         return compared, hot, many or 0
 
     def rare_groups(self, documents: DataFrame, reps: DataFrame, hot: DataFrame, labels: DataFrame) -> DataFrame:
-        """key, rid: the classes in hot(rid) grouped anew by rare shingles that two similar sets must share (a prefix filter).
-
-        With all shingles in one order, rarest first, similar sets of which one has n share at least m of the first
-        n - ceil(n * percent / 100) + m.  Groups are made with m = 1; those that are too large, not counting their
-        main label, are cut by a second shingle, and so on to `deep`.  Shingles in many sets are so few that their
-        counts are broadcast; the others' counts are joined.
+        """key, rid: the classes in hot(rid) grouped anew by what two similar sets must share (a prefix filter).
+
+        Shingles that the same of these classes have are one atom, of as much weight as they are shingles.  With all
+        atoms in one order, rarest first, a set of n shares with a similar one all but n - ceil(n * percent / 100) of
+        its weight; so the first atom that they share is one before which it has no more than that.  Groups are made by that
+        atom; those that are too large, not counting their main label, are cut by the second shared one, before which
+        no more is passed over in all, and so on to `deep`.  Shingles in many sets are so few that their counts are
+        broadcast; the others' counts are joined.
         """
         sets = saved(self.sets(documents, hot.join(reps.select("rid", "sid", "uid"), "rid")))
         each = sets.select("rid", F.explode("shingles").alias("s"))
-        counts = saved(each.groupBy("s").agg(F.count("*").alias("c")))
+        who = F.bit_xor(F.xxhash64(F.lit(1), "rid")), F.bit_xor(F.xxhash64(F.lit(2), "rid"))
+        counts = each.groupBy("s").agg(F.count("*").alias("c"), who[0].alias("x"), who[1].alias("y"))
+        counts = saved(counts.filter("c > 1").select("s", "c", F.xxhash64("c", "x", "y").alias("atom")))
         total = counts.agg(F.sum("c")).first()[0] or 0
         common = F.broadcast(counts.filter(F.col("c") > total / MAX_COMMON))  # under MAX_COMMON of them, by their sum
         rare = each.join(common.select(F.col("s").alias("o")), F.col("s") == F.col("o"), "left_anti").join(counts.filter(F.col("c") <= total / MAX_COMMON), "s")
-        ranked = rare.select("rid", "c", "s").unionByName(each.join(common, "s").select("rid", "c", "s")).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("t"))
-        least = F.ceil(F.size("t") * self.percent / F.lit(100)).cast("int")
-        named = ranked.join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left")
-        ranked = saved(named.select("rid", "t", least.alias("least"), F.coalesce("label", "rid").alias("label")))
-        first = lambda m: F.filter(F.slice("t", 1, F.size("t") - F.col("least") + m), lambda e: e["c"] > 1)
-        rows = saved(ranked.select("rid", "label", "least", F.explode(first(1)).alias("e")).select("rid", "label", "least", F.array("e.s").alias("chosen")))
-        for m in range(2, self.deep + 1):
-            by_label = rows.groupBy("chosen", "label").agg(F.count("*").alias("c"))
+        held = rare.select("rid", "c", "atom").unionByName(each.join(common, "s").select("rid", "c", "atom")).groupBy("rid", "c", "atom").agg(F.count("*").cast("int").alias("w"))
+        ranked = held.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("c", "atom", "w"))).alias("t"))
+        named = ranked.join(sets.select("rid", F.size("shingles").alias("n")), "rid").join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left")
+        least = F.ceil(F.col("n") * self.percent / F.lit(100)).cast("int")
+        # shingles of one class only come first in the order, and are all passed over
+        own = F.col("n") - F.aggregate("t", F.lit(0), lambda total, e: total + e["w"])
+        ahead = F.transform("t", lambda e, k: F.aggregate(F.slice("t", F.lit(1), k), F.lit(0), lambda total, x: total + x["w"]))
+        ranked = saved(named.select("rid", "t", ahead.alias("ahead"), least.alias("least"), (F.col("n") - least - own).alias("spare"), F.coalesce("label", "rid").alias("label")))
+
+        def following(rows: DataFrame) -> DataFrame:
+            """rows(rid, chosen, at, passed) with each atom that may be the next one which is shared."""
+            after = F.get("ahead", F.col("at")) + F.get("t", F.col("at"))["w"]
+            weight = lambda j: F.col("passed") + F.get("ahead", j) - F.coalesce(after, F.lit(0))
+            places = F.when(F.col("at") + 1 < F.size("t"), F.sequence(F.col("at") + 1, F.size("t") - 1))
+            each = rows.join(ranked, "rid").select("rid", "t", "ahead", "chosen", "got", "at", "passed", F.explode(F.filter(places, lambda j: weight(j) <= F.col("spare"))).alias("j"))
+            atom = F.get("t", F.col("j"))
+            return each.select("rid", F.array_append("chosen", atom["atom"]).alias("chosen"), (F.col("got") + atom["w"]).alias("got"), F.col("j").alias("at"), weight(F.col("j")).alias("passed"))
+
+        start = ranked.select("rid", F.array().cast("array<bigint>").alias("chosen"), F.lit(0).alias("got"), F.lit(-1).alias("at"), F.lit(0).alias("passed"))
+        rows = saved(following(start))
+        for _ in range(1, self.deep):
+            by_label = rows.join(ranked.select("rid", "label"), "rid").groupBy("chosen", "label").agg(F.count("*").alias("c"))
             by_key = by_label.groupBy(F.col("chosen").alias("k")).agg(F.sum("c").alias("all"), F.max("c").alias("top"))
             large = saved(by_key.filter((F.col("all") > 2 * self.piece) & (F.col("all") - F.col("top") > self.piece)).select("k"))
             if large.isEmpty():
                 break
-            held = rows.join(large, F.col("chosen") == F.col("k"), "left_semi")
-            parts = held.filter(F.col("least") >= m).select("rid", "label", "least", "chosen").join(ranked.select("rid", "t"), "rid")
-            cut = parts.select("rid", "label", "least", "chosen", F.explode(first(m)).alias("e")).filter(~F.array_contains("chosen", F.col("e.s")))
-            cut = cut.select("rid", "label", "least", F.array_sort(F.array_append("chosen", F.col("e.s"))).alias("chosen")).distinct()
-            stay = rows.join(large, F.col("chosen") == F.col("k"), "left_anti").unionByName(held.filter(F.col("least") < m))
-            rows = saved(stay.unionByName(cut))
-        return rows.select(F.xxhash64("chosen").alias("key"), "rid")
+            cut = rows.join(large, F.col("chosen") == F.col("k"), "left_semi")
+            enough = cut.join(ranked.select("rid", "least"), "rid").filter("got >= least").select("rid", "chosen", "got", F.lit(1 << 30).alias("at"), "passed")  # these may share no more, and stay
+            whole = rows.join(large, F.col("chosen") == F.col("k"), "left_anti")
+            rows = saved(whole.unionByName(enough).unionByName(following(cut)))
+        return rows.select(F.xxhash64("chosen").alias("key"), "rid").distinct()
 
     # ---- links and components -------------------------------------------------------------------------
 
@@ -371,27 +390,10 @@ class NearDup:
         # both sides are tables, so that the join may be cut at hot keys
         members = saved(banded.join(saved(shared), F.col("key") == F.col("k"), "left_semi"))
         labels = documents.sparkSession.createDataFrame([], "node long, label long")
-        sets = tried = rare = None
-        limit, held = None, True
-        while held:
-            if limit is None:
-                first = self.first_groups(members)
-                tried = found = saved(self.pairs(first, reps, None, first.count()))
-                limit = 8
-            else:
-                known = tried.select("a", "b", F.lit(True).alias("known"))
-                groups, hot, many = self.mixed_groups(members, labels)
-                every = self.pairs(groups, reps, limit, many)
-                if hot is not None and rare is None:  # later rounds' hot groups are among the first one's
-                    rare = saved(self.rare_groups(documents, reps, saved(hot), labels))
-                if rare is not None:
-                    groups, _, many = self.mixed_groups(rare, labels, True)
-                    every = every.unionByName(self.pairs(groups, reps, limit, many, False)).groupBy("a", "b").agg(F.max("held").alias("held"))
-                every = saved(every.join(known, ["a", "b"], "left"))
-                held = every.agg(F.max("held")).first()[0]  # tried pairs, too, may have held others back
-                found = every.filter("known is null").drop("known")
-                tried = tried.unionByName(found)
-                limit *= 8
+        first = self.first_groups(members)
+        tried = found = saved(self.pairs(first, reps, None, first.count())).select("a", "b")
+        sets, rare, limit = None, None, 8
+        while True:
             if not found.isEmpty():
                 used = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
                 if sets is not None:
@@ -404,6 +406,28 @@ class NearDup:
                 if not new.isEmpty():
                     # what is known already goes in as a star for each component, not as all its links
                     labels = saved(components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+            if members is None and rare is None:
+                break
+            # pairs between components; groups of which none are held back are through with, as components only grow together
+            every = []
+            for kind in ("members", "rare"):
+                part = members if kind == "members" else rare
+                if part is None:
+                    continue
+                groups, hot, many = self.mixed_groups(part, labels, kind == "rare")
+                every.append(saved(self.pairs(groups, reps, limit, many, kind == "members")))
+                keys = every[-1].filter("held is not null").select(F.col("held").alias("k"))
+                rest = None if keys.isEmpty() else saved(part.join(keys, F.col("key") == F.col("k"), "left_semi"))
+                if kind == "members":
+                    members = rest
+                    if hot is not None and limit == 8:  # later rounds' hot groups are among the first one's
+                        rare = saved(self.rare_groups(documents, reps, saved(hot), labels))
+                else:
+                    rare = rest
+            found = every[0] if len(every) == 1 else every[0].unionByName(every[1])
+            found = saved(found.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+            tried = tried.unionByName(found)
+            limit *= 8
         named = reps.select("rid", "sid", "uid").join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         least = named.groupBy("label").agg(F.min("uid").alias("component"))
         return rows, named.join(least, "label").select("sid", "component", "label")

@@ -43,8 +43,9 @@ def test_pairs_held_back_by_tried_ones_are_verified(spark):
             if limit is not None and limit > 8:
                 return super().pairs(groups, reps, limit, *rest)
             rid = {r.uid: r.rid for r in reps.collect()}
-            refused = (min(rid[0], rid[2]), max(rid[0], rid[2]), limit is not None)
-            return reps.sparkSession.createDataFrame([refused], "a long, b long, held boolean")
+            keys = [] if limit is None else [r.key for r in groups.select("key").distinct().collect()]
+            refused = [(min(rid[0], rid[2]), max(rid[0], rid[2]), None), *((None, None, k) for k in keys)]
+            return reps.sparkSession.createDataFrame(refused, "a long, b long, held long")
 
     found = Held().deduplicated(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
     assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(0, 0), (1, 0), (2, 2)]
