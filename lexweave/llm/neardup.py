@@ -8,11 +8,11 @@
    standard errors) are candidates.
 3. Candidates are verified on full shingle sets; links give components.
 
-Not all pairs of a band group are written.  The first round takes from each piece of a group (at most
-`piece` classes) the spanning forest of the likeliest pairs.  Later rounds look only at groups whose classes
+Not all pairs of a band group are written.  The first round takes from each piece of a group of the first bands (at
+most `piece` classes) the spanning forest of the likeliest pairs.  Later rounds look only at groups whose classes
 lie in different components, leave out pairs inside a component, and take for each class outside the group's
-main component its likeliest pairs: at most 8, then 64 and so on while any are held back, each pair in the
-first band that it shares.  So every pair that may link two components is verified before the end, while copies
+main component its likeliest pairs: at most 8, then 64 and so on in groups in which any are held back, each pair in
+the first band that it shares.  So every pair that may link two components is verified before the end, while copies
 of a hot text cost rows, not pairs.  Groups of over two pieces are cut into blocks of the main component's
 classes, with the others in each.  Where the others are more than a piece (many texts that share much but are
 no copies), the group's classes are grouped anew by their rarest shingles, an exact prefix filter, and where such a
@@ -87,6 +87,8 @@ class NearDup:
     rows: int = 6
     piece: int = 1024
     deviations: float = 5.0
+    #: Forests are made in the groups of so many bands; the others are for pairs that are left then.
+    early: int = 8
     #: How many atoms at most a group of classes is cut by.
     deep: int = 8
 
@@ -111,15 +113,16 @@ class NearDup:
         return arrow_map(rows, run, "uid long, n long, sid binary, regs binary")
 
     def banded(self, reps: DataFrame) -> DataFrame:
-        """key, rid: the band keys of each class."""
+        """key, rid, nth: the band keys of each class, and which band each is of."""
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
                 keys = band_keys(self.matrix(part.column(1).to_pylist()), self.bands, self.rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), self.bands))], ["key", "rid"])
+                nth = np.tile(np.arange(self.bands, dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), self.bands)), pa.array(nth)], ["key", "rid", "nth"])
 
-        return arrow_map(reps.select("rid", "regs"), run, "key long, rid long")
+        return arrow_map(reps.select("rid", "regs"), run, "key long, rid long, nth int")
 
     def matrix(self, regs: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(regs), np.uint8).reshape(len(regs), self.buckets)
@@ -283,7 +286,7 @@ class NearDup:
 
     def first_groups(self, members: DataFrame) -> DataFrame:
         """The groups that forests are made in."""
-        return members
+        return members.filter(F.col("nth") < self.early)
 
     def mixed_groups(self, members: DataFrame, labels: DataFrame, grid: bool = False) -> tuple[DataFrame, DataFrame | None, int]:
         """The groups with several labels, by blocks for pairs(); the classes of the groups left out of it, rid, if any; and the rows of the first.
