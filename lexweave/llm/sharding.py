@@ -6,8 +6,8 @@ their exact cumulative size.  The key is (hash of the group column, hash of the
 (equal texts) stay adjacent and so in one range, unless the group is over `tolerance` of a shard; only such hot
 groups are subdivided, by the second part, in which each row's place in a saved table sets apart rows of one id.
 
-What reaches the driver is bounded by parameters: about `draws` sampled keys a range, and a row for each
-range.  Cases: null group values form a group; null ids hash like any value; repeated rows and ties get
+What reaches the driver is about `draws` sampled keys a range and a row for each range; there are
+`ranges_per_shard` ranges to a shard, or as many as keep them at RANGE_BYTES.  Cases: null group values form a group; null ids hash like any value; repeated rows and ties get
 slots of their own; an empty table gives an empty result; other columns are carried along unchanged.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import need, place_among, saved
 
 LOW = -(1 << 63)
+#: Bytes of a range: a larger table has more ranges, not larger ones.
+RANGE_BYTES = 1 << 30
 
 
 def byte_size(text: str | Column) -> Column:
@@ -42,6 +44,8 @@ class RangeSharder:
     tolerance: float = 0.05
     bounds: list[tuple[int, int]] = field(default_factory=list)
     deal: list[tuple[int, int, int]] = field(default_factory=list)
+    #: Ranges to a shard, as fit() has chosen them: ranges_per_shard, or more of a large table.
+    per_shard: int = 0
     #: Whether a range of several rows is left over the tolerance of a shard.
     stuck: bool = False
 
@@ -75,7 +79,7 @@ class RangeSharder:
         total = np.cumsum([s[2] for s in sample])
         cuts = np.searchsorted(total, total[-1] * np.arange(1, pieces) / pieces)
         by_key = pd.Series([s[2] for s in sample]).groupby([s[0] for s in sample]).sum()
-        heavy = set(by_key[by_key > self.tolerance * self.ranges_per_shard * self.draws].index)  # a shard's weight in draws
+        heavy = set(by_key[by_key > self.tolerance * self.per_shard * self.draws].index)  # a shard's weight in draws
         return sorted({(sample[c][0], sample[c][1] if sample[c][0] in heavy else LOW) for c in cuts})
 
     def fit(self, light: DataFrame) -> RangeSharder:
@@ -84,7 +88,8 @@ class RangeSharder:
         self.bounds, self.deal, self.stuck = [], [], False
         if not rows:
             return self
-        pieces = self.n_shards * self.ranges_per_shard
+        self.per_shard = max(self.ranges_per_shard, -(-total // (self.n_shards * RANGE_BYTES)))
+        pieces = self.n_shards * self.per_shard
         sample = self.drawn(light.withColumn("__range", F.lit(0)), F.lit(pieces * self.draws / total), 1)
         self.bounds = self.quantiles(sample, pieces)
         spark = light.sparkSession

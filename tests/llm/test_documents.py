@@ -83,6 +83,18 @@ def test_shards_near_equal_with_a_hot_group(spark):
     assert len(sizes) == 8 and max(sizes) < 1.03 * sum(sizes) / 8 and min(sizes) > 0.97 * sum(sizes) / 8
 
 
+def test_a_large_table_has_more_ranges(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.xxhash64("id").cast("string")).alias("text"))
+    light = sharding.RangeSharder().keyed(df, "text", "doc_id", False).select("__k1", "__k2", sharding.byte_size("text").alias("__size")).cache()
+    few = sharding.RangeSharder(2, 4).fit(light)
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 1000)
+    many = sharding.RangeSharder(2, 4).fit(light)
+    total = light.agg(F.sum("__size")).first()[0]
+    assert few.per_shard == 4 and many.per_shard == -(-total // 2000)
+    counts = many.ranged(light).groupBy("__range").agg(F.sum("__size").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert counts[0] < 3 * 1000 and counts[1] > 0.7 * total / 1000
+
+
 def test_small_groups_stay_together_and_rows_of_one_key_are_cut(spark):
     groups = spark.range(150).select(F.explode(F.sequence(F.lit(1), F.col("id") % 8 + 2)).alias("k"), F.concat(F.lit("text "), F.col("id")).alias("text"))
     shards = sharding.shard_documents(groups.select(F.monotonically_increasing_id().alias("doc_id"), "text")).groupBy("text_crc32").agg(F.count_distinct("shard").alias("n"), F.count("*").alias("c"))
