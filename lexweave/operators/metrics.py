@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text
-from lexweave.operators.retrieval import small
+from lexweave.operators.retrieval import beside, small
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -99,5 +99,5 @@ def quoting(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     maybe = held.join(small(anchors), "word").select("doc_id", "item_id")
     # doc_id need not be unique: a candidate is checked on all texts of the id
     checked = folded.join(maybe.distinct(), "doc_id").join(small(asked.select("item_id", "quote")), "item_id")
-    short = folded.join(small(asked.filter(F.size("inner") == 0).select("item_id", "quote")), F.contains("text", "quote"))
+    short = beside(folded, asked.filter(F.size("inner") == 0).select("item_id", "quote"), F.contains("text", "quote"))
     return checked.filter(F.contains("text", "quote")).select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
-from lexweave.operators.retrieval import small
+from lexweave.operators.retrieval import beside, small
 
 
 def evidence(hits: DataFrame, by: list[str], order: list[str], limit: int = rules.EVIDENCE_LIMIT) -> DataFrame:
@@ -27,7 +27,7 @@ def extracted(proof: DataFrame, questions: DataFrame, by: list[str], asked: list
     pieces = pieces.withColumn("quote", F.regexp_replace(F.left("piece", F.lit(rules.QUOTE_LIMIT)), text.SPACE + r"+\z", ""))
     cut = pieces.select(*by, "evidence_id", "evidence_rank", "nth", "quote", text.qa_terms("quote").alias("found"), text.found("quote", rules.QUOTE_VALUE).alias("value"))
     wanted = questions.withColumns({"category": text.question_category("question"), "terms": text.qa_terms("question")})
-    parts = cut.join(small(wanted), shared) if shared else cut.join(small(wanted), F.lit(True))
+    parts = cut.join(small(wanted), shared) if shared else beside(cut, wanted)
     by = list(dict.fromkeys([*by, *asked]))
     match = text.category_match("category", "quote")
     parts = parts.withColumns({"match": match, "overlap": F.size(F.array_intersect("terms", "found"))})

@@ -9,7 +9,7 @@ document on its own (Q6, Q7, F4-F6, T1).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,17 @@ def small(df: DataFrame, limit: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def beside(rows: DataFrame, asked: DataFrame, condition: Column | None = None) -> DataFrame:
+    """rows joined with a stated set of queries on any condition (none: all), block by block: no block that is broadcast has many more than MAX_BROADCAST_QUERIES rows."""
+    condition = F.lit(True) if condition is None else condition
+    n = asked.count()
+    if n <= MAX_BROADCAST_QUERIES:
+        return rows.join(F.broadcast(asked), condition)
+    blocks = 2 * -(-n // MAX_BROADCAST_QUERIES)
+    part = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in asked.columns)), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(asked.filter(part == b)), condition) for b in range(blocks)])
+
+
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 

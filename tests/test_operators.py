@@ -333,3 +333,14 @@ def test_every_failure_of_a_reader_has_a_listed_code(spark):
     got = files.extracted(spark.createDataFrame(rows, "path string, content binary, error_code string"), reader)
     failed = "page_extraction_failed"
     assert {r.path: r.error_code for r in got.collect()} == {"a": failed, "b": failed, "c": "unreadable_pdf", "d": failed, "e": failed}
+
+
+def test_many_questions_go_block_by_block(spark, monkeypatch):
+    proof = spark.createDataFrame([(d, "C1", 1, f"The budget is {d}00 EUR. Delivery takes {d} days.") for d in range(3)], "document_id long, evidence_id string, evidence_rank int, text string")
+    questions = spark.createDataFrame([(q, f"What is the {w}?") for q, w in enumerate(("budget", "delivery", "colour", "budget limit", "delivery time", "tax"))], "question_id long, question string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(("one two", "two  Three four five", None))], "doc_id long, text string")
+    quotes = spark.createDataFrame([(k, q) for k, q in enumerate(("two", "one", "ONE two", "three", "two three four", "x"))], "item_id long, quote string")
+    show = lambda: [sorted(map(str, map(tuple, df.collect()))) for df in (qa.extracted(proof, questions, ["document_id"], ["question_id"]), metrics.quoting(docs, quotes))]
+    want = show()
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 2)
+    assert show() == want and len(want[0]) == 18 and len(want[1]) == 6
