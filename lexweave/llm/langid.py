@@ -1,7 +1,8 @@
 """Language identification by a mixture of languages in each document.
 
 Training counts letter trigrams (hashed to `BUCKETS`) by language, over a bounded, seeded sample of labelled
-documents (`sample_docs` different texts a language, whole ones, whichever ids they have and how often they occur).  Prediction runs expectation-maximisation over the words of
+documents (`sample_docs` different texts a language, whole ones, whichever ids they have; each counts as often as it
+occurs).  Prediction runs expectation-maximisation over the words of
 a document: a word's likelihood in a language is the product of its trigrams', the mixing proportions are the
 document's languages.  Nested language sets are compared by likelihood penalised by half the logarithm of the
 word count for each language; the set's largest proportion names the language and is the score.
@@ -11,8 +12,7 @@ the same buckets serve any number of labels.  The driver gets the counts by lang
 and its words are counted up by their hashes.
 
 Cases: a null text, or one without a letter, is "und" with score 0; without any labelled document every text
-is "und"; null labels are never learned; rows with a null id are not held out; repeated texts are learned once a
-language and judged alike;
+is "und"; null labels are never learned; rows with a null id are not held out; repeated rows are judged alike;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -154,16 +154,16 @@ class Model:
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """From documents(doc_id, text, lang), those that are held out left aside."""
     labelled = need(documents, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    by_text = labelled.select("lang", F.xxhash64(F.lit(9), "text").alias("__t")).distinct()
+    by_text = labelled.groupBy("lang", F.xxhash64(F.lit(9), "text").alias("__t")).agg(F.count("*").alias("__n"))
     drawn = by_text.withColumn("__nth", F.row_number().over(Window.partitionBy("lang").orderBy("__t"))).filter(F.col("__nth") <= sample_docs)
-    # a table, as its rows are counted before they are broadcast: 8 bytes and a label for each of at most sample_docs a language
-    drawn = saved(drawn.select(F.col("lang").alias("__l"), F.col("__t").alias("__d")))
+    # a table, as its rows are counted before they are broadcast: 16 bytes and a label for each of at most sample_docs a language
+    drawn = saved(drawn.select(F.col("lang").alias("__l"), F.col("__t").alias("__d"), "__n"))
     languages = sorted(r[0] for r in drawn.select("__l").distinct().collect())
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     hashed = labelled.withColumn("__t", F.xxhash64(F.lit(9), "text"))
     few = drawn.count() <= BROADCAST_TEXTS
-    sample = hashed.join(F.broadcast(drawn) if few else drawn, (F.col("lang") == F.col("__l")) & (F.col("__t") == F.col("__d")), "left_semi").dropDuplicates(["lang", "__t"]).select("lang", "text")
+    sample = hashed.join(F.broadcast(drawn) if few else drawn, (F.col("lang") == F.col("__l")) & (F.col("__t") == F.col("__d"))).dropDuplicates(["lang", "__t"]).select("lang", "text", "__n")
 
     def told(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, have in sums.items():
@@ -173,13 +173,13 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        names = batch.column(0).to_pylist()
+        names, copies = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for lo, hi, data, offsets in slices(batch.column(1)):
             for row in range(lo, hi):
                 body = data[offsets[row - lo] : offsets[row - lo + 1]]
                 for a, b in windows(body, LETTER):
                     have = sums.setdefault(names[row], np.zeros(BUCKETS, np.int64))
-                    have += np.bincount(trigrams(body[a:b], np.array([0, b - a]))[0], minlength=BUCKETS)
+                    have += copies[row] * np.bincount(trigrams(body[a:b], np.array([0, b - a]))[0], minlength=BUCKETS)
                 if len(sums) > 64:
                     yield from told(sums)
         yield from told(sums)

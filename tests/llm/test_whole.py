@@ -207,12 +207,17 @@ def test_no_language_is_lost_with_null_and_repeated_ids(spark):
         assert {r.lang: r["count"] for r in right} == {"de": 300, "fr": 600, "es": 600}
 
 
-def test_the_sample_is_bounded_and_blind_to_copies(spark):
+def test_the_sample_is_of_texts_whatever_their_copies(spark):
     texts = [spoken("abcdefg", k) + f" {'xyz'[k % 3]}" for k in range(40)]
-    once = spark.createDataFrame([(k, t, "l") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
-    copied = once.unionByName(once.limit(5)).unionByName(spark.createDataFrame([(None, texts[0], "l")] * 500, once.schema))
-    for docs in (7, 2000):
-        assert (langid.train(once.filter(~langid.held_out()), docs).table == langid.train(copied.filter(~langid.held_out()), docs).table).all()
+    once = spark.createDataFrame([(4 * k + 1, t, "l") for k, t in enumerate(texts)], "doc_id long, text string, lang string").filter(~langid.held_out())
+    one = once.orderBy("doc_id").first()
+    rows = [(None, one.text, "l")] * 500
+    own = [(4 * k + 1, one.text, "l") for k in range(2000, 2700)]  # and ids of their own
+    copied = once.unionByName(spark.createDataFrame(rows, once.schema))
+    other = once.unionByName(spark.createDataFrame(own, once.schema).filter(~langid.held_out()).limit(500))
+    for sample in (7, 2000):
+        assert (langid.train(copied, sample).table == langid.train(other, sample).table).all()
+    assert (langid.train(once, 7).table != langid.train(once).table).any() and (langid.train(once).table != langid.train(copied).table).any()
 
 
 def test_predictions_do_not_depend_on_the_number_of_labels(spark, monkeypatch):
