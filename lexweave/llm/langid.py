@@ -154,10 +154,14 @@ class Model:
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """From documents(doc_id, text, lang), those that are held out left aside."""
     labelled = need(documents, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    by_text = labelled.groupBy("lang", F.xxhash64(F.lit(9), "text").alias("__t")).agg(F.count("*").alias("__n"))
-    drawn = by_text.withColumn("__nth", F.row_number().over(Window.partitionBy("lang").orderBy("__t"))).filter(F.col("__nth") <= sample_docs)
+    place = F.col("__t").bitwiseAND(F.lit((1 << 52) - 1))
+    by_text = saved(labelled.groupBy("lang", F.xxhash64(F.lit(9), "text").alias("__t")).agg(F.count("*").alias("__n")).withColumn("__p", place))
+    # the first by hash: a cut at twice as many as are expected leaves few to rank, whatever the language has
+    sizes = by_text.groupBy(F.col("lang").alias("__l")).agg(F.count("*").alias("__all"))
+    few = by_text.join(F.broadcast(sizes), F.col("lang") == F.col("__l")).filter(F.col("__p") * F.col("__all").cast("double") < float(1 << 52) * (2 * sample_docs + 100))
+    drawn = few.withColumn("__nth", F.row_number().over(Window.partitionBy("lang").orderBy("__p", "__t"))).filter(F.col("__nth") <= sample_docs)
     # a table, as its rows are counted before they are broadcast: 16 bytes and a label for each of at most sample_docs a language
-    drawn = saved(drawn.select(F.col("lang").alias("__l"), F.col("__t").alias("__d"), "__n"))
+    drawn = saved(drawn.select("__l", F.col("__t").alias("__d"), "__n"))
     languages = sorted(r[0] for r in drawn.select("__l").distinct().collect())
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
