@@ -208,14 +208,24 @@ def with_embeddings(chunks: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def manifest_of(rows: DataFrame) -> DataFrame:
-    """document_id, filename, language and questions of a manifest, from a row for each question with its page and evidence.
+    """document_id, filename, language and questions of a manifest, with page and evidence of each.
 
-    rows: document_id, language, category, nth, question, page_number, passage.
+    rows: document_id, language, facts(category, page_number, passage) and asked(of: the place of a fact, nth, question),
+    as rerank.asked() gives them.  A row has its document's questions already, so only rows whose document has others are shuffled whole.
     """
-    ident = F.concat("category", F.lit("-q"), F.col("nth").cast("string"))
-    one = F.struct(ident.alias("id"), "language", "question", F.lit(True).alias("answerable"), F.array("page_number").alias("expected_pages"), F.array("passage").alias("expected_quote_fragments"))
+    def one(q: Column) -> Column:
+        fact = F.get("facts", q["of"])
+        ident = F.concat(fact["category"], F.lit("-q"), q["nth"].cast("string"))
+        return F.struct(ident.alias("id"), F.col("language").alias("language"), q["question"], F.lit(True).alias("answerable"), F.array(fact["page_number"]).alias("expected_pages"), F.array(fact["passage"]).alias("expected_quote_fragments"))
+
+    made = rows.filter(F.size("asked") > 0).select("document_id", "language", F.sort_array(F.transform("asked", one)).alias("questions"))
+    twice = rows.groupBy("document_id", "language").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("document_id").alias("__id"), F.col("language").alias("__language"))
+    if not twice.isEmpty():
+        same = F.col("document_id").eqNullSafe(F.col("__id")) & F.col("language").eqNullSafe(F.col("__language"))
+        parts = made.join(twice, same, "left_semi").groupBy("document_id", "language").agg(F.sort_array(F.flatten(F.collect_list("questions"))).alias("questions"))
+        made = made.join(twice, same, "left_anti").unionByName(parts)
     name = F.concat(F.lit("document-"), F.col("document_id").cast("string"), F.lit(".pdf"))
-    return rows.groupBy("document_id", "language").agg(F.array_sort(F.collect_list(one)).alias("questions")).select("document_id", name.alias("filename"), "language", "questions")
+    return made.select("document_id", name.alias("filename"), "language", "questions")
 
 
 def constraint_violations(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:

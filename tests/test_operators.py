@@ -247,6 +247,49 @@ def test_masks_of_many_words(spark):
     assert abs(got - 5 / (22 * 32) ** 0.5) < 1e-12
 
 
+def test_facts_are_ranked_by_documents(spark, monkeypatch):
+    """Whatever the slices: other facts by preference, score and name, as a plain version finds them; documents without facts or questions are left out."""
+    kinds = ["a", "b", "c", "d"]
+    scenarios = [(k, "train", "en" if k % 3 else "xx", *(f"w{k * 7 % 80} w{(k + j) % 80} tail{k}" if (k + j) % 4 else None for j in range(4))) for k in range(40)]
+    templates = [("en", c, v, f"{c}{c}{c} w{v} w7 is {{value}}", c, v + 1) for c in kinds for v in range(2)] + [("xx", "a", 0, "{value}", "a", 1)]
+    questions = [("en", c, n, " ".join(f"w{x}" for x in range(20 * n, 20 * n + 40))) for c in kinds[:3] for n in (1, 2)]
+    rows = rerank.fact_arrays(spark.createDataFrame(scenarios, "document_id long, split string, language string, a string, b string, c string, d string"), kinds, spark.createDataFrame(templates, "language string, category string, variant int, passage string, heading string, page_number int"))
+    known = {"a": ("c",)}
+    tokens = lambda t: {w for w in t.split() if len(w) > 2}
+    want = {}
+    for r in rows.collect():
+        for language, c, n, q in questions:
+            own = [f for f in r.facts if f.category == c]
+            if r.language == language and own and len(r.facts) > 1:
+                score = lambda f: len(tokens(q) & tokens(f.passage)) / (len(tokens(q)) * len(tokens(f.passage))) ** 0.5  # noqa: E731,B023
+                others = sorted((f for f in r.facts if f.category != c), key=lambda f: (f.category in known.get(c, ()), round(score(f), 6), f.category), reverse=True)[:2]  # noqa: B023
+                want[r.document_id, c, n] = [(f.category, f.passage, f.category in known.get(c, ()), round(score(f), 6)) for f in others]
+    assert len(want) > 60
+    asked = rerank.asked(rows, spark.createDataFrame(questions, "language string, category string, nth int, question string"))
+    for compared in (1 << 18, 7):
+        monkeypatch.setattr(rerank, "COMPARED", compared)
+        got = {}
+        for r in rerank.hard_negatives(asked, 2, known).orderBy("place").collect():
+            got.setdefault((r.document_id, r.category, r.nth), []).append((r.negative_category, r.negative, r.preferred, r.score))
+        assert got == want
+    made = rerank.pairs(rerank.examples(asked, 2), "overlaps").collect()
+    assert len(made) == sum(1 + len(v) for v in want.values())
+    assert all(abs(r.score - len(tokens(r.query) & tokens(r.passage)) / (len(tokens(r.query)) * len(tokens(r.passage))) ** 0.5) < 1e-12 for r in made)
+
+
+def test_manifests_are_made_by_document(spark):
+    """A document's questions stand in its row, without a shuffle of them; rows of one document are put together."""
+    schema = "document_id long, language string, facts array<struct<category:string,page_number:int,passage:string>>, asked array<struct<of:int,nth:int,question:string>>"
+    row = lambda ident, *of: (ident, "en", [("b", 2, "pb"), ("a", 1, "pa")], [(k, n, f"q{n}") for k, n in of])
+    one = spark.createDataFrame([row(1, (0, 1), (1, 2), (1, 1)), row(2, (1, 1)), row(3)], schema)
+    made = files.manifest_of(one)
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+    assert {r.document_id: [q.id for q in r.questions] for r in made.collect()} == {1: ["a-q1", "a-q2", "b-q1"], 2: ["a-q1"]}
+    two = files.manifest_of(one.unionByName(spark.createDataFrame([row(1, (0, 2)), row(None, (0, 1)), row(None, (1, 1))], schema)))
+    assert {r.document_id: [(q.id, q.expected_pages, q.expected_quote_fragments) for q in r.questions] for r in two.collect() if r.document_id != 2} == {
+        1: [("a-q1", [1], ["pa"]), ("a-q2", [1], ["pa"]), ("b-q1", [2], ["pb"]), ("b-q2", [2], ["pb"])], None: [("a-q1", [1], ["pa"]), ("b-q1", [2], ["pb"])]}
+
+
 def test_quotes(spark):
     docs = spark.createDataFrame([(1, "The  GOODS are\nlisted here"), (2, "goods are listed"), (3, "nothing"), (4, None)], "doc_id long, text string")
     quotes = spark.createDataFrame([(1, "oods are list"), (2, "listed here"), (3, "goods zebra listed"), (4, "not")], "item_id long, quote string")
