@@ -104,18 +104,20 @@ def analysis_pieces(c: Column | str) -> Column:
 
 
 def analysis_spans(c: Column | str) -> Column:
-    """array<struct<quote, lo, hi>> of the non-empty pieces, trimmed; offsets in code points from 0, half open."""
-    pieces = analysis_pieces(c)
+    """array<struct<quote, lo, hi>> of the non-empty pieces, trimmed; offsets in code points from 0, half open.
+
+    Each piece is trimmed once: a lambda's argument is a value, while a column that is used again is evaluated again.
+    """
+    led = F.transform(analysis_pieces(c), lambda p: F.struct(F.length(p).alias("n"), F.regexp_replace(p, rf"\A{SPACE}+", "").alias("rest")))
+    cut = F.transform(led, lambda p: F.struct(p["n"], F.length(p["rest"]).alias("left"), F.regexp_replace(p["rest"], rf"{SPACE}+\z", "").alias("quote")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<quote:string,lo:int,hi:int>>").alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        lead = F.length(piece) - F.length(F.regexp_replace(piece, rf"\A{SPACE}+", ""))
-        quote = stripped(piece)
-        lo = acc["at"] + lead
-        span = F.struct(quote.alias("quote"), lo.alias("lo"), (lo + F.length(quote)).alias("hi"))
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when(F.length(quote) > 0, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def step(acc: Column, p: Column) -> Column:
+        lo = acc["at"] + p["n"] - p["left"]
+        span = F.struct(p["quote"].alias("quote"), lo.alias("lo"), (lo + F.length(p["quote"])).alias("hi"))
+        return F.struct((acc["at"] + p["n"]).alias("at"), F.when(F.length(p["quote"]) > 0, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+    return F.aggregate(cut, zero, step, lambda acc: acc["out"])
 
 
 def escaped(token: Column) -> Column:

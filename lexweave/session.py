@@ -34,10 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks to a core where a table is dealt anew: no task is long, and the last ones leave no core idle.
+TURNS = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its files are fewer than these; a table of many files stays as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df over all cores by TURNS, where its files are fewer than that; a table of many files stays as it is read."""
+    tasks = TURNS * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def scratch(spark: SparkSession) -> str:

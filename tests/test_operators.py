@@ -55,6 +55,22 @@ def test_conditions(spark):
     assert (missing.rule_id, missing.title, missing.grounded) == ("missing_budget", "Budget not found", False)
 
 
+def test_conditions_of_one_category(spark):
+    """Only its patterns are evaluated, and a document's rows are dealt once."""
+    body = "Maximum budget: 1 000 USD net. Submission deadline\n \n  Penalty 5%!  \x1c Penalty of 7%.\nBudget 5 EUR"
+    pages = spark.createDataFrame([(1, 1, body), (1, 2, body + "; fine 3 %"), (2, 1, None), (3, 1, " \n ")], "document_id long, page_number int, text string")
+    every, columns = analysis.conditions(pages), ["document_id", "category", "place", "page_number", "start_char", "end_char", "quote", "score"]
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    for name in analysis.CATEGORIES:
+        one = analysis.conditions(pages, only=name)
+        assert ("liquidated" in one._jdf.queryExecution().optimizedPlan().toString()) == (name == "penalty")
+        assert one._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        want = every.filter(F.col("category") == name).select(columns).collect()
+        assert sorted(one.select(columns).collect()) == sorted(want)
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert {r.quote for r in every.filter("category = 'penalty'").collect()} == {"Penalty 5%!", "Penalty of 7%.", "fine 3 %"}
+
+
 def test_highlight(spark):
     cases = [
         ("A <b> must\n show & must show", "MUST show", 'A &lt;b&gt; <mark class="x">must\n show</mark> &amp; must show'),
