@@ -194,6 +194,16 @@ def test_a_hot_cell_and_many_alike_but_not_linked(spark):
         assert rows_of(got) == sorted(want, key=repr)
 
 
+def test_a_frequent_shingle_makes_no_hot_group(spark, monkeypatch):
+    """Many texts with one line in common: cells of its shingles have them all, bands don't."""
+    texts = [template(k, 20, own) for k in range(60) for own in (60, 100)] + [template(k, 20, 100) + " end" for k in range(0, 60, 7)]
+    seen = []
+    monkeypatch.setattr(neardup.NearDup, "rare_groups", lambda self, *a, real=neardup.NearDup.rare_groups: seen.append(1) or real(self, *a))
+    rows = list(enumerate(texts))
+    got = ngramjoin.NgramJoin(piece=4).deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept")
+    assert rows_of(got) == sorted((r[:3] for r in brute.near_groups(rows, 80)), key=repr) and not seen
+
+
 def test_counts_past_a_byte_have_no_bound():
     join = ngramjoin.NgramJoin(groups=2)
     value = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 200_000, dtype=np.uint64))
