@@ -293,6 +293,28 @@ def test_facts_are_ranked_by_documents(spark, monkeypatch):
     assert all(abs(r.score - len(tokens(r.query) & tokens(r.passage)) / (len(tokens(r.query)) * len(tokens(r.passage))) ** 0.5) < 1e-12 for r in made)
 
 
+def test_examples_are_counted_without_ranking(spark):
+    """The same rows as examples(), but no task of Python and no words; each question takes just its own ranking into its row."""
+    scenarios = [(k, "test" if k % 4 == 0 else "train", "en", f"x{k}", None if k % 3 == 0 else f"y{k}") for k in range(12)]
+    templates = [("en", c, 0, f"{c} {{value}}", c, 1) for c in "ab"]
+    rows = rerank.fact_arrays(spark.createDataFrame(scenarios, "document_id long, split string, language string, a string, b string"), ["a", "b"], spark.createDataFrame(templates, "language string, category string, variant int, passage string, heading string, page_number int"))
+    asked = rerank.asked(rows, spark.createDataFrame([("en", c, n, f"which {c}{c}{c} {n}") for c in "ab" for n in (1, 2)], "language string, category string, nth int, question string"))
+    plain = rerank.unranked(asked)
+    assert sorted(plain.collect()) == sorted(rerank.examples(asked).select(plain.columns).collect()) and plain.count() == 8 * 2 * 2
+    assert rerank.unranked(asked, 0).count() == rerank.examples(asked, 0).count() == 0
+    plan = rerank.language_summary(plain)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "tokens" not in plan.split("Generate")[0]
+    names = [f.name for f in rerank.negatives_of(asked).schema]
+    assert "every" not in names and "found" in names
+
+
+def test_ranks_of_scores_in_an_array(spark):
+    """Ties count against the positive, and the last of the best is the best."""
+    rows = spark.createDataFrame([(1, [1.0]), (2, [0.5, 0.5, 0.1]), (3, [0.2, 0.9, 0.9, 0.2]), (4, [0.0, -0.0]), (5, [2.0, 1.0, 1.0])], "id int, overlaps array<double>").withColumn("split", F.lit("x"))
+    got = {r.id: (r.positive_rank, r.best_position) for r in rerank.predictions_of(rows).collect()}
+    assert got == {1: (1, 0), 2: (2, 1), 3: (4, 2), 4: (2, 1), 5: (1, 0)}
+
+
 def test_manifests_are_made_by_document(spark):
     """A document's questions stand in its row, without a shuffle of them; rows of one document are put together."""
     schema = "document_id long, language string, facts array<struct<category:string,page_number:int,passage:string>>, asked array<struct<of:int,nth:int,question:string>>"
