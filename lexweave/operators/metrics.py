@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,25 +23,28 @@ def retrieval(hits: DataFrame, k: int = 5) -> DataFrame:
     return hits.groupBy("query_id").agg((F.coalesce(first, F.lit(1 << 30)) <= k).cast("int").alias("hit"), F.coalesce(1.0 / first, F.lit(0.0)).alias("reciprocal_rank"))
 
 
-#: Ranges of values that percentiles are counted in.
+#: A range around a percentile has two of so many parts of the rows, as far as a sketch tells.
 RANGES = 1000
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], digits: int | None = 6) -> DataFrame:
     """Exact percentiles with linear interpolation; nulls don't count.
 
-    No task gets all values of a group: a sketch gives each group's ranges, rows are counted by range, and only the
-    values of the ranges that hold a rank which is asked for are counted up one by one.
+    No task gets all values of a group: a sketch gives each group's ranges, one close around each percentile and those
+    between them, rows are counted by range, and only the values of the ranges that hold a rank which is asked for are
+    counted up one by one.  A row is compared with two edges a percentile.
     """
     rows = rows.select(*by, F.col(value).cast("double").alias("__v")).filter("__v is not null")
-    marks = F.percentile_approx("__v", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 10 * RANGES)
+    around = sorted({min(max(q + side / RANGES, 0.0), 1.0) for q in shares.values() for side in (-1, 1)})
+    marks = F.percentile_approx("__v", F.array(*map(F.lit, around)), 10 * RANGES)
     same = lambda c: F.col(c).eqNullSafe(F.col(f"__{c}"))
-    edges = rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.array_sort(F.array_distinct(marks)).alias("__edges"))
+    edges = rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(marks.alias("__edges"))
     match = reduce(and_, map(same, by), F.lit(True))
     # a value's range is the number of edges below it, so equal values are in one
-    placed = rows.join(small(edges), match).select(*by, "__v", F.size(F.filter("__edges", lambda e: e < F.col("__v"))).alias("__r"))
+    below = reduce(add, ((F.get("__edges", F.lit(k)) < F.col("__v")).cast("int") for k in range(len(around))))
+    placed = rows.join(small(edges), match).select(*by, "__v", below.alias("__r"))
     counted = placed.groupBy(*by, "__r").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*by, F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows a group
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range of a group
     ranges = counted.withColumns({"__all": F.sum("__n").over(Window.partitionBy(*by, F.lit(0))), "__from": F.coalesce(F.sum("__n").over(before), F.lit(0))})
     ranks = {name: (F.lit(q) * (F.col("__all") - 1)) for name, q in shares.items()}
     holds = lambda rank: (rank >= F.col("__from")) & (rank < F.col("__from") + F.col("__n"))

@@ -362,6 +362,14 @@ def test_states_are_kept_between_runs(spark, tmp_path):
     assert run([(1, 3, "failed"), (2, 2, "processing"), (2, 3, "failed"), (2, 4, "processing")]) == first + [(2, 2, "processing"), (2, 3, "failed"), (2, 4, "processing")]
 
 
+def test_a_value_is_compared_with_two_edges_a_percentile(spark):
+    rows = spark.range(5000).selectExpr("'g' AS g", "cast(id * 7 % 5000 AS double) AS v")
+    found = metrics.percentiles(rows, ["g"], "v", {"p50": 0.5, "p95": 0.95})
+    assert tuple(found.first()) == ("g", 2499.5, 4749.05)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "0.001" not in plan and "0.949" in plan
+
+
 def test_percentiles_are_counted_in_ranges(spark, monkeypatch):
     import numpy as np
 
