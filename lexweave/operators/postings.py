@@ -13,7 +13,9 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import rules, text
@@ -26,22 +28,58 @@ PER_RANGE = 256
 TOKENS = 200
 
 
-def blocks(places: DataFrame, per_range: int = PER_RANGE, n: int | None = None) -> DataFrame:
-    """token, rng, most, chunks array<struct<chunk_id, document_id, places>> of places(chunk_id, document_id, token, place); n: how many chunks they are of."""
-    ranges = max(1, -(-(n if n is not None else places.select("chunk_id").distinct().count()) // per_range))
-    rng = F.pmod(F.xxhash64("chunk_id"), F.lit(ranges)).cast("int")
-    one = places.groupBy("token", rng.alias("rng"), "chunk_id", "document_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    entry = F.struct("chunk_id", "document_id", "places")
-    out = one.groupBy("token", "rng").agg(F.max(F.size("places")).alias("most"), F.array_sort(F.collect_list(entry)).alias("chunks"))
-    return out.repartitionByRange("token", "rng").sortWithinPartitions("token", "rng")  # so that scans pass over what has other tokens
+#: Tokens that a task of Python groups at once, but for a longer chunk's.
+AT_ONCE = 1 << 19
+
+
+def grouped(c: Column) -> Column:
+    """By row the distinct tokens of an array, each with its places in order."""
+
+    @F.arrow_udf("array<struct<token:string,places:array<int>>>")
+    def run(tokens: pa.Array) -> pa.Array:
+        n = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        kind = pa.struct([("token", pa.string()), ("places", pa.list_(pa.int32()))])
+        ends, parts, lo = np.cumsum(n), [pa.array([], pa.list_(kind))], 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + AT_ONCE, "right")))
+            size = n[lo:hi]
+            words = tokens.slice(lo, hi - lo).flatten().dictionary_encode()
+            row, code = np.repeat(np.arange(len(size)), size), words.indices.to_numpy().astype(np.int64)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            key = row * max(1, len(words.dictionary)) + code
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1) != 0)
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place[order], pa.int32()))
+            of = order[first]
+            ones = pa.StructArray.from_arrays([words.dictionary.take(pa.array(code[of])), places], fields=list(kind))
+            parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[of], minlength=len(size))))), pa.int32()), ones).cast(pa.list_(kind)))
+            lo = hi
+        return pa.concat_arrays(parts)
+
+    return run(c)
+
+
+def blocks(entries: DataFrame, n: int, per_range: int = PER_RANGE) -> DataFrame:
+    """token, rng, most, chunks array<struct<chunk_id, document_id, places>> of entries(chunk_id, document_id, token, places); n: about how many chunks they are of.
+
+    One shuffle, with blocks combined before it.  A chunk that comes in several entries of a token is put together in its block.
+    """
+    rng = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // per_range)))).cast("int")
+    out = entries.groupBy("token", rng.alias("rng")).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "document_id", "places"))).alias("chunks"))
+    same = lambda a, b: a["chunk_id"].eqNullSafe(b["chunk_id"]) & a["document_id"].eqNullSafe(b["document_id"])
+    places = lambda c: F.array_sort(F.flatten(F.transform(F.filter("chunks", lambda d: same(c, d)), lambda d: d["places"])))
+    merged = F.array_distinct(F.transform("chunks", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["document_id"].alias("document_id"), places(c).alias("places"))))
+    out = out.withColumn("chunks", F.when(F.size(F.array_distinct("chunks.chunk_id")) < F.size("chunks"), merged).otherwise(F.col("chunks")))
+    most = F.array_max(F.transform("chunks", lambda c: F.size(c["places"])))
+    return out.select("token", "rng", most.alias("most"), "chunks").sortWithinPartitions("token", "rng")  # so that scans pass over row groups and pages that have other tokens
 
 
 def add(store: Store, chunks: DataFrame, writer: str, batch: int, per_range: int = PER_RANGE) -> Version:
     """Adds chunks(chunk_id, document_id, text) as a segment; a batch that was applied before changes nothing."""
     if store.latest().batches.get(writer, -1) >= batch:
         return store.latest()
-    places = chunks.select("chunk_id", "document_id", F.posexplode(text.simple_lexemes("text")).alias("place", "token"))
-    staged = together(store.stage("postings", blocks(places, per_range, chunks.count())), batches={writer: batch})
+    entries = chunks.select("chunk_id", "document_id", F.inline(grouped(text.simple_lexemes("text"))))
+    staged = together(store.stage("postings", blocks(entries, chunks.count(), per_range)), batches={writer: batch})
     return store.transact(lambda version: None if version.batches.get(writer, -1) >= batch else staged)
 
 
@@ -108,8 +146,9 @@ def search(store: Store, queries: DataFrame, k: int = rules.LEXICAL_K, within: D
 def compact(store: Store, per_range: int = PER_RANGE) -> Version:
     """All segments as one, without deleted documents, in one commit with the other tables (see registry.compact)."""
     seen = store.latest()
-    places = store.read("postings", seen).select("token", F.explode("chunks").alias("c")).select("token", "c.chunk_id", "c.document_id", F.explode("c.places").alias("place"))
+    entries = store.read("postings", seen).select("token", F.explode("chunks").alias("c")).select("token", "c.*")
     gone = store.read("removed", seen)
     if gone is not None:
-        places = places.join(gone.select(F.col("doc_id").alias("document_id")), "document_id", "left_anti")
-    return registry.compact(store, more=together(store.stage("postings", blocks(places, per_range)), Change(drop={"postings": seen.folders["postings"]})))
+        entries = entries.join(gone.select(F.col("doc_id").alias("document_id")), "document_id", "left_anti")
+    n = entries.agg(F.approx_count_distinct("chunk_id")).first()[0]
+    return registry.compact(store, more=together(store.stage("postings", blocks(entries, n, per_range)), Change(drop={"postings": seen.folders["postings"]})))
