@@ -44,6 +44,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by columns into as many tasks as spread() makes, or as a shuffle has: for work that is long for few bytes, which adaptive execution would put into few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(TURNS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir); in local mode without one, a folder of our own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -424,6 +424,17 @@ def test_every_failure_of_a_reader_has_a_listed_code(spark):
     assert {r.path: r.error_code for r in got.collect()} == {"a": failed, "b": failed, "c": "unreadable_pdf", "d": failed, "e": failed}
 
 
+def test_evidence_that_questions_share_is_not_repeated(spark):
+    """The same answers from hits of a document as from hits of each of its questions; evidence is dealt into tasks that stay apart."""
+    hits = qa.evidence(spark.createDataFrame([(d, p, f"The budget is {d}{p} EUR.") for d in range(6) for p in (1, 2)], "d long, page_number int, text string"), ["d"], ["page_number"])
+    assert hits.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    hits = hits.withColumn("start_char", F.lit(0))
+    claims = spark.createDataFrame([(d, q, 1, "c", f"C{q}", f"is  {d}{q}") for d in range(6) for q in (1, 2, 3)], "d long, q long, ord int, claim string, evidence_id string, quote string")
+    each = hits.join(spark.range(1, 4).withColumnRenamed("id", "q"))
+    got, want = (sorted(qa.verified(claims, h, ["d", "q"]).collect()) for h in (hits, each))
+    assert got == want and len(got) == 12
+
+
 def test_many_questions_go_block_by_block(spark, monkeypatch):
     proof = spark.createDataFrame([(d, "C1", 1, f"The budget is {d}00 EUR. Delivery takes {d} days.") for d in range(3)], "document_id long, evidence_id string, evidence_rank int, text string")
     questions = spark.createDataFrame([(q, f"What is the {w}?") for q, w in enumerate(("budget", "delivery", "colour", "budget limit", "delivery time", "tax"))], "question_id long, question string")
