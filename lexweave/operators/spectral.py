@@ -11,17 +11,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import text
+from lexweave.session import TURNS
 
 #: Texts that directions are fitted on, at most some more.
 SAMPLE_TEXTS = 50_000
-#: Slabs that a matrix is sent in, and texts that are multiplied at once.
-SLABS, BLOCK = 16, 2000
+#: Slabs that a matrix is sent in, and words whose rows of it are multiplied at once: some 19 MB a block at 72 directions, however long the texts are.
+SLABS, BLOCK = 16, 1 << 15
 
 
 def cells(c: Column | str, buckets: int) -> Column:
@@ -40,12 +40,22 @@ def weighted(column: pa.ListArray, weight: np.ndarray) -> tuple[np.ndarray, np.n
     return row, bucket, value / np.maximum(norm[row], 1e-300)
 
 
-def times(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
-    """A X for the sparse rows A."""
-    out = np.zeros((n, matrix.shape[1]))
+def blocks(column: pa.ListArray) -> Iterator[tuple[int, pa.ListArray]]:
+    """(place of the first, texts) of a column in blocks of at most BLOCK words; a text of more is a block of its own."""
+    ends, begin = column.offsets.to_numpy(), 0
+    while begin < len(column):
+        end = max(int(np.searchsorted(ends, ends[begin] + BLOCK, "right")) - 1, begin + 1)
+        yield begin, column.slice(begin, end - begin)
+        begin = end
+
+
+def times(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, matrix: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """out, with A X for the sparse rows A added; a row's entries stand together."""
     if len(row):
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[first]] = np.add.reduceat(matrix[bucket] * value[:, None], first, axis=0)
+        part = matrix[bucket]
+        part *= value[:, None]
+        out[row[first]] += np.add.reduceat(part, first, axis=0)
     return out
 
 
@@ -61,17 +71,16 @@ class Directions:
         """array<float> of length 1; null for a text without a word that has a weight.  A provider for files.with_missing_embeddings()."""
         matrix, weight = self.matrix, self.weight
 
-        @F.pandas_udf("array<float>")
-        def vectors(found: pd.Series) -> pd.Series:
-            out: list = []
-            for k in range(0, len(found), BLOCK):
-                part = found.iloc[k : k + BLOCK]
-                sizes = np.array([len(x) for x in part])
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate([np.asarray(x, np.int32) for x in part]) if len(part) else np.empty(0, np.int32)))
-                have = times(*weighted(column, weight), matrix, len(part))
+        @F.arrow_udf("array<float>")
+        def vectors(found: pa.Array) -> pa.Array:
+            out, known = np.zeros((len(found), matrix.shape[1]), np.float32), np.zeros(len(found), bool)
+            for k, part in blocks(found):
+                have = times(*weighted(part, weight), matrix, np.zeros((len(part), matrix.shape[1])))
                 norm = np.sqrt((have * have).sum(axis=1))
-                out += [(h / m).astype(np.float32) if m > 1e-12 else None for h, m in zip(have, norm)]
-            return pd.Series(out, index=found.index, dtype=object)
+                known[k : k + len(part)] = norm > 1e-12
+                out[k : k + len(part)] = have / np.where(norm > 1e-12, norm, 1)[:, None]
+            ends = np.arange(len(found) + 1, dtype=np.int32) * matrix.shape[1]
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.reshape(-1)), mask=pa.array(~known))
 
         return vectors(cells(c, len(weight)))
 
@@ -81,7 +90,9 @@ def fit(texts: DataFrame, size: int = 64, buckets: int = 1 << 14, sample: int =
     known = texts.select("text").filter("text is not null")
     n = known.count()
     chance = F.xxhash64(F.lit(seed), "text").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    rows = known.filter(chance < sample / max(n, 1)).select(cells("text", buckets).alias("cells")).persist()
+    # each task sends a matrix, and all of a slab come together: so their number goes by the cores, not by the table
+    tasks = TURNS * texts.sparkSession.sparkContext.defaultParallelism
+    rows = known.filter(chance < sample / max(n, 1)).select(cells("text", buckets).alias("cells")).coalesce(tasks).persist()
     try:
         total = rows.count()
         counts = np.zeros(buckets)
@@ -113,12 +124,11 @@ def product(rows: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarra
         weight, basis = sent.value
         total = np.zeros((buckets, width))
         for batch in batches:
-            for k in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(k, BLOCK)
-                row, bucket, value = weighted(part.column(0), weight)
-                have = times(row, bucket, value, basis, part.num_rows)
+            for _, part in blocks(batch.column(0)):
+                row, bucket, value = weighted(part, weight)
+                have = times(row, bucket, value, basis, np.zeros((len(part), width)))
                 order = np.argsort(bucket, kind="stable")
-                total += times(bucket[order], row[order], value[order], have, buckets)
+                times(bucket[order], row[order], value[order], have, total)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLABS), pa.int32()), pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["slab", "body"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

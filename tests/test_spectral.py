@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +66,21 @@ def test_cases(spark, texts):
     assert new.count() == 235 and retrieval.wrong_dimension(new, 4).count() == 0
     empty = spectral.fit(texts.limit(0), 4, 64)
     assert odd.select(empty.embedded("text").alias("e")).filter("e is not null").count() == 0
+
+
+def test_blocks_go_by_words_and_not_by_texts():
+    rnd = np.random.default_rng(3)
+    sizes = np.append(rnd.integers(0, 900, 2000), [0, 3 * spectral.BLOCK, 0])
+    every = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(rnd.integers(0, 1 << 14, sizes.sum()).astype(np.int32)))
+    matrix = rnd.normal(size=(1 << 14, 72))
+    for column in (every, every.slice(1, 1500), every.slice(0, 0)):
+        parts = list(spectral.blocks(column))
+        assert pa.chunked_array([p for _, p in parts], column.type).equals(pa.chunked_array([column]))
+        assert [k for k, _ in parts] == np.cumsum([0, *(len(p) for _, p in parts)])[:-1].tolist()
+        assert all(len(p) == 1 or len(p.flatten()) <= spectral.BLOCK for _, p in parts)
+    tracemalloc.start()
+    for _, part in spectral.blocks(every):
+        spectral.times(*spectral.weighted(part, np.ones(1 << 14)), matrix, np.zeros((len(part), 72)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000  # of all texts at once: 1 GB
