@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,17 @@ def test_chunks(spark):
             chunking.chunked(pages, *bad)
 
 
+def test_chunks_are_cut_by_blocks_of_bytes(spark):
+    texts = ["", None, "ü" * chunking.BLOCK, " \n ", *(f"Satz {k}. é 😀\n" * (k % 400) for k in range(1500))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([1] * len(texts), pa.int32()), pa.array([t or "" for t in texts])], ["document_id", "page_number", "text"])
+    parts = list(chunking.blocks(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 4
+    assert all(p.num_rows == 1 or sum(len(t.encode()) for t in p.column(2).to_pylist()) <= chunking.BLOCK for p in parts)
+    got = chunking.chunked(spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "document_id long, page_number int, text string").repartition(2), 300, 30)
+    assert got.schema.simpleString() == "struct<document_id:bigint,page_number:int,chunk_index:int,start_char:int,end_char:int,text:string>"
+    assert sorted(map(tuple, got.collect())) == [(d, 1, k, lo, hi, t[lo:hi]) for d, t in enumerate(texts) if t for k, (lo, hi) in enumerate(chunking.spans(t, 300, 30))]
+
+
 def test_hybrid(spark):
     chunks = spark.createDataFrame([(1, "maximum contract value: 500 USD", [1.0, 0.0]), (2, "value value value", [0.9, 0.1]), (3, "nothing", None), (4, None, [0.0, 0.0])], "chunk_id long, text string, embedding array<float>")
     asked = spark.createDataFrame([(1, "maximum contract value", [1.0, 0.0]), (2, "the value", None), (3, "is a", None)], "query_id long, query string, vector array<float>")
