@@ -95,3 +95,21 @@ def test_a_pack_is_written_and_keeps_its_rules(spark, tmp_path):
     assert {(r.document_id, r.page_number): r.text for r in read.collect()} == want
     quotes = read.select("document_id", "page_number", F.left("text", F.lit(20)).alias("quote"))
     assert files.pack_violations(read, quotes, 4, 300, 1200).count() == 0 and files.pack_violations(read, quotes, 5, 300, 1200).count() == 6
+
+
+def test_a_pack_is_read_by_its_manifest_in_few_tasks(spark, tmp_path):
+    path = str(tmp_path / "pack")
+    pdf.write_pack(spark.createDataFrame([(d, 1, f"text {d}") for d in range(900)], "document_id long, page_number int, text string"), path)
+    (tmp_path / "pack" / "document-5.pdf").unlink()
+    listed = pdf.pack_files(spark, f"file://{path}")
+    assert listed.rdd.getNumPartitions() <= max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))  # by Spark's reader 29, a task for 32 files
+    rows = listed.collect()
+    assert sorted(r.filename for r in rows) == sorted(f"document-{d}.pdf" for d in range(900) if d != 5)
+    assert all(r.path == f"file://{path}/{r.filename}" and pdf.pages_of(bytes(r.content)) == [f"text {r.filename[9:-4]}"] for r in rows)
+
+
+def test_codes_that_are_their_own_text():
+    table = zlib.decompress(pdf.own_codes().split(b"stream\n")[1].rsplit(b"\nend", 1)[0])
+    assert pdf.codes_of(table)[1:] == (2, True)
+    assert not pdf.codes_of(table.replace(b"<4100> <41FF> <4100>", b"<4100> <41FF> <4200>"))[2] and not pdf.codes_of(table.replace(b"<4100> <41FF> <4100>", b"<4100> <41FE> <4100>"))[2]
+    assert pdf.value(b"<4 14>", 0)[0] == b"\x41\x40" and pdf.value(b"<41\x0042>", 0)[0] == b"AB"
