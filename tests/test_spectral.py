@@ -84,3 +84,26 @@ def test_blocks_go_by_words_and_not_by_texts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60_000_000  # of all texts at once: 1 GB
+
+
+def test_all_texts_are_fitted_on(spark):
+    many = spark.range(60_000).selectExpr("concat('t', id % 5, ' own', id) AS text")  # more than the 50,000 that once were drawn
+    got = spectral.fit(many, 2, 64, rounds=1)
+    seen = many.select(F.explode(F.array_distinct(spectral.cells("text", 64))).alias("b")).groupBy("b").count().collect()
+    counts = np.zeros(64)
+    counts[[r.b for r in seen]] = [r["count"] for r in seen]
+    assert np.allclose(got.weight, np.log(60_001 / (1 + counts)))
+
+
+def test_full_blocks_are_multiplied_like_sparse_ones(monkeypatch):
+    rnd = np.random.default_rng(5)
+    sizes = np.append(rnd.integers(0, 40, 50), [0])
+    column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(rnd.integers(0, 90, sizes.sum()).astype(np.int32)))
+    row, bucket, value = spectral.weighted(column, rnd.random(100))
+    matrix, dense = rnd.normal(size=(100, 7)), np.zeros((51, 100))
+    dense[row, bucket] = value
+    for full in (0, 1000):
+        monkeypatch.setattr(spectral, "FULL", full)
+        out = np.zeros((100, 7))
+        spectral.squared(row, bucket, value, 51, matrix, out)
+        assert np.allclose(out, dense.T @ dense @ matrix)
