@@ -101,6 +101,25 @@ def cited_chunks(found: DataFrame, checklist: DataFrame) -> DataFrame:
     return counts.join(cited, "document_id", "left").select("document_id", F.coalesce("citations", F.lit(0)).alias("citations"), "grounded", "high")
 
 
+def citation_counts(documents: DataFrame, pages: DataFrame, limit: int = rules.MAX_ITEMS) -> DataFrame:
+    """cited_chunks() of conditions(pages) and the risks() of documents, without a window.
+
+    A document's conditions are numbered through, so there are as many citations as conditions: of each category the
+    different quotes, at most `limit`; and what a rule cites is one of them.
+    """
+    rows = candidates(segments(pages)).select("document_id", "ord", text.collapsed("quote").alias("norm"))
+    kinds = [F.least(F.size(F.collect_set(F.when(F.col("ord") == k, F.col("norm")))), F.lit(limit)).cast("long").alias(c) for k, c in enumerate(CATEGORIES)]
+    counted = documents.groupBy("document_id").agg(F.count("*").alias("n")).join(rows.groupBy("document_id").agg(*kinds), "document_id", "left")
+    total = lambda values: sum((F.coalesce(v, F.lit(0)) for v in values), F.lit(0))
+    there = {r: (F.col(r[0]) > 0).cast("long") for r in rules.RISKS}
+    return counted.select(
+        "document_id",
+        total(map(F.col, CATEGORIES)).alias("citations"),
+        (F.col("n") * total(there.values())).alias("grounded"),
+        (F.col("n") * total(v for r, v in there.items() if r[2] == "high")).alias("high"),
+    )
+
+
 def shown(checklist: DataFrame, limit: int = 3) -> DataFrame:
     """The first risks of each document."""
     return checklist.filter(F.col("position") <= limit)

@@ -456,3 +456,17 @@ def test_many_questions_go_block_by_block(spark, monkeypatch):
     want = show()
     monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 2)
     assert show() == want and len(want[0]) == 18 and len(want[1]) == 6
+
+
+def test_citations_are_counted_without_windows(spark):
+    many = " ".join(f"Penalty: {k}% per day of late delivery." for k in range(1, 9))
+    body = [(1, 1, "Submission deadline: 3 May 2024. Maximum budget: 500 USD."), (1, 2, "Submission  DEADLINE: 3 May 2024. The bidder must show a certificate."), (2, 1, many), (2, 2, many), (3, 1, "Nothing of note."), (5, 1, "Penalty: 2%.")]
+    pages = spark.createDataFrame(body, "document_id long, page_number int, text string")
+    documents = spark.createDataFrame([(1,), (2,), (2,), (3,), (4,), (None,)], "document_id long")
+    found = analysis.conditions(pages)
+    want = analysis.cited_chunks(found, analysis.risks(documents, found))
+    got = analysis.citation_counts(documents, pages)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert {r.document_id: r.citations for r in got.collect()}[2] == 5
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate explode") <= 2  # conditions are found once
