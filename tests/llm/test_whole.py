@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexweave.llm import decontam, fingerprint, langid, neardup, shingles, substrings
+from lexweave.llm import decontam, fingerprint, langid, neardup, ngramjoin, shingles, substrings
 from tests.llm import brute
 
 
@@ -272,3 +274,34 @@ def test_past_the_bounds_of_what_is_broadcast(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BROADCAST_TEXTS", 0)
     assert results() == usual
     assert usual[0] == sorted(brute.near_groups(list(enumerate(texts))), key=repr)
+
+
+def test_groups_come_from_one_shuffle(spark):
+    join = ngramjoin.NgramJoin(piece=8)
+    runs = [(5, 1, 0), (7, 40, 3), (9, 2, join.bands), (11, 16, join.bands + 1), (13, 17, join.bands), (15, 60, join.bands + 2), (17, 2, 1)]
+    rows = spark.createDataFrame([(key, 100 * key + k, nth) for key, n, nth in runs for k in range(n)], "key long, rid long, nth int")
+    want = {7: 40, 9: 2, 11: 16, 17: 2}
+    for batch in (1, 3, 16, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        try:
+            got = join.shared(rows).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert Counter(r.key for r in got) == want and len({r.rid for r in got}) == sum(want.values())
+    plan = join.shared(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("bits", (8, 1 << 20))
+def test_many_sets_are_looked_up_without_a_shuffle_of_texts(spark, monkeypatch, bits):
+    near = neardup.NearDup()
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(9))) for k in range(40)] + [(3, "other words of one id that is twice there"), (None, "no id but words all the same here")], "doc_id long, text string")
+    reps = near.sketches(docs).filter("uid % 3 = 0 and n > 0").selectExpr("cast(row_number() OVER (ORDER BY uid, sid) AS long) AS rid", "sid", "uid")
+    reps = spark.createDataFrame(reps.collect(), reps.schema)
+    want = {r.rid: sorted(r.shingles) for r in near.sets(docs, reps).collect()}
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(neardup, "MAP_BITS", bits)
+    found = near.sets(docs, reps)
+    assert {r.rid: sorted(r.shingles) for r in found.collect()} == want and len(want) == reps.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan  # ids are not joined to the texts
